@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from doclens.llm.exact_dedup import exact_dedup
 from doclens.llm.mixing import mix
 from doclens.llm.secret_scan import scan_secrets
+from doclens.llm.topk_search import top_k
+from doclens.llm.warc import archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +20,24 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive(table(spark, sf_dir, "pages"))["records"]
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_mix_sources, op10_scan_secrets)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_warc_bundles, op7_mix_sources, op9_topk_search, op10_scan_secrets)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
@@ -39,4 +51,27 @@ SELECT doc_id,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY length(text) DESC, doc_id) = 1 AS kept,
        text_sha256
 FROM d""",
+    "op5_warc_bundles": r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha1(encode(coalesce(html, ''))) AS payload_digest, coalesce(html, '') AS html
+  FROM pages),
+g AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS response
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN response <> page_id THEN response END AS refers_to
+FROM g""",
+    "op9_topk_search": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""",
 }
