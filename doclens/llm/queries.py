@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doclens.llm.exact_dedup import exact_dedup
 from doclens.llm.mixing import mix
+from doclens.llm.packing import pack_documents
 from doclens.llm.secret_scan import scan_secrets
 from doclens.llm.topk_search import top_k
 from doclens.llm.warc import archive
@@ -16,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,7 +48,7 @@ def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_warc_bundles, op7_mix_sources, op9_topk_search, op10_scan_secrets)}
+QUERIES = {f.__name__: f for f in (op2_pack_documents, op3_exact_dedup, op5_warc_bundles, op7_mix_sources, op9_topk_search, op10_scan_secrets)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
