@@ -182,9 +182,9 @@ BLOCK_SCHEMA = "block int, values binary"
 
 
 def sum_blocks(rows: DataFrame, dtype, ceiling: int | None = None) -> DataFrame:
-    """Add up the blocks of all tasks. Salted first, so that no task adds more than a share of one block's rows."""
+    """Add up the blocks of all tasks, block by block: a task holds one block at a time."""
 
-    def add(key, batches):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for value in batch.column("values").to_pylist():

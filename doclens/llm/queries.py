@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doclens.llm.exact_dedup import exact_dedup
 from doclens.llm.mixing import mix
+from doclens.llm.ngram_join import Join
 from doclens.llm.packing import pack_documents
 from doclens.llm.secret_scan import scan_secrets
 from doclens.llm.topk_search import top_k
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Join(table(spark, sf_dir, "documents"), n=3, num=90, den=100).components()
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -48,7 +54,7 @@ def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_documents, op3_exact_dedup, op5_warc_bundles, op7_mix_sources, op9_topk_search, op10_scan_secrets)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pack_documents, op3_exact_dedup, op5_warc_bundles, op7_mix_sources, op9_topk_search, op10_scan_secrets)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
