@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclens.llm.common import crc_fold
 from doclens.llm.exact_dedup import exact_dedup
+from doclens.llm.language import identify_language
 from doclens.llm.mixing import mix
 from doclens.llm.ngram_join import Join
 from doclens.llm.packing import pack_documents
+from doclens.llm.quality import score_quality
 from doclens.llm.secret_scan import scan_secrets
 from doclens.llm.topk_search import top_k
+from doclens.llm.toxicity import score_toxicity
 from doclens.llm.warc import archive
 
 
@@ -37,15 +41,39 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def held_out(modulus: int, remainder: int):
+    return F.coalesce(crc_fold(F.col("doc_id"), modulus) == remainder, F.lit(False)).alias("held_out")
+
+
+def op4_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_fold(F.col("id"), 3) != 1)
+    return scored.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive(table(spark, sf_dir, "pages"))["records"]
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_language(table(spark, sf_dir, "documents"), crc_fold(F.col("id"), 4) != 2)
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def quality_folds() -> tuple:
+    """Training rows and, of them, those kept aside for calibration."""
+    return crc_fold(F.col("id"), 5) != 0, crc_fold(F.col("id"), 5) == 1
+
+
+def op8_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), *quality_folds())
+    return scored.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -54,7 +82,21 @@ def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pack_documents, op3_exact_dedup, op5_warc_bundles, op7_mix_sources, op9_topk_search, op10_scan_secrets)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join,
+        op2_pack_documents,
+        op3_exact_dedup,
+        op4_score_toxicity,
+        op5_warc_bundles,
+        op6_identify_language,
+        op7_mix_sources,
+        op8_score_quality,
+        op9_topk_search,
+        op10_scan_secrets,
+    )
+}
 
 ORACLES = {
     "op3_exact_dedup": r"""
