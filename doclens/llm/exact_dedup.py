@@ -101,71 +101,127 @@ def compact(runs: DataFrame) -> DataFrame:
     return runs.groupBy("key", "digest").agg(best, F.sum("members").alias("members")).select("key", "digest", F.col("best.id").alias("best_id"), (-F.col("best.less")).alias("best_points"), "members")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable: int = 100_000, salt_rows: int = 2_000, digest: Callable[[bytes], bytes] = digest_of) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256.
+def prober(shared) -> Callable[[list[bytes]], np.ndarray]:
+    """digests -> flags: the filter lets them through; everything passes without a filter. Made on the executor."""
+    if shared is None:
+        return lambda digests: np.ones(len(digests), bool)
+    held = Bloom(1, shared.value[1])
+    held.bits = shared.value[0]
+    return lambda digests: held.hit(np.array([short_key(d) for d in digests], np.int64).view(np.uint64))
+
+
+#: Index entries up to which the index itself may be broadcast (about 80 bytes each).
+BROADCAST_ENTRIES = 100_000
+
+
+class Dedup:
+    """The compacted index of a table of documents, its filter, and the verified members of groups.
 
     memtable: digests that a task holds before it flushes a run. salt_rows: members of a group that one task
     verifies. digest: replaceable so that tests can force collisions.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "dedup")
-    least = F.lit(-(1 << 63)).cast("long")  # stands for a null id
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("id"), F.col(text_col).alias("text"))
-    runs = scratch.table(flush_runs(plain, "id", "text", memtable, digest), "runs")
-    index = scratch.table(compact(runs).where("members > 1").withColumn("salts", F.ceil(F.col("members") / F.lit(salt_rows)).cast("int")), "index")
-    scratch.drop(runs)
-    bloom = build_bloom(index.select("key"), index.count())
-    shared = spark.sparkContext.broadcast(bloom.words) if bloom else None
-    size = bloom.bits // 64 if bloom else 0
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows that the filter lets through carry their normalised text, the others none."""
-        held = None
-        if shared is not None:
-            held = Bloom(1, shared.value)
-            held.bits = size * 64
-        for batch in batches:
-            for start, end in row_chunks(text_buffer(batch.column(1))[1]):
-                part = batch.slice(start, end - start)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                norm = [normalised(x) for x in texts]
-                digests = [digest(x) for x in norm]
-                keys = np.array([short_key(x) for x in digests], np.int64)
-                hits = held.hit(keys.view(np.uint64)) if held else np.ones(len(keys), bool)
-                yield pa.record_batch(
-                    {
-                        "id": part.column(0),
-                        "key": pa.array(keys),
-                        "digest": pa.array(digests, pa.binary()),
-                        "sha": pa.array([hashlib.sha256(x).hexdigest() for x in norm], pa.string()),
-                        "n_points": pa.array([len(x) for x in texts], pa.int64()),
-                        "norm": pa.array([x if h else None for x, h in zip(norm, hits, strict=True)], pa.binary()),
-                    }
-                )
-
-    probed = scratch.table(plain.mapInArrow(probe, "id long, key long, digest binary, sha string, n_points long, norm binary"), "probed")
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable: int = 100_000, salt_rows: int = 2_000, digest: Callable[[bytes], bytes] = digest_of):
+        self.docs, self.id_col, self.text_col, self.digest = docs, id_col, text_col, digest
+        self.scratch = Scratch(docs.sparkSession, "dedup")
+        self.least = F.lit(-(1 << 63)).cast("long")  # stands for a null id
+        self.plain = docs.select(self.own_id().alias("id"), F.col(text_col).alias("text"))
+        runs = self.scratch.table(flush_runs(self.plain, "id", "text", memtable, digest), "runs")
+        index = compact(runs).where("members > 1").withColumn("salts", F.ceil(F.col("members") / F.lit(salt_rows)).cast("int"))
+        self.index = self.scratch.table(index, "index")
+        self.scratch.drop(runs)
+        entries = self.index.count()
+        bloom = build_bloom(self.index.select("key"), entries)
+        self.shared = docs.sparkSession.sparkContext.broadcast((bloom.bits, bloom.words)) if bloom else None
+        if entries <= BROADCAST_ENTRIES:
+            self.index = F.broadcast(self.index)
+
+    def own_id(self):
+        return F.coalesce(F.col(self.id_col).cast("long"), self.least)
+
+    def probed(self) -> DataFrame:
+        """Every document with its digest; those that the filter lets through carry their normalised text."""
+        digest, shared = self.digest, self.shared
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hit = prober(shared)
+            for batch in batches:
+                for start, end in row_chunks(text_buffer(batch.column(1))[1]):
+                    part = batch.slice(start, end - start)
+                    texts = [x or "" for x in part.column(1).to_pylist()]
+                    norm = [normalised(x) for x in texts]
+                    digests = [digest(x) for x in norm]
+                    yield pa.record_batch(
+                        {
+                            "id": part.column(0),
+                            "key": pa.array([short_key(x) for x in digests], pa.int64()),
+                            "digest": pa.array(digests, pa.binary()),
+                            "sha": pa.array([hashlib.sha256(x).hexdigest() for x in norm], pa.string()),
+                            "n_points": pa.array([len(x) for x in texts], pa.int64()),
+                            "norm": pa.array([x if h else None for x, h in zip(norm, hit(digests), strict=True)], pa.binary()),
+                        }
+                    )
+
+        return self.plain.mapInArrow(probe, "id long, key long, digest binary, sha string, n_points long, norm binary")
+
+    def members(self, probed: DataFrame) -> DataFrame:
+        """id, sha, r(keep_id, group_size, kept) of the documents that the filter let through."""
+        joined = probed.where("norm is not null").join(self.index, ["key", "digest"], "left")
+        alone = F.struct(F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+        lone = joined.where("best_id is null").select("id", "sha", alone.alias("r"))
+        hits = joined.where("best_id is not null").withColumn("salt", F.expr("pmod(xxhash64(id, n_points), salts)").cast("int"))
+        keeper = hits.where("id = best_id and n_points = best_points").dropDuplicates(["key", "digest"]).select("key", "digest", F.col("norm").alias("kept_norm"), "salts")
+        keeper = keeper.select("key", "digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        same = F.col("norm") == F.col("kept_norm")
+        checked = hits.join(keeper, ["key", "digest", "salt"]).select("id", "key", "digest", "sha", "n_points", "best_id", "best_points", "members", same.alias("same"), F.when(~same, F.col("norm")).alias("norm"))
+        checked = self.scratch.table(checked, "checked")
+        clash = checked.where("not same")
+        collided = clash.groupBy("key", "digest").agg(F.count("*").alias("other"))
+        good = checked.where("same").join(F.broadcast(collided) if collided.limit(1000).count() < 1000 else collided, ["key", "digest"], "left").withColumn("group_size", F.col("members") - F.coalesce("other", F.lit(0)))
+        # rows that repeat the keeper's id: one of them stays
+        turn = F.row_number().over(Window.partitionBy("id", "key", "digest").orderBy("n_points"))
+        best = good.where("id = best_id and n_points = best_points").withColumn("kept", turn == 1)
+        rest = good.where("not (id = best_id and n_points = best_points)").withColumn("kept", F.lit(False))
+        verified = best.unionByName(rest).select("id", "sha", F.struct(F.col("best_id").alias("keep_id"), "group_size", "kept").alias("r"))
+        by_bytes = clash.groupBy("norm").agg(F.min(F.struct((-F.col("n_points")).alias("less"), "id")).alias("best"), F.count("*").alias("same_bytes"))
+        other = clash.join(by_bytes, "norm").withColumn("turn", F.row_number().over(Window.partitionBy("norm", "id").orderBy(F.desc("n_points"))))
+        kept = (F.col("id") == F.col("best.id")) & (F.col("turn") == 1)
+        other = other.select("id", "sha", F.struct(F.col("best.id").alias("keep_id"), F.col("same_bytes").alias("group_size"), kept.alias("kept")).alias("r"))
+        return lone.unionByName(verified).unionByName(other)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256."""
+    dedup = Dedup(docs, id_col, text_col, **settings)
+    probed = dedup.scratch.table(dedup.probed(), "probed")
     alone = F.struct(F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    misses = probed.where("norm is null").select("id", alone.alias("r"), "sha")
-    joined = probed.where("norm is not null").join(index, ["key", "digest"], "left")
-    lone = joined.where("best_id is null").select("id", alone.alias("r"), "sha")
-    hits = joined.where("best_id is not null").withColumn("salt", F.expr("pmod(xxhash64(id, n_points), salts)").cast("int"))
-    keeper = hits.where("id = best_id and n_points = best_points").groupBy("key", "digest").agg(F.first("norm").alias("kept_norm"), F.first("salts").alias("salts"))
-    keeper = keeper.select("key", "digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    checked = scratch.table(
-        hits.join(keeper, ["key", "digest", "salt"]).select("id", "key", "digest", "sha", "n_points", "best_id", "best_points", "members", (F.col("norm") == F.col("kept_norm")).alias("same"), F.when(F.col("norm") == F.col("kept_norm"), F.lit(None)).otherwise(F.col("norm")).alias("norm")),
-        "checked",
-    )
-    clash = checked.where("not same")
-    collided = clash.groupBy("key", "digest").agg(F.count("*").alias("other"))
-    good = checked.where("same").join(collided, ["key", "digest"], "left").withColumn("group_size", F.col("members") - F.coalesce("other", F.lit(0)))
-    # Of repeated rows of the keeper's id the first by a stable order stays; they are few in number per id, never per group.
-    again = Window.partitionBy("id").orderBy("n_points")
-    candidates = good.where("id = best_id and n_points = best_points").withColumn("turn", F.row_number().over(again)).select("id", "best_id", "group_size", (F.col("turn") == 1).alias("kept"), "sha")
-    rest = good.where("not (id = best_id and n_points = best_points)").select("id", "best_id", "group_size", F.lit(False).alias("kept"), "sha")
-    verified = candidates.unionByName(rest).select("id", F.struct(F.col("best_id").alias("keep_id"), "group_size", "kept").alias("r"), "sha")
-    by_bytes = clash.groupBy("norm").agg(F.min(F.struct((-F.col("n_points")).alias("less"), "id")).alias("best"), F.count("*").alias("same_bytes"))
-    other = clash.join(by_bytes, "norm").withColumn("turn", F.row_number().over(Window.partitionBy("norm", "id").orderBy(F.desc("n_points"))))
-    other = other.select("id", F.struct(F.col("best.id").alias("keep_id"), F.col("same_bytes").alias("group_size"), ((F.col("id") == F.col("best.id")) & (F.col("turn") == 1)).alias("kept")).alias("r"), "sha")
-    out = misses.unionByName(lone).unionByName(verified).unionByName(other)
-    null_safe = lambda c: F.when(c == least, F.lit(None)).otherwise(c)
-    return out.select(null_safe(F.col("id")).alias(id_col), null_safe(F.col("r.keep_id")).alias("keep_id"), F.col("r.group_size").alias("group_size"), F.col("r.kept").alias("kept"), F.col("sha").alias("text_sha256"))
+    out = probed.where("norm is null").select("id", "sha", alone.alias("r")).unionByName(dedup.members(probed))
+    real = lambda c: F.when(c != dedup.least, c)
+    return out.select(real(F.col("id")).alias(id_col), real(F.col("r.keep_id")).alias("keep_id"), F.col("r.group_size").alias("group_size"), F.col("r.kept").alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs, all columns, that exact_dedup() keeps.
+
+    Rows that the filter does not let through are unique and pass as they are read; only the others are joined.
+    """
+    dedup = Dedup(docs, id_col, text_col, **settings)
+    kept = dedup.scratch.table(dedup.members(dedup.scratch.table(dedup.probed().where("norm is not null"), "probed")).where("r.kept").select(F.col("id").alias("kept_id"), F.col("sha").alias("kept_sha")), "kept")
+
+    def part(let_through: bool) -> DataFrame:
+        digest, shared = dedup.digest, dedup.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hit = prober(shared)
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index(text_col))
+                for start, end in row_chunks(text_buffer(column)[1]):
+                    flags = hit([digest(normalised(x)) for x in column.slice(start, end - start).to_pylist()])
+                    yield batch.slice(start, end - start).filter(pa.array(flags == let_through))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    own_print = F.sha2(F.encode(F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES.decode(), ""), "UTF-8"), 256)
+    hits = part(True).withColumn("kept_id", dedup.own_id()).withColumn("kept_sha", own_print).join(kept, ["kept_id", "kept_sha"], "left_semi")
+    turn = F.row_number().over(Window.partitionBy("kept_id", "kept_sha").orderBy(F.desc(F.length(text_col))))
+    return part(False).unionByName(hits.withColumn("kept_turn", turn).where("kept_turn = 1").select(*docs.columns))

@@ -202,8 +202,10 @@ class Join:
         """Pairs a, b that link, with their overlap: partial overlaps per fragment, summed per pair."""
         left = segments.select(F.col("c").alias("a"), "fragment", F.col("grams").alias("ga"))
         right = segments.select(F.col("c").alias("b"), "fragment", F.col("grams").alias("gb"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "sa", "sb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
-        whole = partial.groupBy("a", "b", "sa", "sb").agg(F.sum("common").alias("common"))
+        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "sa", "sb", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
+        # max: rows that repeat an id have repeated segments
+        once = partial.groupBy("a", "b", "sa", "sb", "fragment").agg(F.max("common").alias("common"))
+        whole = once.groupBy("a", "b", "sa", "sb").agg(F.sum("common").alias("common"))
         return whole.where(F.col("common") * self.den >= (F.col("sa") + F.col("sb") - F.col("common")) * self.num)
 
     def links(self) -> DataFrame:
@@ -245,6 +247,33 @@ class Join:
         return self.classes().join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("id", "size", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
+def keep_representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, but those that a smaller id is connected to; null ids stay.
+
+    Ids that a filter over the dropped ids does not let through pass as they are read; only the others are joined.
+    """
+    join = Join(docs, n, num, den, id_col, text_col)
+    gone = join.scratch.table(join.components().where("component_id <> id").select(F.col("id").alias("gone_id")).distinct(), "gone")
+    bloom = build_bloom(gone, gone.count())
+    if bloom is None:
+        return docs.withColumn("gone_id", F.col(id_col).cast("long")).join(gone, "gone_id", "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast((bloom.bits, bloom.words))
+
+    def part(let_through: bool) -> DataFrame:
+        def run(batches):
+            held = Bloom(1, shared.value[1])
+            held.bits = shared.value[0]
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
+                flags = held.hit(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(flags == let_through))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    hits = part(True).withColumn("gone_id", F.col(id_col).cast("long")).join(gone, "gone_id", "left_anti").select(*docs.columns)
+    return part(False).unionByName(hits)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 100) -> DataFrame:
     """node, component (smallest node reachable), for nodes with an edge; alternating large and small stars."""
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
