@@ -1,4 +1,740 @@
-"""Queries over the driver's tables for the operators on document collections."""
+"""Queries over the driver's tables, each with the same in DuckDB's SQL where SQL should say it.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no snapshots, folders or threads; where an operator needs some, the query and its SQL derive the same
+ones from ids, dates and texts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from doclens.functions import paths, refs, text
+from doclens.operators import diff, locate, naming, plan, runs, snapshot, threads, tree
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- snapshots
+
+SNAPSHOTS = """
+c AS (SELECT doc_id AS id, concat(source, '/', doc_id, '.md') AS path, md5(text) AS md5, concat('t', doc_id % 5) AS time FROM documents),
+p AS (SELECT id, path, CASE WHEN id % 7 = 0 THEN concat('x', md5) ELSE md5 END AS md5, time FROM c WHERE id % 11 <> 0
+      UNION ALL SELECT id + 1000000000, path, md5, time FROM c WHERE id % 13 = 0)"""
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The current listing and a previous one: ids left out, altered and added by their remainders."""
+    d = table(spark, sf_dir, "documents")
+    cur = d.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.md5("text").alias("md5"), F.concat(F.lit("t"), (F.col("doc_id") % 5).cast("string")).alias("time"))
+    prev = cur.where("id % 11 <> 0").withColumn("md5", F.when(F.col("id") % 7 == 0, F.concat(F.lit("x"), "md5")).otherwise(F.col("md5")))
+    return cur, prev.unionByName(cur.where("id % 13 = 0").withColumn("id", F.col("id") + 1000000000))
+
+
+def all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.changes_and_gone(*snapshots(spark, sf_dir), ["path"])
+
+
+CHANGES = f"""WITH {SNAPSHOTS},
+ch AS (
+  SELECT coalesce(c.id, p.id) AS id, coalesce(c.path, p.path) AS path,
+         CASE WHEN c.id IS NULL THEN 'deleted' WHEN p.id IS NULL THEN 'added'
+              WHEN c.time IS DISTINCT FROM p.time OR c.md5 IS DISTINCT FROM p.md5 THEN 'modified' END AS change
+  FROM c FULL JOIN p ON c.id = p.id)"""
+
+
+@query(f"{CHANGES} SELECT id, path, change FROM ch WHERE change IS NOT NULL")
+def snapshot_changes(spark, sf_dir):
+    return all_changes(spark, sf_dir)
+
+
+def source_roots(spark: SparkSession) -> DataFrame:
+    """Ten folders as roots, in the reverse order of their names; the other sources are under none."""
+    return spark.range(10).select((9 - F.col("id")).cast("int").alias("root_ord"), F.concat(F.lit("src"), F.col("id").cast("string"), F.lit("/")).alias("root_path"))
+
+
+@query(
+    f"""{CHANGES}, r AS (SELECT CAST(9 - i AS INT) AS root_ord, concat('src', i, '/') AS root_path FROM range(10) t(i))
+SELECT root_ord, count(*) AS changed FROM ch LEFT JOIN r ON starts_with(path, root_path) WHERE change IS NOT NULL GROUP BY root_ord"""
+)
+def changes_by_root(spark, sf_dir):
+    return snapshot.changed_per_root(snapshot.assign_roots(all_changes(spark, sf_dir), source_roots(spark)))
+
+
+@query(f"WITH {SNAPSHOTS} SELECT path, id FROM p WHERE regexp_matches(path, '^src1[0-9]/')")
+def local_carry_over(spark, sf_dir):
+    _, prev = snapshots(spark, sf_dir)
+    return snapshot.carried_over(prev.select("path", "id"), source_roots(spark))
+
+
+@query(
+    """WITH e AS (SELECT event_id, CAST(user_id % 4 AS INT) AS root_ord, event_id AS file_ord,
+  CASE WHEN event_type <> 'error' THEN user_id END AS editor, strftime(ts, '%Y-%m-%dT%H') AS time FROM events)
+SELECT editor, root_ord, file_ord, time FROM e WHERE editor IS NOT NULL ORDER BY time DESC, root_ord, file_ord LIMIT 1"""
+)
+def commit_author(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("int").alias("root_ord"), F.col("event_id").alias("file_ord"), F.when(F.col("event_type") != "error", F.col("user_id")).alias("editor"), F.date_format("ts", "yyyy-MM-dd'T'HH").alias("time"))
+    return snapshot.commit_author(e)
+
+
+@query(
+    f"""{CHANGES} SELECT count(*) AS n, CASE WHEN count(*) = 0 THEN 'index'
+WHEN bool_and(ends_with(path, '.comments.md')) THEN 'comments' ELSE 'update' END AS kind FROM ch WHERE change IS NOT NULL"""
+)
+def commit_message(spark, sf_dir):
+    return snapshot.commit_message(False, all_changes(spark, sf_dir))
+
+
+TREES = """a AS (SELECT concat(source, '/', doc_id) AS path, md5(text) AS sha FROM documents WHERE doc_id % 3 <> 0),
+b AS (SELECT concat(CASE WHEN doc_id % 4 = 0 THEN 'moved/' ELSE '' END, source, '/', doc_id) AS path,
+      CASE WHEN doc_id % 5 = 0 THEN md5(concat(text, '!')) ELSE md5(text) END AS sha FROM documents WHERE doc_id % 3 <> 1)"""
+
+
+def trees(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    a = d.where("doc_id % 3 <> 0").select(path.alias("path"), F.md5("text").alias("sha"))
+    b = d.where("doc_id % 3 <> 1").select(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("moved/"), path)).otherwise(path).alias("path"), F.when(F.col("doc_id") % 5 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("sha"))
+    return a, b
+
+
+@query(f"WITH {TREES} SELECT coalesce(a.path, b.path) AS path, a.sha AS old_sha, b.sha AS new_sha FROM a FULL JOIN b ON a.path = b.path WHERE a.sha IS DISTINCT FROM b.sha")
+def tree_diff(spark, sf_dir):
+    return snapshot.tree_diff(*trees(spark, sf_dir))
+
+
+@query(f"WITH {TREES} SELECT path, coalesce(b.sha, a.sha) AS sha FROM a FULL JOIN b USING (path)")
+def tree_overlay(spark, sf_dir):
+    return snapshot.overlay(*trees(spark, sf_dir))
+
+
+@query(
+    f"""WITH {TREES},
+x AS (SELECT sha, path AS previous_path, row_number() OVER (PARTITION BY sha ORDER BY path) AS t FROM a WHERE path NOT IN (SELECT path FROM b)),
+y AS (SELECT sha, path, row_number() OVER (PARTITION BY sha ORDER BY path) AS t FROM b WHERE path NOT IN (SELECT path FROM a))
+SELECT previous_path, path, sha FROM x JOIN y USING (sha, t)"""
+)
+def exact_renames(spark, sf_dir):
+    return snapshot.exact_renames(*trees(spark, sf_dir))
+
+
+@query(
+    f"""WITH {TREES}, s AS (SELECT string_split(path, '/')[:-2] AS f FROM b),
+n AS (SELECT DISTINCT array_to_string(f[:k], '/') AS folder FROM s, range(1, 3) t(k) WHERE k <= len(f))
+SELECT folder FROM n WHERE folder NOT IN (SELECT split_part(path, '/', 1) FROM a)"""
+)
+def implied_folders(spark, sf_dir):
+    a, b = trees(spark, sf_dir)
+    return snapshot.implied_folders(b, a.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).distinct())
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, concat('---', chr(10), 'fetched: a', doc_id % 3, chr(10), left(text, 80), chr(10), 'fetched: tail') AS a,
+  concat('---', chr(10), 'fetched: b', chr(10), left(text, 80), CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END, chr(10), 'fetched: tail') AS b FROM documents)
+SELECT doc_id, left(text, 80) = left(text, 80) AND doc_id % 4 <> 0 AS same FROM documents"""
+)
+def sidecar_equal(spark, sf_dir):
+    head, tail = F.lit("---\nfetched: "), F.lit("\nfetched: tail")
+    cut = F.left("text", F.lit(80))
+    a = F.concat(head, F.lit("a"), (F.col("doc_id") % 3).cast("string"), F.lit("\n"), cut, tail)
+    b = F.concat(head, F.lit("b\n"), cut, F.when(F.col("doc_id") % 4 == 0, "!").otherwise(""), tail)
+    return table(spark, sf_dir, "documents").select("doc_id", (text.blank_line(a) == text.blank_line(b)).alias("same"))
+
+
+# ---------------------------------------------------------------- references
+
+URLS = """u AS (SELECT page_id, CASE page_id % 6
+  WHEN 0 THEN concat('https://www.notion.so/team/Page-', md5(url), '?v=', md5(html))
+  WHEN 1 THEN concat('https://docs.google.com/document/u/0/d/', substr(md5(url), 1, 24), '/edit')
+  WHEN 2 THEN concat('https://drive.google.com/drive/folders/', substr(md5(url), 1, 21))
+  WHEN 3 THEN concat('https://drive.google.com/open?id=', md5(url), '&usp=x')
+  WHEN 4 THEN concat('https://docs.google.com/document/d/', substr(md5(url), 1, 12))
+  ELSE url END AS link FROM pages)"""
+
+
+@query(
+    f"""WITH {URLS}
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'notion' WHEN 1 THEN 'gdocs' WHEN 2 THEN 'gdocs' WHEN 3 THEN 'gdocs' END AS source,
+  CASE page_id % 6 WHEN 0 THEN regexp_extract(link, '-([0-9a-f]{{32}})', 1) WHEN 1 THEN regexp_extract(link, '/d/([^/]+)', 1)
+  WHEN 2 THEN regexp_extract(link, 'folders/(.+)$', 1) WHEN 3 THEN regexp_extract(link, 'id=([^&]+)', 1) END AS id FROM u"""
+)
+def parse_urls(spark, sf_dir):
+    p, u = F.col("page_id") % 6, F.md5("url")
+    link = (
+        F.when(p == 0, F.concat(F.lit("https://www.notion.so/team/Page-"), u, F.lit("?v="), F.md5("html")))
+        .when(p == 1, F.concat(F.lit("https://docs.google.com/document/u/0/d/"), F.substring(u, 1, 24), F.lit("/edit")))
+        .when(p == 2, F.concat(F.lit("https://drive.google.com/drive/folders/"), F.substring(u, 1, 21)))
+        .when(p == 3, F.concat(F.lit("https://drive.google.com/open?id="), u, F.lit("&usp=x")))
+        .when(p == 4, F.concat(F.lit("https://docs.google.com/document/d/"), F.substring(u, 1, 12)))
+        .otherwise(F.col("url"))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", refs.parse_url(link).alias("r")).select("page_id", "r.source", "r.id")
+
+
+@query(
+    """WITH m AS (SELECT page_id, upper(md5(url)) AS h FROM pages), t AS (SELECT page_id, h, CASE page_id % 5
+  WHEN 0 THEN concat('notion:', h) WHEN 1 THEN concat(' notion:', substr(h,1,8), '-', substr(h,9,4), '-', substr(h,13,4), '-', substr(h,17,4), '-', substr(h,21), ' ')
+  WHEN 2 THEN concat('gdocs:', h, '#t.', page_id) WHEN 3 THEN 'gdocs:short' ELSE 'calendar:abc12_20260101@me@x.org' END AS ref FROM m)
+SELECT page_id, CASE WHEN page_id % 5 < 2 THEN 'notion' WHEN page_id % 5 = 2 THEN 'gdocs' WHEN page_id % 5 = 4 THEN 'calendar' END AS source,
+  CASE WHEN page_id % 5 < 2 THEN lower(h) WHEN page_id % 5 = 2 THEN concat(h, '#t.', page_id) WHEN page_id % 5 = 4 THEN 'abc12@me@x.org' END AS id,
+  CASE WHEN page_id % 5 = 3 THEN 'not a file id' END AS problem FROM t"""
+)
+def canonical_ids(spark, sf_dir):
+    p, h, n = F.col("page_id") % 5, F.upper(F.md5("url")), F.col("page_id").cast("string")
+    dashed = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    ref = F.when(p == 0, F.concat(F.lit("notion:"), h)).when(p == 1, F.concat(F.lit(" notion:"), dashed, F.lit(" "))).when(p == 2, F.concat(F.lit("gdocs:"), h, F.lit("#t."), n)).when(p == 3, "gdocs:short").otherwise("calendar:abc12_20260101@me@x.org")
+    return table(spark, sf_dir, "pages").select("page_id", refs.parse_literal(ref).alias("r")).select("page_id", "r.*")
+
+
+@query(
+    """WITH m AS (SELECT page_id, md5(url) AS h FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('https://www.notion.so/', h) WHEN 1 THEN concat('https://docs.google.com/document/d/', h, '/edit?tab=t.1')
+  WHEN 2 THEN concat('https://docs.google.com/spreadsheets/d/', h, '/edit') ELSE concat('https://drive.google.com/file/d/', h, '/view') END AS link FROM m"""
+)
+def open_links(spark, sf_dir):
+    p, h = F.col("page_id") % 4, F.md5("url")
+    source = F.when(p == 0, "notion").otherwise("gdocs")
+    mime = F.when(p == 2, "application/vnd.google-apps.spreadsheet").otherwise("image/png")
+    return table(spark, sf_dir, "pages").select("page_id", refs.open_url(source, F.when(p == 1, F.concat(h, F.lit("#t.1"))).otherwise(h), mime).alias("link"))
+
+
+# ---------------------------------------------------------------- paths and names
+
+
+@query(
+    r"""WITH t AS (SELECT p_partkey, concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' / x:' WHEN 1 THEN '...' WHEN 2 THEN repeat('é', 150) ELSE '' END) AS title FROM part),
+s AS (SELECT p_partkey, regexp_replace(regexp_replace(title, '[/\\:*?"<>|\x00-\x1f\x7f]', '-', 'g'), '^[\s.]+|[\s.]+$', '', 'g') AS stem FROM t)
+SELECT p_partkey, concat(CASE WHEN strlen(stem) <= 197 THEN stem ELSE left(stem, CAST(list_max(list_filter(range(0, length(stem) + 1), lambda n: strlen(left(stem, CAST(n AS INT))) <= 197)) AS INT)) END, '.md') AS name FROM s"""
+)
+def file_names(spark, sf_dir):
+    p = F.col("p_partkey") % 4
+    title = F.concat("p_name", F.when(p == 0, " / x:").when(p == 1, "...").when(p == 2, "é" * 150).otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", paths.file_name(title, F.lit(".md")).alias("name"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN n = 1 THEN concat(p_name, '.md') ELSE concat(p_name, ' (', n, ').md') END AS name FROM (
+  SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_size % 3, lower(p_name) ORDER BY p_partkey) AS n FROM part)"""
+)
+def name_collisions(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), (F.col("p_size") % 3).alias("folder"), F.lit(".md").alias("ext"))
+    return naming.number_names(rows, "folder", "title", "ext", "p_partkey").select("p_partkey", "name")
+
+
+@query()
+def kept_names(spark, sf_dir):
+    """The exact path: names kept from before, titles that already end in a number."""
+    p = table(spark, sf_dir, "part")
+    title = F.when(F.col("p_partkey") % 9 == 0, F.concat("p_name", F.lit(" (2)"))).otherwise(F.col("p_name"))
+    kept = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" (3).md")))
+    return naming.assign_names(p.select((F.col("p_size") % 3).cast("string").alias("folder"), F.col("p_partkey").alias("ord"), F.format_string("%09d", "p_partkey").alias("id"), title.alias("title"), F.lit(".md").alias("ext"), kept.alias("kept")))
+
+
+PATHS = r"""t AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '/abs.md' WHEN 2 THEN 'a\b.md' WHEN 3 THEN 'a//b.md' WHEN 4 THEN 'a/./b.md'
+  WHEN 5 THEN '../b.md' WHEN 6 THEN concat(source, '/.x/', doc_id, '.md') WHEN 7 THEN concat(source, '/', doc_id) ELSE concat(source, '/', doc_id, '.tar.gz') END AS path FROM documents)"""
+
+
+def odd_paths(spark, sf_dir):
+    p, n = F.col("doc_id") % 9, F.col("doc_id").cast("string")
+    path = F.when(p == 0, "").when(p == 1, "/abs.md").when(p == 2, "a\\b.md").when(p == 3, "a//b.md").when(p == 4, "a/./b.md").when(p == 5, "../b.md")
+    path = path.when(p == 6, F.concat("source", F.lit("/.x/"), n, F.lit(".md"))).when(p == 7, F.concat("source", F.lit("/"), n)).otherwise(F.concat("source", F.lit("/"), n, F.lit(".tar.gz")))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+
+
+@query(
+    f"""WITH {PATHS} SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'empty path' WHEN 1 THEN 'absolute path' WHEN 2 THEN 'backslash' WHEN 3 THEN 'empty segment'
+  WHEN 4 THEN 'dot segment' WHEN 5 THEN 'parent segment' WHEN 6 THEN 'hidden segment' WHEN 7 THEN 'no extension' END AS problem FROM t"""
+)
+def path_validity(spark, sf_dir):
+    return odd_paths(spark, sf_dir).select("doc_id", paths.path_problem(F.col("path")).alias("problem"))
+
+
+@query(
+    rf"""WITH {PATHS} SELECT doc_id, regexp_replace(path, '^((?:.*/)?[^/]+)\.[^./]*$', '\1') AS territory,
+  CASE WHEN regexp_matches(path, '(^|/)[^/]+\.[^./]*$') THEN regexp_extract(path, '(?:^|/)[^/]+(\.[^./]*)$', 1) ELSE '' END AS ext FROM t"""
+)
+def path_parts(spark, sf_dir):
+    return odd_paths(spark, sf_dir).select("doc_id", paths.territory_of(F.col("path")).alias("territory"), paths.extension_of(F.col("path")).alias("ext"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, source AS s, concat('src', doc_id % 7) AS t, CAST(doc_id % 3 AS INT) AS up FROM documents)
+SELECT doc_id, CASE WHEN s = t THEN CASE WHEN up = 0 THEN concat(doc_id + 1, '.md') ELSE concat(CASE up WHEN 1 THEN '../' ELSE '../../' END, doc_id + 1, '.md') END
+  ELSE concat(repeat('../', up + 1), t, '/', doc_id + 1, '.md') END AS relative, concat(t, '/', doc_id + 1, '.md') AS resolved FROM d"""
+)
+def relative_paths(spark, sf_dir):
+    n = F.col("doc_id")
+    source = F.concat("source", F.lit("/"), F.when(n % 3 == 0, "").when(n % 3 == 1, "a/").otherwise("a/b/"), n.cast("string"), F.lit(".md"))
+    target = F.concat(F.lit("src"), (n % 7).cast("string"), F.lit("/"), (n + 1).cast("string"), F.lit(".md"))
+    both = table(spark, sf_dir, "documents").select("doc_id", source.alias("s"), paths.relative_path(source, target).alias("relative"))
+    return both.select("doc_id", "relative", paths.resolve_path(F.col("s"), F.col("relative")).alias("resolved"))
+
+
+@query(
+    """WITH r AS (SELECT CAST(doc_id AS INT) AS ord, concat('src', doc_id % 20, CASE doc_id % 3 WHEN 0 THEN '/' WHEN 1 THEN concat('/d', doc_id % 4, '/') ELSE concat('/d', doc_id % 4, '.md') END) AS path FROM documents WHERE doc_id < 90),
+k AS (SELECT ord, path, rtrim(path, '/') AS bare, CASE WHEN ends_with(path, '/') THEN rtrim(path, '/') ELSE regexp_replace(path, '\\.md$', '') END AS territory FROM r)
+SELECT b.ord, min(a.ord) AS other FROM k b JOIN k a ON a.ord < b.ord AND (a.path = b.path OR starts_with(b.bare, concat(a.territory, '/')) OR starts_with(a.bare, concat(b.territory, '/'))) GROUP BY b.ord"""
+)
+def root_overlap(spark, sf_dir):
+    n = F.col("doc_id")
+    path = F.concat(F.lit("src"), (n % 20).cast("string"), F.when(n % 3 == 0, "/").when(n % 3 == 1, F.concat(F.lit("/d"), (n % 4).cast("string"), F.lit("/"))).otherwise(F.concat(F.lit("/d"), (n % 4).cast("string"), F.lit(".md"))))
+    return snapshot.root_overlaps(table(spark, sf_dir, "documents").where("doc_id < 90").select(n.cast("int").alias("root_ord"), path.alias("root_path"))).select(F.col("root_ord").alias("ord"), F.col("other_ord").alias("other"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN concat('docs/T ', doc_id, '.md') WHEN doc_id % 4 = 2 THEN 'notes/' ELSE 'x/a.md' END AS path,
+  CASE WHEN doc_id % 4 = 0 THEN 'a document needs an extension' END AS problem FROM documents"""
+)
+def alias_paths(spark, sf_dir):
+    p = F.col("doc_id") % 4
+    alias = F.when(p == 0, "plain").when(p == 1, "docs/").when(p == 2, "notes").otherwise("x/a.md")
+    r = paths.resolve_alias(alias, F.concat(F.lit("T "), F.col("doc_id").cast("string")), p == 2, F.lit(".md"))
+    return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.*")
+
+
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'image-7' WHEN 1 THEN 'a b' ELSE 'logo' END AS title, CASE page_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.pdf' ELSE '.jpg' END AS ext FROM pages"""
+)
+def asset_names(spark, sf_dir):
+    p = F.col("page_id") % 3
+    hint = paths.asset_hint(F.when(p == 2, "logo"), F.when(p == 1, "https://x.org/f/a%20b.pdf?sig=1#z"), F.when(p == 0, "image/png; charset=x").when(p == 2, "image/jpeg"), F.lit(7))
+    return table(spark, sf_dir, "pages").select("page_id", hint.alias("h")).select("page_id", "h.*")
+
+
+# ---------------------------------------------------------------- trees
+
+NODES = "n AS (SELECT doc_id AS id, CASE WHEN doc_id >= 3 THEN doc_id // 3 END AS parent_id, CAST(doc_id % 3 AS INT) AS ord, concat('n', doc_id) AS name FROM documents)"
+
+
+def nodes(spark, sf_dir):
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(i.alias("id"), F.when(i >= 3, F.expr("doc_id div 3")).alias("parent_id"), (i % 3).cast("int").alias("ord"), F.concat(F.lit("n"), i.cast("string")).alias("name"))
+
+
+@query(
+    f"""WITH RECURSIVE {NODES}, d AS (SELECT id, 0 AS depth, name AS path FROM n WHERE parent_id IS NULL AND id % 17 <> 5
+  UNION ALL SELECT n.id, d.depth + 1, concat(d.path, '/', n.name) FROM d JOIN n ON n.parent_id = d.id WHERE n.id % 17 <> 5) SELECT id, depth, path FROM d"""
+)
+def folder_tree(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    return tree.walk(n, n.where("id % 17 = 5")).select("id", "depth", "path")
+
+
+@query(
+    f"""WITH RECURSIVE {NODES}, h AS (SELECT id FROM n WHERE id % 23 = 7 AND parent_id IS NOT NULL UNION SELECT n.id FROM h JOIN n ON n.parent_id = h.id) SELECT id FROM h"""
+)
+def ignored_subtrees(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    return tree.ignored_refs(n, n, n.where("id % 23 = 7").select("id"))
+
+
+@query(f"WITH {NODES} SELECT n.id, count(k.id) AS children FROM n LEFT JOIN n k ON k.parent_id = n.id GROUP BY n.id")
+def child_counts(spark, sf_dir):
+    return tree.child_counts(nodes(spark, sf_dir))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'doc' WHEN 1 THEN 'folder' WHEN 2 THEN 'export' WHEN 3 THEN 'skipped' ELSE 'binary' END AS kind,
+  CASE doc_id % 5 WHEN 3 THEN 'unsupported type application/vnd.google-apps.form' WHEN 4 THEN 'a recording' END AS reason FROM documents"""
+)
+def scan_kinds(spark, sf_dir):
+    p = F.col("doc_id") % 5
+    mime = F.concat(F.when(p < 4, "application/vnd.google-apps.").otherwise(""), F.when(p == 0, "document").when(p == 1, "folder").when(p == 2, "drawing").when(p == 3, "form").otherwise("video/mp4"))
+    return table(spark, sf_dir, "documents").select("doc_id", tree.kind_of(mime).alias("kind"), tree.skip_reason(mime).alias("reason"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id AS series, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS start, event_type AS summary, CAST(event_id % 3 AS INT) AS files FROM events WHERE user_id < 40),
+x AS (SELECT *, concat(substr(start, 1, 10), ' ', substr(start, 12, 2), substr(start, 15, 2), ' ', summary) AS name FROM e WHERE start < '2024-01-20T00:00:00Z'),
+y AS (SELECT *, row_number() OVER (PARTITION BY series, lower(name) ORDER BY start, event_id) AS t FROM x)
+SELECT event_id, CASE WHEN t = 1 THEN name ELSE concat(name, ' (', t, ')') END AS folder, files FROM y WHERE files > 0"""
+)
+def event_folders(spark, sf_dir):
+    file = F.struct(F.lit("f").alias("fileId"))
+    e = table(spark, sf_dir, "events").where("user_id < 40").select("event_id", F.col("user_id").alias("series"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"), F.col("event_type").alias("summary"), F.array_repeat(file, (F.col("event_id") % 3).cast("int")).alias("attachments"))
+    named = tree.event_folders(e.withColumn("instance", F.col("event_id")).withColumn("event_id", F.col("series")), "2024-01-20T00:00:00Z")
+    return named.select(F.col("instance").alias("event_id"), "folder", F.size("attachments").alias("files"))
+
+
+# ---------------------------------------------------------------- threads
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Someone' ELSE role END AS author, trim(text) AS text FROM conversations WHERE trim(text) <> '' AND turn % 5 <> 4)
+SELECT conv_id, string_agg(concat(author, ': ', text), chr(10) ORDER BY turn % 2, turn) AS thread, count(*) AS n FROM c GROUP BY conv_id"""
+)
+def thread_assembly(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), (F.col("turn") % 2).cast("string").alias("time"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")).alias("author"), "text", F.lit(False).alias("resolved"), (F.col("turn") % 5 == 4).alias("deleted"))
+    made = threads.assemble(threads.open_entries(c), "conv_id")
+    lines = F.array_join(F.transform("entries", lambda e: F.concat(e["author"], F.lit(": "), e["text"])), "\n")
+    return made.select("conv_id", lines.alias("thread"), F.size("entries").cast("long").alias("n"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id // 4 AS doc_id, conv_id, concat('t', conv_id) AS id, CASE WHEN conv_id % 3 > 0 THEN conv_id % 3 END AS off, min(turn) AS lo FROM conversations GROUP BY conv_id),
+e AS (SELECT conv_id, string_agg(concat('**', role, '** · 2026-01-0', turn + 1, ' 07:55', chr(10), text, chr(10), chr(10)), '' ORDER BY turn) AS said, first(text ORDER BY turn) AS q FROM conversations GROUP BY conv_id),
+s AS (SELECT doc_id, id, off, concat('## ', id, ' — comment', chr(10), chr(10), '> ', replace(replace(q, chr(10), concat(chr(10), '> ')), concat(chr(10), '> ', chr(10)), concat(chr(10), '>', chr(10))), chr(10), chr(10),
+  CASE WHEN off IS NULL THEN 'in: (not found)' ELSE 'in: (top)' END, chr(10), chr(10), said) AS part FROM t JOIN e USING (conv_id))
+SELECT doc_id, concat('---', chr(10), 'document: ', doc_id, chr(10), 'fetched: now', chr(10), '---', chr(10), chr(10), regexp_replace(string_agg(part, '' ORDER BY off NULLS LAST, id), '\n\n$', chr(10))) AS text FROM s GROUP BY doc_id"""
+)
+def sidecar_markdown(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    entries = c.select("conv_id", F.col("turn").alias("ord"), F.col("role").alias("author"), "text", F.concat(F.lit("2026-01-0"), (F.col("turn") + 1).cast("string"), F.lit("T07:55:12.165Z")).alias("time"))
+    made = threads.assemble(entries, "conv_id")
+    off = F.col("conv_id") % 3
+    rows = made.select(F.expr("conv_id div 4").alias("doc_id"), F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("id"), F.lit("comment").alias("kind"), F.when(off > 0, off).alias("offset"), F.lit(None).cast("int").alias("within"), F.lit("").alias("created"), F.lit(None).cast("string").alias("heading"), F.col("entries")[0]["text"].alias("quote"), "entries")
+    return threads.sidecars(rows, "doc_id", "now")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS minute FROM events")
+def thread_minutes(spark, sf_dir):
+    time = F.when(F.col("event_id") % 4 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    return table(spark, sf_dir, "events").select("event_id", text.minute(time).alias("minute"))
+
+
+EVENT_RANGES = """r AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord, event_type AS t FROM events),
+o AS (SELECT doc_id, ord, t, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)"""
+
+
+def event_runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").alias("doc_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("ord"), F.col("event_type").alias("text"))
+    return threads.text_offsets(rows)
+
+
+@query(f'WITH {EVENT_RANGES} SELECT doc_id, ord, CAST(pos AS BIGINT) AS "at" FROM o')
+def text_offsets(spark, sf_dir):
+    return event_runs(spark, sf_dir).select("doc_id", "ord", "at")
+
+
+@query(
+    f"""WITH {EVENT_RANGES}, a AS (SELECT doc_id, concat('a', i) AS anchor_id, i * 5 + 2 AS s, i * 5 + 9 AS e FROM (SELECT DISTINCT doc_id FROM o), range(6) x(i)),
+m AS (SELECT a.doc_id, anchor_id, pos, greatest(s, pos) AS f, substr(t, CAST(greatest(s, pos) - pos + 1 AS INT), CAST(least(e, pos + length(t)) - greatest(s, pos) AS INT)) AS piece FROM a JOIN o ON a.doc_id = o.doc_id AND pos < e AND s < pos + length(t))
+SELECT doc_id, anchor_id, string_agg(piece, '' ORDER BY pos) AS quote, CAST(min(f) AS BIGINT) AS "at" FROM m GROUP BY doc_id, anchor_id"""
+)
+def anchor_overlap(spark, sf_dir):
+    made = event_runs(spark, sf_dir).select("doc_id", F.col("at").alias("start"), (F.col("at") + F.length("text")).alias("end"), "at", "text")
+    anchors = made.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("doc_id", F.concat(F.lit("a"), F.col("i").cast("string")).alias("anchor_id"), (F.col("i") * 5 + 2).alias("start"), (F.col("i") * 5 + 9).alias("end"))
+    return threads.anchored_text(anchors, made)
+
+
+@query(
+    """WITH b AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord, event_type AS before, event_id % 7 AS k FROM events),
+t AS (SELECT doc_id, ord, k, before FROM b WHERE k < 2), s AS (SELECT doc_id, k, min(ord) AS lo, max(ord) AS hi FROM t GROUP BY doc_id, k)
+SELECT s.doc_id, concat('s', s.k) AS id, CAST(s.k AS BIGINT) AS within, b.ord, b.before, CASE WHEN b.k = s.k THEN concat(b.before, '!') ELSE b.before END AS after FROM s JOIN b ON b.doc_id = s.doc_id AND b.ord BETWEEN lo AND hi"""
+)
+def suggestion_spans(spark, sf_dir):
+    k = F.col("event_id") % 7
+    e = table(spark, sf_dir, "events")
+    touched = F.struct(F.concat(F.lit("s"), k.cast("string")).alias("id"), k.alias("within"), F.concat("event_type", F.lit("!")).alias("after"))
+    b = e.select(F.col("user_id").alias("doc_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("ord"), F.col("event_type").alias("before"), F.filter(F.array(touched), lambda x: x["within"] < 2).alias("ids"))
+    return threads.suggestion_spans(b)
+
+
+@query(
+    """WITH g AS (SELECT user_id AS key, event_id % 97 AS s, event_id % 97 + event_id % 11 AS e FROM events),
+k AS (SELECT DISTINCT key FROM g), p AS (SELECT key, x AS i FROM k, range(0, 100) t(x)),
+f AS (SELECT p.key, p.i, NOT EXISTS (SELECT 1 FROM g WHERE g.key = p.key AND g.s <= p.i AND p.i < g.e) AS free FROM p),
+w AS (SELECT key, i - row_number() OVER (PARTITION BY key ORDER BY i) AS grp, i FROM f WHERE free)
+SELECT key, min(i) AS start, max(i) + 1 AS "end" FROM w GROUP BY key, grp"""
+)
+def interval_subtract(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    gaps = e.select(F.col("user_id").alias("key"), (F.col("event_id") % 97).alias("start"), (F.col("event_id") % 97 + F.col("event_id") % 11).alias("end")).where("start < end")
+    ranges = e.select(F.col("user_id").alias("key"), F.lit(0).cast("long").alias("start"), F.lit(100).cast("long").alias("end")).distinct()
+    return runs.subtract_intervals(ranges, gaps)
+
+
+@query(
+    """WITH t AS (SELECT doc_id, text AS body, split_part(text, ' ', 5) AS q FROM documents),
+tabs AS (SELECT doc_id, 0 AS tab, substr(body, 1, 20) AS body, q FROM t UNION ALL SELECT doc_id, 1, substr(body, 21), q FROM t)
+SELECT doc_id, coalesce(min(tab) FILTER (trim(q) <> '' AND contains(body, trim(q))), 0) AS tab_ord FROM tabs GROUP BY doc_id"""
+)
+def quote_tabs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    tabs = d.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("tab_ord"), F.substring("text", 1, 20).alias("body")), F.struct(F.lit(1).alias("tab_ord"), F.expr("substr(text, 21)").alias("body")))).alias("x")).select("doc_id", "x.*")
+    asked = d.select("doc_id", F.lit("q").alias("id"), F.split_part("text", F.lit(" "), F.lit(5)).alias("quote"))
+    return threads.place_by_quote(asked, tabs).select("doc_id", "tab_ord")
+
+
+# ---------------------------------------------------------------- lines, headings, quotes
+
+LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents)"
+
+
+@query(
+    f"""WITH {LINES} SELECT doc_id, CAST(ord AS INT) AS ord, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM l"""
+)
+def block_lines(spark, sf_dir):
+    return locate.lines(table(spark, sf_dir, "documents"))
+
+
+@query(
+    f"""WITH {LINES} SELECT doc_id, CAST(ord AS INT) AS ord, last_value(CASE WHEN length(line) < 12 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading FROM l"""
+)
+def nearest_heading(spark, sf_dir):
+    rows = locate.lines(table(spark, sf_dir, "documents"))
+    return locate.heading_above(rows, F.length("line") < 12).select("doc_id", "ord", "heading")
+
+
+@query(
+    f"""WITH {LINES}, p AS (SELECT doc_id, ord, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM l),
+q AS (SELECT doc_id, trim(regexp_replace(split_part(replace(text, chr(10), ' '), ' ', 7), '\\s+', ' ', 'g')) AS n FROM documents)
+SELECT doc_id, CAST(o AS INT) AS first_ord, CAST(a - 1 AS INT) AS "at" FROM (SELECT p.doc_id, ord AS o, strpos(line, n) AS a, row_number() OVER (PARTITION BY p.doc_id ORDER BY ord) AS r FROM p JOIN q USING (doc_id) WHERE n <> '' AND strpos(line, n) > 0) WHERE r = 1"""
+)
+def quote_location(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    quotes = d.select("doc_id", F.lit(1).alias("quote_id"), F.split_part(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit(7)).alias("quote"))
+    return locate.locate_quotes(locate.lines(d), quotes).select("doc_id", "first_ord", "at")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE regexp_matches(text, '^[^\\n]*\\S[^\\n]*\\n[^\\n]*\\S')),
+u AS (SELECT doc_id, trim(regexp_replace(s[1], '\\s+', ' ', 'g')) AS a, trim(regexp_replace(s[2], '\\s+', ' ', 'g')) AS b FROM t)
+SELECT doc_id, 0 AS first_ord, 1 AS last_ord, length(a) - least(length(a), 6) AS "at" FROM u"""
+)
+def quote_location_span(spark, sf_dir):
+    """The end of the first line and the start of the second, with marks that no single line holds."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[^\n]*\S[^\n]*\n[^\n]*\S"))
+    each = locate.lines(d).withColumn("line", F.trim(text.collapse(F.col("line"))))
+    marked = each.withColumn("line", F.when(F.col("ord") == 0, F.concat("line", F.lit("§"))).when(F.col("ord") == 1, F.concat(F.lit("¶"), "line")).otherwise(F.col("line")))
+    two = each.where("ord < 2").groupBy("doc_id").agg(F.max_by("line", -F.col("ord")).alias("a"), F.max_by("line", "ord").alias("b"))
+    quotes = two.select("doc_id", F.lit(1).alias("quote_id"), F.concat(F.when(F.length("a") > 6, F.right("a", F.lit(6))).otherwise(F.col("a")), F.lit("§ ¶"), F.left("b", F.lit(1))).alias("quote"))
+    return locate.locate_quotes(marked, quotes).select("doc_id", "first_ord", "last_ord", "at")
+
+
+@query(
+    """SELECT doc_id, CAST((length(left(text, 200)) - length(replace(left(text, 200), 'er', ''))) // 2 AS INT) AS skip FROM documents"""
+)
+def occurrences_before(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("er").alias("quote"), F.lit(199).alias("at"))
+    return locate.quote_occurrence(d)
+
+
+@query("SELECT doc_id, CAST(length(text) + 2 AS INT) AS units FROM documents")
+def utf16_lengths(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.utf16_len(F.concat("text", F.lit("\U0001f4a1"))).alias("units"))
+
+
+# ---------------------------------------------------------------- runs
+
+
+@query(
+    """WITH e AS (SELECT user_id AS doc_id, event_id AS ord, event_type AS t, value > 50 AS bold FROM events),
+m AS (SELECT *, CASE WHEN bold IS NOT DISTINCT FROM lag(bold) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+i AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM m)
+SELECT doc_id, CAST(island AS BIGINT) AS island, bold, string_agg(t, '' ORDER BY ord) AS text FROM i GROUP BY doc_id, island, bold"""
+)
+def run_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("text"), (F.col("value") > 50).alias("bold"))
+    return runs.merge_runs(e, ["bold"])
+
+
+@query(
+    """WITH e AS (SELECT user_id AS doc_id, event_id AS ord, CASE event_id % 4 WHEN 0 THEN 'bullets' WHEN 1 THEN 'bullets' WHEN 2 THEN 'numbered' ELSE 'paragraph' END AS g FROM events),
+m AS (SELECT *, CASE WHEN g = lag(g) OVER (PARTITION BY doc_id ORDER BY ord) THEN 0 ELSE 1 END AS c FROM e)
+SELECT doc_id, ord, CAST(sum(c) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS island FROM m"""
+)
+def list_runs(spark, sf_dir):
+    k = F.col("event_id") % 4
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), F.when(k == 0, "bulleted_list_item").when(k == 1, "to_do").when(k == 2, "numbered").otherwise("paragraph").alias("type"))
+    return runs.islands(e, runs.list_group(F.col("type")), "doc_id", "ord").select("doc_id", "ord", "island")
+
+
+@query(
+    """WITH e AS (SELECT user_id AS key, event_id AS ord, CASE event_id % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'keep' WHEN 2 THEN 'insert' ELSE 'keep' END AS kind, CASE WHEN event_id % 5 = 1 THEN ' ' ELSE event_type END AS text FROM events),
+f AS (SELECT *, kind <> 'keep' OR coalesce(trim(text) = '' AND lag(kind) OVER w <> 'keep' AND lead(kind) OVER w <> 'keep', false) AS i FROM e WINDOW w AS (PARTITION BY key ORDER BY ord)),
+g AS (SELECT *, CASE WHEN NOT i OR NOT coalesce(lag(i) OVER (PARTITION BY key ORDER BY ord), false) THEN 1 ELSE 0 END AS n FROM f),
+h AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY ord) AS island FROM g)
+SELECT key, CAST(island AS BIGINT) AS island, coalesce(string_agg(text, '' ORDER BY ord) FILTER (i AND kind <> 'insert'), '') AS deleted, coalesce(string_agg(text, '' ORDER BY ord) FILTER (i AND kind <> 'delete'), '') AS inserted,
+  coalesce(string_agg(text, '' ORDER BY ord) FILTER (NOT i), '') AS kept FROM h GROUP BY key, island"""
+)
+def edit_coalesce(spark, sf_dir):
+    k = F.col("event_id") % 5
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.when(k == 0, "delete").when(k == 2, "insert").otherwise("keep").alias("kind"), F.when(k == 1, " ").otherwise(F.col("event_type")).alias("text"))
+    return diff.coalesce_spans(e)
+
+
+@query("SELECT event_id, concat(row_number() OVER (PARTITION BY user_id ORDER BY event_id), '/', count(*) OVER (PARTITION BY user_id)) AS place FROM events")
+def numbering(spark, sf_dir):
+    return runs.numbered(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id").select("event_id", "place")
+
+
+# ---------------------------------------------------------------- differences
+
+TURNS = "p AS (SELECT a.conv_id * 100 + a.turn AS key, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2)"
+
+
+def turn_pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    b = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("b"))
+    return c.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), F.col("text").alias("a"), "b")
+
+
+@query(
+    f"""WITH {TURNS}, ta AS (SELECT key, t, count(*) AS n FROM (SELECT key, unnest(string_split(a, ' ')) AS t FROM p) WHERE t <> '' GROUP BY key, t),
+tb AS (SELECT key, t, count(*) AS n FROM (SELECT key, unnest(string_split(b, ' ')) AS t FROM p) WHERE t <> '' GROUP BY key, t),
+s AS (SELECT key, sum(least(ta.n, tb.n) * length(t)) AS shared FROM ta JOIN tb USING (key, t) GROUP BY key)
+SELECT key, round(CASE WHEN a = b THEN 1.0 ELSE coalesce(shared, 0) / greatest(length(a), length(b)) END, 6) AS score FROM p LEFT JOIN s USING (key)"""
+)
+def token_similarity(spark, sf_dir):
+    return diff.token_similarity(turn_pairs(spark, sf_dir), " ").select("key", F.round("score", 6).alias("score"))
+
+
+@query(
+    """WITH x AS (SELECT user_id AS key, event_type AS block, event_id AS ord FROM events)
+SELECT d.key, d.block, d.from_ord, i.to_ord FROM (SELECT key, block, max(ord) AS from_ord FROM x WHERE ord % 3 = 0 GROUP BY ALL) d JOIN (SELECT key, block, min(ord) AS to_ord FROM x WHERE ord % 3 = 1 GROUP BY ALL) i USING (key, block)"""
+)
+def moved_blocks(spark, sf_dir):
+    x = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("block"), F.col("event_id").alias("ord"))
+    return diff.moved_blocks(x.where("ord % 3 = 0"), x.where("ord % 3 = 1"), ["key", "block"])
+
+
+@query(
+    """WITH x AS (SELECT user_id AS key, CASE event_id % 5 WHEN 0 THEN 'keep' WHEN 1 THEN 'update' WHEN 2 THEN 'insert' WHEN 3 THEN 'delete' ELSE 'move' END AS op FROM events)
+SELECT key, count(*) FILTER (op = 'keep') AS kept, count(*) FILTER (op = 'update') AS updated, count(*) FILTER (op IN ('insert', 'move')) AS inserted, count(*) FILTER (op IN ('delete', 'move')) AS deleted FROM x GROUP BY key"""
+)
+def op_counts(spark, sf_dir):
+    k = F.col("event_id") % 5
+    op = F.when(k == 0, "keep").when(k == 1, "update").when(k == 2, "insert").when(k == 3, "delete").otherwise("move")
+    return diff.op_counts(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), op.alias("op")))
+
+
+@query()
+def text_diff(spark, sf_dir):
+    return turn_pairs(spark, sf_dir).select("key", diff.text_diff("a", "b").alias("spans"))
+
+
+@query()
+def block_diff(spark, sf_dir):
+    """Lines of each document against a version with lines left out, altered and repeated."""
+    rows = locate.lines(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), "ord", F.lit("paragraph").alias("type"), F.col("line").alias("text"))
+    after = rows.where("(key + ord) % 6 <> 0").withColumn("text", F.when((F.col("key") + F.col("ord")) % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    return diff.block_diff(rows, after)
+
+
+# ---------------------------------------------------------------- plans
+
+PLAN_INPUT = """r AS (SELECT * FROM (VALUES (0, 'src0/', 'gdocs', false, false), (1, 'src1/', 'gdocs', true, false), (2, 'src2/', 'gdocs', false, true), (3, 'src3/', 'notion', false, false)) t(root_ord, root_path, source, read_only, suggest)),
+i AS (SELECT concat(source, '/', doc_id, '.md') AS path, CASE WHEN doc_id % 4 = 0 THEN 'drive-file' ELSE 'gdoc' END AS type, doc_id % 9 = 0 AS read_only, concat('gdocs:', doc_id) AS ref FROM documents WHERE doc_id % 2 = 0),
+c AS (SELECT CAST(doc_id AS INT) AS ord, CASE doc_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'M' WHEN 2 THEN 'D' WHEN 3 THEN 'R100' ELSE 'M' END AS status,
+  CASE WHEN doc_id % 31 = 0 THEN concat(source, '/', doc_id, '.comments.md') ELSE concat(source, '/', doc_id, '.md') END AS path,
+  CASE WHEN doc_id % 5 = 3 THEN concat(source, '/', doc_id + 1, '.md') END AS previous_path, doc_id % 3 <> 0 AS has_head, CASE WHEN doc_id % 10 = 0 THEN concat('gdocs:', doc_id + 2) END AS own_id FROM documents)"""
+
+
+def plan_input(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    n, md = F.col("doc_id"), F.lit(".md")
+    roots = spark.createDataFrame([(0, "src0/", "gdocs", False, False), (1, "src1/", "gdocs", True, False), (2, "src2/", "gdocs", False, True), (3, "src3/", "notion", False, False)], "root_ord int, root_path string, source string, read_only boolean, suggest boolean")
+    index = d.where("doc_id % 2 = 0").select(F.concat("source", F.lit("/"), n.cast("string"), md).alias("path"), F.when(n % 4 == 0, "drive-file").otherwise("gdoc").alias("type"), (n % 9 == 0).alias("read_only"), F.concat(F.lit("gdocs:"), n.cast("string")).alias("ref"))
+    k = n % 5
+    path = F.concat("source", F.lit("/"), n.cast("string"), F.when(n % 31 == 0, ".comments.md").otherwise(".md"))
+    changes = d.select(n.cast("int").alias("ord"), F.when(k == 0, "A").when(k == 2, "D").when(k == 3, "R100").otherwise("M").alias("status"), path.alias("path"), F.when(k == 3, F.concat("source", F.lit("/"), (n + 1).cast("string"), md)).alias("previous_path"), (n % 3 != 0).alias("has_head"), F.when(n % 10 == 0, F.concat(F.lit("gdocs:"), (n + 2).cast("string"))).alias("own_id"))
+    return changes, roots, index
+
+
+PLAN_SQL = f"""WITH {PLAN_INPUT},
+j AS (SELECT c.*, n.root_ord AS nr, n.read_only AS nl, n.suggest AS ns, n.source AS nsrc, o.root_ord AS orr, o.read_only AS ol, o.suggest AS os, x.type AS nt, x.read_only AS ne, y.type AS ot, y.read_only AS oe, h.path AS holder,
+  ends_with(c.path, '.comments.md') AS side, coalesce(x.type = 'gdoc', false) AS doc
+  FROM c LEFT JOIN r n ON starts_with(c.path, n.root_path) LEFT JOIN r o ON starts_with(c.previous_path, o.root_path) LEFT JOIN i x ON x.path = c.path LEFT JOIN i y ON y.path = c.previous_path LEFT JOIN i h ON h.ref = c.own_id),
+k AS (SELECT *, status[1] AS s, status[1] = 'R' AND nr IS NOT NULL AND nr IS NOT DISTINCT FROM orr AND ot IS NOT NULL AS known, status[1] IN ('A', 'M') AND nt IS NOT NULL AND doc <> has_head AS flips FROM j),
+l AS (SELECT *, (s = 'R' AND NOT known) OR (s IN ('A', 'M') AND (nt IS NULL OR flips)) AS adds FROM k),
+f AS (SELECT *, CASE WHEN coalesce(ol, false) OR coalesce(nl, false) THEN 'read-only root' WHEN side AND nr IS NOT NULL THEN 'sidecars are read-only'
+  WHEN (coalesce(os, false) AND NOT (s = 'M' AND coalesce(ot = 'gdoc', false))) OR (coalesce(ns, false) AND NOT (s = 'M' AND coalesce(nt = 'gdoc', false))) THEN 'suggest root'
+  WHEN s = 'D' OR nr IS NULL THEN NULL WHEN known AND coalesce(oe, false) AND status <> 'R100' THEN 'read-only export' WHEN s IN ('A', 'M') AND coalesce(ne, false) THEN 'read-only export'
+  WHEN flips AND coalesce(ns, false) THEN 'suggest root' WHEN adds AND nsrc = 'notion' AND NOT has_head THEN 'a page needs front matter' WHEN adds AND has_head AND holder IS NOT NULL THEN 'id already checked out' END AS reason FROM l),
+p AS (SELECT ord, reason, unnest(CASE WHEN reason IS NOT NULL THEN [struct_pack(disposition := 'refused', kind := CAST(NULL AS VARCHAR), root_ord := CAST(NULL AS INT), path := path, previous_path := CAST(NULL AS VARCHAR))]
+  WHEN s = 'D' AND nr IS NULL THEN [struct_pack(disposition := 'local', kind := NULL, root_ord := NULL, path := path, previous_path := NULL)]
+  WHEN s = 'D' THEN [struct_pack(disposition := 'root', kind := 'deleted', root_ord := nr, path := path, previous_path := NULL)]
+  WHEN nr IS NULL THEN [struct_pack(disposition := 'local', kind := NULL, root_ord := NULL, path := path, previous_path := NULL)]
+  WHEN known THEN [struct_pack(disposition := 'root', kind := 'renamed', root_ord := nr, path := path, previous_path := previous_path)]
+  WHEN s = 'R' AND orr IS NOT NULL THEN [struct_pack(disposition := 'root', kind := 'deleted', root_ord := orr, path := previous_path, previous_path := NULL), struct_pack(disposition := 'root', kind := 'added', root_ord := nr, path := path, previous_path := NULL)]
+  WHEN flips THEN [struct_pack(disposition := 'root', kind := 'deleted', root_ord := nr, path := path, previous_path := NULL), struct_pack(disposition := 'root', kind := 'added', root_ord := nr, path := path, previous_path := NULL)]
+  WHEN adds THEN [struct_pack(disposition := 'root', kind := 'added', root_ord := nr, path := path, previous_path := NULL)]
+  ELSE [struct_pack(disposition := 'root', kind := 'modified', root_ord := nr, path := path, previous_path := NULL)] END) AS x FROM f)"""
+
+
+@query(f"{PLAN_SQL} SELECT ord, x.disposition, x.kind, x.root_ord, x.path, x.previous_path, reason FROM p")
+def push_plan(spark, sf_dir):
+    return plan.plan_changes(*plan_input(spark, sf_dir)).drop("seq")
+
+
+@query(f"{PLAN_SQL} SELECT ord, x.path, reason FROM p WHERE x.disposition = 'refused' ORDER BY ord LIMIT 1")
+def refusals(spark, sf_dir):
+    return plan.first_refusal(plan.plan_changes(*plan_input(spark, sf_dir))).select("ord", "path", "reason")
+
+
+@query(
+    """WITH g AS (SELECT event_id AS id, user_id AS doc, CAST(value AS INT) % 10 AS index, CAST(event_id % 3 AS INT) AS phase, event_id AS ord FROM events)
+SELECT id, CAST(row_number() OVER (PARTITION BY doc ORDER BY index DESC, phase, CASE WHEN phase = 1 THEN -ord ELSE ord END) AS INT) AS place FROM g"""
+)
+def request_order(spark, sf_dir):
+    g = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("doc"), (F.bround("value").cast("int") % 10).alias("index"), (F.col("event_id") % 3).cast("int").alias("phase"), F.col("event_id").alias("order"))
+    return g.select("id", F.row_number().over(Window.partitionBy("doc").orderBy(*plan.request_order())).alias("place"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(ord AS INT) AS ord, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1) // 10 AS INT) AS chunk FROM l")
+def append_chunks(spark, sf_dir):
+    return plan.append_chunks(locate.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord"), "doc_id", "ord", 10)
+
+
+@query("SELECT doc_id, CAST(k AS INT) AS piece, substr(text, CAST(k * 2000 + 1 AS INT), 2000) AS text FROM documents, range(0, 100) t(k) WHERE k <= greatest((length(text) - 1) // 2000, 0)")
+def split_runs(spark, sf_dir):
+    return plan.split_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("SELECT page_id, sha256(html) AS checksum FROM pages")
+def asset_checksums(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.checksum(F.col("html")).alias("checksum"))
+
+
+ASSETS = """l AS (SELECT concat('d', doc_id % 50, '.md') AS document, concat('d', doc_id % 50, '.assets/', doc_id, '.png') AS target FROM documents),
+g AS (SELECT concat('d', doc_id % 50, '.assets/', doc_id, '.png') AS path FROM documents WHERE doc_id % 6 = 0 UNION ALL SELECT concat('d', k, '.md') FROM range(0, 10) t(k))"""
+
+
+@query(f"WITH {ASSETS} SELECT document, target FROM l WHERE target IN (SELECT path FROM g) AND document NOT IN (SELECT path FROM g)")
+def asset_orphans(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    folder = F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string"))
+    target = F.concat(folder, F.lit(".assets/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    links = d.select(paths.asset_document(target).alias("document"), target.alias("target"))
+    removed = d.where("doc_id % 6 = 0").select(target.alias("path")).unionByName(spark.range(10).select(F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".md")).alias("path")))
+    return plan.orphaned_links(links, removed)
+
+
+@query(
+    """WITH a AS (SELECT concat('n', doc_id, '.md') AS path, CAST(doc_id AS INT) AS ord FROM documents), l AS (SELECT concat('n', doc_id, '.md') AS document, concat('n', (doc_id * 7) % 900, '.md') AS target FROM documents)
+SELECT document, target FROM l JOIN a o ON o.path = l.document JOIN a t ON t.path = l.target WHERE t.ord > o.ord"""
+)
+def forward_links(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"), F.lit(".md"))
+    added = d.select(name(F.col("doc_id")).alias("path"), F.col("doc_id").cast("int").alias("ord"))
+    return plan.forward_links(d.select(name(F.col("doc_id")).alias("document"), name((F.col("doc_id") * 7) % 900).alias("target")), added).select("document", "target")
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT concat(source, '/') AS folder FROM documents UNION SELECT DISTINCT concat(source, '/a/') FROM documents)
+SELECT concat(source, '/a/', doc_id, '.md') AS path, concat(source, '/a/') AS folder FROM documents"""
+)
+def longest_folder(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    folders = d.select(F.explode(F.array(F.concat("source", F.lit("/")), F.concat("source", F.lit("/a/")))).alias("folder")).distinct()
+    return plan.longest_folder(d.select(F.concat("source", F.lit("/a/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")), folders)
