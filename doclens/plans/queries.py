@@ -506,13 +506,14 @@ def quote_location(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE regexp_matches(text, '^[^\\n]*\\S[^\\n]*\\n[^\\n]*\\S')),
-u AS (SELECT doc_id, trim(regexp_replace(s[1], '\\s+', ' ', 'g')) AS a, trim(regexp_replace(s[2], '\\s+', ' ', 'g')) AS b FROM t)
-SELECT doc_id, 0 AS first_ord, 1 AS last_ord, length(a) - least(length(a), 6) AS "at" FROM u"""
+    """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
+u AS (SELECT doc_id, trim(regexp_replace(s[1], '[\\s\\x0b]+', ' ', 'g')) AS a, trim(regexp_replace(s[2], '[\\s\\x0b]+', ' ', 'g')) AS b FROM t WHERE len(s) > 1)
+SELECT doc_id, 0 AS first_ord, 1 AS last_ord, length(a) - length(ltrim(right(a, 6))) AS "at" FROM u WHERE a <> '' AND b <> ''"""
 )
 def quote_location_span(spark, sf_dir):
     """The end of the first line and the start of the second, with marks that no single line holds."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[^\n]*\S[^\n]*\n[^\n]*\S"))
+    line = lambda k: F.trim(text.collapse(F.get(F.split("text", "\n", 3), F.lit(k))))
+    d = table(spark, sf_dir, "documents").where((line(0) != "") & (line(1) != ""))
     each = locate.lines(d).withColumn("line", F.trim(text.collapse(F.col("line"))))
     marked = each.withColumn("line", F.when(F.col("ord") == 0, F.concat("line", F.lit("§"))).when(F.col("ord") == 1, F.concat(F.lit("¶"), "line")).otherwise(F.col("line")))
     two = each.where("ord < 2").groupBy("doc_id").agg(F.max_by("line", -F.col("ord")).alias("a"), F.max_by("line", "ord").alias("b"))
