@@ -144,7 +144,7 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int, bundle_bytes:
 
         def close():
             name = f"{own}-{n}.warc.zst"
-            with fs.open_output_stream(f"{root}/{name}") as out:
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(writer.finish())
             columns = list(zip(*index, strict=True))
             return pa.record_batch(
@@ -179,7 +179,7 @@ def read_bundles(spark, folder: str, bundles: DataFrame, payload: bool = True) -
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with fs.open_input_stream(f"{root}/{name}") as source:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as source:
                     reader = BundleReader(source.read())
                 for frame in range(len(reader)):
                     rows = []
