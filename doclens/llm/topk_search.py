@@ -9,7 +9,7 @@ the number of rows. The k best per pair are then reduced per query.
 
 Defined results: vectors that are null, empty, of another length than the longest, or hold null or non-finite
 components take no part; ties go to the smaller id; repeated rows compete as rows of their own, and a query leaves
-out its own id; an empty table gives no rows.
+out its own id; rows that repeat a query's id ask once, with the smallest of their vectors; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -136,7 +136,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     valid = valid.where(F.size(vector_col) == dims)
     rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), as_double.alias("v"))
     cands = scratch.table(pack(rows(valid), cand_block, scale, dims), "candidates")
-    queries = scratch.table(pack(rows(valid.where(is_query)).repartition(F.expr(f"id div {query_block}")), query_block, scale, dims), "queries")
+    asked = rows(valid.where(is_query)).groupBy("id").agg(F.min("v").alias("v"))
+    queries = scratch.table(pack(asked.repartition(F.expr(f"id div {query_block}")), query_block, scale, dims), "queries")
     # every candidate block meets every query block: the stated query set against all rows, in blocks
     parts = queries.select(F.col("part").alias("qpart"))
     n_parts = parts.agg(F.sort_array(F.collect_list("qpart")).alias("qparts"))  # one number per query block
