@@ -77,7 +77,7 @@ def suggestion_spans(blocks: DataFrame) -> DataFrame:
 
 def accepted_text(runs: Column, suggestion: Column) -> Column:
     """A block's text with one suggestion accepted; other insertions stay out. runs: text, insertions, deletions."""
-    kept = F.filter(runs, lambda r: ((F.size(r["insertions"]) <= 0) | F.array_contains(r["insertions"], suggestion)) & ~F.coalesce(F.array_contains(r["deletions"], suggestion), F.lit(False)))
+    kept = F.filter(runs, lambda r: ((F.coalesce(F.size(r["insertions"]), F.lit(0)) <= 0) | F.array_contains(r["insertions"], suggestion)) & ~F.coalesce(F.array_contains(r["deletions"], suggestion), F.lit(False)))
     return F.regexp_replace(F.replace(F.array_join(F.transform(kept, lambda r: r["text"]), ""), F.lit("\x0b"), F.lit("\n")), "\n\\z", "")
 
 
