@@ -183,7 +183,8 @@ def diff_level(base: list[tuple[str, str]], nxt: list[tuple[str, str]]) -> list[
 
 
 def _block_ops(key, base: pd.DataFrame, nxt: pd.DataFrame) -> pd.DataFrame:
-    a, b = base.sort_values("ord"), nxt.sort_values("ord")
+    # a document of one side only comes with a frame that has no columns
+    a, b = (f.reindex(columns=["ord", "type", "text"]).sort_values("ord") for f in (base, nxt))
     ops = diff_level(list(zip(a["type"], a["text"], strict=True)), list(zip(b["type"], b["text"], strict=True)))
     at = lambda frame, k: None if k is None else int(frame["ord"].iloc[k])
     return pd.DataFrame({"key": key[0], "op_ord": range(len(ops)), "op": [o for o, _, _ in ops], "base_ord": pd.array([at(a, i) for _, i, _ in ops], "Int64"), "next_ord": pd.array([at(b, j) for _, _, j in ops], "Int64")})

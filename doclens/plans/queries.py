@@ -739,3 +739,42 @@ def longest_folder(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     folders = d.select(F.explode(F.array(F.concat("source", F.lit("/")), F.concat("source", F.lit("/a/")))).alias("folder")).distinct()
     return plan.longest_folder(d.select(F.concat("source", F.lit("/a/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")), folders)
+
+
+# ---------------------------------------------------------------- rich text and patches
+
+
+def marked(text_col, every: int):
+    """The text with each word at a place divisible by `every` in bold, as Markdown."""
+    words = F.split(F.regexp_replace(text_col, r"[^\p{L}\p{N} ]", ""), " ")
+    return F.array_join(F.transform(words, lambda w, n: F.when((n % every == 0) & (w != ""), F.concat(F.lit("**"), w, F.lit("**"))).otherwise(w)), " ")
+
+
+@query()
+def inline_diff(spark, sf_dir):
+    from doclens.operators.richtext import style_changes
+
+    return turn_pairs(spark, sf_dir).select("key", style_changes(marked(F.col("a"), 3), marked(F.col("a"), 4)).alias("changes"))
+
+
+@query()
+def page_calls(spark, sf_dir):
+    """Calls that bring each document's lines to a version with lines left out and altered."""
+    from doclens.operators import patch
+
+    rows = locate.lines(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), "ord", F.lit("paragraph").alias("type"), F.col("line").alias("text"))
+    after = rows.where("(key + ord) % 6 <> 0").withColumn("text", F.when((F.col("key") + F.col("ord")) % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    return patch.page_calls(diff.block_diff(rows, after), rows.withColumn("live_id", F.concat_ws("-", "key", "ord")), after)
+
+
+@query(
+    """WITH o AS (SELECT event_id AS key, CAST(event_id % 20 AS INT) AS off FROM events)
+SELECT key, off AS "offset", CASE WHEN off < 10 THEN 100 + off ELSE 200 + off - 10 END AS index FROM o"""
+)
+def live_index(spark, sf_dir):
+    from doclens.operators import patch
+
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.lit(0).alias("block"), (F.col("event_id") % 20).cast("int").alias("offset"))
+    piece = lambda at, start: F.struct(F.lit(at).alias("at"), F.lit(start).alias("start"), F.lit(10).alias("length"))
+    pieces = e.select("key", "block", F.explode(F.array(piece(0, 100), piece(10, 200))).alias("p")).select("key", "block", "p.*")
+    return patch.live_index(e, pieces).select("key", "offset", "index")
