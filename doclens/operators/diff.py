@@ -190,8 +190,14 @@ def _block_ops(key, base: pd.DataFrame, nxt: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": key[0], "op_ord": range(len(ops)), "op": [o for o, _, _ in ops], "base_ord": pd.array([at(a, i) for _, i, _ in ops], "Int64"), "next_ord": pd.array([at(b, j) for _, _, j in ops], "Int64")})
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under attributes of their own: cogrouped sides may come from one table."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def block_diff(base: DataFrame, nxt: DataFrame) -> DataFrame:
     """key, op_ord, op, base_ord, next_ord of two versions of blocks (key, ord, type, text); a document is one group."""
+    base, nxt = fresh(base), fresh(nxt)
     return base.groupBy("key").cogroup(nxt.groupBy("key")).applyInPandas(_block_ops, "key long, op_ord long, op string, base_ord long, next_ord long")
 
 

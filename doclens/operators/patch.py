@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclens.operators.diff import walk
+from doclens.operators.diff import fresh, walk
 
 CALLS = "key long, call int, phase string, live_id string, after_id string, next_ords array<long>, problem string"
 
@@ -76,7 +76,7 @@ def _page_calls(key, ops: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
 
 def page_calls(ops: DataFrame, live: DataFrame, nxt: DataFrame) -> DataFrame:
     """Calls per document: ops as of block_diff(); live (key, ord, type, live_id); nxt (key, ord, type)."""
-    sides = live.select("key", "ord", "type", "live_id", F.lit("live").alias("side")).unionByName(nxt.select("key", "ord", "type", F.lit(None).cast("string").alias("live_id"), F.lit("next").alias("side")))
+    sides = fresh(live).select("key", "ord", "type", "live_id", F.lit("live").alias("side")).unionByName(fresh(nxt).select("key", "ord", "type", F.lit(None).cast("string").alias("live_id"), F.lit("next").alias("side")))
     return ops.groupBy("key").cogroup(sides.groupBy("key")).applyInPandas(_page_calls, CALLS)
 
 
