@@ -206,53 +206,74 @@ def gather_blocks(summed: DataFrame, size: int, block: int, dtype) -> np.ndarray
     return out
 
 
-# ---------------------------------------------------------------- Bloom filter over long ids
+# ---------------------------------------------------------------- Bloom filter over long keys
 
 
 class Bloom:
-    """Bits over 64-bit keys; `hit(keys)` has false positives at a rate of about 1 % and no false negatives."""
+    """A blocked Bloom filter over 64-bit keys: a key's bits are all in one block of 64 kB.
 
-    HASHES, BITS_PER_KEY = 5, 10
+    hit(keys) has false positives at a rate of about 1 % and no false negatives.
+    """
+
+    HASHES, BITS_PER_KEY, BLOCK_BITS = 5, 10, 1 << 19
+
+    def __init__(self, words: np.ndarray):
+        """words: blocks x 8192 unsigned 64-bit words."""
+        self.words = words
+
+    @classmethod
+    def blocks_for(cls, n_keys: int) -> int:
+        return max(1, -(-n_keys * cls.BITS_PER_KEY // cls.BLOCK_BITS))
 
-    def __init__(self, n_keys: int, words: np.ndarray | None = None):
-        self.bits = max(1024, 1 << (max(1, n_keys) * self.BITS_PER_KEY - 1).bit_length())
-        self.words = np.zeros(self.bits // 64, np.uint64) if words is None else words
+    @staticmethod
+    def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+        return (mix64(keys + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
 
-    def positions(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        one = mix64(keys.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-        two = mix64(one.copy() + np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
-        for k in range(self.HASHES):
-            yield (one + np.uint64(k) * two) & np.uint64(self.bits - 1)
+    @classmethod
+    def bits_of(cls, keys: np.ndarray) -> Iterator[np.ndarray]:
+        one = mix64(keys ^ np.uint64(0x9FB21C651E98DF25))
+        two = mix64(one + np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+        for k in range(cls.HASHES):
+            yield (one + np.uint64(k) * two) >> np.uint64(45)
 
-    def add(self, keys: np.ndarray) -> None:
-        for at in self.positions(keys):
-            np.bitwise_or.at(self.words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    @classmethod
+    def block(cls, keys: np.ndarray) -> np.ndarray:
+        """The words of one block with these keys."""
+        flags = np.zeros(cls.BLOCK_BITS, bool)
+        for at in cls.bits_of(keys):
+            flags[at.astype(np.int64)] = True
+        return np.packbits(flags, bitorder="little").view(np.uint64)
 
     def hit(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.astype(np.uint64, copy=False)
+        row = self.block_of(keys, len(self.words)).astype(np.int64)
         found = np.ones(len(keys), bool)
-        for at in self.positions(keys):
-            found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+        for at in self.bits_of(keys):
+            found &= (self.words[row, (at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
         return found
 
 
-#: Keys up to which a Bloom filter may be broadcast (8 MB of bits); beyond, callers join instead.
-BLOOM_MOST_KEYS = 4_000_000
+#: Keys up to which a Bloom filter may be broadcast (40 MB of bits); beyond, callers join instead.
+BLOOM_MOST_KEYS = 32_000_000
 
 
 def build_bloom(keys: DataFrame, n_keys: int) -> Bloom | None:
-    """The filter of a one-column DataFrame of longs, or None where it would pass the size bound."""
+    """The filter of a one-column DataFrame of longs, or None where it would pass the size bound. Blocks are built apart."""
     if n_keys > BLOOM_MOST_KEYS:
         return None
+    blocks = Bloom.blocks_for(n_keys)
 
-    def words(batches):
+    def deal(batches):
         for batch in batches:
-            bloom = Bloom(n_keys)
-            bloom.add(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            at = np.flatnonzero(bloom.words)
-            yield pa.record_batch({"word": pa.array(at, pa.int64()), "bits": pa.array(bloom.words[at].view(np.int64), pa.int64())})
-
-    merged = keys.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    bloom = Bloom(n_keys)
-    for row in merged.toLocalIterator():
-        bloom.words[row["word"]] = np.array([row["bits"]], np.int64).view(np.uint64)[0]
-    return bloom
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.record_batch({"block": pa.array(Bloom.block_of(own.view(np.uint64), blocks).astype(np.int32)), "key": pa.array(own)})
+
+    def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(Bloom.BLOCK_BITS // 64, np.uint64)
+        for batch in batches:
+            words |= Bloom.block(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([words.tobytes()], pa.binary())})
+
+    made = keys.mapInArrow(deal, "block int, key long").groupBy("block").applyInArrow(build, BLOCK_SCHEMA)
+    size = Bloom.BLOCK_BITS // 64
+    return Bloom(gather_blocks(made, blocks * size, size, np.uint64).reshape(blocks, size))

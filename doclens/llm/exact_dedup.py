@@ -105,8 +105,7 @@ def prober(shared) -> Callable[[list[bytes]], np.ndarray]:
     """digests -> flags: the filter lets them through; everything passes without a filter. Made on the executor."""
     if shared is None:
         return lambda digests: np.ones(len(digests), bool)
-    held = Bloom(1, shared.value[1])
-    held.bits = shared.value[0]
+    held = Bloom(shared.value)
     return lambda digests: held.hit(np.array([short_key(d) for d in digests], np.int64).view(np.uint64))
 
 
@@ -132,7 +131,7 @@ class Dedup:
         self.scratch.drop(runs)
         entries = self.index.count()
         bloom = build_bloom(self.index.select("key"), entries)
-        self.shared = docs.sparkSession.sparkContext.broadcast((bloom.bits, bloom.words)) if bloom else None
+        self.shared = docs.sparkSession.sparkContext.broadcast(bloom.words) if bloom else None
         if entries <= BROADCAST_ENTRIES:
             self.index = F.broadcast(self.index)
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document's set is its distinct word n-grams, hashed to 64 bits. The global order of n-grams is (cell count, hash):
-a table of counts over all documents, of a fixed number of cells, tells frequent n-grams from rare ones. The order is
+a table of counts over all documents, of a bounded number of cells, tells frequent n-grams from rare ones. The order is
 only a hint: any order gives the same result. Sets are cut along that order into fragments.
 
 1. Documents with equal sets form a class; the smallest id represents it. Copies never meet again.
@@ -20,16 +20,18 @@ their sets; an empty table gives no rows; texts may be of any length.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import BLOCK_SCHEMA, Bloom, Scratch, block_rows, build_bloom, gather_blocks, mix64, row_chunks, sum_blocks, text_buffer, words_of
+from doclens.llm.common import BLOCK_SCHEMA, Bloom, Scratch, build_bloom, gather_blocks, mix64, row_chunks, text_buffer, words_of
 
-BLOCK_CELLS = 1 << 14
+BLOCK_CELLS = 1 << 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -78,21 +80,52 @@ def each_set(batches, n: int, want=None) -> Iterator[tuple[pa.Array, list[np.nda
             yield batch.column(0).slice(start, end - start), list(shingle_sets(data[offsets[start] : offsets[end]], own, n))
 
 
+def table_bits(docs: DataFrame, most_bits: int) -> int:
+    """Bits of the count table: about eight n-grams a cell, at a word of six bytes, and 2^most_bits cells at most."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(14, min(most_bits, round(math.log2(max(size / 48, 1)))))
+
+
 def count_cells(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """How many documents have an n-gram of each cell (the hash's top bits), over all documents; 65535 at most."""
     shift = np.uint64(64 - bits)
 
     def run(batches):
-        cells = np.zeros(1 << bits, np.uint32)
+        cells = np.zeros(1 << bits, np.uint16)
         for _, sets in each_set(batches, n):
-            found = np.concatenate(sets) >> shift
-            np.add.at(cells, found.astype(np.int64), 1) if len(found) < 1000 else np.add(cells, np.bincount(found.astype(np.int64), minlength=1 << bits).astype(np.uint32), out=cells)
-        yield from block_rows(np.minimum(cells, 65535).astype(np.uint16), BLOCK_CELLS)
-
-    summed = sum_blocks(docs.mapInArrow(run, BLOCK_SCHEMA), np.uint16)
+            found, times = np.unique(np.concatenate(sets) >> shift, return_counts=True)
+            found = found.astype(np.int64)
+            cells[found] = np.minimum(cells[found] + times, 65535)
+        packer = zstandard.ZstdCompressor(level=1)
+        for k in range(0, len(cells), BLOCK_CELLS):
+            part = cells[k : k + BLOCK_CELLS]
+            if part.any():
+                yield pa.record_batch({"block": pa.array([k // BLOCK_CELLS], pa.int32()), "values": pa.array([packer.compress(part.tobytes())], pa.binary())})
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, reader = np.zeros(min(BLOCK_CELLS, 1 << bits), np.int64), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for value in batch.column("values").to_pylist():
+                total += np.frombuffer(reader.decompress(value), np.uint16)
+        yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+
+    summed = docs.mapInArrow(run, BLOCK_SCHEMA).groupBy("block").applyInArrow(add, BLOCK_SCHEMA)
     return gather_blocks(summed, 1 << bits, BLOCK_CELLS, np.uint16)
 
 
+def shares_below(cells: np.ndarray) -> np.ndarray:
+    """Share of all n-grams whose cell counts less than c, for c from 0 to 65536."""
+    mass = np.bincount(cells, cells.astype(float), minlength=65536)
+    return np.concatenate([[0.0], np.cumsum(mass)]) / max(mass.sum(), 1.0)
+
+
+def fragment_of(grams: np.ndarray, counts: np.ndarray, share: np.ndarray, fragments: int) -> np.ndarray:
+    """Which of equal cuts of the global order, by count then hash, each n-gram is in."""
+    low, high = share[counts], share[counts.astype(np.int64) + 1]
+    place = low + (high - low) * (grams.astype(float) / 2.0**64)
+    return np.minimum((place * fragments).astype(np.int64), fragments - 1)
+
+
 def least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
     """ceil(num * (a + b) / (num + den)): the overlap that makes a Jaccard similarity of num / den."""
     return F.floor((num * (a + b) + (num + den - 1)) / (num + den))
@@ -101,12 +134,13 @@ def least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
 class Join:
     """One run of the join; classes(), links() and components() are its results."""
 
-    def __init__(self, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 22, fragments: int = 4, spanning: bool = True):
-        """num / den: the threshold. sketch_bits: cells of the count table, 2 bytes each. spanning: only as many links as components need."""
+    def __init__(self, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 25, fragments: int = 4, spanning: bool = True):
+        """num / den: the threshold. sketch_bits: the count table has at most 2^sketch_bits cells of 2 bytes. spanning: only as many links as components need."""
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "ngram-join")
-        self.n, self.num, self.den, self.bits, self.fragments, self.spanning = n, num, den, sketch_bits, fragments, spanning
+        self.n, self.num, self.den, self.fragments, self.spanning = n, num, den, fragments, spanning
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+        self.bits = table_bits(self.docs, sketch_bits)
 
     # ---- sets, classes, buckets
 
@@ -147,11 +181,36 @@ class Join:
         classes = profiles.join(many, ["key1", "key2", "size"], "left").select("id", "size", F.coalesce("class_id", "id").alias("class_id"), F.when(F.coalesce("class_id", "id") == F.col("id"), F.col("prefix")).alias("prefix"))
         self.classes_table = self.scratch.table(classes, "classes")
         self.scratch.drop(profiles)
-        posted = self.classes_table.where("prefix is not null and size > 0").select(F.col("id").alias("c"), "size", F.posexplode("prefix").alias("pos", "gram"))
+        heads = self.classes_table.where("prefix is not null and size > 0").select(F.col("id").alias("c"), "size", "prefix")
+        # n-grams in one prefix only go first, by the slimmest rows; what is left is a small part
+        shared = self.scratch.table(heads.select(F.explode("prefix").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"), "shared")
+        posted = self.posted(heads, shared)
         # a bucket's hub has the fewest n-grams before this one
-        shared = posted.groupBy("gram").agg(F.min(F.struct("pos", F.col("c").alias("hub"), F.col("size").alias("hub_size"))).alias("h"), F.count("*").alias("n")).where("n > 1")
-        shared = shared.select("gram", "h.hub", "h.hub_size", F.col("h.pos").alias("hub_pos"))
-        self.postings = self.scratch.table(posted.join(shared, "gram"), "postings")
+        hubs = posted.groupBy("gram").agg(F.min(F.struct("pos", F.col("c").alias("hub"), F.col("size").alias("hub_size"))).alias("h"), F.count("*").alias("n")).where("n > 1")
+        hubs = hubs.select("gram", "h.hub", "h.hub_size", F.col("h.pos").alias("hub_pos"))
+        self.postings = self.scratch.table(posted.join(hubs, "gram"), "postings")
+        self.scratch.drop(shared, posted)
+
+    def posted(self, heads: DataFrame, shared: DataFrame) -> DataFrame:
+        """c, size, pos, gram of the n-grams that more than one prefix has; a filter's false positives go later."""
+        bloom = build_bloom(shared, shared.count())
+        if bloom is None:
+            return self.scratch.table(heads.select("c", "size", F.posexplode("prefix").alias("pos", "gram")).join(shared, "gram", "left_semi"), "posted")
+        words = self.spark.sparkContext.broadcast(bloom.words)
+
+        def run(batches):
+            held = Bloom(words.value)
+            for batch in batches:
+                prefix = batch.column(2)
+                grams = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                lengths = np.diff(np.frombuffer(prefix.buffers()[1], np.int32)[prefix.offset : prefix.offset + len(prefix) + 1])
+                rows = np.repeat(np.arange(len(prefix)), lengths)
+                pos = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                keep = np.flatnonzero(held.hit(grams.view(np.uint64)))
+                at = pa.array(rows[keep])
+                yield pa.record_batch({"c": batch.column(0).take(at), "size": batch.column(1).take(at), "pos": pa.array(pos[keep], pa.int32()), "gram": pa.array(grams[keep])})
+
+        return self.scratch.table(heads.mapInArrow(run, "c long, size long, pos int, gram long"), "posted")
 
     def _may_link(self, s1: Column, p1: Column, s2: Column, p2: Column) -> Column:
         """Length filter, and position filter: at the first shared n-gram only what follows can still be shared."""
@@ -165,24 +224,22 @@ class Join:
         n, fragments = self.n, self.fragments
         n_wanted = wanted.count()
         bloom = build_bloom(wanted, n_wanted)
-        shared = self.spark.sparkContext.broadcast((bloom.bits, bloom.words)) if bloom else None
+        shared = self.spark.sparkContext.broadcast(bloom.words) if bloom else None
         docs = self.docs if bloom else self.docs.join(wanted.withColumnRenamed(wanted.columns[0], "id"), "id", "left_semi")
         shift, cells = np.uint64(64 - self.bits), self.cells
+        below = self.spark.sparkContext.broadcast(shares_below(cells.value))
 
         def run(batches):
             want = None
             if shared is not None:
-                held = Bloom(1, shared.value[1])
-                held.bits = shared.value[0]
+                held = Bloom(shared.value)
                 want = lambda ids: held.hit(ids.view(np.uint64))
-            counts = cells.value
+            counts, share = cells.value, below.value
             for ids, sets in each_set(batches, n, want):
                 out_ids, out_fragments, parts = [], [], []
                 for id_, grams in zip(ids.to_pylist(), sets, strict=True):
                     if len(grams):
-                        # the same cut for every set: by the count's magnitude, then by the hash's last bits
-                        own = counts[(grams >> shift).astype(np.int64)]
-                        piece = np.where(own > 64, fragments - 1, (grams & np.uint64(0xFFFF)).astype(np.int64) * (fragments - 1) >> 16) if fragments > 1 else np.zeros(len(grams), np.int64)
+                        piece = fragment_of(grams, counts[(grams >> shift).astype(np.int64)], share, fragments)
                         for f in np.unique(piece):
                             out_ids.append(id_)
                             out_fragments.append(int(f))
@@ -208,6 +265,14 @@ class Join:
         whole = once.groupBy("a", "b", "sa", "sb").agg(F.sum("common").alias("common"))
         return whole.where(F.col("common") * self.den >= (F.col("sa") + F.col("sb") - F.col("common")) * self.num)
 
+    def counted(self, pairs: DataFrame, name: str) -> DataFrame:
+        """count() over the sets of the classes in these pairs only; they are read again, and dropped after."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        segments = self.scratch.table(self.segments(wanted), "segments")
+        found = self.scratch.table(self.count(pairs, segments), name)
+        self.scratch.drop(segments)
+        return found
+
     def links(self) -> DataFrame:
         """a < b, common: linked classes; with `spanning` enough of them to connect what is connected."""
         if not hasattr(self, "postings"):
@@ -217,11 +282,10 @@ class Join:
         col = F.col
         star = p.where("c <> hub").where(self._may_link(col("size"), col("pos"), col("hub_size"), col("hub_pos"))).select(*ordered(col("c"), col("size"), col("hub"), col("hub_size"))).distinct()
         star = self.scratch.table(star, "star")
-        segments = self.scratch.table(self.segments(p.select("c").distinct()), "segments")
-        linked = self.scratch.table(self.count(star, segments), "linked")
+        linked = self.counted(star, "linked")
         rest = p.select("gram", "c", "size", "pos", "hub")
         if self.spanning:
-            labels = connected_components(linked.select("a", "b"), self.scratch)
+            labels = self.scratch.table(near_labels(linked.select("a", "b")), "labels")
             rest = rest.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
             split = rest.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
             rest = self.scratch.table(rest.join(split, "gram", "left_semi"), "rest")
@@ -231,8 +295,7 @@ class Join:
         met = one.join(two, (col("x.gram") == col("y.gram")) & (col("x.c") < col("y.c")) & (col("x.component") != col("y.component")) & (col("x.c") != col("x.hub")) & (col("y.c") != col("y.hub")) & self._may_link(col("x.size"), col("x.pos"), col("y.size"), col("y.pos")))
         more = met.select(col("x.c").alias("a"), col("y.c").alias("b"), col("x.size").alias("sa"), col("y.size").alias("sb")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
         more = self.scratch.table(more, "more")
-        second = self.scratch.table(self.count(more, segments), "second")
-        self.scratch.drop(segments)
+        second = self.counted(more, "second")
         return linked.unionByName(second).select("a", "b", "common")
 
     def classes(self) -> DataFrame:
@@ -257,12 +320,11 @@ def keep_representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     bloom = build_bloom(gone, gone.count())
     if bloom is None:
         return docs.withColumn("gone_id", F.col(id_col).cast("long")).join(gone, "gone_id", "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast((bloom.bits, bloom.words))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.words)
 
     def part(let_through: bool) -> DataFrame:
         def run(batches):
-            held = Bloom(1, shared.value[1])
-            held.bits = shared.value[0]
+            held = Bloom(shared.value)
             for batch in batches:
                 ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
                 flags = held.hit(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)
@@ -274,18 +336,30 @@ def keep_representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     return part(False).unionByName(hits)
 
 
+def near_labels(edges: DataFrame) -> DataFrame:
+    """node, component: a smaller node within a few links, for pruning: nodes with one label are connected, others may be."""
+    sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    near = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # two links away: members of a star meet the smallest of them through its hub
+    over = sides.join(near.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("m"))
+    jump = over.select(F.col("u").alias("m"), F.col("m").alias("mm"))
+    return over.join(jump, "m", "left").select(F.col("u").alias("node"), F.coalesce("mm", "m").alias("component"))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 100) -> DataFrame:
     """node, component (smallest node reachable), for nodes with an edge; alternating large and small stars."""
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now, before, old = scratch.table(both, "edges"), None, None
+    now, before = scratch.table(both, "edges"), None
     for _ in range(most_rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
+        # large star: neighbours above a node go to its smallest neighbour or itself
         sides = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = sides.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sides.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: a node and its neighbours below go to the smallest of them; repeated pairs change nothing till here
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         old, now = now, scratch.table(small, "edges")
