@@ -182,7 +182,7 @@ BLOCK_SCHEMA = "block int, values binary"
 
 
 def sum_blocks(rows: DataFrame, dtype, ceiling: int | None = None) -> DataFrame:
-    """Add up the blocks of all tasks, block by block: a task holds one block at a time."""
+    """Add up the blocks of all tasks; a task holds one block at a time."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None

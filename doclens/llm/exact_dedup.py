@@ -221,6 +221,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return docs.mapInArrow(run, docs.schema)
 
     own_print = F.sha2(F.encode(F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES.decode(), ""), "UTF-8"), 256)
-    hits = part(True).withColumn("kept_id", dedup.own_id()).withColumn("kept_sha", own_print).join(kept, ["kept_id", "kept_sha"], "left_semi")
-    turn = F.row_number().over(Window.partitionBy("kept_id", "kept_sha").orderBy(F.desc(F.length(text_col))))
-    return part(False).unionByName(hits.withColumn("kept_turn", turn).where("kept_turn = 1").select(*docs.columns))
+    hits = part(True).select(F.struct(*docs.columns).alias("doc"), dedup.own_id().alias("kept_id"), own_print.alias("kept_sha"), F.length(text_col).alias("points")).join(kept, ["kept_id", "kept_sha"], "left_semi")
+    turn = F.row_number().over(Window.partitionBy("kept_id", "kept_sha").orderBy(F.desc("points")))
+    return part(False).unionByName(hits.withColumn("turn", turn).where("turn = 1").select("doc.*"))

@@ -76,12 +76,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = mix(docs, id_col, text_col, source_col, **settings).where("size > 0").select(F.col(id_col).alias("mix_id"), F.col("size").alias("mix_size"), F.expr("cast(floor(taken / size + 0.5) as int)").alias("mix_copies"))
     # rows that repeat an id and a size are told apart by their turn
     turn = lambda order: F.row_number().over(Window.partitionBy("mix_id", "mix_size").orderBy(order))
-    numbered = docs.withColumn("mix_id", F.col(id_col)).withColumn("mix_size", word_count(F.col(text_col))).withColumn("mix_turn", turn(F.xxhash64(text_col)))
+    numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("mix_id"), word_count(F.col(text_col)).alias("mix_size"), F.xxhash64(text_col).alias("mark")).withColumn("mix_turn", turn("mark"))
     taken = taken.withColumn("mix_turn", turn("mix_copies"))
     one, two = numbered.alias("d"), taken.alias("t")
     rows = one.join(two, F.col("d.mix_id").eqNullSafe(F.col("t.mix_id")) & (F.col("d.mix_size") == F.col("t.mix_size")) & (F.col("d.mix_turn") == F.col("t.mix_turn")))
-    rows = rows.select("d.*", "t.mix_copies")
-    return rows.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1, mix_copies)"))).select(*docs.columns)
+    return rows.where("mix_copies > 0").select("doc", F.explode(F.expr("sequence(1, mix_copies)"))).select("doc.*")
 
 
 def schedule(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, cap: float, block_tokens: int, least_slots: int, bucket_rows: int) -> dict[str, DataFrame]:

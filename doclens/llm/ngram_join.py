@@ -317,23 +317,23 @@ def keep_representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     """
     join = Join(docs, n, num, den, id_col, text_col)
     gone = join.scratch.table(join.components().where("component_id <> id").select(F.col("id").alias("gone_id")).distinct(), "gone")
+    held = lambda rows: rows.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("gone_id"))
     bloom = build_bloom(gone, gone.count())
     if bloom is None:
-        return docs.withColumn("gone_id", F.col(id_col).cast("long")).join(gone, "gone_id", "left_anti").select(*docs.columns)
+        return held(docs).join(gone, "gone_id", "left_anti").select("doc.*")
     shared = docs.sparkSession.sparkContext.broadcast(bloom.words)
 
     def part(let_through: bool) -> DataFrame:
         def run(batches):
-            held = Bloom(shared.value)
+            bloom = Bloom(shared.value)
             for batch in batches:
                 ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
-                flags = held.hit(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                flags = bloom.hit(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(flags == let_through))
 
         return docs.mapInArrow(run, docs.schema)
 
-    hits = part(True).withColumn("gone_id", F.col(id_col).cast("long")).join(gone, "gone_id", "left_anti").select(*docs.columns)
-    return part(False).unionByName(hits)
+    return part(False).unionByName(held(part(True)).join(gone, "gone_id", "left_anti").select("doc.*"))
 
 
 def near_labels(edges: DataFrame) -> DataFrame:
