@@ -81,9 +81,9 @@ def each_set(batches, n: int, want=None) -> Iterator[tuple[pa.Array, list[np.nda
 
 
 def table_bits(docs: DataFrame, most_bits: int) -> int:
-    """Bits of the count table: about eight n-grams a cell, at a word of six bytes, and 2^most_bits cells at most."""
+    """Bits of the count table: about sixteen n-grams a cell, at a word of six bytes, and 2^most_bits cells at most."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(14, min(most_bits, round(math.log2(max(size / 48, 1)))))
+    return max(14, min(most_bits, round(math.log2(max(size / 96, 1)))))
 
 
 def count_cells(docs: DataFrame, n: int, bits: int) -> np.ndarray:

@@ -63,7 +63,7 @@ class WordTokens:
 
     ODD = re.compile("[^\x09-\x0d\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž–—‘-„…€]")
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = ChunkCache(self.tokenizer, limit)
 
