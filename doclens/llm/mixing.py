@@ -4,7 +4,8 @@ Targets are water-filled: sources share a budget by weight, none above `cap` tim
 again. The words of a source, its documents in a shuffled order, form one stream that is cut into blocks of equal
 token counts. Slot i of the schedule has the golden-ratio point frac(i * phi), which the cumulative weights map to
 a source; a source's slots are ranked, and slot r takes block r of the source's stream, from the start again when
-the stream ends. The last slot of a source stops at its target.
+the stream ends. The last slot of a source stops at its target. A source that the points give fewer slots than its
+target takes has the missing ones after the last point, source after source.
 
 Ranks and running sums are two-level: within buckets of bounded size, and over the table of buckets; no task holds
 one source's rows.
@@ -102,6 +103,8 @@ def schedule(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
         .withColumn("buckets", F.ceil(F.col("n_rows") / bucket_rows))
         .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_tokens")))
         .withColumn("goal", F.floor("target").cast("long"))
+        # slots to the goal: the last block of each pass may be short
+        .withColumn("need", F.when(F.col("goal") > 0, F.expr("goal div source_size * blocks + (goal % source_size + block_tokens - 1) div block_tokens")).otherwise(F.lit(0)))
         .withColumn("source", F.when(~F.col("null_source"), F.col("source")))
     )
     sources = scratch.table(sources, "sources")
@@ -131,6 +134,12 @@ def schedule(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     counts = drawn.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = drawn.withColumn("inner", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1).join(counts, ["sid", "chunk"]).withColumn("rank", F.col("base") + F.col("inner"))
+    # what the points leave short, after the last of them
+    short = sources.join(drawn.groupBy("sid").agg(F.count("*").alias("have")), "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
+    short = short.withColumn("after", n_slots + F.coalesce(F.sum(F.col("need") - F.col("have")).over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    short = short.withColumn("rank", F.explode(F.expr("sequence(have, need - 1)"))).withColumn("slot", F.expr("after + rank - have"))
+    own = ["slot", "sid", "source_size", "goal", "block_tokens", "blocks", "rank"]
+    ranked = ranked.select(*own).unionByName(short.select(*own))
     ranked = ranked.withColumn("block", F.expr("rank % blocks")).withColumn("done", F.expr("(rank div blocks) * source_size + least(block * block_tokens, source_size)"))
     ranked = ranked.withColumn("block_size", F.expr("least(block_tokens, source_size - block * block_tokens)")).withColumn("take", F.expr("least(block_size, goal - done)")).where("take > 0")
     return {"sources": sources, "pieces": pieces, "slots": ranked.select("slot", "sid", "rank", "block", "block_size", "take")}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from doclens.llm import queries
-from doclens.llm.mixing import mix, mixed_documents
+from doclens.llm.mixing import mix, mixed_documents, schedule
 from doclens.llm.packing import WordTokens, pack_documents, plan_packing
 from doclens.llm.secret_scan import BASE, Scanner, evaluate, scan_secrets, trigram_query
 from doclens.llm.topk_search import best_of_blocks
@@ -114,6 +114,24 @@ def test_mix_meets_targets(spark):
     assert copies == {r["doc_id"]: n for r in found if r["size"] and (n := int(r["taken"] / r["size"] + 0.5))}
 
 
+def test_mix_reaches_small_sources(spark):
+    """Sources of one short document beside very large ones: the points alone leave most of them without a slot."""
+    rows = [(i, " ".join(["w"] * 500), "large") for i in range(120)] + [(1000 + i, " ".join(["w"] * (1 + i)), f"small{i:02}") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    settings = {"bucket_rows": 16, "least_slots": 100}
+    found = mix(d, **settings).collect()
+    taken, goal = {}, {}
+    for r in found:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        goal[r["source"]] = int(r["target"])
+    assert min(goal.values()) > 0 and taken == goal
+    assert {r["source"] for r in mixed_documents(d, **settings).collect()} == set(goal)
+    t = schedule(d, "doc_id", "text", "source", (3, 1, 2), 1.5, 2.0, 2048, 100, 16)
+    slots = t["slots"].collect()
+    assert len({r["slot"] for r in slots}) == len(slots)
+    assert len({(r["sid"], r["rank"]) for r in slots}) == len(slots)
+
+
 def test_bundle_frames_seek():
     writer = BundleWriter(100)
     records = [bytes([65 + k]) * (k * 7) for k in range(20)]
