@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,13 +130,17 @@ def index_rows(snapshot: DataFrame) -> DataFrame:
 def root_overlaps(roots: DataFrame) -> DataFrame:
     """root_ord, other_ord: the first earlier root that a root duplicates or overlaps, letter case aside.
 
-    An equality join on folders above a root, so that it does not compare all pairs.
+    Equality joins with the first root of each path, territory and folder above a root, so that it does not compare all
+    pairs, not even of equal paths.
     """
     path = F.lower("root_path")
     keyed = roots.select("root_ord", path.alias("path"), F.regexp_replace(path, "/$", "").alias("bare"), territory_of(path).alias("territory"))
     above = F.transform(F.sequence(F.lit(1), F.size(F.split("bare", "/")) - 1), lambda n: F.array_join(F.slice(F.split("bare", "/"), 1, n), "/"))
     inside = keyed.where(F.size(F.split("bare", "/")) > 1).select("root_ord", F.explode(above).alias("territory"))
-    nested = inside.join(keyed.select(F.col("root_ord").alias("holder"), "territory"), "territory").where("holder <> root_ord")
-    nested = nested.select(F.greatest("root_ord", "holder").alias("root_ord"), F.least("root_ord", "holder").alias("other_ord"))
-    same = keyed.select("path", "root_ord").join(keyed.select("path", F.col("root_ord").alias("other_ord")), "path").where("other_ord < root_ord").select("root_ord", "other_ord")
-    return nested.unionByName(same).groupBy("root_ord").agg(F.min("other_ord").alias("other_ord"))
+    # only the first root of a path or territory, and of what lies in a territory, can be the first that overlaps
+    first = lambda rows, key: rows.groupBy(key).agg(F.min("root_ord").alias("other_ord"))
+    within = inside.join(first(keyed, "territory"), "territory")
+    holds = keyed.select("root_ord", "territory").join(first(inside, "territory"), "territory")
+    same = keyed.select("root_ord", "path").join(first(keyed, "path"), "path")
+    found = reduce(DataFrame.unionByName, (rows.where("other_ord < root_ord").select("root_ord", "other_ord") for rows in (within, holds, same)))
+    return found.groupBy("root_ord").agg(F.min("other_ord").alias("other_ord"))

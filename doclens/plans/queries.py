@@ -295,7 +295,7 @@ SELECT b.ord, min(a.ord) AS other FROM k b JOIN k a ON a.ord < b.ord AND (a.path
 def root_overlap(spark, sf_dir):
     n = F.col("doc_id")
     path = F.concat(F.lit("src"), (n % 20).cast("string"), F.when(n % 3 == 0, "/").when(n % 3 == 1, F.concat(F.lit("/d"), (n % 4).cast("string"), F.lit("/"))).otherwise(F.concat(F.lit("/d"), (n % 4).cast("string"), F.lit(".md"))))
-    return snapshot.root_overlaps(table(spark, sf_dir, "documents").where("doc_id < 90").select(n.cast("int").alias("root_ord"), path.alias("root_path"))).select(F.col("root_ord").alias("ord"), F.col("other_ord").alias("other"))
+    return snapshot.root_overlaps(table(spark, sf_dir, "documents").select(n.cast("int").alias("root_ord"), path.alias("root_path"))).select(F.col("root_ord").alias("ord"), F.col("other_ord").alias("other"))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Operators on small literal tables, and invariants of the differences."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from doclens.operators import blocks, diff, naming, plan, runs, snapshot, threads, tree
+from doclens.plans import queries
 from doclens.sources import readers
 from doclens.streaming.incremental import fold_listings, latest
 
@@ -80,6 +82,30 @@ def test_roots_and_author(spark):
     assert {(r["root_ord"], r["other_ord"]) for r in snapshot.root_overlaps(overlaps).collect()} == {(1, 0), (2, 1), (4, 3)}
 
 
+def first_overlaps(roots):
+    """The same over all pairs."""
+    keyed = [(n, p.lower(), re.sub("/$", "", p.lower()), re.sub(r"^((?:.*/)?[^/]+)\.[^./]*$", r"\1", re.sub("/$", "", p.lower())) if not p.endswith("/") else p[:-1].lower()) for n, p in roots]
+    meet = lambda a, b: a[1] == b[1] or b[2].startswith(a[3] + "/") or a[2].startswith(b[3] + "/")
+    return {(b[0], min(a[0] for a in keyed if a[0] < b[0] and meet(a, b))) for b in keyed if any(a[0] < b[0] and meet(a, b) for a in keyed)}
+
+
+def test_root_overlaps_of_all_pairs(spark):
+    rng = random.Random(5)
+    roots = [(n, "/".join(rng.choice("abCcDdefgh") for _ in range(rng.randint(1, 4))) + rng.choice(["/", "", ".md", ".x.md"])) for n in range(250)]
+    found = snapshot.root_overlaps(spark.createDataFrame(roots, "root_ord int, root_path string")).collect()
+    assert len(found) == len({r["root_ord"] for r in found})
+    assert {tuple(r) for r in found} == first_overlaps(roots)
+
+
+def test_root_overlap_query_takes_all_documents(spark, tmp_path):
+    """Over ids from 0 to 399, in order to see the roots from 90 on."""
+    spark.range(400).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    roots = [(n, f"src{n % 20}" + ("/", f"/d{n % 4}/", f"/d{n % 4}.md")[n % 3]) for n in range(400)]
+    expected = first_overlaps(roots)
+    assert max(expected)[0] == 399
+    assert {tuple(r) for r in queries.root_overlap(spark, str(tmp_path)).collect()} == expected
+
+
 def test_snapshot_is_written_once(spark, tmp_path):
     one = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha string")
     folder = str(tmp_path / "table")
