@@ -368,7 +368,7 @@ SELECT event_id, CASE WHEN t = 1 THEN name ELSE concat(name, ' (', t, ')') END A
 )
 def event_folders(spark, sf_dir):
     file = F.struct(F.lit("f").alias("fileId"))
-    e = table(spark, sf_dir, "events").where("user_id < 40").select("event_id", F.col("user_id").alias("series"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"), F.col("event_type").alias("summary"), F.array_repeat(file, (F.col("event_id") % 3).cast("int")).alias("attachments"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("series"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"), F.col("event_type").alias("summary"), F.array_repeat(file, (F.col("event_id") % 3).cast("int")).alias("attachments"))
     named = tree.event_folders(e.withColumn("instance", F.col("event_id")).withColumn("event_id", F.col("series")), "2024-01-20T00:00:00Z")
     return named.select(F.col("instance").alias("event_id"), "folder", F.size("attachments").alias("files"))
 

@@ -225,3 +225,18 @@ def test_sources(spark, tmp_path):
     head = spark.range(1).select(readers.front_matter(F.lit(DOCUMENT)).alias("f")).first()["f"]
     assert (head["has"], head["id"], head["body"][:7]) == (True, "notion:1", "# Title")
     assert not spark.range(1).select(readers.front_matter(F.lit("no --- head")).alias("f")).first()["f"]["has"]
+
+
+def test_event_folders_query_takes_all_users(spark, tmp_path):
+    rows = [(n, f"2024-01-{1 + n % 25:02} 10:{n % 7:02}:{n % 60:02}", n % 150, ["call", "Call", "talk"][n % 3]) for n in range(1200)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r["event_id"]: (r["folder"], r["files"]) for r in queries.event_folders(spark, str(tmp_path)).collect()}
+    expected, turns = {}, {}
+    for n, ts, user, kind in sorted(rows, key=lambda r: (r[1], r[0])):
+        if ts < "2024-01-20":
+            name = f"{ts[:10]} {ts[11:13]}{ts[14:16]} {kind}"
+            turns[user, name.lower()] = t = turns.get((user, name.lower()), 0) + 1
+            if n % 3:
+                expected[n] = (name if t == 1 else f"{name} ({t})", n % 3)
+    assert found == expected
+    assert {rows[n][2] for n in found} - set(range(40))
