@@ -240,3 +240,12 @@ def test_event_folders_query_takes_all_users(spark, tmp_path):
                 expected[n] = (name if t == 1 else f"{name} ({t})", n % 3)
     assert found == expected
     assert {rows[n][2] for n in found} - set(range(40))
+
+
+def test_sidecar_equal_query_compares_whole_texts(spark, tmp_path):
+    """Rows alone cannot tell, both sides come from one text: no part of the plan cuts it."""
+    rows = [(n, "x" * 100 + f"\nfetched: {n}\n💡" * (n % 3)) for n in range(8)] + [(8, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.sidecar_equal(spark, str(tmp_path))
+    assert {r["doc_id"]: r["same"] for r in found.collect()} == {n: n % 4 != 0 if n < 8 else None for n in range(9)}
+    assert "left(" not in found._jdf.queryExecution().analyzed().toString().lower()
