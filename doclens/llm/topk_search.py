@@ -7,9 +7,12 @@ by dimension block; what the remaining dimensions can still add is at most the p
 compacted. Each pair of blocks is one row of a join on block numbers: memory per task is one pair of blocks, whatever
 the number of rows. The k best per pair are then reduced per query.
 
-Defined results: vectors that are null, empty, of another length than the longest, or hold null or non-finite
-components take no part; ties go to the smaller id; repeated rows compete as rows of their own, and a query leaves
-out its own id; rows that repeat a query's id ask once, with the smallest of their vectors; an empty table gives no rows.
+A block holds vectors of one length. Vectors of different lengths are compared in the dimensions that both have, as if
+the shorter one ended in zeros.
+
+Defined results: vectors that are null, empty, or hold null or non-finite components take no part; ties go to the
+smaller id; repeated rows compete as rows of their own, and a query leaves out its own id; rows that repeat a query's
+id ask once, with the smallest of their vectors; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,36 +37,48 @@ def quantised(vectors: np.ndarray, scale: int) -> np.ndarray:
     return np.floor(vectors * float(scale))
 
 
-def pack(rows: DataFrame, size: int, scale: int, dims: int) -> DataFrame:
-    """(id, vector) rows -> blocks of `size` rows at most: ids and columns, dimension after dimension."""
+def by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and rows x length matrix of the vectors of each length."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    for length in np.unique(sizes):
+        at = np.flatnonzero(sizes == length)
+        yield at, flat.reshape(-1, length) if len(at) == len(sizes) else flat[starts[at][:, None] + np.arange(length)]
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts, count, n = [], [], 0, 0
-        task = TaskContext.get().partitionId()
 
-        def out():
-            matrix = np.concatenate(parts)
+def pack(rows: DataFrame, size: int, scale: int) -> DataFrame:
+    """(id, vector) rows -> blocks of `size` rows of one length at most: ids and columns, dimension after dimension."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        task, n = TaskContext.get().partitionId(), 0
+        rows_of = lambda parts: sum(len(i) for i, _ in parts)
+
+        def out(length):
+            nonlocal n
+            parts = held.pop(length)
+            matrix, n = np.concatenate([v for _, v in parts]), n + 1
             return pa.record_batch(
                 {
                     "part": pa.array([(task << 32) + n], pa.int64()),
-                    "ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()),
+                    "ids": pa.array([np.concatenate([i for i, _ in parts]).tobytes()], pa.binary()),
                     "columns": pa.array([np.ascontiguousarray(matrix.T).tobytes()], pa.binary()),
                 }
             )
 
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-            for k in range(0, len(own), size):
-                for i, v in ((own[k : k + size], flat[k : k + size]),):
-                    if count and count + len(i) > size:
-                        yield out()
-                        ids, parts, count, n = [], [], 0, n + 1
-                    ids.append(i)
-                    parts.append(quantised(v, scale))
-                    count += len(i)
-        if count:
-            yield out()
+            for at, matrix in by_length(batch.column(1)):
+                length = matrix.shape[1]
+                for k in range(0, len(at), size):
+                    i, v = own[at[k : k + size]], matrix[k : k + size]
+                    if length in held and rows_of(held[length]) + len(i) > size:
+                        yield out(length)
+                    held.setdefault(length, []).append((i, quantised(v, scale)))
+                    if len(held) > 1 and sum(map(rows_of, held.values())) > size:  # blocks of other lengths wait in bounded memory
+                        yield from map(out, list(held))
+        yield from map(out, list(held))
 
     return rows.mapInArrow(blocks, BLOCK)
 
@@ -132,12 +147,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     as_double = F.col(vector_col).cast("array<double>")
     whole = F.forall(as_double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).where(whole)
-    dims = valid.agg(F.max(F.size(vector_col))).first()[0] or 1
-    valid = valid.where(F.size(vector_col) == dims)
     rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), as_double.alias("v"))
-    cands = scratch.table(pack(rows(valid), cand_block, scale, dims), "candidates")
+    cands = scratch.table(pack(rows(valid), cand_block, scale), "candidates")
     asked = rows(valid.where(is_query)).groupBy("id").agg(F.min("v").alias("v"))
-    queries = scratch.table(pack(asked.repartition(F.expr(f"id div {query_block}")), query_block, scale, dims), "queries")
+    queries = scratch.table(pack(asked.repartition(F.expr(f"id div {query_block}")), query_block, scale), "queries")
     # every candidate block meets every query block: the stated query set against all rows, in blocks
     parts = queries.select(F.col("part").alias("qpart"))
     n_parts = parts.agg(F.sort_array(F.collect_list("qpart")).alias("qparts"))  # one number per query block
@@ -150,7 +163,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             for row in range(batch.num_rows):
                 one = {name: batch.column(name)[row].as_buffer() for name in ("ids", "columns", "qids", "qcolumns")}
                 ids, qids = np.frombuffer(one["ids"], np.int64), np.frombuffer(one["qids"], np.int64)
-                found = best_of_blocks(qids, np.frombuffer(one["qcolumns"]).reshape(dims, -1), ids, np.frombuffer(one["columns"]).reshape(dims, -1), k, dim_block)
+                q, c = np.frombuffer(one["qcolumns"]).reshape(-1, len(qids)), np.frombuffer(one["columns"]).reshape(-1, len(ids))
+                dims = min(len(q), len(c))
+                found = best_of_blocks(qids, q[:dims], ids, c[:dims], k, dim_block)
                 yield pa.record_batch({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "id", "score"), found, strict=True)})
 
     near = paired.select("ids", "columns", "qids", "qcolumns").mapInArrow(search, "query_id long, id long, score long")

@@ -1,8 +1,12 @@
 """Nulls, empty and long texts, repeated rows, ties, empty tables and clashing columns, for every operator."""
 
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from doclens.llm import queries
 from doclens.llm.common import crc_fold
 from doclens.llm.exact_dedup import exact_dedup, keep_first
 from doclens.llm.language import identify_language
@@ -108,3 +112,19 @@ def test_top_k_rows_that_take_no_part(spark):
     assert found[(50, 2)] == (7, -256)
     assert top_k(d, F.col("vec_id") % 50 == 0, 2).count() == 4  # components beyond exact doubles
     assert top_k(d.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_top_k_of_vectors_of_several_lengths(spark, tmp_path):
+    """As the SQL has it: one overlong vector takes nothing away from the others."""
+    rng = random.Random(9)
+    rows = [(n, [rng.uniform(-1, 1) for _ in range(rng.choice([3, 20, 20, 20]))]) for n in range(300)] + [(300, [rng.uniform(-1, 1) for _ in range(33)])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    d.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = sorted(con.execute(queries.ORACLES["op9_topk_search"]).fetchall())
+    assert len(expected) == 7 * 5
+    columns = ("query_id", "rank", "vec_id", "score")
+    for settings in ({}, {"cand_block": 16, "query_block": 2}):
+        found = top_k(d, F.col("vec_id") % 50 == 0, **settings)
+        assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == expected
