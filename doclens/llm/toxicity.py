@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Presence of hashed character n-grams (4 to 6 bytes) is counted per class over a labelled sample of bounded size.
-Their log-count ratios pick the features that tell the classes apart and scale them; a logistic regression is fitted
-to the scaled features. Scoring reads every whole text; a feature counts once per text, so length does not dilute it.
+Every n-gram whose shares in the classes differ significantly is a feature, as far as the table of features goes; the
+log-count ratios scale them, and a logistic regression is fitted to the scaled features. Scoring reads every whole text; a feature counts once per text, so length does not dilute it.
 
 Defined results: null and empty texts get the score of the intercept; without labels of both classes every score is
 the share of label 1 (0 without labels); repeated rows are scored each; an empty table gives no rows.
@@ -22,6 +22,10 @@ from doclens.llm.grams import STREAM, flag, gram_cells, labels_of, sample_labell
 
 SIZES = (4, 5, 6)
 BLOCK = 1 << 16
+#: A feature differs by so many standard errors and is in so many documents; the table of features holds so many.
+LEAST_Z, LEAST_DOCS, TABLE = 3.0, 3, 65_000
+#: Pairs of row and feature that are worked on at once.
+STEP = 1 << 20
 
 
 class Model:
@@ -73,15 +77,22 @@ def class_counts(texts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return summed[: 1 << bits].astype(float), summed[1 << bits :].astype(float)
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, dims: int, penalty: float, steps: int = 100, memory: int = 10) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on sparse rows by L-BFGS with step halving; the intercept is not penalised."""
-    n = len(y)
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, dims: int, penalty: float, steps: int = 100, memory: int = 10) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression on sparse rows by L-BFGS with step halving; the intercept is not penalised.
+
+    rows, cols: the entries; those of a column have the value that `scale` has for it.
+    """
+    n, parts = len(y), [slice(k, k + STEP) for k in range(0, len(rows), STEP)]
 
     def loss(w):
-        margin = w[-1] + np.bincount(rows, values * w[cols], minlength=n)
+        margin, own, grad = np.full(n, w[-1]), scale * w[:-1], np.zeros(dims)
+        for s in parts:
+            margin += np.bincount(rows[s], own[cols[s]], minlength=n)
         slope = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y
         value = (np.logaddexp(0, margin) - y * margin).mean() + 0.5 * penalty * (w[:-1] ** 2).sum()
-        grad = np.append(np.bincount(cols, values * slope[rows], minlength=dims) / n + penalty * w[:-1], slope.mean())
+        for s in parts:
+            grad += np.bincount(cols[s], slope[rows[s]], minlength=dims)
+        grad = np.append(grad * scale / n + penalty * w[:-1], slope.mean())
         return value, grad
 
     w = np.zeros(dims + 1)
@@ -125,8 +136,10 @@ def train(texts: DataFrame, bits: int, features: int, penalty: float) -> Model:
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
     pooled = (p + q + 2) / (n0 + n1 + 4)
     z = np.abs((p + 1) / (n1 + 2) - (q + 1) / (n0 + 2)) / np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))
-    picked = np.argsort(-z, kind="stable")[: min(features, 65_000)]
-    picked = picked[(p + q)[picked] > 0]
+    order = np.argsort(-z, kind="stable")
+    told = (z >= LEAST_Z) & (p + q >= LEAST_DOCS)
+    told[order[:features]] = True
+    picked = order[told[order] & ((p + q)[order] > 0)][:TABLE]
     lut = empty.copy()
     lut[picked] = np.arange(1, len(picked) + 1)
     draft = Model(lut, ratio[picked], 0.0, bits)
@@ -144,9 +157,10 @@ def train(texts: DataFrame, bits: int, features: int, penalty: float) -> Model:
     sample = texts.select("text", "y").mapInArrow(run, "y int, hits binary").collect()
     found = [np.frombuffer(bytes(r["hits"]), np.uint16) for r in sample]
     y = np.array([r["y"] for r in sample], float)
-    rows = np.repeat(np.arange(len(y)), [len(f) for f in found])
-    cols = np.concatenate(found).astype(np.int64)
-    weights, intercept = fit_logistic(rows, cols, draft.weights[cols], y, len(picked), penalty)
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in found])
+    cols = np.concatenate(found)
+    del sample, found
+    weights, intercept = fit_logistic(rows, cols, draft.weights, y, len(picked), penalty)
     return Model(lut, weights * draft.weights, intercept, bits)
 
 
@@ -154,6 +168,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_fold: Column, id_co
     """id, score for every row. train_fold: over `id`, true for ids whose labels may be learnt.
 
     sample_rows: labelled rows that are fitted, at most about so many; chosen by the hash of the id.
+    features: the best n-grams that are kept though they are not significant.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     usable = sample_labelled(labels_of(labels, id_col, label_col).where(flag(train_fold)), sample_rows)

@@ -18,6 +18,7 @@ from doclens.llm.mixing import mix, mixed_documents, schedule
 from doclens.llm.packing import WordTokens, pack_documents, plan_packing
 from doclens.llm.secret_scan import BASE, Scanner, evaluate, scan_secrets, trigram_query
 from doclens.llm.topk_search import best_of_blocks
+from doclens.llm.toxicity import score_toxicity
 from doclens.llm.warc import BundleReader, BundleWriter, archive, parse_records
 
 SMALL = "/root/testdata/sf0.001"
@@ -268,3 +269,18 @@ def test_pipeline_against_its_stages(spark):
     assert packed.where("piece = 0").count() == kept[4].count()
     assert packed.select("doc_id").distinct().count() == len(ids[4])
     assert packed.agg(F.sum("length")).first()[0] > 0
+
+
+def test_toxicity_of_a_wide_vocabulary(spark):
+    """300 toxic words, each in its own texts: more n-grams than the best 1,024."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    plain, toxic = [word() for _ in range(40)], [word() for _ in range(300)]
+    text = lambda w: " ".join([*rng.choices(plain, k=5), w, *rng.choices(plain, k=5)])
+    rows = [(text(w), 1) for w in toxic for _ in range(10)] + [(text(rng.choice(plain)), 0) for _ in range(6000)]
+    d = spark.createDataFrame([(n, t, y) for n, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    kept_out = [n for n in range(len(rows)) if n % 5 == 0]
+    scored = score_toxicity(d.select("doc_id", "text"), d.select("doc_id", "toxic"), F.col("id") % 5 != 0, sample_rows=20_000)
+    found = {r["doc_id"]: r["score"] for r in scored.where("doc_id % 5 = 0").collect()}
+    assert sum(rows[n][1] for n in kept_out) == 600
+    assert all((found[n] >= 0.7) == bool(rows[n][1]) for n in kept_out)
