@@ -3,7 +3,8 @@
 A document is described by a few statistics of its characters, words and lines. Random Fourier features approximate a
 Gaussian kernel over them. Each partition sums its part of the normal equations; the sums, whose size is a parameter,
 give the ridge solution. On labelled rows kept aside, scores are binned and made isotonic (pooled adjacent
-violators), which turns them into probabilities.
+violators), which turns them into probabilities. Where fewer than 200 labelled rows are kept aside, the model is
+fitted on all training rows and calibrated on the same.
 
 Defined results: null text counts as empty; without labels every score is 0.5, with one class its own label; repeated
 rows are scored each; an empty table gives no rows.

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from doclens.llm import queries
 from doclens.llm.mixing import mix, mixed_documents, schedule
 from doclens.llm.packing import WordTokens, pack_documents, plan_packing
+from doclens.llm.quality import score_quality
 from doclens.llm.secret_scan import BASE, Scanner, evaluate, scan_secrets, trigram_query
 from doclens.llm.topk_search import best_of_blocks
 from doclens.llm.toxicity import score_toxicity
@@ -284,3 +285,15 @@ def test_toxicity_of_a_wide_vocabulary(spark):
     found = {r["doc_id"]: r["score"] for r in scored.where("doc_id % 5 = 0").collect()}
     assert sum(rows[n][1] for n in kept_out) == 600
     assert all((found[n] >= 0.7) == bool(rows[n][1]) for n in kept_out)
+
+
+@pytest.mark.parametrize("n", [500, 1500])
+def test_quality_calibrated_in_both_forms(spark, n):
+    """100 and 300 rows kept aside: calibrated on the rows that are fitted, and on others."""
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choice(["river", "walks", "under", "green", "stone", "light"]) for _ in range(20)) + "."
+    bad = lambda: "".join(rng.choice("#$%|<>=!@ 0123456789") for _ in range(80))
+    d = spark.createDataFrame([(k, (good if k % 3 else bad)(), int(k % 3 > 0)) for k in range(n)], "doc_id long, text string, quality int")
+    scored = score_quality(d.select("doc_id", "text"), d.select("doc_id", "quality"), F.col("id") % 5 != 0, F.col("id") % 5 == 1).where("doc_id % 5 = 0").collect()
+    assert len(scored) == n // 5
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 3 > 0) for r in scored)
