@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every contract here: blank and U+0009 to U+000D.
@@ -19,20 +22,77 @@ SPACE_CHARS = SPACES.decode()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder of our own serves a session whose executors are threads of this machine; on
+    a cluster each executor would write to its own disk, so there it is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set: tables between steps need a folder that all executors of {master} share")
         found = f"file://{tempfile.mkdtemp(prefix='doclens-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; rows may be long, so their number alone bounds nothing.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Hand unused memory of this worker back to the system: workers live on, and the next stage needs its own."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """run(batches), giving back memory when its partition ends."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        try:
+            yield from run(*args)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def map_rows(rows: DataFrame, run: Callable) -> DataFrame:
+    """rows through run(batches), which keeps their columns; these may be called anything."""
+    plain = rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*rows.columns)
+
+
+def whole(columns: list[str]) -> Column:
+    """A row as one struct, whatever its columns are called."""
+    return F.struct(*(F.col(quoted(c)) for c in columns))
+
+
+def quoted(name: str) -> str:
+    """A column's name for F.col(), dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Scratch:
     """Tables written in the shared folder: they cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        bound_batches(spark)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -77,7 +137,11 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+#: Bytes of text that a task works on at once; arrays of the work are some ten times as large.
+CHUNK = 1 << 18
+
+
+def row_chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Cut rows into runs of at most `limit` bytes; a longer row is a run of its own."""
     row, n = 0, len(offsets) - 1
     while row < n:
@@ -113,56 +177,86 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words beyond this many bytes are hashed one by one: the sums below are a polynomial, for which long words can be made
+#: that collide.
+LONG_WORD = 64
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+@functools.cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for as many bytes as a chunk has."""
+    tables = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(CHUNK, base, np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps))
+    return tuple(tables)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and its row.
-
-    A word's hash is the difference of two prefix sums of byte values times powers of a base, brought to position 0.
-    """
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _word_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word; words end with their row."""
     solid = ~IS_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     start, stop = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1] | first[1:-1]
     stop[:-1] &= ~solid[1:] | first[1:-1]
-    start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    power, inverse = _power_tables(len(data))
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def _long_hash(data: np.ndarray, start: int, stop: int) -> int:
+    digest = xxhash.xxh64(seed=stop - start)
+    for at in range(start, stop, CHUNK):
+        digest.update(LOWER[data[at : min(stop, at + CHUNK)]].tobytes())
+    return digest.intdigest()
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and its row; of CHUNK bytes at most.
+
+    A word's hash is the difference of two prefix sums of byte values times powers of a base, brought to position 0.
+    """
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    start, stop = _word_ends(data, offsets)
+    power, inverse = _power_tables()
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[LOWER[data]] * power[: len(data)], out=sums[1:])
     hashed = (sums[stop] - sums[start]) * inverse[start]
     hashed += (stop - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return mix64(hashed), np.searchsorted(offsets, start, "right") - 1
-
-
-def words_of(data: np.ndarray, offsets: np.ndarray, piece: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """word_hashes() in pieces of bounded size: a longer single row is cut at white space."""
-    if len(data) <= piece or len(offsets) > 2:
-        return word_hashes(data, offsets)
-    found, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + piece)
-        while end < len(data):
+    hashed = mix64(hashed)
+    for k in np.flatnonzero(stop - start > LONG_WORD):
+        hashed[k] = _long_hash(data, int(start[k]), int(stop[k]))
+    return hashed, np.searchsorted(offsets, start, "right") - 1
+
+
+def space_cuts(data: np.ndarray, piece: int) -> Iterator[tuple[int, int]]:
+    """Cut a text behind white space into pieces of at most `piece` bytes; a longer word is a piece of its own."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(n, at + piece)
+        if end < n:
             gaps = np.flatnonzero(IS_SPACE[data[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
-                break
-            end = min(len(data), end + piece)
-        found.append(word_hashes(data[at:end], np.array([0, end - at]))[0])
+            else:  # the word goes on
+                while end < n and not IS_SPACE[data[end]]:
+                    step = IS_SPACE[data[end : end + piece]]
+                    end += int(step.argmax()) if step.any() else len(step)
+        yield at, end
         at = end
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() in pieces of bounded size: a longer single row is cut at white space, a longer word hashed in steps."""
+    if len(data) <= CHUNK:
+        return word_hashes(data, offsets)
+    found = []
+    for at, end in space_cuts(data, CHUNK):
+        if end - at <= CHUNK:
+            found.append(word_hashes(data[at:end], np.array([0, end - at]))[0])
+        else:
+            found.append(np.array([_long_hash(data, at, end)], np.uint64))
     found = np.concatenate(found)
     return found, np.zeros(len(found), np.int64)
 
@@ -244,6 +338,18 @@ class Bloom:
             flags[at.astype(np.int64)] = True
         return np.packbits(flags, bitorder="little").view(np.uint64)
 
+    @classmethod
+    def of(cls, keys: np.ndarray) -> Bloom:
+        """The filter of keys that are at hand."""
+        keys = keys.astype(np.int64, copy=False).view(np.uint64)
+        blocks = cls.blocks_for(len(keys))
+        own = cls.block_of(keys, blocks)
+        return cls(np.stack([cls.block(keys[own == k]) for k in range(blocks)]))
+
+    @classmethod
+    def from_bytes(cls, words: bytes) -> Bloom:
+        return cls(np.frombuffer(words, np.uint64).reshape(-1, cls.BLOCK_BITS // 64))
+
     def hit(self, keys: np.ndarray) -> np.ndarray:
         keys = keys.astype(np.uint64, copy=False)
         row = self.block_of(keys, len(self.words)).astype(np.int64)
@@ -277,3 +383,21 @@ def build_bloom(keys: DataFrame, n_keys: int) -> Bloom | None:
     made = keys.mapInArrow(deal, "block int, key long").groupBy("block").applyInArrow(build, BLOCK_SCHEMA)
     size = Bloom.BLOCK_BITS // 64
     return Bloom(gather_blocks(made, blocks * size, size, np.uint64).reshape(blocks, size))
+
+
+def sieve(rows: DataFrame, key: Column, bloom: Bloom) -> tuple[DataFrame, DataFrame]:
+    """rows whose long key the filter lets through, and the others; null keys are among the others."""
+    keyed = rows.withColumn("_sieved", key)
+    shared = rows.sparkSession.sparkContext.broadcast(bloom.words)
+
+    def part(let_through: bool) -> DataFrame:
+        def run(batches):
+            held = Bloom(shared.value)
+            for batch in batches:
+                keys = batch.column(batch.num_columns - 1)
+                flags = held.hit(keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & keys.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(flags == let_through))
+
+        return map_rows(keyed, run).drop("_sieved")
+
+    return part(True), part(False)
