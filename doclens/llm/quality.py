@@ -2,12 +2,14 @@
 
 A document is described by a few statistics of its characters, words and lines. Random Fourier features approximate a
 Gaussian kernel over them. Each partition sums its part of the normal equations; the sums, whose size is a parameter,
-give the ridge solution. On labelled rows kept aside, scores are binned and made isotonic (pooled adjacent
-violators), which turns them into probabilities. Where fewer than 200 labelled rows are kept aside, the model is
-fitted on all training rows and calibrated on the same.
-
-Defined results: null text counts as empty; without labels every score is 0.5, with one class its own label; repeated
-rows are scored each; an empty table gives no rows.
+give the ridge solution. They are summed for each of a few folds apart, so the solution without a fold follows by
+subtraction; every labelled row is scored by the solution that has not seen its fold. These scores are binned and made
+isotonic (pooled adjacent violators), which turns the scores of the solution over all rows into probabilities. It is
+one rule at every size.
+
+Defined results: null text counts as empty; without labels every score is 0.5, with one class its own label; where all
+labelled rows are in one fold, they are scored by the solution that has seen them; repeated rows are scored each; an
+empty table gives no rows; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import BLOCK_SCHEMA, LOWER, Scratch, block_rows, gather_blocks, row_chunks, sum_blocks, text_buffer, words_of
+from doclens.llm.common import BLOCK_SCHEMA, CHUNK, LOWER, Scratch, block_rows, build_bloom, gather_blocks, lean, map_rows, quoted, row_chunks, sieve, sum_blocks, text_buffer, words_of
 from doclens.llm.grams import flag, labels_of
 
 #: Byte classes: 0 lower-case, 1 upper-case, 2 digit, 3 blank, 4 newline, 5 sentence mark, 6 exclamation, 7 bar and
@@ -47,27 +49,42 @@ def distinct_share(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarra
     return np.where(total, np.bincount(sorted_rows, new, minlength=n_rows) / np.maximum(total, 1), 1.0)
 
 
+def class_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """rows x N_CLASSES: bytes of each class, counted a chunk at a time."""
+    n = len(offsets) - 1
+    out = np.zeros(n * N_CLASSES, np.int64)
+    for at in range(0, len(data), CHUNK):
+        part = data[at : at + CHUNK]
+        rows = np.searchsorted(offsets, np.arange(at, at + len(part)), "right") - 1
+        out += np.bincount(rows * N_CLASSES + CLASSES[part], minlength=len(out))
+    return out.reshape(n, N_CLASSES).astype(float)
+
+
+def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each line, its newline included, and its row: sums of bytes times values of their places, by chunks."""
+    starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
+    starts = starts[starts < len(data)]
+    out = np.zeros(len(starts), np.uint64)
+    for at in range(0, len(data), CHUNK):
+        part = data[at : at + CHUNK]
+        place = np.arange(at, at + len(part))
+        line = np.searchsorted(starts, place, "right") - 1
+        value = (LOWER[part].astype(np.uint64) + np.uint64(1)) * ((place - starts[line]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        edges = np.flatnonzero(np.diff(line, prepend=-1))
+        out[line[edges]] += np.add.reduceat(value, edges)
+    return out, np.searchsorted(offsets, starts, "right") - 1
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """rows x N_STATS, of each whole text."""
+    """rows x N_STATS, of each whole text. What is kept of a long text are hashes of its words and lines."""
     n, size = len(offsets) - 1, np.diff(offsets).astype(float)
-    rows = np.repeat(np.arange(n), np.diff(offsets))
-    kinds = CLASSES[data]
-    counts = np.bincount(rows * N_CLASSES + kinds, minlength=n * N_CLASSES).reshape(n, N_CLASSES).astype(float)
+    counts = class_counts(data, offsets)
     shares = counts / np.maximum(size, 1)[:, None]
     words, word_rows = words_of(data, offsets)
     n_words = np.bincount(word_rows, minlength=n).astype(float)
     pairs = words[1:] * np.uint64(3) + words[:-1]
     same_row = word_rows[1:] == word_rows[:-1] if len(words) else np.zeros(0, bool)
     repeats = np.bincount(word_rows[1:][same_row & (words[1:] == words[:-1])], minlength=n) if len(words) else np.zeros(n)
-    # lines, by sums of their bytes times position-dependent values
-    line_ends = np.flatnonzero(data == 10)
-    starts = np.unique(np.concatenate([offsets[:-1], line_ends + 1]))
-    starts = starts[starts < len(data)]
-    position = np.arange(len(data), dtype=np.int64)
-    at_line = position - np.repeat(starts, np.diff(np.append(starts, len(data)))) if len(starts) else position
-    value = (LOWER[data].astype(np.uint64) + np.uint64(1)) * (at_line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    lines = np.add.reduceat(value, starts) if len(starts) else np.zeros(0, np.uint64)
-    line_rows = np.searchsorted(offsets, starts, "right") - 1
     letters = counts[:, 0] + counts[:, 1] + counts[:, 10]
     out = np.column_stack(
         [
@@ -76,7 +93,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             letters / np.maximum(n_words, 1) / 10,
             distinct_share(words, word_rows, n),
             distinct_share(pairs[same_row], word_rows[1:][same_row], n) if len(words) else np.ones(n),
-            distinct_share(lines, line_rows, n),
+            distinct_share(*line_hashes(data, offsets), n),
             repeats / np.maximum(n_words, 1),
             np.log1p(n_words / np.maximum(counts[:, 5], 1)),
             counts[:, 1] / np.maximum(letters, 1),
@@ -95,17 +112,18 @@ def fourier(stats: np.ndarray, mean: np.ndarray, spread: np.ndarray, features: i
 
 
 def partition_sums(rows: DataFrame, make, size: int) -> np.ndarray:
-    """Sum of make(stats, y), a float array of `size`, over all partitions."""
+    """Sum of make(stats, y, fold), a float array of `size`, over all partitions."""
 
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
             stats = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS)
-            for k in range(0, len(stats), 4096):
-                total += make(stats[k : k + 4096], batch.column(1).to_numpy(zero_copy_only=False)[k : k + 4096].astype(float))
+            y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            for k in range(0, len(stats), 1024):
+                total += make(stats[k : k + 1024], y[k : k + 1024].astype(float), fold[k : k + 1024])
         yield from block_rows(total, BLOCK)
 
-    return gather_blocks(sum_blocks(rows.select("stats", "y").mapInArrow(run, BLOCK_SCHEMA), np.float64), size, BLOCK, np.float64)
+    return gather_blocks(sum_blocks(rows.select("stats", "y", "fold").mapInArrow(lean(run), BLOCK_SCHEMA), np.float64), size, BLOCK, np.float64)
 
 
 def isotonic(weights: np.ndarray, positives: np.ndarray) -> np.ndarray:
@@ -122,39 +140,46 @@ def isotonic(weights: np.ndarray, positives: np.ndarray) -> np.ndarray:
 class Model:
     """Standardisation, ridge weights, calibration knots."""
 
-    def __init__(self, rows: DataFrame, calibration: Column, features: int, width: float, ridge: float, bins: int):
-        """rows: stats, y, id. calibration: over `id`, rows for the isotonic step."""
+    def __init__(self, rows: DataFrame, folds: int, features: int, width: float, ridge: float, bins: int):
+        """rows: stats, y, fold (0 to folds - 1)."""
         self.features, self.width = features, width
         self.constant = None
-        moments = partition_sums(rows, lambda s, y: np.concatenate([[len(y), y.sum()], s.sum(axis=0), (s.astype(float) ** 2).sum(axis=0)]), 2 + 2 * N_STATS)
+        moments = partition_sums(rows, lambda s, y, f: np.concatenate([[len(y), y.sum()], s.sum(axis=0), (s.astype(float) ** 2).sum(axis=0)]), 2 + 2 * N_STATS)
         n, positive = moments[:2]
         if not n or positive in (0, n):
             self.constant = 0.5 if not n else float(positive > 0)
             return
         self.mean = moments[2 : 2 + N_STATS] / n
         self.spread = np.sqrt(np.maximum(moments[2 + N_STATS :] / n - self.mean**2, 0)) + 1e-3
-        kept_aside = rows.where(flag(calibration))
-        enough = kept_aside.limit(1000).count() >= 200
-        fitted = rows.where(~flag(calibration)) if enough else rows
         d = features + 1
         mean, spread = self.mean, self.spread
 
-        def normal(s, y):
-            z = fourier(s, mean, spread, features, width)
-            return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        def normal(s, y, fold):
+            z, out = fourier(s, mean, spread, features, width), np.zeros((folds, d * d + d))
+            for k in np.unique(fold):
+                own = z[fold == k]
+                out[k] = np.concatenate([(own.T @ own).ravel(), own.T @ y[fold == k]])
+            return out.ravel()
+
+        sums = partition_sums(rows, normal, folds * (d * d + d)).reshape(folds, d * d + d)
+
+        def solution(total):
+            a = total[: d * d].reshape(d, d).copy()
+            a[np.diag_indices(features)] += ridge
+            return np.linalg.solve(a, total[d * d :])
 
-        sums = partition_sums(fitted, normal, d * d + d)
-        a = sums[: d * d].reshape(d, d)
-        a[np.diag_indices(features)] += ridge
-        self.w = np.linalg.solve(a, sums[d * d :])
-        w = self.w
+        whole = sums.sum(axis=0)
+        self.w = solution(whole)
+        # the last feature is constant, so its square counts rows
+        sizes = sums[:, d * d - 1]
+        unseen = np.stack([solution(whole - own) if sizes.sum() - size > 0.5 else self.w for own, size in zip(sums, sizes, strict=True)])
 
-        def binned(s, y):
-            z = fourier(s, mean, spread, features, width) @ w
+        def binned(s, y, fold):
+            z = (fourier(s, mean, spread, features, width) * unseen[fold]).sum(axis=1)
             k = np.clip(((z + 0.5) * bins / 2).astype(int), 0, bins - 1)
             return np.concatenate([np.bincount(k, minlength=bins), np.bincount(k, y, minlength=bins), np.bincount(k, z, minlength=bins)])
 
-        count, pos, total = partition_sums(kept_aside if enough else rows, binned, 3 * bins).reshape(3, bins)
+        count, pos, total = partition_sums(rows, binned, 3 * bins).reshape(3, bins)
         held = count > 0
         self.knots, self.values = total[held] / count[held], isotonic(count[held], pos[held])
 
@@ -176,44 +201,53 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 lengths = np.arange(0, (end - start + 1) * N_STATS, N_STATS)
                 yield pa.record_batch({"id": batch.column(0).slice(start, end - start), "stats": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(stats.ravel()))})
 
-    return docs.mapInArrow(run, "id long, stats array<float>")
+    return docs.mapInArrow(lean(run), "id long, stats array<float>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_fold: Column, calibration: Column, id_col: str, text_col: str, label_col: str, features: int, width: float, ridge: float, bins: int) -> tuple[Model, DataFrame]:
-    """The model, and the table of statistics it was fitted on."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    stats = scratch.table(document_statistics(plain), "stats")
-    known = labels_of(labels, id_col, label_col).where(flag(train_fold))
-    rows = scratch.table(stats.join(known, "id").select("id", "stats", "y"), "train")
-    return Model(rows, calibration, features, width, ridge, bins), stats
+class Fit:
+    """The model, and in `stats` the table of statistics it was fitted on: of all documents, or of labelled ones only."""
 
+    def __init__(self, docs: DataFrame, labels: DataFrame, train_fold: Column, fold: Column, id_col: str, text_col: str, label_col: str, labelled_only: bool, folds: int, features: int, width: float, ridge: float, bins: int):
+        scratch = Scratch(docs.sparkSession, "quality")
+        plain = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
+        known = scratch.table(labels_of(labels, id_col, label_col).where(flag(train_fold)).withColumn("fold", F.pmod(fold.cast("int"), F.lit(folds))), "known")
+        if labelled_only:
+            bloom = build_bloom(known.select("id"), known.count())
+            plain = sieve(plain, F.col("id"), bloom)[0] if bloom else plain.join(known.select("id"), "id", "left_semi").select("id", "text")
+        self.stats = scratch.table(document_statistics(plain), "stats")
+        rows = scratch.table(self.stats.join(known, "id").select("stats", "y", "fold"), "train")
+        self.model = Model(rows, folds, features, width, ridge, bins)
+        scratch.drop(known, rows)
+        if labelled_only:
+            scratch.drop(self.stats)
 
-def score_quality(docs: DataFrame, labels: DataFrame, train_fold: Column, calibration: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = 256, width: float = 4.0, ridge: float = 1.0, bins: int = 512) -> DataFrame:
-    """id, score for every row. train_fold, calibration: over `id`; labels of the first are learnt, those of both calibrate."""
-    model, stats = fit(docs, labels, train_fold, calibration, id_col, text_col, label_col, features, width, ridge, bins)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def score_quality(docs: DataFrame, labels: DataFrame, train_fold: Column, fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, features: int = 256, width: float = 4.0, ridge: float = 1.0, bins: int = 512) -> DataFrame:
+    """id, score for every row. train_fold, fold: over `id`; labels of the first are learnt, in folds by the second."""
+    made = Fit(docs, labels, train_fold, fold, id_col, text_col, label_col, False, folds, features, width, ridge, bins)
+    shared = docs.sparkSession.sparkContext.broadcast(made.model)
 
     def run(batches):
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS)
-            for k in range(0, len(x), 4096):
-                yield pa.record_batch({"id": batch.column(0).slice(k, 4096), "score": pa.array(shared.value.scores(x[k : k + 4096]))})
+            for k in range(0, len(x), 1024):
+                yield pa.record_batch({"id": batch.column(0).slice(k, 1024), "score": pa.array(shared.value.scores(x[k : k + 1024]))})
 
-    return stats.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return made.stats.mapInArrow(lean(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, train_fold: Column, calibration: Column, threshold: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = 256, width: float = 4.0, ridge: float = 1.0, bins: int = 512) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, train_fold: Column, fold: Column, threshold: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, features: int = 256, width: float = 4.0, ridge: float = 1.0, bins: int = 512) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold; texts are read again, nothing is joined."""
-    model, _ = fit(docs, labels, train_fold, calibration, id_col, text_col, label_col, features, width, ridge, bins)
+    model = Fit(docs, labels, train_fold, fold, id_col, text_col, label_col, True, folds, features, width, ridge, bins).model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    column = docs.columns.index(text_col)
+
     def run(batches):
         for batch in batches:
-            column = batch.schema.get_field_index(text_col)
             data, offsets = text_buffer(batch.column(column))
             for start, end in row_chunks(offsets):
                 stats = statistics(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
                 yield batch.slice(start, end - start).filter(pa.array(shared.value.scores(stats) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

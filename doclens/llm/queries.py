@@ -65,8 +65,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_folds() -> tuple:
-    """Training rows and, of them, those kept aside for calibration."""
-    return crc_fold(F.col("id"), 5) != 0, crc_fold(F.col("id"), 5) == 1
+    """Training rows, and the folds in which they are scored for calibration."""
+    return crc_fold(F.col("id"), 5) != 0, crc_fold(F.col("id"), 5)
 
 
 def op8_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
