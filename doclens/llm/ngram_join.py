@@ -1,26 +1,26 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document's set is its distinct word n-grams, hashed to 64 bits. The global order of n-grams is (cell count, hash):
-a table of counts over all documents, of a bounded number of cells, tells frequent n-grams from rare ones. The order is
-only a hint: any order gives the same result. Sets are cut along that order into fragments.
+A document's set is its distinct word n-grams, hashed to 64 bits. The global order of n-grams is (level, hash): a table
+of a fixed number of cells tells frequent n-grams from others by the logarithm of their count over all documents. The
+order is only a hint: any order gives the same result. Sets are cut along that order into fragments.
 
 1. Documents with equal sets form a class; the smallest id represents it. Copies never meet again.
-2. In the global order a pair that reaches the threshold shares an n-gram within both sets' prefixes. The classes that
-   share a prefix n-gram are its bucket. Each bucket has a hub, the class with the fewest rarer n-grams; hub pairs
-   are counted first, and what they link is contracted to components.
+2. Fragments are joined on n-grams that a partner must share: of the first n-grams of a set in the global order a linked
+   pair has one in common. The classes that share such an n-gram are its bucket. Each bucket has a hub, the class with
+   the fewest n-grams before it; hub pairs are counted first, and what they link is contracted to components.
 3. Pairs of a bucket whose classes are still in different components follow (all pairs, if all links are asked for).
    Length and position filters apply to both rounds and lose no link.
-4. Counting: for each fragment the overlap of a pair's two segments is counted separately, and the partial overlaps
-   are summed per pair.
+4. Counting: the fragments' overlaps of a pair are counted separately, from the rarest fragment on, and summed. A pair
+   leaves at the fragment after which its sum cannot reach the threshold any more.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing; texts with
-fewer words than n have their whole sequence as the only n-gram; repeated ids count as one document with the first of
-their sets; an empty table gives no rows; texts may be of any length.
+fewer words than n have their whole sequence as the only n-gram; rows with a null id link with nothing and have no
+component; rows that repeat an id come back each with the size of its own set, and their id has the links of all of them;
+an empty table gives no rows; texts may be of any length. Words are told apart by 64-bit hashes, sets by 128 bits.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +29,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import BLOCK_SCHEMA, Bloom, Scratch, build_bloom, gather_blocks, mix64, row_chunks, text_buffer, words_of
+from doclens.llm.common import BLOCK_SCHEMA, Bloom, Scratch, build_bloom, lean, mix64, quoted, row_chunks, sieve, text_buffer, whole, words_of
 
-BLOCK_CELLS = 1 << 16
+#: The count table: cells by the top bits of an n-gram's hash, in blocks that one task sums.
+BITS, BLOCK_CELLS = 24, 1 << 18
+#: Classes of several documents, and pairs, up to which they are sent to every task (about 60 bytes each).
+BROADCAST_CLASSES = BROADCAST_PAIRS = 200_000
+#: Pairs of one class that one task counts.
+SALT_PAIRS = 20_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -80,87 +85,141 @@ def each_set(batches, n: int, want=None) -> Iterator[tuple[pa.Array, list[np.nda
             yield batch.column(0).slice(start, end - start), list(shingle_sets(data[offsets[start] : offsets[end]], own, n))
 
 
-def table_bits(docs: DataFrame, most_bits: int) -> int:
-    """Bits of the count table: about sixteen n-grams a cell, at a word of six bytes, and 2^most_bits cells at most."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(14, min(most_bits, round(math.log2(max(size / 96, 1)))))
+class Order:
+    """The global order: a level for each cell, and the share of all n-grams below each level."""
 
+    def __init__(self, levels: np.ndarray, mass: np.ndarray):
+        self.levels = levels
+        self.share = np.concatenate([[0.0], np.cumsum(mass)]) / max(mass.sum(), 1.0)
 
-def count_cells(docs: DataFrame, n: int, bits: int) -> np.ndarray:
-    """How many documents have an n-gram of each cell (the hash's top bits), over all documents; 65535 at most."""
-    shift = np.uint64(64 - bits)
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return self.levels[(grams >> np.uint64(64 - BITS)).astype(np.int64)]
+
+    def fragment_of(self, grams: np.ndarray, fragments: int) -> np.ndarray:
+        """Which of equal cuts of the order, by level then hash, each n-gram is in."""
+        levels = self.of(grams).astype(np.int64)
+        low, high = self.share[levels], self.share[levels + 1]
+        place = low + (high - low) * (grams.astype(float) / 2.0**64)
+        return np.minimum((place * fragments).astype(np.int64), fragments - 1)
+
+
+def count_levels(docs: DataFrame, n: int) -> Order:
+    """Counts over all documents of the n-grams of each cell. Tasks tell the cells that they have seen more than once, so
+    what they send does not grow with the table; a cell's level is 16 times the logarithm of its count, to base 2."""
 
     def run(batches):
-        cells = np.zeros(1 << bits, np.uint16)
+        cells, seen = np.zeros(1 << BITS, np.uint8), 0
         for _, sets in each_set(batches, n):
-            found, times = np.unique(np.concatenate(sets) >> shift, return_counts=True)
+            found, times = np.unique(np.concatenate(sets) >> np.uint64(64 - BITS), return_counts=True)
             found = found.astype(np.int64)
-            cells[found] = np.minimum(cells[found] + times, 65535)
-        packer = zstandard.ZstdCompressor(level=1)
+            cells[found] = np.minimum(cells[found] + times, 255)
+            seen += int(times.sum())
+        packer = zstandard.ZstdCompressor(level=3)
         for k in range(0, len(cells), BLOCK_CELLS):
-            part = cells[k : k + BLOCK_CELLS]
-            if part.any():
-                yield pa.record_batch({"block": pa.array([k // BLOCK_CELLS], pa.int32()), "values": pa.array([packer.compress(part.tobytes())], pa.binary())})
+            at = np.flatnonzero(cells[k : k + BLOCK_CELLS] > 1)
+            if len(at):
+                steps = np.diff(at, prepend=0).astype("<u4")
+                values = packer.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes() + cells[k + at].tobytes())
+                yield pa.record_batch({"block": pa.array([k // BLOCK_CELLS], pa.int32()), "values": pa.array([values], pa.binary())})
+        yield pa.record_batch({"block": pa.array([-1], pa.int32()), "values": pa.array([seen.to_bytes(8, "little")], pa.binary())})
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, reader = np.zeros(min(BLOCK_CELLS, 1 << bits), np.int64), zstandard.ZstdDecompressor()
+        block, total, reader, seen = key[0].as_py(), np.zeros(BLOCK_CELLS, np.int64), zstandard.ZstdDecompressor(), 0
         for batch in batches:
             for value in batch.column("values").to_pylist():
-                total += np.frombuffer(reader.decompress(value), np.uint16)
-        yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+                if block < 0:
+                    seen += int.from_bytes(value, "little")
+                    continue
+                raw = np.frombuffer(reader.decompress(value), np.uint8)
+                m = len(raw) // 5
+                at = np.cumsum(np.ascontiguousarray(raw[: 4 * m].reshape(4, m).T).view("<u4").ravel(), dtype=np.int64)
+                total[at] += raw[4 * m :]
+        levels = np.minimum(np.round(16 * np.log2(total + 1)), 255).astype(np.uint8)
+        mass = np.bincount(levels, total, minlength=256)
+        values = seen.to_bytes(8, "little") if block < 0 else zstandard.ZstdCompressor(level=1).compress(levels.tobytes()) + mass.tobytes()
+        yield pa.record_batch({"block": pa.array([block], pa.int32()), "values": pa.array([values], pa.binary())})
+
+    summed = docs.mapInArrow(lean(run), BLOCK_SCHEMA).groupBy("block").applyInArrow(add, BLOCK_SCHEMA)
+    levels, mass, seen = np.zeros(1 << BITS, np.uint8), np.zeros(256), 0
+    for row in summed.toLocalIterator():
+        block, values = row["block"], bytes(row["values"])
+        if block < 0:
+            seen = int.from_bytes(values, "little")
+        else:
+            levels[block * BLOCK_CELLS : (block + 1) * BLOCK_CELLS] = np.frombuffer(zstandard.ZstdDecompressor().decompress(values[:-2048]), np.uint8)
+            mass += np.frombuffer(values[-2048:])
+    mass[0] = max(seen - mass[1:].sum(), 0)
+    return Order(levels, mass)
+
+
+def least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
+    """ceil(num * (a + b) / (num + den)): the overlap that makes a Jaccard similarity of num / den."""
+    return F.floor((num * (a + b) + (num + den - 1)) / (num + den))
 
-    summed = docs.mapInArrow(run, BLOCK_SCHEMA).groupBy("block").applyInArrow(add, BLOCK_SCHEMA)
-    return gather_blocks(summed, 1 << bits, BLOCK_CELLS, np.uint16)
 
+def repeated(heads: DataFrame, n_grams: int) -> tuple[DataFrame, int]:
+    """Column `short`: the leading bits of n-grams that more than one prefix has, and how many bits are left out.
 
-def shares_below(cells: np.ndarray) -> np.ndarray:
-    """Share of all n-grams whose cell counts less than c, for c from 0 to 65536."""
-    mass = np.bincount(cells, cells.astype(float), minlength=65536)
-    return np.concatenate([[0.0], np.cumsum(mass)]) / max(mass.sum(), 1.0)
+    Tasks deal their n-grams to blocks by the first bits and send the next 32 of each; a block's task finds those that
+    come twice. Two n-grams with the same bits pass for one, which costs a posting, no more.
+    """
+    bits = max(4, (max(n_grams, 1) >> 20).bit_length())
+    drop = 32 - bits
 
+    def deal(batches):
+        held: list[np.ndarray] = []
 
-def fragment_of(grams: np.ndarray, counts: np.ndarray, share: np.ndarray, fragments: int) -> np.ndarray:
-    """Which of equal cuts of the global order, by count then hash, each n-gram is in."""
-    low, high = share[counts], share[counts.astype(np.int64) + 1]
-    place = low + (high - low) * (grams.astype(float) / 2.0**64)
-    return np.minimum((place * fragments).astype(np.int64), fragments - 1)
+        def out():
+            shorts = np.sort(np.concatenate(held) >> np.uint64(drop))
+            held.clear()
+            blocks = (shorts >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(blocks, prepend=-1))
+            parts = [p.astype("<u4").tobytes() for p in np.split(shorts, cuts[1:])]
+            return pa.record_batch({"block": pa.array(blocks[cuts].astype(np.int32)), "values": pa.array(parts, pa.binary())})
 
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            if sum(map(len, held)) >= 1 << 20:
+                yield out()
+        if sum(map(len, held)):
+            yield out()
 
-def least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
-    """ceil(num * (a + b) / (num + den)): the overlap that makes a Jaccard similarity of num / den."""
-    return F.floor((num * (a + b) + (num + den - 1)) / (num + den))
+    def find(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(v, "<u4") for batch in batches for v in batch.column("values").to_pylist()]
+        own = np.sort(np.concatenate(parts))
+        twice = np.unique(own[1:][own[1:] == own[:-1]]).astype(np.int64)
+        yield pa.record_batch({"short": pa.array(twice + (key[0].as_py() << 32), pa.int64())})
+
+    return heads.select("prefix").mapInArrow(lean(deal), BLOCK_SCHEMA).groupBy("block").applyInArrow(find, "short long"), drop
 
 
 class Join:
     """One run of the join; classes(), links() and components() are its results."""
 
-    def __init__(self, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 25, fragments: int = 4, spanning: bool = True):
-        """num / den: the threshold. sketch_bits: the count table has at most 2^sketch_bits cells of 2 bytes. spanning: only as many links as components need."""
+    def __init__(self, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", fragments: int = 4, spanning: bool = True):
+        """num / den: the threshold. spanning: only as many links as components need."""
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "ngram-join")
         self.n, self.num, self.den, self.fragments, self.spanning = n, num, den, fragments, spanning
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-        self.bits = table_bits(self.docs, sketch_bits)
+        self.docs = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
 
     # ---- sets, classes, buckets
 
     def profiles(self) -> DataFrame:
         """id, size, key1, key2, prefix: the first n-grams of the global order that a partner may share."""
-        n, num, den, shift = self.n, self.num, self.den, np.uint64(64 - self.bits)
-        cells = self.spark.sparkContext.broadcast(count_cells(self.docs, self.n, self.bits))
-        self.cells = cells
+        n, num, den = self.n, self.num, self.den
+        self.order = self.spark.sparkContext.broadcast(count_levels(self.docs, self.n))
+        shared = self.order
 
         def run(batches):
-            counts = cells.value
+            order = shared.value
             for ids, sets in each_set(batches, n):
                 keys = [set_keys(s) for s in sets]
                 prefixes = []
                 for grams in sets:
-                    own = counts[(grams >> shift).astype(np.int64)]
                     length = len(grams) - (-(-num * len(grams) // den)) + 1 if len(grams) else 0
-                    # by count, then hash; sets are sorted by hash, so a stable sort by count is the global order
-                    order = np.argsort(own, kind="stable")[:length]
-                    prefixes.append(grams[order].view(np.int64))
+                    # by level, then hash; sets are sorted by hash, so a stable sort by level is the global order
+                    prefixes.append(grams[np.argsort(order.of(grams), kind="stable")[:length]].view(np.int64))
                 lengths = np.cumsum([0, *map(len, prefixes)])
                 yield pa.record_batch(
                     {
@@ -172,45 +231,63 @@ class Join:
                     }
                 )
 
-        return self.docs.mapInArrow(run, "id long, size long, key1 long, key2 long, prefix array<long>")
+        return self.docs.mapInArrow(lean(run), "id long, size long, key1 long, key2 long, prefix array<long>")
 
     def prepare(self) -> None:
+        """Classes and postings. A class is told by its smallest id c and, should rows repeat that id, by its key k."""
         profiles = self.scratch.table(self.profiles(), "profiles")
-        heads = profiles.where("size > 0").groupBy("key1", "key2", "size").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
-        many = heads.where("n > 1").drop("n")
-        classes = profiles.join(many, ["key1", "key2", "size"], "left").select("id", "size", F.coalesce("class_id", "id").alias("class_id"), F.when(F.coalesce("class_id", "id") == F.col("id"), F.col("prefix")).alias("prefix"))
+        keys = ["key1", "key2", "size"]
+        many = profiles.where("size > 0 and id is not null").groupBy(*keys).agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+        many = self.scratch.table(many, "many")
+        n_many = many.count()
+        # only members of classes of several documents meet the table of these
+        if n_many <= BROADCAST_CLASSES:
+            joined = profiles.join(F.broadcast(many), keys, "left")
+        elif (bloom := build_bloom(many.select("key1"), n_many)) is None:
+            joined = profiles.join(many, keys, "left")
+        else:
+            hits, rest = sieve(profiles, F.col("key1"), bloom)
+            joined = hits.join(many, keys, "left").unionByName(rest.withColumn("class_id", F.lit(None).cast("long")))
+        own = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
+        classes = joined.select("id", "size", own.alias("class_id"), F.col("key1").alias("k"), F.when((own == F.col("id")) & (F.col("size") > 0), F.col("prefix")).alias("prefix"))
         self.classes_table = self.scratch.table(classes, "classes")
-        self.scratch.drop(profiles)
-        heads = self.classes_table.where("prefix is not null and size > 0").select(F.col("id").alias("c"), "size", "prefix")
-        # n-grams in one prefix only go first, by the slimmest rows; what is left is a small part
-        shared = self.scratch.table(heads.select(F.explode("prefix").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"), "shared")
-        posted = self.posted(heads, shared)
+        self.scratch.drop(profiles, many)
+        heads = self.classes_table.where("prefix is not null").select(F.col("id").alias("c"), "k", "size", "prefix")
+        posted = self.posted(heads)
         # a bucket's hub has the fewest n-grams before this one
-        hubs = posted.groupBy("gram").agg(F.min(F.struct("pos", F.col("c").alias("hub"), F.col("size").alias("hub_size"))).alias("h"), F.count("*").alias("n")).where("n > 1")
-        hubs = hubs.select("gram", "h.hub", "h.hub_size", F.col("h.pos").alias("hub_pos"))
+        hubs = posted.groupBy("gram").agg(F.min(F.struct("pos", F.col("c").alias("hub"), F.col("k").alias("hub_k"), F.col("size").alias("hub_size"))).alias("h"), F.count("*").alias("n")).where("n > 1")
+        hubs = hubs.select("gram", "n", "h.hub", "h.hub_k", "h.hub_size", F.col("h.pos").alias("hub_pos"))
         self.postings = self.scratch.table(posted.join(hubs, "gram"), "postings")
-        self.scratch.drop(shared, posted)
+        self.scratch.drop(posted)
 
-    def posted(self, heads: DataFrame, shared: DataFrame) -> DataFrame:
-        """c, size, pos, gram of the n-grams that more than one prefix has; a filter's false positives go later."""
+    def posted(self, heads: DataFrame) -> DataFrame:
+        """c, k, size, pos, gram of the n-grams that more than one prefix has; what else passes goes later."""
+        n_grams = heads.agg(F.sum(F.col("size") - F.ceil(F.lit(self.num) * F.col("size") / F.lit(self.den)) + 1)).first()[0] or 0
+        found, drop = repeated(heads, int(n_grams))
+        shared = self.scratch.table(found, "shared")
         bloom = build_bloom(shared, shared.count())
         if bloom is None:
-            return self.scratch.table(heads.select("c", "size", F.posexplode("prefix").alias("pos", "gram")).join(shared, "gram", "left_semi"), "posted")
+            each = heads.select("c", "k", "size", F.posexplode("prefix").alias("pos", "gram"))
+            made = self.scratch.table(each.withColumn("short", F.shiftrightunsigned("gram", drop)).join(shared, "short", "left_semi").drop("short"), "posted")
+            self.scratch.drop(shared)
+            return made
         words = self.spark.sparkContext.broadcast(bloom.words)
 
         def run(batches):
             held = Bloom(words.value)
             for batch in batches:
-                prefix = batch.column(2)
+                prefix = batch.column(3)
                 grams = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                lengths = np.diff(np.frombuffer(prefix.buffers()[1], np.int32)[prefix.offset : prefix.offset + len(prefix) + 1])
+                lengths = prefix.value_lengths().to_numpy(zero_copy_only=False)
                 rows = np.repeat(np.arange(len(prefix)), lengths)
                 pos = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                keep = np.flatnonzero(held.hit(grams.view(np.uint64)))
+                keep = np.flatnonzero(held.hit(grams.view(np.uint64) >> np.uint64(drop)))
                 at = pa.array(rows[keep])
-                yield pa.record_batch({"c": batch.column(0).take(at), "size": batch.column(1).take(at), "pos": pa.array(pos[keep], pa.int32()), "gram": pa.array(grams[keep])})
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(pos[keep].astype(np.int32)), pa.array(grams[keep])], names=["c", "k", "size", "pos", "gram"])
 
-        return self.scratch.table(heads.mapInArrow(run, "c long, size long, pos int, gram long"), "posted")
+        made = self.scratch.table(heads.mapInArrow(lean(run), "c long, k long, size long, pos int, gram long"), "posted")
+        self.scratch.drop(shared)
+        return made
 
     def _may_link(self, s1: Column, p1: Column, s2: Column, p2: Column) -> Column:
         """Length filter, and position filter: at the first shared n-gram only what follows can still be shared."""
@@ -220,82 +297,111 @@ class Join:
     # ---- counting overlaps by fragment
 
     def segments(self, wanted: DataFrame) -> DataFrame:
-        """c, fragment, grams: sets of the wanted classes, cut along the global order by count, then hash."""
-        n, fragments = self.n, self.fragments
-        n_wanted = wanted.count()
-        bloom = build_bloom(wanted, n_wanted)
-        shared = self.spark.sparkContext.broadcast(bloom.words) if bloom else None
-        docs = self.docs if bloom else self.docs.join(wanted.withColumnRenamed(wanted.columns[0], "id"), "id", "left_semi")
-        shift, cells = np.uint64(64 - self.bits), self.cells
-        below = self.spark.sparkContext.broadcast(shares_below(cells.value))
+        """c, k, fragment, after, grams: sets of the wanted ids, cut along the global order; after: n-grams behind."""
+        n, fragments, shared = self.n, self.fragments, self.order
+        bloom = build_bloom(wanted, wanted.count())
+        held_words = self.spark.sparkContext.broadcast(bloom.words) if bloom else None
+        docs = self.docs.where("id is not null")
+        docs = docs if bloom else docs.join(wanted.withColumnRenamed(wanted.columns[0], "id"), "id", "left_semi").select("id", "text")
 
         def run(batches):
-            want = None
-            if shared is not None:
-                held = Bloom(shared.value)
+            want, order = None, shared.value
+            if held_words is not None:
+                held = Bloom(held_words.value)
                 want = lambda ids: held.hit(ids.view(np.uint64))
-            counts, share = cells.value, below.value
             for ids, sets in each_set(batches, n, want):
-                out_ids, out_fragments, parts = [], [], []
-                for id_, grams in zip(ids.to_pylist(), sets, strict=True):
-                    if len(grams):
-                        piece = fragment_of(grams, counts[(grams >> shift).astype(np.int64)], share, fragments)
-                        for f in np.unique(piece):
-                            out_ids.append(id_)
-                            out_fragments.append(int(f))
-                            parts.append(grams[piece == f].view(np.int64))
+                keys, after, parts = [], [], []
+                for grams in sets:
+                    piece = order.fragment_of(grams, fragments)
+                    left = len(grams)
+                    keys.append(set_keys(grams)[0])
+                    for f in range(fragments):
+                        own = grams[piece == f]
+                        left -= len(own)
+                        parts.append(own.view(np.int64))
+                        after.append(left)
                 lengths = np.cumsum([0, *map(len, parts)])
+                each = pa.array(np.repeat(np.arange(len(sets)), fragments))
                 yield pa.record_batch(
                     {
-                        "c": pa.array(out_ids, pa.int64()),
-                        "fragment": pa.array(out_fragments, pa.int32()),
-                        "grams": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))),
+                        "c": ids.take(each),
+                        "k": pa.array(keys, pa.int64()).take(each),
+                        "fragment": pa.array(np.tile(np.arange(fragments, dtype=np.int32), len(sets))),
+                        "after": pa.array(after, pa.int64()),
+                        "grams": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(parts))),
                     }
                 )
 
-        return docs.mapInArrow(run, "c long, fragment int, grams array<long>")
+        return docs.mapInArrow(lean(run), "c long, k long, fragment int, after long, grams array<long>")
 
-    def count(self, pairs: DataFrame, segments: DataFrame) -> DataFrame:
-        """Pairs a, b that link, with their overlap: partial overlaps per fragment, summed per pair."""
-        left = segments.select(F.col("c").alias("a"), "fragment", F.col("grams").alias("ga"))
-        right = segments.select(F.col("c").alias("b"), "fragment", F.col("grams").alias("gb"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "sa", "sb", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
-        # max: rows that repeat an id have repeated segments
-        once = partial.groupBy("a", "b", "sa", "sb", "fragment").agg(F.max("common").alias("common"))
-        whole = once.groupBy("a", "b", "sa", "sb").agg(F.sum("common").alias("common"))
-        return whole.where(F.col("common") * self.den >= (F.col("sa") + F.col("sb") - F.col("common")) * self.num)
+    def fragment_overlap(self, pairs: DataFrame, segments: DataFrame, n_pairs: int) -> DataFrame:
+        """pairs with the overlap in one fragment (own), and at most how much can follow (more)."""
+        side = lambda c, k, right: F.struct(F.col(c).alias("c"), F.col(k).alias("k"), F.lit(right).alias("right"))
+        sides = pairs.withColumn("s", F.explode(F.array(side("a", "ka", False), side("b", "kb", True)))).select(*PAIR, "common", "s.*")
+        on = ["c", "k"]
+        if n_pairs <= BROADCAST_PAIRS:
+            sides = F.broadcast(sides)
+        else:
+            hot = sides.groupBy(*on).count().where(F.col("count") > SALT_PAIRS).select(*on, F.ceil(F.col("count") / SALT_PAIRS).cast("int").alias("salts"))
+            hot = F.broadcast(self.scratch.table(hot, "hot"))  # a row for each SALT_PAIRS pairs at most
+            sides = sides.join(hot, on, "left").withColumn("salt", F.coalesce(F.expr("pmod(xxhash64(a, b), salts)"), F.lit(0)).cast("int")).drop("salts")
+            segments = segments.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
+            on = [*on, "salt"]
+        met = segments.join(sides, on)
+        # rows that repeat an id repeat its segment
+        of = lambda right, x: F.max(F.when(F.col("right") == right, F.col(x)))
+        both = met.groupBy(*PAIR, "common").agg(of(False, "grams").alias("ga"), of(True, "grams").alias("gb"), F.least(of(False, "after"), of(True, "after")).alias("more"))
+        return both.select(*PAIR, "common", F.size(F.array_intersect("ga", "gb")).cast("long").alias("own"), "more")
 
     def counted(self, pairs: DataFrame, name: str) -> DataFrame:
-        """count() over the sets of the classes in these pairs only; they are read again, and dropped after."""
+        """The pairs that link, with their overlap: fragment after fragment, while the sum can still reach the threshold."""
+        n_pairs = pairs.count()
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        segments = self.scratch.table(self.segments(wanted), "segments")
-        found = self.scratch.table(self.count(pairs, segments), name)
+        segments = self.scratch.table(self.segments(wanted), "segments", partition_by="fragment")
+        alive = pairs.select(*PAIR, F.lit(0).cast("long").alias("common"))
+        for f in range(self.fragments):
+            partial = self.fragment_overlap(alive, segments.where(F.col("fragment") == f).drop("fragment"), n_pairs)
+            summed = partial.withColumn("common", F.col("common") + F.col("own"))
+            kept = summed.where((F.col("common") + F.col("more")) * (self.num + self.den) >= (F.col("sa") + F.col("sb")) * self.num)
+            before, alive = alive, self.scratch.table(kept.select(*PAIR, "common"), name)
+            if f:
+                self.scratch.drop(before)
+            n_pairs = alive.count()
         self.scratch.drop(segments)
-        return found
+        return alive
 
     def links(self) -> DataFrame:
         """a < b, common: linked classes; with `spanning` enough of them to connect what is connected."""
         if not hasattr(self, "postings"):
             self.prepare()
-        p = self.postings
-        ordered = lambda a, sa, b, sb: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(a < b, sa).otherwise(sb).alias("sa"), F.when(a < b, sb).otherwise(sa).alias("sb")]
-        col = F.col
-        star = p.where("c <> hub").where(self._may_link(col("size"), col("pos"), col("hub_size"), col("hub_pos"))).select(*ordered(col("c"), col("size"), col("hub"), col("hub_size"))).distinct()
-        star = self.scratch.table(star, "star")
+        p, col = self.postings, F.col
+
+        def ordered(x: list[Column], y: list[Column]) -> list[Column]:
+            """The two classes (c, k, size) by id, as a pair."""
+            first = x[0] < y[0]
+            return [F.when(first, one).otherwise(two).alias(name) for name, one, two in (("a", x[0], y[0]), ("ka", x[1], y[1]), ("b", y[0], x[0]), ("kb", y[1], x[1]), ("sa", x[2], y[2]), ("sb", y[2], x[2]))]
+
+        star = p.where("c <> hub").where(self._may_link(col("size"), col("pos"), col("hub_size"), col("hub_pos")))
+        star = self.scratch.table(star.select(*ordered([col("c"), col("k"), col("size")], [col("hub"), col("hub_k"), col("hub_size")])).distinct(), "star")
         linked = self.counted(star, "linked")
-        rest = p.select("gram", "c", "size", "pos", "hub")
+        # the only pair of a bucket of two is counted
+        rest = p.where("n > 2").select("gram", "c", "k", "size", "pos", "hub")
         if self.spanning:
             labels = self.scratch.table(near_labels(linked.select("a", "b")), "labels")
             rest = rest.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
             split = rest.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-            rest = self.scratch.table(rest.join(split, "gram", "left_semi"), "rest")
+            rest = rest.join(split, "gram", "left_semi")
         else:
-            rest = rest.withColumn("component", F.col("c"))
+            labels, rest = None, rest.withColumn("component", F.col("c"))
+        rest = self.scratch.table(rest, "rest")
         one, two = rest.alias("x"), rest.alias("y")
         met = one.join(two, (col("x.gram") == col("y.gram")) & (col("x.c") < col("y.c")) & (col("x.component") != col("y.component")) & (col("x.c") != col("x.hub")) & (col("y.c") != col("y.hub")) & self._may_link(col("x.size"), col("x.pos"), col("y.size"), col("y.pos")))
-        more = met.select(col("x.c").alias("a"), col("y.c").alias("b"), col("x.size").alias("sa"), col("y.size").alias("sb")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-        more = self.scratch.table(more, "more")
+        more = met.select(*ordered([col("x.c"), col("x.k"), col("x.size")], [col("y.c"), col("y.k"), col("y.size")])).distinct().join(star.select("a", "ka", "b", "kb"), ["a", "ka", "b", "kb"], "left_anti")
+        more = self.scratch.table(more.select(*PAIR), "more")
+        self.scratch.drop(*(x for x in (p, rest, star, labels) if x is not None))
+        del self.postings
         second = self.counted(more, "second")
+        self.scratch.drop(more)
         return linked.unionByName(second).select("a", "b", "common")
 
     def classes(self) -> DataFrame:
@@ -305,9 +411,18 @@ class Join:
         return self.classes_table.select("id", "size", "class_id")
 
     def components(self) -> DataFrame:
-        """id, size, class_id, component_id: smallest id reachable by links, itself included."""
-        labels = connected_components(self.links().select("a", "b"), self.scratch)
-        return self.classes().join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("id", "size", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+        """id, size, class_id, component_id: smallest id reachable by links, itself included; null for a null id."""
+        links = self.links().select("a", "b")
+        classes = self.classes()
+        # an id that several rows have connects their classes
+        several = classes.where("id is not null").groupBy("id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("id")
+        same_id = classes.join(several, "id", "left_semi").where("id <> class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b")).distinct()
+        labels = connected_components(links.unionByName(same_id), self.scratch)
+        return classes.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("id", "size", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+
+
+#: A pair of classes: their ids, keys and sizes.
+PAIR = ["a", "ka", "b", "kb", "sa", "sb"]
 
 
 def keep_representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,23 +432,13 @@ def keep_representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     """
     join = Join(docs, n, num, den, id_col, text_col)
     gone = join.scratch.table(join.components().where("component_id <> id").select(F.col("id").alias("gone_id")).distinct(), "gone")
-    held = lambda rows: rows.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("gone_id"))
+    own = F.col(quoted(id_col)).cast("long")
+    without = lambda rows: rows.select(whole(docs.columns).alias("doc"), own.alias("gone_id")).join(gone, "gone_id", "left_anti").select("doc.*")
     bloom = build_bloom(gone, gone.count())
     if bloom is None:
-        return held(docs).join(gone, "gone_id", "left_anti").select("doc.*")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.words)
-
-    def part(let_through: bool) -> DataFrame:
-        def run(batches):
-            bloom = Bloom(shared.value)
-            for batch in batches:
-                ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
-                flags = bloom.hit(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(flags == let_through))
-
-        return docs.mapInArrow(run, docs.schema)
-
-    return part(False).unionByName(held(part(True)).join(gone, "gone_id", "left_anti").select("doc.*"))
+        return without(docs)
+    hits, rest = sieve(docs, own, bloom)
+    return rest.unionByName(without(hits))
 
 
 def near_labels(edges: DataFrame) -> DataFrame:
