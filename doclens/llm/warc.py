@@ -6,7 +6,10 @@ in it. Tasks write bundles of bounded size in the shared folder under a name of
 runs again leaves its old file unread; readers get the list of bundles from the rows of the tasks that finished.
 
 Equal payloads from `revisit_bytes` on are stored once: the record with the largest id is the response, the others
-are revisits that refer to it.
+are revisits that refer to it. They are found by fingerprints alone; payloads are written by the tasks that read them.
+
+Reading goes by the index: a task gets the places of a bundle's records, opens the frames that hold some, and takes
+each record at its offset in its frame. A part of the index reads that part of the records.
 
 Defined results: null html has the empty payload; ids must not be null (null ids are written as record 'null' and
 come back null); repeated rows are records of their own (rows that repeat the largest id are all responses); an empty
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import Scratch
+from doclens.llm.common import Scratch, build_bloom, lean, quoted, sieve
 
 #: Fixed values of the seekable format: skippable frame magic, footer magic.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -67,19 +70,20 @@ class BundleWriter:
 
 
 class BundleReader:
-    """Frames of a bundle by number, through its seek table."""
+    """Frames of a bundle by number, through its seek table; only the frames asked for are read."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        count, flags, magic = struct.unpack("<IBI", self.data[-9:])
+    def __init__(self, source: bytes | pa.NativeFile):
+        self.source = pa.BufferReader(source) if isinstance(source, bytes) else source
+        size = self.source.size()
+        count, flags, magic = struct.unpack("<IBI", self.source.read_at(9, size - 9))
         if magic != SEEKABLE:
             raise ValueError("not a seekable bundle")
         width = 12 if flags & 0x80 else 8
-        at = len(data) - 9 - count * width
+        table = self.source.read_at(count * width, size - 9 - count * width)
         self.frames, start = [], 0
         for k in range(count):
-            packed, size = struct.unpack_from("<II", self.data, at + k * width)
-            self.frames.append((start, packed, size))
+            packed, full = struct.unpack_from("<II", table, k * width)
+            self.frames.append((start, packed, full))
             start += packed
 
     def __len__(self) -> int:
@@ -87,7 +91,7 @@ class BundleReader:
 
     def frame(self, k: int) -> bytes:
         start, packed, size = self.frames[k]
-        return zstandard.ZstdDecompressor().decompress(self.data[start : start + packed], max_output_size=size)
+        return zstandard.ZstdDecompressor().decompress(self.source.read_at(packed, start), max_output_size=size)
 
     def record(self, frame: int, at: int, length: int) -> bytes:
         return self.frame(frame)[at : at + length]
@@ -124,13 +128,29 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def revisits(pages: DataFrame, revisit_bytes: int) -> DataFrame:
-    """pages (id, uri, html) -> with refers_to, null for responses."""
-    payload = F.encode("html", "UTF-8")
-    keyed = pages.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("print", F.sha2(payload, 256))
-    groups = keyed.where(F.col("bytes") >= revisit_bytes).groupBy("print", "bytes").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1")
-    marked = keyed.join(groups, ["print", "bytes"], "left")
-    return marked.select("id", "uri", "html", F.when(F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
+#: Groups of equal payloads up to which their table is sent to every task (about 120 bytes each).
+BROADCAST_GROUPS = 200_000
+
+
+def with_revisits(pages: DataFrame, revisit_bytes: int, scratch: Scratch, most_groups: int | None = None) -> DataFrame:
+    """pages (id, uri, html) -> with refers_to, null for responses.
+
+    Groups are counted on fingerprints. Where their table is small, pages look it up as they are read; beyond, only
+    pages that a filter lets through are joined.
+    """
+    keyed = pages.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("print", F.sha2(F.encode("html", "UTF-8"), 256))
+    groups = keyed.where(F.col("bytes") >= revisit_bytes).groupBy("print", "bytes").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = scratch.table(groups, "groups")
+    n_groups = groups.count()
+    refers = F.when(F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")), F.col("response"))
+    marked = lambda rows, found: rows.join(found, ["print", "bytes"], "left").select("id", "uri", "html", refers.alias("refers_to"))
+    if n_groups <= (BROADCAST_GROUPS if most_groups is None else most_groups):
+        return marked(keyed, F.broadcast(groups))
+    bloom = build_bloom(groups.select(F.xxhash64("print")), n_groups)
+    if bloom is None:
+        return marked(keyed, groups)
+    hits, rest = sieve(keyed, F.xxhash64("print"), bloom)
+    return rest.select("id", "uri", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(marked(hits, groups))
 
 
 def write_bundles(pages: DataFrame, folder: str, frame_bytes: int, bundle_bytes: int) -> DataFrame:
@@ -169,39 +189,46 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int, bundle_bytes:
         if index:
             yield close()
 
-    return pages.select("id", "uri", "html", "refers_to").mapInArrow(run, INDEX)
+    return pages.select("id", "uri", "html", "refers_to").mapInArrow(lean(run), INDEX)
 
 
-def read_bundles(spark, folder: str, bundles: DataFrame, payload: bool = True) -> DataFrame:
-    """Every record of the named bundles, read back through their seek tables; digests are checked."""
+def read_records(folder: str, index: DataFrame, n_tasks: int, payload: bool = True) -> DataFrame:
+    """The records that the index rows name, taken at their places; digests are checked. A bundle is the unit of work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
+        names = [x.split()[0] for x in RECORDS.split(", ")]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+        number = lambda x: None if x[10:-1] == "null" else int(x[10:-1])
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                with fs.open_input_stream(f"{root}/{name}", compression=None) as source:
-                    reader = BundleReader(source.read())
-                for frame in range(len(reader)):
-                    rows = []
-                    for head, block in parse_records(reader.frame(frame)):
-                        kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                        if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
-                            raise ValueError(f"{name}: {head['warc-record-id']} does not have its digest")
-                        number = lambda key: None if (x := head.get(key, "<urn:page:null>")[10:-1]) == "null" else int(x)  # noqa: B023, E731
-                        rows.append((number("warc-record-id"), kind, number("warc-refers-to"), int(head["x-payload-length"]), digest, head["warc-target-uri"], block if payload and kind == "response" else None))
-                    columns = list(zip(*rows, strict=True))
-                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
-
-    # one bundle is the unit of work; they are dealt out by name
-    return bundles.repartition("bundle").mapInArrow(run, RECORDS)
-
-
-def archive(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, frame_bytes: int = 256 << 10, bundle_bytes: int = 16 << 20) -> dict:
-    """Write all pages and give {folder, index, records}: the index as a table, the records as read back."""
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "warc")
-    plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+            for name, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with fs.open_input_file(f"{root}/{name}") as source:
+                    reader = BundleReader(source)
+                    by_frame: dict[int, list[tuple[int, int]]] = {}
+                    for place in places.as_py():
+                        by_frame.setdefault(place["frame"], []).append((place["at"], place["length"]))
+                    for frame in sorted(by_frame):
+                        data, rows = reader.frame(frame), []
+                        for at, length in by_frame[frame]:
+                            [(head, block)] = parse_records(data[at : at + length])
+                            kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
+                            if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
+                                raise ValueError(f"{name}: {head['warc-record-id']} does not have its digest")
+                            rows.append((number(head["warc-record-id"]), kind, number(head.get("warc-refers-to", "<urn:page:null>")), int(head["x-payload-length"]), digest, head["warc-target-uri"], block if payload and kind == "response" else None))
+                        columns = zip(*rows, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    # a bundle's size bounds its records; the number of tasks is given, so that adaptive execution does not merge them
+    places = index.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("frame", "at", "length"))).alias("places"))
+    return places.repartition(max(1, n_tasks)).mapInArrow(lean(run), RECORDS)
+
+
+def archive(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, frame_bytes: int = 256 << 10, bundle_bytes: int = 16 << 20, most_groups: int | None = None) -> dict:
+    """Write all pages and give {folder, index, bundles, records}: the index as a table, how many bundles there are, the
+    records as read back."""
+    scratch = Scratch(pages.sparkSession, "warc")
+    plain = pages.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(uri_col)).cast("string").alias("uri"), F.coalesce(F.col(quoted(html_col)), F.lit("")).alias("html"))
     folder = scratch.path("bundles")
-    index = scratch.table(write_bundles(revisits(plain, revisit_bytes), folder, frame_bytes, bundle_bytes), "index")
-    return {"folder": folder, "index": index, "records": read_bundles(spark, folder, index.select("bundle").distinct())}
+    index = scratch.table(write_bundles(with_revisits(plain, revisit_bytes, scratch, most_groups), folder, frame_bytes, bundle_bytes), "index")
+    n_bundles = index.select("bundle").distinct().count()
+    return {"folder": folder, "index": index, "bundles": n_bundles, "records": read_records(folder, index, min(n_bundles, 50_000))}
