@@ -1,18 +1,23 @@
 """Exact top-k search by inner product: columnar branch-and-bound over blocks of dimensions.
 
 Vectors become integers floor(scale * x). Candidates and queries are packed into blocks in vertical layout (one
-array per dimension). For a block of queries and a block of candidates partial products accumulate dimension block
-by dimension block; what the remaining dimensions can still add is at most the product of the remaining norms
-(remaining mass), so candidates whose upper bound stays below the k-th best lower bound leave, and survivors are
-compacted. Each pair of blocks is one row of a join on block numbers: memory per task is one pair of blocks, whatever
-the number of rows. The k best per pair are then reduced per query.
+array per dimension). A query takes the dimensions in the order of its own components, the largest first, a few at a
+time: partial products accumulate over the candidates that are left, and what the other dimensions can still add is at
+most the product of the remaining norms (remaining mass). Candidates whose upper bound stays below the k-th best score
+so far leave, and survivors are compacted before the next dimensions. The k best so far are carried from one block of
+candidates to the next.
+
+Every block of queries meets every block of candidates: the stated queries against all rows, in blocks. Both are
+dealt to tasks by block of queries and group of candidate blocks, the queries first, so that a task holds one block of
+queries and one of candidates at a time, whatever the number of rows. The k best of each task are reduced per query.
 
 A block holds vectors of one length. Vectors of different lengths are compared in the dimensions that both have, as if
 the shorter one ended in zeros.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part; ties go to the
-smaller id; repeated rows compete as rows of their own, and a query leaves out its own id; rows that repeat a query's
-id ask once, with the smallest of their vectors; an empty table gives no rows.
+Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a
+null id; ties go to the smaller id; repeated rows compete as rows of their own, and a query leaves out its own id; rows
+that repeat a query's id ask once, with the smallest of their vectors; scores beyond a long count as the nearest long;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclens.llm.common import Scratch
+from doclens.llm.common import Scratch, lean, quoted
 
-BLOCK = "part long, ids binary, columns binary"
+BLOCK = "part long, ids binary, columns binary, kind string"
 #: Sums of products below this are exact in double precision.
 EXACT = float(1 << 53)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vectors: np.ndarray, scale: int) -> np.ndarray:
@@ -47,128 +53,175 @@ def by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, flat.reshape(-1, length) if len(at) == len(sizes) else flat[starts[at][:, None] + np.arange(length)]
 
 
+def vertical(matrix: np.ndarray) -> tuple[bytes, str]:
+    """Dimension after dimension, in the narrowest type that holds the whole numbers."""
+    most = np.abs(matrix).max(initial=0)
+    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"
+    return np.ascontiguousarray(matrix.T).astype(kind).tobytes(), kind
+
+
 def pack(rows: DataFrame, size: int, scale: int) -> DataFrame:
-    """(id, vector) rows -> blocks of `size` rows of one length at most: ids and columns, dimension after dimension."""
+    """(id, vector, part) rows -> blocks of `size` rows of one length and part at most; a null part is numbered by task."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int | None, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         task, n = TaskContext.get().partitionId(), 0
         rows_of = lambda parts: sum(len(i) for i, _ in parts)
 
-        def out(length):
+        def out(key):
             nonlocal n
-            parts = held.pop(length)
-            matrix, n = np.concatenate([v for _, v in parts]), n + 1
+            parts = held.pop(key)
+            n += 1
+            columns, kind = vertical(np.concatenate([v for _, v in parts]))
+            part = (task << 32) + n if key[0] is None else key[0]
             return pa.record_batch(
                 {
-                    "part": pa.array([(task << 32) + n], pa.int64()),
+                    "part": pa.array([part], pa.int64()),
                     "ids": pa.array([np.concatenate([i for i, _ in parts]).tobytes()], pa.binary()),
-                    "columns": pa.array([np.ascontiguousarray(matrix.T).tobytes()], pa.binary()),
+                    "columns": pa.array([columns], pa.binary()),
+                    "kind": pa.array([kind]),
                 }
             )
 
+        def runs(batch):
+            """(part, rows) of a batch, whose rows come part after part."""
+            parts = batch.column(2)
+            if parts.null_count:
+                yield None, batch
+                return
+            numbers = parts.to_numpy(zero_copy_only=False)
+            edges = [*np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])).tolist(), len(numbers)] if len(numbers) else []
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield int(numbers[a]), batch.slice(a, b - a)
+
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, matrix in by_length(batch.column(1)):
-                length = matrix.shape[1]
-                for k in range(0, len(at), size):
-                    i, v = own[at[k : k + size]], matrix[k : k + size]
-                    if length in held and rows_of(held[length]) + len(i) > size:
-                        yield out(length)
-                    held.setdefault(length, []).append((i, quantised(v, scale)))
-                    if len(held) > 1 and sum(map(rows_of, held.values())) > size:  # blocks of other lengths wait in bounded memory
-                        yield from map(out, list(held))
+            for part, rows_ in runs(batch):
+                yield from (out(key) for key in [k for k in held if k[0] != part])
+                own = rows_.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                for at, matrix in by_length(rows_.column(1)):
+                    key = (part, matrix.shape[1])
+                    for k in range(0, len(at), size):
+                        i, v = own[at[k : k + size]], matrix[k : k + size]
+                        if key in held and rows_of(held[key]) + len(i) > size:
+                            yield out(key)
+                        held.setdefault(key, []).append((i, quantised(v, scale)))
+                        if len(held) > 1 and sum(map(rows_of, held.values())) > size:  # blocks of other lengths wait in bounded memory
+                            yield from map(out, list(held))
         yield from map(out, list(held))
 
-    return rows.mapInArrow(blocks, BLOCK)
-
-
-def best_of_blocks(query_ids, queries, cand_ids, cands, k: int, dim_block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's k best in one block. queries, cands: dims x rows.
-
-    Queries go through in groups; a candidate stays while one query of the group may still want it.
+    return rows.select("id", "v", "part").mapInArrow(lean(blocks), BLOCK)
+
+
+class QueryBlock:
+    """Queries of one length and their k best so far. products: multiplications done, of `possible`."""
+
+    def __init__(self, ids: np.ndarray, columns: np.ndarray, k: int, dim_block: int):
+        """columns: dims x queries."""
+        self.ids, self.columns, self.k, self.dim_block = ids, columns, k, dim_block
+        self.scores: list[np.ndarray] = [np.zeros(0, np.int64) for _ in ids]
+        self.found: list[np.ndarray] = [np.zeros(0, np.int64) for _ in ids]
+        self.products = self.possible = 0
+
+    def scan(self, cand_ids: np.ndarray, cands: np.ndarray) -> None:
+        """Meet a block of candidates, dims x rows."""
+        dims = min(len(self.columns), len(cands))
+        queries, cands = self.columns[:dims], cands[:dims]
+        if np.abs(queries).max(initial=0) * np.abs(cands).max(initial=0) * dims < EXACT:
+            mass = (cands * cands).sum(axis=0)
+            for n in range(len(self.ids)):
+                self._merge(n, *self._bounded(n, queries[:, n], cand_ids, cands, mass))
+        else:
+            whole = [[int(x) for x in c] for c in cands.T]
+            for n in range(len(self.ids)):
+                q, own = [int(x) for x in queries[:, n]], np.flatnonzero(cand_ids != self.ids[n])
+                exact = [max(LEAST, min(MOST, sum(a * b for a, b in zip(q, whole[i], strict=True)))) for i in own]
+                self._merge(n, np.array(exact, np.int64), cand_ids[own])
+
+    def _bounded(self, n: int, query: np.ndarray, cand_ids: np.ndarray, cands: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the candidates that may be among the k best."""
+        order = np.argsort(-np.abs(query), kind="stable")
+        rest_of_query = np.sqrt(np.append(np.cumsum((query[order] ** 2)[::-1])[::-1], 0.0))
+        floor_ = float(self.scores[n][-1]) if len(self.scores[n]) == self.k else -np.inf
+        alive = np.flatnonzero(cand_ids != self.ids[n])
+        partial, rest, all_ = np.zeros(len(alive)), mass[alive], len(alive) == len(mass)
+        self.possible += len(query) * len(alive)
+        for at in range(0, len(order), self.dim_block):
+            own = order[at : at + self.dim_block]
+            block = cands[own] if all_ else cands[own[:, None], alive]
+            partial += query[own] @ block
+            self.products += block.size
+            end = at + len(own)
+            if end == len(order) or not len(alive):
+                break
+            rest = rest - np.einsum("ij,ij->j", block, block)
+            bound = np.sqrt(np.maximum(rest, 0)) * rest_of_query[end] * (1 + 1e-9) + 1e-6
+            if len(alive) > self.k:
+                low = partial - bound
+                floor_ = max(floor_, float(np.partition(low, -self.k)[-self.k]))
+            keep = partial + bound >= floor_
+            kept = int(keep.sum())
+            if kept <= 0.8 * len(alive):
+                alive, partial, rest, all_ = alive[keep], partial[keep], rest[keep], False
+        return partial.astype(np.int64), cand_ids[alive]
+
+    def _merge(self, n: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        if len(scores) > 4 * self.k:
+            near = scores >= np.partition(scores, -self.k)[-self.k]
+            scores, ids = scores[near], ids[near]
+        scores, ids = np.append(self.scores[n], scores), np.append(self.found[n], ids)
+        order = np.lexsort((ids, -scores.astype(float)))[: self.k] if np.abs(scores.astype(float)).max(initial=0) < EXACT else np.array(sorted(range(len(scores)), key=lambda i: (-int(scores[i]), int(ids[i])))[: self.k], int)
+        self.scores[n], self.found[n] = scores[order], ids[order]
+
+    def best(self) -> pa.RecordBatch:
+        sizes = [len(s) for s in self.scores]
+        columns = (np.repeat(self.ids, sizes), np.concatenate(self.found), np.concatenate(self.scores))
+        return pa.record_batch({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "id", "score"), columns, strict=True)})
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, query_block: int = 1024, cand_block: int = 4096, group_blocks: int = 16, dim_block: int = 8) -> DataFrame:
+    """query_id, rank (from 1), id, score: for each row of `is_query` its k best other rows.
+
+    group_blocks: blocks of candidates that a task meets with its block of queries, at most; fewer where tasks would be few.
     """
-    dims, n = cands.shape
-    starts = list(range(0, dims, dim_block))
-    biggest = max(np.abs(queries).max(initial=0) * np.abs(cands).max(initial=0) * dims, 0)
-    if not biggest < EXACT:
-        return _best_exact(query_ids, queries, cand_ids, cands, k)
-    rest = np.sqrt(np.array([(cands[s:] ** 2).sum(axis=0) for s in [*starts[1:], dims]]))
-    out: tuple[list, list, list] = ([], [], [])
-    for q0 in range(0, len(query_ids), 64):
-        q, ids = queries[:, q0 : q0 + 64], query_ids[q0 : q0 + 64]
-        alive, partial = np.arange(n), np.zeros((q.shape[1], n))
-        columns, own = cands, cand_ids
-        for step, s in enumerate(starts):
-            partial += q[s : s + dim_block].T @ columns[s : s + dim_block]
-            if s + dim_block >= dims or len(alive) <= 4 * k:
-                continue
-            q_rest = np.sqrt((q[s + dim_block :] ** 2).sum(axis=0))
-            bound = q_rest[:, None] * rest[step][alive][None, :] * (1 + 1e-9) + 1e-6
-            low = partial - bound
-            low[own[None, :] == ids[:, None]] = -np.inf
-            floor_ = np.partition(low, -k, axis=1)[:, -k]
-            keep = (partial + bound >= floor_[:, None]).any(axis=0)
-            if keep.sum() <= 0.75 * len(alive):
-                alive = alive[keep]
-                partial, columns, own = partial[:, keep], columns[:, keep], own[keep]
-        for i in range(q.shape[1]):
-            mask = own != ids[i]
-            score, cand = partial[i][mask], own[mask]
-            if len(score) > 4 * k:
-                edge = np.partition(score, -k)[-k]
-                near = score >= edge
-                score, cand = score[near], cand[near]
-            order = np.lexsort((cand, -score))[:k]
-            out[0].append(np.full(len(order), ids[i]))
-            out[1].append(cand[order])
-            out[2].append(score[order].astype(np.int64))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-
-
-def _best_exact(query_ids, queries, cand_ids, cands, k):
-    """The same with whole numbers of any size, for components so large that doubles would round."""
-    out: tuple[list, list, list] = ([], [], [])
-    ints = [[int(x) for x in col] for col in cands.T]
-    for i, query in enumerate(queries.T):
-        q = [int(x) for x in query]
-        scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), int(d)) for c, d in zip(ints, cand_ids, strict=True) if d != query_ids[i])[:k]
-        for s, d in scored:
-            out[0].append(query_ids[i])
-            out[1].append(d)
-            out[2].append(max(-(1 << 63), min((1 << 63) - 1, -s)))
-    return tuple(np.array(x, np.int64) for x in out)
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, query_block: int = 1024, cand_block: int = 8192, dim_block: int = 8) -> DataFrame:
-    """query_id, rank (from 1), id, score: for each row of `is_query` its k best other rows."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    as_double = F.col(vector_col).cast("array<double>")
+    as_double = F.col(quoted(vector_col)).cast("array<double>")
     whole = F.forall(as_double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    valid = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).where(whole)
-    rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), as_double.alias("v"))
-    cands = scratch.table(pack(rows(valid), cand_block, scale), "candidates")
-    asked = rows(valid.where(is_query)).groupBy("id").agg(F.min("v").alias("v"))
-    queries = scratch.table(pack(asked.repartition(F.expr(f"id div {query_block}")), query_block, scale), "queries")
-    # every candidate block meets every query block: the stated query set against all rows, in blocks
-    parts = queries.select(F.col("part").alias("qpart"))
-    n_parts = parts.agg(F.sort_array(F.collect_list("qpart")).alias("qparts"))  # one number per query block
-    listed = n_parts.first()[0] or []
-    pairs = cands.withColumn("qpart", F.explode(F.array(*(F.lit(x).cast("long") for x in listed)) if listed else F.array().cast("array<long>")))
-    paired = pairs.join(queries.select(F.col("part").alias("qpart"), F.col("ids").alias("qids"), F.col("columns").alias("qcolumns")), "qpart")
+    valid = vectors.where(F.col(quoted(vector_col)).isNotNull() & F.col(quoted(id_col)).isNotNull() & (F.size(quoted(vector_col)) > 0)).where(whole)
+    rows = lambda df: df.select(F.col(quoted(id_col)).cast("long").alias("id"), as_double.alias("v"))
+    cands = scratch.table(pack(rows(valid).withColumn("part", F.lit(None).cast("long")), cand_block, scale), "candidates")
+    asked = scratch.table(rows(valid.where(is_query)).groupBy("id").agg(F.min("v").alias("v")), "asked")
+    n_queries, n_blocks = asked.count(), cands.count()
+    if not n_queries:
+        return spark.createDataFrame([], f"query_id long, rank int, {quoted(id_col)} long, score long")
+    n_parts = -(-n_queries // query_block)
+    dealt = asked.withColumn("part", F.expr(f"pmod(xxhash64(id), {n_parts})")).repartition(min(n_parts, 4096), "part").sortWithinPartitions("part", "id")
+    queries = scratch.table(pack(dealt, query_block, scale), "queries")
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    n_groups = max(1, -(-n_blocks // group_blocks), min(n_blocks, -(-tasks // n_parts)))
+    block = ["ids", "columns", "kind"]
+    asking = queries.select("part", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"), F.lit(0).alias("side"), *block)
+    met = cands.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))).alias("part"), F.expr(f"cast(pmod(xxhash64(part), {n_groups}) as int)").alias("group"), F.lit(1).alias("side"), *block)
+    both = asking.unionByName(met).repartition(min(n_parts * n_groups, 65_536), "part", "group").sortWithinPartitions("part", "group", "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asks = None, []
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {name: batch.column(name)[row].as_buffer() for name in ("ids", "columns", "qids", "qcolumns")}
-                ids, qids = np.frombuffer(one["ids"], np.int64), np.frombuffer(one["qids"], np.int64)
-                q, c = np.frombuffer(one["qcolumns"]).reshape(-1, len(qids)), np.frombuffer(one["columns"]).reshape(-1, len(ids))
-                dims = min(len(q), len(c))
-                found = best_of_blocks(qids, q[:dims], ids, c[:dims], k, dim_block)
-                yield pa.record_batch({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "id", "score"), found, strict=True)})
-
-    near = paired.select("ids", "columns", "qids", "qcolumns").mapInArrow(search, "query_id long, id long, score long")
+                key = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
+                if key != now:
+                    yield from (a.best() for a in asks)
+                    now, asks = key, []
+                ids = np.frombuffer(batch.column(3)[row].as_buffer(), np.int64)
+                columns = np.frombuffer(batch.column(4)[row].as_buffer(), batch.column(5)[row].as_py()).reshape(-1, len(ids)).astype(np.float64)
+                if batch.column(2)[row].as_py():
+                    for ask in asks:
+                        ask.scan(ids, columns)
+                else:
+                    asks.append(QueryBlock(ids, columns, k, dim_block))
+        yield from (a.best() for a in asks)
+
+    near = both.mapInArrow(lean(search), "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = near.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
