@@ -11,15 +11,15 @@ Defined results: null texts and texts without a letter are `und` with score 0; w
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import row_chunks, text_buffer
+from doclens.llm.common import bound_batches, lean, quoted, row_chunks, text_buffer
 from doclens.llm.grams import STREAM, flag, gram_cells, sample_labelled
 
 #: Families of related languages, by code.
@@ -33,7 +33,7 @@ FAMILIES = {
     "indic": ("hi", "bn", "mr", "ur", "pa", "gu"),
 }
 SIZES, BITS = (2, 3), 11
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def family_of(lang: str, families: dict[str, tuple[str, ...]]) -> str:
@@ -170,7 +170,9 @@ def train(sample: DataFrame, families: dict[str, tuple[str, ...]]) -> Model | No
                 rows = [r.tobytes() for r in features_of(data, offsets)]
                 yield pa.record_batch({"lang": batch.column(1).slice(start, end - start), "x": pa.array(rows, pa.binary())})
 
-    rows = sample.select("text", "lang").mapInArrow(run, "lang string, x binary").collect()
+    rows = sample.select("text", "lang").mapInArrow(lean(run), "lang string, x binary").collect()
+    # the machines see the rows in one order, whatever files and tasks they came from
+    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     if not rows:
         return None
     return Model(np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in rows]), [r["lang"] for r in rows], families)
@@ -181,7 +183,8 @@ def identify_language(docs: DataFrame, train_fold: Column, id_col: str = "doc_id
 
     sample_rows: labelled rows that are fitted, at most about so many; chosen by the hash of the id.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    bound_batches(docs.sparkSession)
+    plain = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang"))
     known = plain.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & flag(train_fold))
     model = train(sample_labelled(known, sample_rows), FAMILIES if families is None else families)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -197,4 +200,4 @@ def identify_language(docs: DataFrame, train_fold: Column, id_col: str = "doc_id
                     lang[ok], score[ok] = pred[ok], sure[ok]
                 yield pa.record_batch({"id": batch.column(0).slice(start, end - start), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
 
-    return plain.select("id", "text").mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return plain.select("id", "text").mapInArrow(lean(run), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)

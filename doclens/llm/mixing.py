@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclens.llm.common import SPACE_CHARS, Scratch
+from doclens.llm.common import SPACE_CHARS, Scratch, quoted, whole
 
 #: Fractional part of the golden ratio in units of 2^-32, so that the points are exact in integers.
 GOLDEN = 2654435769
@@ -74,10 +74,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The documents of the mix, all columns: a row for each pass of the schedule that takes at least half of the words."""
-    taken = mix(docs, id_col, text_col, source_col, **settings).where("size > 0").select(F.col(id_col).alias("mix_id"), F.col("size").alias("mix_size"), F.expr("cast(floor(taken / size + 0.5) as int)").alias("mix_copies"))
+    taken = mix(docs, id_col, text_col, source_col, **settings).where("size > 0").select(F.col(quoted(id_col)).alias("mix_id"), F.col("size").alias("mix_size"), F.expr("cast(floor(taken / size + 0.5) as int)").alias("mix_copies"))
     # rows that repeat an id and a size are told apart by their turn
     turn = lambda order: F.row_number().over(Window.partitionBy("mix_id", "mix_size").orderBy(order))
-    numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("mix_id"), word_count(F.col(text_col)).alias("mix_size"), F.xxhash64(text_col).alias("mark")).withColumn("mix_turn", turn("mark"))
+    numbered = docs.select(whole(docs.columns).alias("doc"), F.col(quoted(id_col)).alias("mix_id"), word_count(F.col(quoted(text_col))).alias("mix_size"), F.xxhash64(F.col(quoted(text_col))).alias("mark")).withColumn("mix_turn", turn("mark"))
     taken = taken.withColumn("mix_turn", turn("mix_copies"))
     one, two = numbered.alias("d"), taken.alias("t")
     rows = one.join(two, F.col("d.mix_id").eqNullSafe(F.col("t.mix_id")) & (F.col("d.mix_size") == F.col("t.mix_size")) & (F.col("d.mix_turn") == F.col("t.mix_turn")))
@@ -88,7 +88,7 @@ def schedule(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     """sources (sid, target ...), slots (slot, sid, rank, block, take) in the order of the mix, and pieces of documents by block."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).isNull().alias("null_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).isNull().alias("null_source"), F.coalesce(F.col(quoted(source_col)).cast("string"), F.lit("")).alias("source"), word_count(F.col(quoted(text_col))).alias("size"))
     sized = scratch.table(sized, "sized")
     sizes = sized.groupBy("null_source", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     goal = targets(sizes.drop("n_rows"), weights, share, cap)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import LOWER, row_chunks, text_buffer
+from doclens.llm.common import LOWER, bound_batches, lean, quoted, row_chunks, text_buffer
 
 
 @dataclass(frozen=True)
@@ -199,7 +199,7 @@ class Scanner:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple[Rule, ...] = BASE, extra: tuple[Rule, ...] = EXTRA) -> DataFrame:
     """Per row: id, a count per base rule (n_<kind>), base_sha256, spans."""
     kinds = [r.kind for r in (*base, *extra)]
-    schema = f"{id_col} long, {', '.join(f'n_{r.kind} long' for r in base)}, base_sha256 string, spans string"
+    schema = f"{quoted(id_col)} long, {', '.join(f'n_{r.kind} long' for r in base)}, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner((*base, *extra))
@@ -226,4 +226,5 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     names=[id_col, *(f"n_{r.kind}" for r in base), "base_sha256", "spans"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias(id_col), F.col(quoted(text_col)).alias("text")).mapInArrow(lean(run), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import BLOCK_SCHEMA, block_rows, gather_blocks, row_chunks, sum_blocks, text_buffer
+from doclens.llm.common import BLOCK_SCHEMA, block_rows, bound_batches, gather_blocks, lean, quoted, row_chunks, sum_blocks, text_buffer
 from doclens.llm.grams import STREAM, flag, gram_cells, labels_of, sample_labelled
 
 SIZES = (4, 5, 6)
@@ -73,7 +73,7 @@ def class_counts(texts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
                     counts[cells.astype(np.int64) + (int(y[start + row]) << bits)] += 1
         yield from block_rows(counts, BLOCK)
 
-    summed = gather_blocks(sum_blocks(texts.select("text", "y").mapInArrow(run, BLOCK_SCHEMA), np.int32), 2 << bits, BLOCK, np.int32)
+    summed = gather_blocks(sum_blocks(texts.select("text", "y").mapInArrow(lean(run), BLOCK_SCHEMA), np.int32), 2 << bits, BLOCK, np.int32)
     return summed[: 1 << bits].astype(float), summed[1 << bits :].astype(float)
 
 
@@ -154,7 +154,7 @@ def train(texts: DataFrame, bits: int, features: int, penalty: float) -> Model:
                 own = [x.astype(np.uint16).tobytes() for x in np.split(found, cuts)]
                 yield pa.record_batch({"y": batch.column(1).slice(start, end - start), "hits": pa.array(own, pa.binary())})
 
-    sample = texts.select("text", "y").mapInArrow(run, "y int, hits binary").collect()
+    sample = texts.select("text", "y").mapInArrow(lean(run), "y int, hits binary").collect()
     found = [np.frombuffer(bytes(r["hits"]), np.uint16) for r in sample]
     y = np.array([r["y"] for r in sample], float)
     rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in found])
@@ -170,7 +170,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_fold: Column, id_co
     sample_rows: labelled rows that are fitted, at most about so many; chosen by the hash of the id.
     features: the best n-grams that are kept though they are not significant.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    bound_batches(docs.sparkSession)
+    plain = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     usable = sample_labelled(labels_of(labels, id_col, label_col).where(flag(train_fold)), sample_rows)
     # the sample is bounded by sample_rows, so it may be broadcast
     model = train(plain.join(F.broadcast(usable), "id").select("id", "text", "y"), bits, features, penalty)
@@ -181,4 +182,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_fold: Column, id_co
             for start, end, data, offsets in chunks(batch, 1):
                 yield pa.record_batch({"id": batch.column(0).slice(start, end - start), "score": pa.array(shared.value.scores(data, offsets))})
 
-    return plain.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(lean(run), "id long, score double").withColumnRenamed("id", id_col)
