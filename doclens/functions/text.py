@@ -23,6 +23,22 @@ def utf16_len(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
 
 
+def low_half(utf16: Column, at: Column) -> Column:
+    """Whether the UTF-16LE unit at a place is the second half of a character of two units."""
+    return F.coalesce(F.hex(F.substring(utf16, 2 * at + 2, F.lit(1))).between("DC", "DF"), F.lit(False))
+
+
+def utf16_slice(text: Column, start: Column, end: Column) -> Column:
+    """The text from one UTF-16 offset to another; a character of two units belongs where its first one lies."""
+
+    def cut(utf16: Column) -> Column:
+        first, last = start + low_half(utf16, start).cast("int"), end + low_half(utf16, end).cast("int")
+        wide = F.decode(F.substring(utf16, 2 * first + 1, 2 * (last - first)), "UTF-16LE")
+        return F.when(F.octet_length(utf16) == 2 * F.length(text), F.substring(text, start + 1, end - start)).otherwise(wide)
+
+    return let(F.encode(text, "UTF-16LE"), cut)
+
+
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C; there is no built-in for it."""

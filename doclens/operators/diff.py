@@ -27,12 +27,19 @@ def units(text: str) -> int:
     return len(text.encode("utf-16-le")) // 2
 
 
+def shares(text: str) -> tuple[int, dict[str, int]]:
+    """Units of a text, and of each of its tokens, repeats counted."""
+    return units(text), {t: n * units(t) for t, n in Counter(tokens(text)).items()}
+
+
+def shared(a: tuple[int, dict[str, int]], b: tuple[int, dict[str, int]]) -> float:
+    small, large = sorted((a[1], b[1]), key=len)
+    return sum(min(n, large.get(t, 0)) for t, n in small.items()) / max(a[0], b[0])
+
+
 def similarity(a: str, b: str) -> float:
     """Shared tokens by length over the longer text, 0 to 1."""
-    if a == b:
-        return 1.0
-    ca, cb = Counter(tokens(a)), Counter(tokens(b))
-    return sum(min(n, cb[t]) * units(t) for t, n in ca.items()) / max(units(a), units(b))
+    return 1.0 if a == b else shared(shares(a), shares(b))
 
 
 def token_similarity(pairs: DataFrame, split: str = r"(?<= )|(?= )") -> DataFrame:
@@ -140,13 +147,40 @@ def text_diff(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def pair_hunk(removed: list[tuple[str, str]], inserted: list[tuple[str, str]]) -> dict[int, int]:
-    """inserted position -> removed position of blocks (type, text) that are one block edited."""
-    scored = [(-s, abs(i - j), i, j) for i, (t, x) in enumerate(removed) for j, (u, y) in enumerate(inserted) if t == u and (s := similarity(x, y)) >= ALIKE]
+    """inserted position -> removed position of blocks (type, text) that are one block edited.
+
+    Blocks meet through a token that both have, never by type alone; each text is cut into tokens once.
+    """
+    old, new = [shares(x) for _, x in removed], [shares(y) for _, y in inserted]
+    holders: dict[tuple[str, str], list[int]] = {}
+    for j, ((kind, _), (_, own)) in enumerate(zip(inserted, new, strict=True)):
+        for t in own:
+            holders.setdefault((kind, t), []).append(j)
+    scored = []
+    for i, ((kind, text), one) in enumerate(zip(removed, old, strict=True)):
+        if not text:  # equals every empty block, and shares no token
+            met = {j for j, (u, y) in enumerate(inserted) if u == kind and not y}
+        else:
+            # half of the longer text is shared, so some token outside any half of this text is; the rarest go first
+            met, left = set(), one[0]
+            for t in sorted(one[1], key=lambda t: len(holders.get((kind, t), ()))):  # noqa: B023
+                if left < ALIKE * one[0]:
+                    break
+                met.update(holders.get((kind, t), ()))
+                left -= one[1][t]
+        for j in met:
+            two = new[j]
+            if min(one[0], two[0]) >= ALIKE * max(one[0], two[0]):
+                s = 1.0 if text == inserted[j][1] else shared(one, two)
+                if s >= ALIKE:
+                    scored.append((-s, abs(i - j), i, j))
     pairs: dict[int, int] = {}
-    for _, _, i, j in sorted(scored, key=lambda z: z[:2]):
-        if j not in pairs and i not in pairs.values():
+    taken: set[int] = set()
+    for _, _, i, j in sorted(scored):
+        if j not in pairs and i not in taken:
             pairs[j] = i
-    rest_i, rest_j = [i for i in range(len(removed)) if i not in pairs.values()], [j for j in range(len(inserted)) if j not in pairs]
+            taken.add(i)
+    rest_i, rest_j = [i for i in range(len(removed)) if i not in taken], [j for j in range(len(inserted)) if j not in pairs]
     if len(rest_i) == len(rest_j) == 1 and removed[rest_i[0]][0] == inserted[rest_j[0]][0]:
         pairs[rest_j[0]] = rest_i[0]
     return pairs
@@ -160,7 +194,8 @@ def diff_level(base: list[tuple[str, str]], nxt: list[tuple[str, str]]) -> list[
 
     def flush() -> None:
         pairs = pair_hunk([base[i] for i in removed], [nxt[j] for j in inserted])
-        ops.extend(("delete", i, None) for n, i in enumerate(removed) if n not in pairs.values())
+        stay = set(pairs.values())
+        ops.extend(("delete", i, None) for n, i in enumerate(removed) if n not in stay)
         ops.extend(("update", removed[pairs[n]], j) if n in pairs else ("insert", None, j) for n, j in enumerate(inserted))
         removed.clear()
         inserted.clear()

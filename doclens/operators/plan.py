@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.paths import asset_document, is_read_only, is_sidecar
+from doclens.functions.text import let, low_half, utf16_slice
+from doclens.operators.lineage import cut
 from doclens.operators.snapshot import assign_roots
 
 
@@ -88,10 +90,21 @@ def append_chunks(blocks: DataFrame, key: str, order: str, size: int = 100) -> D
 
 
 def split_runs(runs: DataFrame, size: int = 2000, text: str = "text") -> DataFrame:
-    """Runs longer than a request may hold as pieces of at most `size` characters: piece, text."""
-    at = F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - 1) / size), F.lit(0)))
-    pieces = F.transform(at, lambda k: F.substring(F.col(text), (k * size + 1).cast("int"), F.lit(size)))
-    return runs.select(*(c for c in runs.columns if c != text), F.posexplode(pieces).alias("piece", text))
+    """Runs longer than a request may hold as pieces of at most `size` UTF-16 units: piece, text.
+
+    Where a cut would fall inside a character of two units, the run's cuts are a unit closer, and such a character goes
+    whole to the piece before or behind.
+    """
+
+    def pieces(utf16: Column) -> Column:
+        n = (F.octet_length(utf16) / 2).cast("int")
+        cuts = lambda step: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / step), F.lit(0)).cast("int")), lambda k: k * step)
+        split = F.exists(cuts(size), lambda at: low_half(utf16, at))
+        cut = lambda step: F.transform(cuts(step), lambda at: utf16_slice(F.col(text), at, F.least(at + step, n)))
+        plain = F.octet_length(utf16) == 2 * F.length(text)
+        return F.when(plain, F.transform(cuts(size), lambda at: F.substring(F.col(text), at + 1, F.lit(size)))).when(split, cut(size - 1)).otherwise(cut(size))
+
+    return runs.select(*(c for c in runs.columns if c != text), F.posexplode(let(F.encode(text, "UTF-16LE"), pieces)).alias("piece", text))
 
 
 def orphaned_links(links: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -131,14 +144,26 @@ def longest_folder(paths: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def is_ancestor(commits: DataFrame, ancestor: str, descendant: str) -> bool:
-    """Whether a commit is reached from another by parents: commits (commit, parent)."""
-    view = f"commits_{id(commits)}"
-    commits.createOrReplaceTempView(view)
-    found = commits.sparkSession.sql(
-        f"WITH RECURSIVE up(c) AS (SELECT :d UNION ALL SELECT k.parent FROM up JOIN {view} k ON k.commit = up.c WHERE k.parent IS NOT NULL) SELECT 1 FROM up WHERE c = :a",
-        args={"a": ancestor, "d": descendant},
-    )
-    return not found.isEmpty()
+    """Whether a commit is reached from another by parents: commits (commit, parent).
+
+    A job for each doubling of the distance: links between ever farther ancestors are joined with themselves, so that a
+    history of any length takes few of them.
+    """
+    if ancestor == descendant:
+        return True
+    edges = commits.where("parent is not null").select(F.col("commit").alias("low"), F.col("parent").alias("high")).distinct()
+    links, reached = edges, commits.sparkSession.createDataFrame([(descendant,)], "low string")
+    seen = 1
+    while True:
+        step = reached.join(links, "low").select(F.col("high").alias("low"))
+        reached = cut(reached.unionByName(step).distinct())
+        n = reached.count()
+        if not reached.where(F.col("low") == ancestor).isEmpty():
+            return True
+        if n == seen:
+            return False
+        seen = n
+        links = cut(links.unionByName(links.alias("a").join(links.alias("b"), F.col("a.high") == F.col("b.low")).select("a.low", "b.high")).distinct())
 
 
 def push_report(actions: DataFrame) -> DataFrame:

@@ -39,16 +39,16 @@ def changes_and_gone(current: DataFrame, previous: DataFrame, columns: list[str]
 def assign_roots(paths: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
     """paths with root_ord and root_path of the first root that claims them, null for none.
 
-    An equality join on the prefixes of a path, so roots need not be few; roots: root_ord, root_path.
+    An equality join on the prefixes of a path, so roots need not be few; a root depends on the path alone, so each
+    different path is looked up once. roots: root_ord, root_path.
     """
     own = roots.select("root_ord", "root_path", F.explode(F.array_distinct(F.array(territory_of(F.col("root_path")), F.col("root_path")))).alias("_claim"), territory_of(F.col("root_path")).alias("_territory"))
-    parts = F.split(F.col(path), "/")
-    keyed = paths.withColumn("_row", F.monotonically_increasing_id())
+    parts = F.split("_path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    claims = keyed.select("_row", F.col(path).alias("_path"), F.explode(prefixes).alias("_claim")).join(own, "_claim")
+    claims = paths.select(F.col(path).alias("_path")).distinct().select("_path", F.explode(prefixes).alias("_claim")).join(own, "_claim")
     claims = claims.where((F.col("_claim") == F.col("_territory")) | (F.col("_path") == F.col("_claim")))
-    first = claims.groupBy("_row").agg(F.min(F.struct("root_ord", "root_path")).alias("_first"))
-    return keyed.join(first, "_row", "left").select(*paths.columns, F.col("_first.root_ord").alias("root_ord"), F.col("_first.root_path").alias("root_path"))
+    first = claims.groupBy("_path").agg(F.min(F.struct("root_ord", "root_path")).alias("_first"))
+    return paths.join(first, paths[path] == first["_path"], "left").select(*paths.columns, F.col("_first.root_ord").alias("root_ord"), F.col("_first.root_path").alias("root_path"))
 
 
 def carried_over(tree: DataFrame, roots: DataFrame) -> DataFrame:
@@ -112,10 +112,10 @@ def implied_folders(paths: DataFrame, existing: DataFrame, path: str = "path") -
 
 
 def commit_snapshot(previous: DataFrame | None, current: DataFrame, folder: str, snapshot_id: int) -> bool:
-    """Write current as partition snapshot_id of the table in `folder` unless it equals previous; says whether it did."""
+    """Write current as snapshot `snapshot_id` of the table in `folder` unless it equals previous; says whether it did."""
     if previous is not None and same_tree(previous, current):
         return False
-    current.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy("snapshot_id").parquet(folder)
+    current.write.mode("overwrite").parquet(f"{folder}/snapshot_id={snapshot_id}")
     return True
 
 

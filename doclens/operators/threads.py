@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclens.functions.text import decode_entities, minute, quoted, utf16_len
+from doclens.functions.text import decode_entities, minute, quoted, utf16_len, utf16_slice
 
 
 def open_entries(comments: DataFrame) -> DataFrame:
@@ -45,14 +45,14 @@ def sidecars(threads: DataFrame, document: str, fetched: str) -> DataFrame:
 def anchored_text(anchors: DataFrame, runs: DataFrame) -> DataFrame:
     """The text that an anchor's ranges cover and where it starts: an overlap join within a document.
 
-    anchors: doc_id, anchor_id, start, end. runs: doc_id, start, end, at, text.
+    anchors: doc_id, anchor_id, start, end. runs: doc_id, start, end, at, text. All offsets are UTF-16 units.
     """
     a, r = anchors.alias("a"), runs.alias("r")
     col = F.col
     met = a.join(r, (col("a.doc_id") == col("r.doc_id")) & (col("r.start") < col("a.end")) & (col("a.start") < col("r.end")))
     low = F.greatest("a.start", "r.start") - col("r.start")
     high = F.least("a.end", "r.end") - col("r.start")
-    piece = met.select("a.doc_id", "a.anchor_id", col("a.start").alias("from"), col("r.start").alias("run"), (col("r.at") + low).alias("at"), F.substring("r.text", low + 1, high - low).alias("text"))
+    piece = met.select("a.doc_id", "a.anchor_id", col("a.start").alias("from"), col("r.start").alias("run"), (col("r.at") + low).alias("at"), utf16_slice(col("r.text"), low.cast("int"), high.cast("int")).alias("text"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from", "run", "text"))), lambda x: x["text"]), "")
     return piece.groupBy("doc_id", "anchor_id").agg(joined.alias("quote"), F.min_by("at", F.struct("from", "run")).alias("at")).where(F.trim("quote") != "")
 

@@ -9,25 +9,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.text import wall_stamp
+from doclens.operators.lineage import cut
 
 
-def walk(nodes: DataFrame, ignored: DataFrame | None = None, most_depth: int = 100) -> DataFrame:
-    """id, depth, path, order of every node under the roots (null parent); ignored nodes are not descended.
+def walk(nodes: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
+    """id, depth, path, sort of every node under the roots (null parent); ignored nodes are not descended.
 
-    nodes: id, parent_id, ord, name. A level is one join; levels end when no node is left.
+    nodes: id, parent_id, ord, name. Each round joins what a node knows of its ancestors with what the highest of these
+    knows of its own, so that the rounds grow with the logarithm of the depth; they end when no further node has reached
+    its root. Neither depth nor size has a limit. `sort` orders nodes before their children, siblings by ord.
     """
     keep = nodes if ignored is None else nodes.join(ignored.select("id"), "id", "left_anti")
-    keep = keep.select("id", "parent_id", "ord", "name")
-    view = f"walk_{id(nodes)}"
-    keep.createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE down(id, depth, path, sort) MAX RECURSION LEVEL {most_depth} AS (
-              SELECT id, 0, name, lpad(cast(ord AS string), 10, '0') FROM {view} WHERE parent_id IS NULL
-              UNION ALL
-              SELECT n.id, d.depth + 1, concat(d.path, '/', n.name), concat(d.sort, '/', lpad(cast(n.ord AS string), 10, '0'))
-              FROM down d JOIN {view} n ON n.parent_id = d.id)
-            SELECT * FROM down"""
-    )
+    place = F.lpad(F.col("ord").cast("string"), 10, "0")
+    state = keep.select("id", F.col("parent_id").alias("above"), F.lit(0).alias("depth"), F.col("name").alias("path"), place.alias("sort"))
+    before = None
+    while True:
+        state = cut(state)
+        rooted, reached = state.where("above is null"), state.where("above is null").count()
+        if reached == before:
+            return rooted.drop("above")
+        before = reached
+        up = state.select(F.col("id").alias("above"), F.col("above").alias("next"), *(F.col(c).alias(f"{c}_up") for c in ("depth", "path", "sort")))
+        joined = lambda c: F.concat(f"{c}_up", F.lit("/"), c).alias(c)
+        climbed = state.join(up, "above").select("id", F.col("next").alias("above"), (F.col("depth") + F.col("depth_up") + 1).alias("depth"), joined("path"), joined("sort"))
+        state = rooted.unionByName(climbed)
 
 
 def kind_of(mime: Column) -> Column:
@@ -53,16 +58,25 @@ def child_counts(nodes: DataFrame) -> DataFrame:
 
 
 def ignored_refs(walked: DataFrame, nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """Nodes that are ignored by reference: they or an ancestor are named; roots never are."""
-    edges = nodes.select("id", "parent_id")
-    hit = edges.join(refs, "id", "left_semi").where("parent_id is not null").select("id")
-    all_hit, front = hit, hit
-    for _ in range(100):
-        front = edges.join(front.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id")
-        if front.isEmpty():
-            return all_hit.distinct().join(walked.select("id"), "id", "left_semi")
-        all_hit = all_hit.unionByName(front)
-    raise ValueError("the tree has a cycle")
+    """Nodes that are ignored by reference: they or an ancestor are named; roots never are.
+
+    Rounds as in walk(): a node takes over whether the highest ancestor it knows, or one above that, is named.
+    """
+    named = refs.select("id").distinct().withColumn("named", F.lit(True))
+    hit = F.coalesce("named", F.lit(False)) & F.col("parent_id").isNotNull()
+    state = nodes.select("id", "parent_id").join(named, "id", "left").select("id", F.col("parent_id").alias("above"), hit.alias("hit"))
+    before = None
+    while True:
+        state = cut(state)
+        climbing = state.where("above is not null").count()
+        if not climbing:
+            return state.where("hit").select("id").distinct().join(walked.select("id"), "id", "left_semi")
+        if climbing == before:
+            raise ValueError("the tree has a cycle")
+        before = climbing
+        up = state.select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("hit").alias("hit_up"))
+        climbed = state.where("above is not null").join(up, "above", "left").select("id", F.col("next").alias("above"), (F.col("hit") | F.coalesce("hit_up", F.lit(False))).alias("hit"))
+        state = state.where("above is null").unionByName(climbed)
 
 
 def glob_pattern(glob: str) -> str:

@@ -36,7 +36,7 @@ class Workspace:
     def add(self, specs: DataFrame, objects: DataFrame) -> tuple[Workspace, DataFrame]:
         """The workspace with the roots that can be added, and the problems of all specs; with a problem nothing is added."""
         resolved = self.resolve(specs, objects)
-        first = (self.roots.agg(F.max("root_ord")).first()[0] or -1) + 1 if not self.roots.isEmpty() else 0
+        first = self.roots.agg(F.coalesce(F.max("root_ord") + 1, F.lit(0))).first()[0]
         fresh = resolved.where("problem is null").select((F.col("ord") + first).cast("int").alias("root_ord"), "source", "id", "root_path", "read_only", "suggest")
         joined = self.roots.select(ROOTS).unionByName(fresh)
         clashes = snapshot.root_overlaps(joined).join(fresh, "root_ord", "left_semi").select(F.concat(F.lit("root "), F.col("root_ord").cast("string")).alias("spec"), F.concat(F.lit("overlaps root "), F.col("other_ord").cast("string")).alias("problem"))

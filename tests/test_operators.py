@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from doclens.operators import blocks, diff, naming, plan, runs, snapshot, threads, tree
 from doclens.plans import queries
 from doclens.sources import readers
-from doclens.streaming.incremental import fold_listings, latest
+from doclens.streaming.incremental import fold_listings, latest, numbers
 
 WORDS = st.lists(st.sampled_from(["a", "b", "c", "💡", "Two.", "e\u0301"]), max_size=12).map(" ".join)
 
@@ -249,3 +249,74 @@ def test_sidecar_equal_query_compares_whole_texts(spark, tmp_path):
     found = queries.sidecar_equal(spark, str(tmp_path))
     assert {r["doc_id"]: r["same"] for r in found.collect()} == {n: n % 4 != 0 if n < 8 else None for n in range(9)}
     assert "left(" not in found._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_anchors_cut_by_utf16_units(spark):
+    """Offsets count a character beyond the basic plane twice; a cut inside one leaves it where it starts."""
+    runs = spark.createDataFrame([(1, 0, 6, 0, "💡abcd"), (1, 6, 10, 6, "é💡x")], "doc_id long, start int, end int, at int, text string")
+    anchors = spark.createDataFrame([(1, "a", 2, 4), (1, "b", 0, 2), (1, "c", 1, 3), (1, "d", 5, 8), (1, "e", 8, 10)], "doc_id long, anchor_id string, start int, end int")
+    found = {r["anchor_id"]: (r["quote"], r["at"]) for r in threads.anchored_text(anchors, runs).collect()}
+    assert found == {"a": ("ab", 2), "b": ("💡", 0), "c": ("a", 1), "d": ("dé💡", 5), "e": ("x", 8)}
+
+
+@pytest.mark.parametrize("text", ["", "ab", "abcdefghijk", "💡" * 9, "abc💡" * 5, "abcd💡", "💡abcd💡", "a💡" * 7])
+def test_pieces_of_runs_hold_so_many_units(spark, text):
+    made = plan.split_runs(spark.createDataFrame([(1, text)], "id long, text string"), 5).orderBy("piece").collect()
+    pieces = [r["text"] for r in made]
+    units = [len(p.encode("utf-16-le")) // 2 for p in pieces]
+    assert "".join(pieces) == text and max(units) <= 5
+    raw = text.encode("utf-16-le")
+    plain = [raw[k : k + 10] for k in range(0, max(len(raw), 1), 10)]
+    if not any(p[-1:] and 0xD8 <= p[-1] <= 0xDB for p in plain):  # no cut inside a character: the plain cuts
+        assert pieces == [p.decode("utf-16-le") for p in plain]
+
+
+def test_deep_trees_and_long_histories(spark):
+    n = 130
+    nodes = spark.createDataFrame([(str(k), str(k - 1) if k else None, 0, "n") for k in range(n)], "id string, parent_id string, ord int, name string")
+    found = {r["id"]: r["depth"] for r in tree.walk(nodes).collect()}
+    assert found == {str(k): k for k in range(n)}
+    commits = spark.createDataFrame([(f"c{k}", f"c{k - 1}" if k else None) for k in range(n)] + [("side", "c3")], "commit string, parent string")
+    assert plan.is_ancestor(commits, "c0", f"c{n - 1}")
+    assert not plan.is_ancestor(commits, "side", f"c{n - 1}")
+    assert not plan.is_ancestor(commits, "c5", "c4")
+
+
+def test_roots_of_repeated_and_null_paths(spark):
+    paths = spark.createDataFrame([("a/b.md", 1), ("a/b.md", 2), (None, 3), ("z/y.md", 4), ("a.md", 5)], "path string, n int").repartition(3)
+    roots = spark.createDataFrame([(0, "a/b.md"), (1, "a/"), (2, "a.md")], "root_ord int, root_path string")
+    found = {r["n"]: r["root_ord"] for r in snapshot.assign_roots(paths, roots).collect()}
+    assert found == {1: 0, 2: 0, 3: None, 4: None, 5: 2}
+
+
+def test_a_new_stream_appends_and_a_batch_replaces_its_own(spark, tmp_path):
+    source, folder, schema = tmp_path / "in", str(tmp_path / "out"), "path string, sha string"
+    run = lambda check: fold_listings(spark.readStream.schema(schema).json(str(source)), folder, str(tmp_path / check)).awaitTermination()
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source))
+    put(("a", "1"), ("b", "1"))
+    run("one")
+    put(("a", "2"))
+    run("one")
+    assert numbers(spark, folder) == [0, 1]
+    put(("b", None), ("c", "1"))  # b is gone
+    run("two")  # a new checkpoint reads all files again, in one batch
+    assert numbers(spark, folder) == [0, 1, 2]
+    assert {r["path"] for r in latest(spark, folder).collect()} >= {"a", "c"}
+    assert {tuple(r) for r in latest(spark, folder, 2).collect()} == {("a", "2"), ("b", "1")}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_hunks_pair_as_all_pairs_would(seed):
+    """Against the similarity of every removed with every inserted block."""
+    rng = random.Random(seed)
+    block = lambda: (rng.choice("pq"), " ".join(rng.choice(["a", "bb", "ccc", "dddd", "e", ""]) for _ in range(rng.randint(0, 6))))
+    removed, inserted = [block() for _ in range(rng.randint(0, 14))], [block() for _ in range(rng.randint(0, 14))]
+    scored = sorted((-s, abs(i - j), i, j) for i, (t, x) in enumerate(removed) for j, (u, y) in enumerate(inserted) if t == u and (s := diff.similarity(x, y)) >= 0.5)
+    pairs = {}
+    for _, _, i, j in scored:
+        if j not in pairs and i not in pairs.values():
+            pairs[j] = i
+    left_i, left_j = [i for i in range(len(removed)) if i not in pairs.values()], [j for j in range(len(inserted)) if j not in pairs]
+    if len(left_i) == len(left_j) == 1 and removed[left_i[0]][0] == inserted[left_j[0]][0]:
+        pairs[left_j[0]] = left_i[0]
+    assert diff.pair_hunk(removed, inserted) == pairs

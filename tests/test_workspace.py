@@ -51,3 +51,14 @@ def test_assets(spark):
     assert {r["path"] for r in assets.carry_over(spark.createDataFrame([("d1",)], "id string"), index).collect()} == {"d.md", "d.assets/i", "d/t.md"}
     made = assets.assets_of(spark.createDataFrame([("d1", "d.assets/new")], "document string, path string"), index, spark.createDataFrame([("d.assets/i",)], "path string"))
     assert [r["assets"] for r in made.collect()] == [["d.assets/new"]]
+
+
+def test_roots_are_numbered_on(spark):
+    """Three additions, one root each: numbers 0, 1, 2."""
+    objects = spark.createDataFrame([("gdocs", f"{k}" * 30, f"T{k}", True, None) for k in range(3)], "source string, id string, title string, container boolean, ext string")
+    work = Workspace.create(spark)
+    for k in range(3):
+        specs = spark.createDataFrame([(0, f"gdocs:{str(k) * 30}", False, False)], "ord int, spec string, read_only boolean, suggest boolean")
+        work, problems = work.add(specs, objects)
+        assert problems.isEmpty()
+    assert sorted(r["root_ord"] for r in work.roots.collect()) == [0, 1, 2]
