@@ -148,4 +148,19 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5""",
+    # kinds in the contract's order, then the further ones; positions follow from the pieces between the matches
+    "op10_scan_secrets": r"""
+WITH r AS (SELECT * FROM (VALUES
+  (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'), (3, 'private_key', '-----BEGIN [A-Z ]*PRIVATE KEY-----'),
+  (4, 'bearer', 'Bearer [A-Za-z0-9._~+/-]{20,}=*'), (5, 'jwt', 'eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}')) t(k, kind, pattern)),
+d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT n, k, kind, pattern, regexp_extract_all(text, pattern) AS hits, string_split_regex(text, pattern) AS rest FROM d, r),
+e AS (SELECT n, k, kind, pattern, unnest(hits) AS hit, unnest(rest[:len(hits)]) AS before, generate_subscripts(hits, 1) AS i FROM m),
+s AS (SELECT n, k, kind, pattern, hit, sum(length(before) + length(hit)) OVER (PARTITION BY n, k ORDER BY i) AS stop FROM e),
+h AS (SELECT n, k, kind, stop - length(hit) AS start, concat(kind, ':', stop - length(hit), ':', stop) AS span FROM s
+  WHERE CASE k WHEN 0 THEN length(regexp_extract(hit, pattern, 2)) >= 6 WHEN 1 THEN length(hit) >= 20 WHEN 2 THEN length(hit) >= 24 ELSE true END)
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, k), '') AS spans
+FROM d LEFT JOIN h USING (n) GROUP BY n, doc_id""",
 }

@@ -4,11 +4,13 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
-from doclens.llm.exact_dedup import Memtable, exact_dedup, keep_first
+from doclens.llm import common, exact_dedup as dedup_module, ngram_join
+from doclens.llm.common import Bloom, Scratch
+from doclens.llm.exact_dedup import Memtable, compact, exact_dedup, flush_runs, keep_first, digest_of, partnered
 from doclens.llm.ngram_join import Join, connected_components, keep_representatives
-from doclens.llm.common import Scratch
 
 
 def test_memtable_flushes_sorted_runs():
@@ -20,6 +22,26 @@ def test_memtable_flushes_sorted_runs():
     assert [r["digest"][:1] for r in run] == [b"a", b"b"]
     assert (run[1]["id"], run[1]["n_points"], run[1]["members"]) == (10, 4, 3)
     assert not table.entries
+    assert run[1]["filter"] is None
+    assert Bloom.from_bytes(run[0]["filter"]).hit(np.array([r["key"] for r in run], np.int64)).all()
+
+
+def test_compaction_by_levels(spark):
+    """Runs of seven digests, merged three at a time: several levels, the same index; unique entries stay behind."""
+    rng = random.Random(5)
+    rows = [(i, f"text {rng.randint(0, 150)}" + " " * rng.randint(0, 2)) for i in range(260)]
+    d = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    scratch = Scratch(spark, "t")
+    runs = scratch.table(flush_runs(d, "id", "text", 7, digest_of), "runs")
+    assert runs.where("filter is not null").count() > 27
+    assert partnered(runs).count() < runs.count()
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text.replace(" ", ""), []).append((-len(text), i))
+    expected = sorted((min(g)[1], -min(g)[0], len(g)) for g in groups.values() if len(g) > 1)
+    for fan_in, range_rows in ((3, 20), (1000, 1000)):
+        found = compact(runs, scratch, fan_in, range_rows).collect()
+        assert sorted((r["best_id"], r["best_points"], r["members"]) for r in found) == expected
 
 
 def expected_dedup(rows):
@@ -29,9 +51,12 @@ def expected_dedup(rows):
     return {id_: (min(g)[1], len(g), min(g)[1] == id_) for g in groups.values() for _, id_ in g}
 
 
-@pytest.mark.parametrize("bits", [None, 1, 0])
-def test_dedup_verifies_bytes(spark, bits):
-    """bits: digests cut to that many bytes, so that different texts collide."""
+@pytest.mark.parametrize(("bits", "small"), [(None, False), (1, False), (0, False), (None, True)])
+def test_dedup_verifies_bytes(spark, monkeypatch, bits, small):
+    """bits: digests cut to that many bytes, so that different texts collide. small: nothing is sent to every task."""
+    if small:
+        monkeypatch.setattr(common, "BLOOM_MOST_KEYS", 0)
+        monkeypatch.setattr(dedup_module, "BROADCAST_ENTRIES", 0)
     rng = random.Random(4)
     rows = [(i, None if rng.random() < 0.1 else "".join(rng.choice("ab \n") for _ in range(rng.randint(0, 4)))) for i in range(200)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -73,15 +98,15 @@ def brute(rows, n, num):
     return sets, links, {i: top(i) for i in sets}
 
 
-@pytest.mark.parametrize(("seed", "n", "num", "bits"), [(1, 3, 90, 22), (2, 2, 80, 6), (3, 1, 60, 4)])
-def test_components_and_links_equal_brute_force(spark, seed, n, num, bits):
+@pytest.mark.parametrize(("seed", "n", "num"), [(1, 3, 90), (2, 2, 80), (3, 1, 60)])
+def test_components_and_links_equal_brute_force(spark, seed, n, num):
     rows = near_copies(seed)
     sets, links, components = brute(rows, n, num)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = Join(d, n, num, 100, sketch_bits=max(bits, 14)).components().collect()
+    found = Join(d, n, num, 100).components().collect()
     assert {r["id"]: r["component_id"] for r in found} == components
     assert {r["id"]: r["size"] for r in found} == {i: len(s) for i, s in sets.items()}
-    every = Join(d, n, num, 100, sketch_bits=14, spanning=False)
+    every = Join(d, n, num, 100, fragments=3, spanning=False)
     class_of = {r["id"]: r["class_id"] for r in every.classes().collect()}
     got = {(r["a"], r["b"]) for r in every.links().collect()}
     assert got == {tuple(sorted((class_of[a], class_of[b]))) for a, b in links if class_of[a] != class_of[b]}
@@ -89,6 +114,18 @@ def test_components_and_links_equal_brute_force(spark, seed, n, num, bits):
     assert kept == {i for i, c in components.items() if i == c}
 
 
+def test_components_beyond_the_broadcasts(spark, monkeypatch):
+    """The same where classes, pairs and filters are too many to be sent to every task, and a class has too many pairs."""
+    rows = near_copies(4)
+    expected = brute(rows, 2, 80)[2]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name in ("BROADCAST_CLASSES", "BROADCAST_PAIRS", "SALT_PAIRS"):
+        monkeypatch.setattr(ngram_join, name, 2 if name == "SALT_PAIRS" else 0)
+    assert {r["id"]: r["component_id"] for r in Join(d, 2, 80, 100).components().collect()} == expected
+    monkeypatch.setattr(common, "BLOOM_MOST_KEYS", 0)
+    assert {r["id"]: r["component_id"] for r in Join(d, 2, 80, 100).components().collect()} == expected
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + k) for k in range(1, 30)] + [(205, 200)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}

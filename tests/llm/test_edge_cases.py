@@ -3,11 +3,12 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from doclens.llm import queries
-from doclens.llm.common import crc_fold
+from doclens.llm.common import crc_fold, shared_dir, words_of
 from doclens.llm.exact_dedup import exact_dedup, keep_first
 from doclens.llm.language import identify_language
 from doclens.llm.mixing import mix, mixed_documents
@@ -36,7 +37,7 @@ ROWS = [
     (None, None, None, None),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
-CLASHING = ["id", "key", "size", "start", "c", "gram", "n", "sid", "bucket", "label", "y", "score", "block", "r", "mix_turn", "mix_id", "kept_id", "gone_id"]
+CLASHING = ["with.dot", "with`tick", "id", "key", "size", "start", "c", "gram", "n", "sid", "bucket", "label", "y", "score", "block", "r", "mix_turn", "mix_id", "kept_id", "gone_id"]
 
 
 def fold():
@@ -61,7 +62,7 @@ OPERATORS = {
     "mix": (lambda s, d: mix(d), len(ROWS)),
     "quality": (lambda s, d: score_quality(d, labels(s), fold(), fold()), len(ROWS)),
     "secrets": (lambda s, d: scan_secrets(d), len(ROWS)),
-    "join": (lambda s, d: Join(d, 3, 90, 100).components(), len(ROWS) - 2),
+    "join": (lambda s, d: Join(d, 3, 90, 100).components(), len(ROWS)),
     "pages": (lambda s, d: archive(d, "doc_id", "source", "text")["records"], len(ROWS)),
     "keep_first": (lambda s, d: keep_first(d), 7),
     "keep_representatives": (lambda s, d: keep_representatives(d), None),
@@ -97,6 +98,91 @@ def test_columns_come_back_as_they_were(spark, name):
     assert all(r[c] == f"clash-{c}" for r in found.collect() for c in CLASHING)
 
 
+def test_join_of_repeated_and_null_ids(spark):
+    """An id has the links of all its rows; rows without an id have none, and no component."""
+    rows = [(1, "a b c d e"), (1, "p q r s t u"), (1, "a b c d e"), (4, "a b c d e"), (7, "p q r s t u"), (9, "p q r s t u"), (0, "x y z"), (None, "a b c d e"), (None, None), (5, " "), (-(1 << 63), "x y z")]
+    found = Join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).components().collect()
+    assert sorted(((r["id"], r["size"], r["component_id"]) for r in found), key=repr) == sorted([(1, 3, 1), (1, 3, 1), (1, 4, 1), (4, 3, 1), (7, 4, 1), (9, 4, 1), (0, 1, -(1 << 63)), (-(1 << 63), 1, -(1 << 63)), (None, 3, None), (None, 0, None), (5, 0, 5)], key=repr)
+
+
+def test_dedup_of_repeated_null_and_smallest_ids(spark):
+    least = -(1 << 63)
+    rows = [(None, "ab"), (least, "a b"), (3, "ab"), (3, "ab"), (least, "q"), (None, None), (7, " ")]
+    found = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found), key=repr) == sorted([(None, least, 4, False), (least, least, 4, True), (3, least, 4, False), (3, least, 4, False), (least, least, 1, True), (None, 7, 2, False), (7, 7, 2, True)], key=repr)
+
+
+def test_values_of_odd_rows(spark):
+    """What the docstrings promise for null, empty and repeated rows."""
+    d = documents(spark)
+    packed = pack_documents(d, tokenizer_path()).groupBy("doc_id", "piece").agg(F.count("*").alias("n"), F.min("length").alias("length")).collect()
+    one = {(r["doc_id"], r["piece"]): (r["n"], r["length"]) for r in packed}
+    assert one[3, 0] == one[4, 0] == one[5, 0] == (1, 1)
+    assert one[1, 0][0] == 2 and one[None, 0][0] == 2
+    assert max(k for i, k in one if i == 7) > 10
+    mixed = {(r["doc_id"], r["source"]): r for r in mix(d).collect()}
+    assert mixed[3, None]["size"] == mixed[4, "b"]["taken"] == 0
+    assert all(r["taken"] <= 2 * r["size"] for r in mixed.values())
+    secrets = {r["doc_id"]: (r["n_assign"], r["spans"]) for r in scan_secrets(d).collect()}
+    assert secrets[3] == secrets[4] == (0, "")
+    read = {r["id"]: (r["payload_bytes"], r["record_type"]) for r in archive(d, "doc_id", "source", "text")["records"].collect()}
+    assert read[3] == (0, "response") and read[None][1] == "response"
+    toxic = {r["doc_id"]: r["score"] for r in score_toxicity(d, labels(spark), fold()).collect()}
+    assert toxic[3] == toxic[4] == toxic[5] and 0 < toxic[3] < 1
+
+
+def test_one_word_of_many_megabytes(spark):
+    """Longer than any chunk: hashed in steps, as a word of its own."""
+    rows = [(1, "A" * 3_000_000), (2, "a" * 3_000_000), (3, "a" * 3_000_001), (4, "x " + "a" * 3_000_000), (5, "b " * 400_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["id"]: (r["size"], r["component_id"]) for r in Join(d, 3, 90, 100).components().collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 4), 5: (1, 5)}
+    assert score_quality(d, labels(spark), fold(), fold()).count() == 5
+
+
+def test_words_that_a_polynomial_would_confuse():
+    """Thue-Morse words and their complements: equal sums for every base modulo 2^64."""
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    pair = [bytes(97 + b for b in bits), bytes(98 - b for b in bits)]
+    data = np.frombuffer(b" ".join(pair), np.uint8)
+    hashes, _ = words_of(data, np.array([0, len(data)]))
+    assert len(set(hashes.tolist())) == 2
+
+
+def test_no_shared_folder_on_a_cluster(monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(1, "½ ² Ⅷ ①"), (2, "12 !? _"), (3, "日本"), (4, "ª plain words of a text"), (5, "plain words of another text")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    assert [r["lang_pred"] for r in identify_language(d, F.lit(True)).orderBy("doc_id").collect()] == ["und", "und", "en", "en", "en"]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_und_language(spark):
     found = {r["doc_id"]: r["lang_pred"] for r in identify_language(documents(spark), F.lit(True)).collect()}
     assert found[3] == found[4] == found[5] == "und"

@@ -13,14 +13,15 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from doclens.llm import queries
+from doclens.llm import common, queries
 from doclens.llm.mixing import mix, mixed_documents, schedule
-from doclens.llm.packing import WordTokens, pack_documents, plan_packing
-from doclens.llm.quality import score_quality
+from doclens.llm.packing import Sweep, WordTokens, bases_of, pack_documents
+from doclens.llm.language import features_of, identify_language
+from doclens.llm.quality import fourier, isotonic, score_quality, statistics
 from doclens.llm.secret_scan import BASE, Scanner, evaluate, scan_secrets, trigram_query
-from doclens.llm.topk_search import best_of_blocks
+from doclens.llm.topk_search import QueryBlock, quantised
 from doclens.llm.toxicity import score_toxicity
-from doclens.llm.warc import BundleReader, BundleWriter, archive, parse_records
+from doclens.llm.warc import BundleReader, BundleWriter, archive, parse_records, read_records
 
 SMALL = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(SMALL).exists(), reason="the driver's tables are not here")
@@ -40,29 +41,64 @@ def test_tokens_of_windows():
     assert tokens.ids(text, window=64) == tokens.ids(text)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 32), max_size=80))
-def test_plan_fills_each_sequence_once(lengths):
-    counts = np.bincount(lengths, minlength=33) if lengths else np.zeros(33, int)
-    cells, ranks = {}, {}
-    for length, first, n, sequence, offset in plan_packing(counts, 32):
-        for k in range(n):
-            ranks.setdefault(length, []).append(first + k)
-            for place in range(offset, offset + length):
-                assert cells.setdefault((sequence + k, place), length) == length
-    assert sum(len(r) for r in ranks.values()) == len(lengths)
-    assert all(sorted(r) == list(range(len(r))) for r in ranks.values())
-    assert len(cells) == sum(lengths)
-    used = {}
-    for s, place in cells:
-        used.setdefault(s, set()).add(place)
-    assert all(p == set(range(len(p))) for p in used.values())
-    assert len(used) <= 11 / 9 * -(-sum(lengths) // 32) + 4
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 16), max_size=30), st.lists(st.integers(1, 16), max_size=15))
+def test_a_sweep_pairs_as_the_longest_first_would(lengths, sizes):
+    """Documents one by one, the longest first, each into the smallest slot that holds it; a task finds the same."""
+    left, gaps = (np.bincount(np.array(x, int), minlength=17).astype(np.int64) for x in (lengths, sizes))
+    sweep = Sweep(left, gaps)
+    if not sweep.unit:
+        assert not any(n <= max(sizes, default=0) for n in lengths)
+        return
+    parts = [(k % 2, size, sum(1 for j, s in enumerate(sorted(sizes)) if s == size and j % 2 == k % 2)) for k in range(2) for size in sorted(set(sizes))]
+    bases = bases_of(np.array(parts), sweep)
+    slots = sorted(int(sweep.slot[s]) for s in sizes for _ in range(sweep.slots[s]))
+    assert sum(slots) <= sum(sizes)
+    expected = []
+    for n in sorted((n for n in lengths if n <= sweep.unit), reverse=True):
+        if fits := [s for s in slots if s >= n]:
+            slots.remove(min(fits))
+            expected.append((n, min(fits)))
+    found, ranks = [], set()
+    for part, size, n in parts:
+        for k in range(n * sweep.slots[size]):
+            slot, level = sweep.slot[size], sweep.enter[sweep.slot[size]] + bases[part, size] + k + 1
+            if level > sweep.stays[slot]:
+                length = int(sweep.lengths_of(np.array([slot]), np.array([level]))[0])
+                found.append((length, int(slot)))
+                ranks.add((length, int(sweep.top[length] - level)))
+    assert sorted(found) == sorted(expected)
+    assert ranks == {(n, r) for n in set(lengths) for r in range(int(sweep.taken[n]))}
+
+
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "small", "halves", "equal", "empty texts"])
+def test_packing_needs_no_more_than_best_fit(spark, kind):
+    """The number of sequences against one document after another on one machine."""
+    rng = random.Random(7)
+    words = {"mixed": lambda: rng.choice([1, 3, 8, 20, 45, 90, 200]), "small": lambda: rng.randint(1, 6), "halves": lambda: rng.randint(28, 36), "equal": lambda: 20, "empty texts": lambda: 0}[kind]
+    rows = [(i, "a " * words()) for i in range(180)]
+    found = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, capacity=64, grain_rows=40).collect()
+    spots = sorted((r["sequence_id"], r["offset"], r["length"]) for r in found)
+    for (s1, o1, l1), (s2, o2, _) in zip(spots, spots[1:], strict=False):
+        assert o2 == (o1 + l1 if s1 == s2 else 0)
+    lengths = [r["length"] for r in found]
+    used, best = len({r["sequence_id"] for r in found}), best_fit_decreasing(lengths, 64)
+    assert -(-sum(lengths) // 64) <= used <= best * 1.03 + 1
 
 
 def test_packing_round_trip(spark):
     rows = [(i, None if i % 11 == 0 else f"word{i} " * (i % 40)) for i in range(150)]
-    found = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, capacity=64, salt_rows=9).collect()
+    found = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, capacity=64, grain_rows=9).collect()
     tokenizer, pieces = Tokenizer.from_file(TOKENIZER), {}
     for r in found:
         pieces.setdefault(r["doc_id"], {})[r["piece"]] = r
@@ -161,6 +197,33 @@ def test_archive_reads_back(spark):
         assert not rest
 
 
+def test_archive_reads_by_the_index(spark):
+    """Bundles are read by as many tasks, adaptive execution notwithstanding; a part of the index gives its records only."""
+    rows = [(i, f"http://x/{i}", f"page {i} " * (40 + i % 7)) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    made = archive(pages, frame_bytes=2000, bundle_bytes=8000)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert made["bundles"] >= 6
+    tasks = made["records"].select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 1 and made["records"].rdd.getNumPartitions() == made["bundles"]
+    some = read_records(made["folder"], made["index"].where("id % 10 = 3"), 2).collect()
+    assert {r["id"]: r["payload"].decode() for r in some} == {i: html for i, _, html in rows if i % 10 == 3}
+
+
+@pytest.mark.parametrize("bloom_keys", [32_000_000, 0])
+def test_archive_beyond_the_broadcast(spark, monkeypatch, bloom_keys):
+    """Groups of equal payloads whose table is not sent to every task: pages are joined, by a filter or all of them."""
+    monkeypatch.setattr(common, "BLOOM_MOST_KEYS", bloom_keys)
+    rows = [(i, "u", chr(97 + i % 5) * (1500 if i % 3 else 20)) for i in range(60)] + [(99, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["id"]: (r["record_type"], r["refers_to"]) for r in archive(pages, most_groups=0)["records"].collect()}
+    best = {}
+    for i, _, html in rows:
+        if html and len(html) >= 1000:
+            best[html] = max(i, best.get(html, 0))
+    assert found == {i: ("revisit", best[h]) if h in best and best[h] != i else ("response", None) for i, _, h in rows}
+
+
 def plain_scan(text, rules):
     spans = []
     for k, rule in enumerate(rules):
@@ -201,18 +264,38 @@ def test_base_rules_have_queries():
     assert Scanner(BASE).wanted.sum() > 10
 
 
+def brute_top_k(qids, q, ids, cands, k):
+    out = []
+    for row, qid in zip(q, qids, strict=True):
+        scored = sorted((-int(c @ row), int(i)) for c, i in zip(cands, ids, strict=True) if i != qid)
+        out += [(int(qid), i, -s) for s, i in scored[:k]]
+    return out
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10_000), st.integers(1, 60), st.integers(1, 8))
-def test_branch_and_bound_is_exact(seed, n, k):
+@given(st.integers(0, 10_000), st.integers(1, 60), st.integers(1, 8), st.integers(1, 4))
+def test_branch_and_bound_is_exact(seed, n, k, blocks):
     rng = np.random.default_rng(seed)
     cands, q = np.floor(rng.normal(size=(n, 16)) * 20), np.floor(rng.normal(size=(3, 16)) * 20)
     ids, qids = rng.permutation(n), np.array([0, 1, 1000])
-    got = list(zip(*(x.tolist() for x in best_of_blocks(qids, q.T.copy(), ids, cands.T.copy(), k, 4)), strict=True))
-    expected = []
-    for row, qid in zip(q, qids, strict=True):
-        scored = sorted((-int(c @ row), int(i)) for c, i in zip(cands, ids, strict=True) if i != qid)
-        expected += [(int(qid), i, -s) for s, i in scored[:k]]
-    assert got == expected
+    asks = QueryBlock(qids, q.T.copy(), k, 4)
+    for part in np.array_split(np.arange(n), blocks):  # the best so far go from block to block
+        asks.scan(ids[part], cands[part].T.copy())
+    got = [tuple(r.values()) for r in asks.best().to_pylist()]
+    assert got == brute_top_k(qids, q, ids, cands, k)
+
+
+@needs_data
+def test_the_bound_prunes(spark):
+    """Over the driver's vectors, which have no structure: at least two fifths of the multiplications are left out (measured: 49 %)."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null").orderBy("vec_id").collect()
+    ids, vectors = np.array([r["vec_id"] for r in rows]), quantised(np.array([r["embedding"] for r in rows], float), 256)
+    asked = ids % 50 == 0
+    asks = QueryBlock(ids[asked], vectors[asked].T.copy(), 5, 8)
+    for k in range(0, len(ids), 512):
+        asks.scan(ids[k : k + 512], vectors[k : k + 512].T.copy())
+    assert asks.products <= 0.6 * asks.possible
+    assert [tuple(r.values()) for r in asks.best().to_pylist()] == brute_top_k(ids[asked], vectors[asked], ids, vectors, 5)
 
 
 def held_out_scores(spark, name, label):
@@ -287,13 +370,85 @@ def test_toxicity_of_a_wide_vocabulary(spark):
     assert all((found[n] >= 0.7) == bool(rows[n][1]) for n in kept_out)
 
 
-@pytest.mark.parametrize("n", [500, 1500])
-def test_quality_calibrated_in_both_forms(spark, n):
-    """100 and 300 rows kept aside: calibrated on the rows that are fitted, and on others."""
+@pytest.mark.parametrize("n", [60, 500, 1500])
+def test_quality_calibrates_by_one_rule(spark, n):
+    """Few rows and many: scored in folds by solutions that have not seen them, against plain numpy."""
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["river", "walks", "under", "green", "stone", "light"]) for _ in range(20)) + "."
     bad = lambda: "".join(rng.choice("#$%|<>=!@ 0123456789") for _ in range(80))
-    d = spark.createDataFrame([(k, (good if k % 3 else bad)(), int(k % 3 > 0)) for k in range(n)], "doc_id long, text string, quality int")
-    scored = score_quality(d.select("doc_id", "text"), d.select("doc_id", "quality"), F.col("id") % 5 != 0, F.col("id") % 5 == 1).where("doc_id % 5 = 0").collect()
-    assert len(scored) == n // 5
-    assert all((r["score"] >= 0.5) == (r["doc_id"] % 3 > 0) for r in scored)
+    texts = [(good if k % 3 or k % 13 == 0 else bad)() for k in range(n)]
+    d = spark.createDataFrame([(k, t, int(k % 3 > 0)) for k, t in enumerate(texts)], "doc_id long, text string, quality int")
+    scored = score_quality(d.select("doc_id", "text"), d.select("doc_id", "quality"), F.col("id") % 5 != 0, F.col("id") % 5, features=32, bins=64).collect()
+    raw = [t.encode() for t in texts]
+    stats = statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    train = np.array([k % 5 != 0 for k in range(n)])
+    y, fold = np.array([float(k % 3 > 0) for k in range(n)]), np.array([k % 5 % 4 for k in range(n)])
+    x = stats[train].astype(float)
+    mean, spread = x.mean(axis=0), np.sqrt(np.maximum((x**2).mean(axis=0) - x.mean(axis=0) ** 2, 0)) + 1e-3
+    z = fourier(stats, mean, spread, 32, 4.0)
+    penalty = np.diag([1.0] * 32 + [0.0])
+    fit = lambda rows: np.linalg.solve(z[rows].T @ z[rows] + penalty, z[rows].T @ y[rows])
+    unseen = np.array([z[k] @ fit(train & (fold != fold[k])) for k in np.flatnonzero(train)])
+    cell = np.clip(((unseen + 0.5) * 32).astype(int), 0, 63)
+    count, pos, total = (np.bincount(cell, w, minlength=64) for w in (None, y[train], unseen))
+    held = count > 0
+    expected = np.interp(z @ fit(train), total[held] / count[held], isotonic(count[held], pos[held]))
+    assert max(abs(r["score"] - expected[r["doc_id"]]) for r in scored) < 1e-3
+    assert len(scored) == n
+
+
+def test_statistics_by_chunks(monkeypatch):
+    """A text's statistics do not depend on the chunks that it is worked through in."""
+    from doclens.llm import quality
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab cD1.\n!é ") for _ in range(rng.randint(0, 300))).encode() for _ in range(12)] + [b"x" * 500]
+    whole = [statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
+    monkeypatch.setattr(quality, "CHUNK", 64)
+    for t, expected in zip(texts, whole, strict=True):
+        assert np.allclose(statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)])), expected)
+
+
+def test_toxicity_against_plain_counts(spark):
+    """Log-count ratios and presence of n-grams from Python dictionaries, fitted by the same loss to the optimum."""
+    rng = random.Random(12)
+    words = ["river", "stone", "light", "grass", "vileword", "window"]
+    rows = [(k, " ".join(rng.choice(words[:4] + words[5:]) for _ in range(6)) + (" vileword" if k % 4 == 0 else ""), int(k % 4 == 0 or k % 29 == 0)) for k in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scored = {r["doc_id"]: r["score"] for r in score_toxicity(d.select("doc_id", "text"), d.select("doc_id", "toxic"), F.lit(True), penalty=1e-2).collect()}
+    grams = [{t[i : i + n] for n in (4, 5, 6) for i in range(len(t) - n + 1)} for _, t, _ in rows]
+    y = np.array([r[2] for r in rows], float)
+    n1, n0 = y.sum(), (1 - y).sum()
+    names = sorted(set().union(*grams))
+    presence = np.array([[g in own for g in names] for own in grams], float)
+    p, q = presence.T @ y, presence.T @ (1 - y)
+    ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
+    x, w = np.column_stack([presence * ratio, np.ones(len(rows))]), np.zeros(len(names) + 1)
+    shrink = np.diag([1e-2] * len(names) + [0.0])
+    for _ in range(50):  # Newton's method
+        s = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (s * (1 - s))) @ x / len(rows) + shrink + 1e-12 * np.eye(len(w)), x.T @ (s - y) / len(rows) + shrink @ w)
+    expected = 1 / (1 + np.exp(-x @ w))
+    assert max(abs(scored[k] - expected[k]) for k in range(len(rows))) < 0.02
+
+
+def test_language_against_a_plain_machine(spark):
+    """Two languages of one family: the decision of one linear machine over shares of byte n-grams, fitted apart."""
+    rng = random.Random(3)
+    make = lambda words: " ".join(rng.choice(words) for _ in range(12))
+    rows = [(k, make(["the", "river", "under", "which", "green"] if k % 2 else ["der", "fluss", "unter", "welche", "gruen"]), "en" if k % 2 else "de") for k in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_language(d, F.col("id") % 4 != 2).collect()}
+    again = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_language(d.repartition(7), F.col("id") % 4 != 2).collect()}
+    assert all(found[k][0] == again[k][0] and abs(found[k][1] - again[k][1]) < 1e-9 for k in found)
+    assert all(found[k][0] == lang for k, _, lang in rows)
+    x = np.array([features_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for _, t, _ in rows])
+    train = np.array([k % 4 != 2 for k, _, _ in rows])
+    scaled = (x - x[train].mean(axis=0)) / np.sqrt(x[train].var(axis=0) + 1e-8) / np.sqrt(x.shape[1])
+    y = np.array([1.0 if lang == "de" else -1.0 for _, _, lang in rows])
+    w = np.zeros(x.shape[1] + 1)
+    z = np.column_stack([scaled, np.ones(len(x))])
+    for step in range(1, 4000):  # projected subgradients of the same loss
+        slack = y[train] * (z[train] @ w) < 1
+        w -= (w - (y[train] * slack) @ z[train]) / (step + 10)
+    assert all(((z[k] @ w) > 0) == (found[k][0] == "de") for k in range(len(rows)))
