@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,12 +218,56 @@ def diff_level(base: list[tuple[str, str]], nxt: list[tuple[str, str]]) -> list[
     return [op for n, op in enumerate(ops) if n not in dropped]
 
 
-def _block_ops(key, base: pd.DataFrame, nxt: pd.DataFrame) -> pd.DataFrame:
-    # a document of one side only comes with a frame that has no columns
-    a, b = (f.reindex(columns=["ord", "type", "text"]).sort_values("ord") for f in (base, nxt))
-    ops = diff_level(list(zip(a["type"], a["text"], strict=True)), list(zip(b["type"], b["text"], strict=True)))
-    at = lambda frame, k: None if k is None else int(frame["ord"].iloc[k])
-    return pd.DataFrame({"key": key[0], "op_ord": range(len(ops)), "op": [o for o, _, _ in ops], "base_ord": pd.array([at(a, i) for _, i, _ in ops], "Int64"), "next_ord": pd.array([at(b, j) for _, _, j in ops], "Int64")})
+OPS = "key long, op_ord long, op string, base_ord long, next_ord long, depth int"
+
+
+def diff_tree(base: list[dict], nxt: list[dict]) -> list[tuple[str, int | None, int | None, int]]:
+    """Ops (op, base ord, next ord, depth) over blocks (ord, parent, type, text), in document order.
+
+    Levels are compared one by one: the children of blocks that stay or are edited follow them; what is inserted,
+    deleted or moved takes its children along.
+    """
+
+    def children(blocks: list[dict]) -> dict[int | None, list[dict]]:
+        out: dict[int | None, list[dict]] = {}
+        for x in sorted(blocks, key=lambda x: x["ord"]):
+            out.setdefault(x["parent"], []).append(x)
+        return out
+
+    def level(a: list[dict], b: list[dict]) -> list[tuple[str, dict | None, dict | None]]:
+        ops = diff_level([(x["type"], x["text"]) for x in a], [(x["type"], x["text"]) for x in b])
+        return [(op, None if i is None else a[i], None if j is None else b[j]) for op, i, j in ops]
+
+    old, new, out = children(base), children(nxt), []
+    waiting = [iter(level(old.get(None, []), new.get(None, [])))]
+    while waiting:
+        step = next(waiting[-1], None)
+        if step is None:
+            waiting.pop()
+            continue
+        op, x, y = step
+        out.append((op, x and x["ord"], y and y["ord"], len(waiting) - 1))
+        if op in ("keep", "update"):
+            below = old.get(x["ord"], []), new.get(y["ord"], [])
+            if any(below):
+                waiting.append(iter(level(*below)))
+    return out
+
+
+def diff_documents(docs: DataFrame) -> DataFrame:
+    """Ops of documents (key, base, next), the versions as arrays of blocks (ord, parent, type, text); where both come
+    from one row, nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            for key, base, nxt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ops = diff_tree(base or [], nxt or [])
+                columns = list(zip(*ops, strict=True)) or [()] * 4
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
+                own = [pa.array([key] * len(ops), pa.int64()), pa.array(range(len(ops)), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(own, names=[x.split()[0] for x in OPS.split(", ")])
+
+    return docs.select("key", "base", "next").mapInArrow(run, OPS)
 
 
 def fresh(df: DataFrame) -> DataFrame:
@@ -230,10 +275,22 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over as many tasks as the session shuffles into; adaptive execution does not merge them, as the
+    work of a row is much more than its bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def block_diff(base: DataFrame, nxt: DataFrame) -> DataFrame:
-    """key, op_ord, op, base_ord, next_ord of two versions of blocks (key, ord, type, text); a document is one group."""
-    base, nxt = fresh(base), fresh(nxt)
-    return base.groupBy("key").cogroup(nxt.groupBy("key")).applyInPandas(_block_ops, "key long, op_ord long, op string, base_ord long, next_ord long")
+    """Ops of two versions of blocks as rows (key, ord, type, text, and parent where they are nested)."""
+
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        parent = F.col("parent").cast("int") if "parent" in rows.columns else F.lit(None).cast("int")
+        block = F.struct(F.col("ord").cast("int").alias("ord"), parent.alias("parent"), "type", "text")
+        return spread(rows, "key").groupBy("key").agg(F.collect_list(block).alias(name))
+
+    both = gathered(fresh(base), "base").join(gathered(fresh(nxt), "next"), "key", "full_outer")
+    return diff_documents(both)
 
 
 def op_counts(ops: DataFrame, key: str = "key") -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclens.functions.text import utf16_len
 from doclens.operators.diff import fresh, walk
 
 CALLS = "key long, call int, phase string, live_id string, after_id string, next_ords array<long>, problem string"
@@ -110,6 +111,18 @@ def text_requests(edits: DataFrame) -> DataFrame:
     return rows.select("key", "index", "order", "x.*").where("text <> ''")
 
 
+def request_json(requests: DataFrame) -> DataFrame:
+    """requests of text_requests() with `json`: what the store gets, stamped with their tab and segment where they have one.
+
+    requests: key, index, order, phase (0 deletes, 1 inserts), text, tab, segment.
+    """
+    place = lambda *fields: F.struct(*fields, F.col("tab").alias("tabId"), F.col("segment").alias("segmentId"))
+    span = place(F.col("index").alias("startIndex"), (F.col("index") + utf16_len(F.col("text"))).alias("endIndex"))
+    delete = F.to_json(F.struct(F.struct(span.alias("range")).alias("deleteContentRange")))
+    insert = F.to_json(F.struct(F.struct(place(F.col("index").alias("index")).alias("location"), F.col("text")).alias("insertText")))
+    return requests.withColumn("json", F.when(F.col("phase") == 0, delete).otherwise(insert))
+
+
 def live_index(offsets: DataFrame, pieces: DataFrame) -> DataFrame:
     """Live document index of each block-text offset: offsets (key, block, offset), pieces (key, block, at, start, length).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,3 +173,23 @@ def push_report(actions: DataFrame) -> DataFrame:
     n = F.size("uploaded")
     line = F.concat(F.col("action"), F.lit(" "), F.col("path"), F.when(n > 0, F.concat(F.lit(", "), n.cast("string"), F.lit(" uploaded"))).otherwise(F.lit("")), F.when(F.size("skipped") > 0, F.concat(F.lit("; skipped "), F.array_join("skipped", ", "))).otherwise(F.lit("")))
     return actions.select("path", (F.col("action") == "trashed").alias("last"), line.alias("line")).orderBy("last", "path")
+
+
+def creation_order(paths: DataFrame, key: str, path: str = "path") -> DataFrame:
+    """paths with `turn`: documents are made by path, in the order of code points, whatever the locale; parents precede."""
+    return paths.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(path)))
+
+
+def stale_documents(changes: DataFrame, moved: DataFrame) -> DataFrame:
+    """Changes (ord, path) to documents that moved at their source since they were fetched: a push refuses these."""
+    return changes.join(moved.select("path").distinct(), "path", "left_semi").withColumn("reason", F.lit("changed since the last fetch"))
+
+
+def write_report(rows: DataFrame, folder: str) -> bool:
+    """A run's report as one JSON file; says whether it could be written, and never fails the run."""
+    try:
+        rows.coalesce(1).write.mode("overwrite").json(folder)
+    except Exception:  # a report is worth less than the run it reports on
+        logging.getLogger(__name__).warning("no report in %s", folder, exc_info=True)
+        return False
+    return True

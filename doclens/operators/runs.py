@@ -42,3 +42,25 @@ def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
     """rows with `place`: i/n within the key."""
     w = Window.partitionBy(key)
     return rows.withColumn("place", F.concat(F.row_number().over(w.orderBy(order)).cast("string"), F.lit("/"), F.count("*").over(w).cast("string")))
+
+
+def with_attributes(blocks: DataFrame, is_attribute: Column, key: str = "doc_id", order: str = "ord", text: str = "text") -> DataFrame:
+    """blocks without attribute comments; each with the one right before it in `attribute`."""
+    before = Window.partitionBy(key).orderBy(order)
+    flagged = blocks.withColumn("_is", F.coalesce(is_attribute, F.lit(False)))
+    marked = flagged.withColumn("attribute", F.lag(F.when(F.col("_is"), F.col(text))).over(before))
+    return marked.where(~F.col("_is")).drop("_is")
+
+
+def table_width(rows: DataFrame, key: str, cells: str = "cells") -> DataFrame:
+    """key, width: the most cells of a row of each table."""
+    return rows.groupBy(key).agg(F.max(F.size(cells)).alias("width"))
+
+
+def in_columns(rows: DataFrame, key: str, order: str, cells: str = "cells", gap: str = "  ") -> DataFrame:
+    """key, order, line: the rows of each table in columns as wide as their widest cell; a row's last cell sets none."""
+    each = rows.select(key, order, F.posexplode(cells).alias("at", "cell"), (F.size(cells) - 1).alias("last"))
+    wide = each.where("at < last").groupBy(key, "at").agg(F.max(F.length("cell")).alias("width"))
+    padded = each.join(wide, [key, "at"], "left").withColumn("cell", F.when(F.col("at") < F.col("last"), F.rpad("cell", F.greatest(F.length("cell"), F.col("width")), F.lit(" "))).otherwise(F.col("cell")))
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "cell"))), lambda x: x["cell"]), gap)
+    return padded.groupBy(key, order).agg(F.rtrim(line).alias("line"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.paths import is_sidecar, parents, territory_of
+from doclens.operators.lineage import cut
 
 
 def has_changed(found: Column, time: Column, old_time: Column, checksum: Column, old_checksum: Column) -> Column:
@@ -78,10 +79,12 @@ def same_tree(before: DataFrame, after: DataFrame) -> bool:
     return tree_diff(before, after).isEmpty()
 
 
-def commit_message(first: bool, changed: DataFrame) -> DataFrame:
-    """One row: n, kind (index, comments, add, update) of the changed document paths."""
+def commit_message(first: bool, changed: DataFrame, suggested: DataFrame | None = None) -> DataFrame:
+    """One row: n, kind (index, suggested, comments, add, update) of the changed document paths. suggested: documents
+    that the push before this fetch wrote suggestions to."""
     verb = "add" if first else "update"
-    kind = F.when(F.count("*") == 0, "index").when(F.lit(not first) & F.bool_and(is_sidecar(F.col("path"))), "comments").otherwise(verb)
+    wrote = F.lit(suggested is not None and not suggested.isEmpty())
+    kind = F.when(F.count("*") == 0, "index").when(wrote, "suggested").when(F.lit(not first) & F.bool_and(is_sidecar(F.col("path"))), "comments").otherwise(verb)
     return changed.agg(F.count("*").alias("n"), kind.alias("kind"))
 
 
@@ -104,6 +107,44 @@ def exact_renames(before: DataFrame, after: DataFrame) -> DataFrame:
     return removed.join(added, ["sha", "turn"]).select("previous_path", "path", "sha")
 
 
+def rename_scores(removed: DataFrame, added: DataFrame, least: float = 0.5) -> DataFrame:
+    """previous_path, path, score of removed and added files (path, text) whose shared lines are at least `least` of the
+    longer one, by characters, line ends included.
+
+    Two such files share a line among those of either that come first by rarity and hold more than the rest may: only
+    these propose pairs, so that a line that many files have proposes none that others do not.
+    """
+    own = lambda rows, name: rows.select(F.col("path").alias(name), F.explode(F.split("text", "\n")).alias("line")).groupBy(name, "line").agg(F.count("*").alias("n")).withColumn("weight", F.col("n") * (F.length("line") + 1))
+    old, new = own(removed, "previous_path"), own(added, "path")
+    common = old.groupBy("line").agg(F.count("*").alias("held")).unionByName(new.groupBy("line").agg(F.count("*").alias("held"))).groupBy("line").agg(F.sum("held").alias("held"))
+    sizes = lambda rows, name: rows.groupBy(name).agg(F.sum("weight").alias(f"{name}_size"))
+
+    def first(rows: DataFrame, name: str) -> DataFrame:
+        by_rarity = Window.partitionBy(name).orderBy("held", "line").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = rows.join(common, "line").withColumn("before", F.coalesce(F.sum("weight").over(by_rarity), F.lit(0)))
+        return ranked.join(sizes(rows, name), name).where(F.col(f"{name}_size") - F.col("before") >= least * F.col(f"{name}_size")).select(name, "line")
+
+    pairs = first(old, "previous_path").join(first(new, "path"), "line").select("previous_path", "path").distinct()
+    shared = pairs.join(old.select("previous_path", "line", "weight"), "previous_path").join(new.select("path", "line", F.col("weight").alias("other")), ["path", "line"])
+    summed = shared.groupBy("previous_path", "path").agg(F.sum(F.least("weight", "other")).alias("shared"))
+    scored = summed.join(sizes(old, "previous_path"), "previous_path").join(sizes(new, "path"), "path")
+    return scored.withColumn("score", F.col("shared") / F.greatest("previous_path_size", "path_size")).where(F.col("score") >= least).select("previous_path", "path", "score")
+
+
+def similar_renames(removed: DataFrame, added: DataFrame, least: float = 0.5) -> DataFrame:
+    """previous_path, path, score: each file in one pair at most, the best scores first, of ties the first by paths.
+
+    Rounds of pairs that are the best for both of their files; an approximation of git's own measure.
+    """
+    open_, done = cut(rename_scores(removed, added, least)), []
+    while not open_.isEmpty():
+        rank = lambda one, other: F.row_number().over(Window.partitionBy(one).orderBy(F.desc("score"), "previous_path", "path"))
+        best = cut(open_.withColumn("a", rank("previous_path", "path")).withColumn("b", rank("path", "previous_path")).where("a = 1 and b = 1").drop("a", "b"))
+        done.append(best)
+        open_ = cut(open_.join(best.select("previous_path"), "previous_path", "left_anti").join(best.select("path"), "path", "left_anti"))
+    return reduce(DataFrame.unionByName, done, open_.select("previous_path", "path", "score"))
+
+
 def implied_folders(paths: DataFrame, existing: DataFrame, path: str = "path") -> DataFrame:
     """Folders that new paths need and that do not exist."""
     above = F.transform(F.sequence(F.lit(1), F.size(parents(F.col(path)))), lambda n: F.array_join(F.slice(parents(F.col(path)), 1, n), "/"))
@@ -111,6 +152,16 @@ def implied_folders(paths: DataFrame, existing: DataFrame, path: str = "path") -
     return needed.join(existing.select("folder"), "folder", "left_anti")
 
 
+class Moved(RuntimeError):
+    """What a push was planned on is not the last snapshot any more."""
+
+
+def refuse_if_moved(planned_on: int | None, last: int | None) -> None:
+    """Optimistic concurrency: a plan holds only while the snapshot it was made on is the last one."""
+    if planned_on != last:
+        raise Moved(f"planned on snapshot {planned_on}, the last is {last}: fetch first")
+
+
 def commit_snapshot(previous: DataFrame | None, current: DataFrame, folder: str, snapshot_id: int) -> bool:
     """Write current as snapshot `snapshot_id` of the table in `folder` unless it equals previous; says whether it did."""
     if previous is not None and same_tree(previous, current):

@@ -92,19 +92,36 @@ def place_by_quote(threads: DataFrame, tabs: DataFrame) -> DataFrame:
     return asked.join(first, ["doc_id", "id"], "left").withColumn("found", F.col("tab_ord").isNotNull()).withColumn("tab_ord", F.coalesce("tab_ord", F.lit(0)))
 
 
+def place_threads(threads: DataFrame, tabs: DataFrame) -> DataFrame:
+    """threads (doc_id, id, quote, anchor_tab) with their tab: the anchor's where the document has it, else by quote."""
+    placed = place_by_quote(threads, tabs)
+    own = tabs.select("doc_id", F.col("tab_ord").alias("anchor_tab"), F.lit(True).alias("_has")).distinct()
+    met = placed.join(own, ["doc_id", "anchor_tab"], "left")
+    by_anchor = F.coalesce("_has", F.lit(False))
+    return met.withColumn("tab_ord", F.when(by_anchor, F.col("anchor_tab")).otherwise(F.col("tab_ord"))).withColumn("found", F.col("found") | by_anchor).drop("_has")
+
+
+def is_suggested_paragraph(runs: Column) -> Column:
+    """A paragraph that is there by suggestion only: it has runs, all of text, each inserted. runs: kind, insertions."""
+    return (F.size(runs) > 0) & F.forall(runs, lambda r: (r["kind"] == "text") & (F.coalesce(F.size(r["insertions"]), F.lit(0)) > 0))
+
+
 def with_discussion(suggestions: DataFrame, discussions: DataFrame) -> DataFrame:
     """Suggestions with what was said about them, where anything was."""
     return suggestions.join(discussions, "id", "left")
 
 
-def hunks(before: Column, after: Column) -> Column:
-    """Rendered lines of two equally long lists: unchanged lines once, a run of changes as its old then its new side."""
-    n = F.size(before)
-    index = F.sequence(F.lit(0), n - 1)
-    equal = F.transform(index, lambda i: F.get(before, i) == F.get(after, i))
-    starts = F.filter(index, lambda i: F.get(equal, i) | (i == 0) | F.get(equal, i - 1))
-    lines = lambda sign, text: F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit(f"{sign} "), x)))
-    until = lambda s: F.coalesce(F.array_min(F.filter(starts, lambda t: t > s)), n)
-    side = lambda sign, texts, s: F.flatten(F.transform(F.slice(texts, s + 1, until(s) - s), lambda x: lines(sign, x)))
-    each = F.transform(starts, lambda s: F.when(F.get(equal, s), lines(" ", F.get(before, s))).otherwise(F.concat(side("-", before, s), side("+", after, s))))
-    return F.when(n > 0, F.flatten(each)).otherwise(F.array().cast("array<string>"))
+def hunks(texts: DataFrame, key: str = "key") -> DataFrame:
+    """key, lines: two equally long lists (before, after) rendered: unchanged texts once, a run of changes as its old, then
+    its new side; a text's lines each get the sign, an empty text has none."""
+    each = texts.select(key, F.posexplode(F.arrays_zip(F.col("before").alias("old"), F.col("after").alias("new"))).alias("at", "x")).select(key, "at", "x.old", "x.new")
+    order = Window.partitionBy(key).orderBy("at")
+    same = F.col("old").eqNullSafe(F.col("new"))
+    starts = (same | F.coalesce(F.lag(same).over(order), F.lit(True))).cast("int")
+    placed = each.withColumn("_starts", starts).withColumn("run", F.sum("_starts").over(order))
+    side = lambda n, sign, text: F.struct("run", F.lit(n).alias("side"), "at", F.lit(sign).alias("sign"), F.col(text).alias("text"))
+    sides = F.when(same, F.array(side(0, " ", "old"))).otherwise(F.array(side(0, "-", "old"), side(1, "+", "new")))
+    kept = placed.select(key, F.explode(sides).alias("s")).where(F.col("s.text") != "")
+    lines = F.transform(F.sort_array(F.collect_list("s")), lambda s: F.transform(F.split(s["text"], "\n"), lambda x: F.concat(s["sign"], F.lit(" "), x)))
+    made = kept.groupBy(key).agg(F.flatten(lines).alias("lines"))
+    return texts.select(key).join(made, key, "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))

@@ -78,7 +78,7 @@ def changes_by_root(spark, sf_dir):
     return snapshot.changed_per_root(snapshot.assign_roots(all_changes(spark, sf_dir), source_roots(spark)))
 
 
-@query(f"WITH {SNAPSHOTS} SELECT path, id FROM p WHERE regexp_matches(path, '^src1[0-9]/')")
+@query(f"WITH {SNAPSHOTS}, r AS (SELECT concat('src', i, '/') AS root_path FROM range(10) t(i)) SELECT path, id FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE starts_with(path, root_path))")
 def local_carry_over(spark, sf_dir):
     _, prev = snapshots(spark, sf_dir)
     return snapshot.carried_over(prev.select("path", "id"), source_roots(spark))
@@ -146,9 +146,9 @@ def implied_folders(spark, sf_dir):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, concat('---', chr(10), 'fetched: a', doc_id % 3, chr(10), left(text, 80), chr(10), 'fetched: tail') AS a,
-  concat('---', chr(10), 'fetched: b', chr(10), left(text, 80), CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END, chr(10), 'fetched: tail') AS b FROM documents)
-SELECT doc_id, left(text, 80) = left(text, 80) AND doc_id % 4 <> 0 AS same FROM documents"""
+    r"""WITH t AS (SELECT doc_id, concat('---', chr(10), 'fetched: a', doc_id % 3, chr(10), text, chr(10), 'fetched: tail') AS a,
+  concat('---', chr(10), 'fetched: b', chr(10), text, CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END, chr(10), 'fetched: tail') AS b FROM documents)
+SELECT doc_id, regexp_replace(a, '(?ms)\A(.*?)^fetched: [^\n]*$', '\1') = regexp_replace(b, '(?ms)\A(.*?)^fetched: [^\n]*$', '\1') AS same FROM t"""
 )
 def sidecar_equal(spark, sf_dir):
     head, tail = F.lit("---\nfetched: "), F.lit("\nfetched: tail")
@@ -258,8 +258,10 @@ def odd_paths(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PATHS} SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'empty path' WHEN 1 THEN 'absolute path' WHEN 2 THEN 'backslash' WHEN 3 THEN 'empty segment'
-  WHEN 4 THEN 'dot segment' WHEN 5 THEN 'parent segment' WHEN 6 THEN 'hidden segment' WHEN 7 THEN 'no extension' END AS problem FROM t"""
+    f"""WITH {PATHS}, s AS (SELECT doc_id, path, string_split(path, '/') AS seg FROM t)
+SELECT doc_id, CASE WHEN path = '' THEN 'empty path' WHEN starts_with(path, '/') THEN 'absolute path' WHEN contains(path, chr(92)) THEN 'backslash' WHEN list_contains(seg, '') THEN 'empty segment'
+  WHEN list_contains(seg, '.') THEN 'dot segment' WHEN list_contains(seg, '..') THEN 'parent segment' WHEN len(list_filter(seg, lambda x: starts_with(x, '.'))) > 0 THEN 'hidden segment'
+  WHEN NOT contains(seg[-1], '.') THEN 'no extension' END AS problem FROM s"""
 )
 def path_validity(spark, sf_dir):
     return odd_paths(spark, sf_dir).select("doc_id", paths.path_problem(F.col("path")).alias("problem"))
@@ -287,7 +289,7 @@ def relative_paths(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT CAST(doc_id AS INT) AS ord, concat('src', doc_id % 20, CASE doc_id % 3 WHEN 0 THEN '/' WHEN 1 THEN concat('/d', doc_id % 4, '/') ELSE concat('/d', doc_id % 4, '.md') END) AS path FROM documents WHERE doc_id < 90),
+    """WITH r AS (SELECT CAST(doc_id AS INT) AS ord, concat('src', doc_id % 20, CASE doc_id % 3 WHEN 0 THEN '/' WHEN 1 THEN concat('/d', doc_id % 4, '/') ELSE concat('/d', doc_id % 4, '.md') END) AS path FROM documents),
 k AS (SELECT ord, path, rtrim(path, '/') AS bare, CASE WHEN ends_with(path, '/') THEN rtrim(path, '/') ELSE regexp_replace(path, '\\.md$', '') END AS territory FROM r)
 SELECT b.ord, min(a.ord) AS other FROM k b JOIN k a ON a.ord < b.ord AND (a.path = b.path OR starts_with(b.bare, concat(a.territory, '/')) OR starts_with(a.bare, concat(b.territory, '/'))) GROUP BY b.ord"""
 )
@@ -350,8 +352,10 @@ def child_counts(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'doc' WHEN 1 THEN 'folder' WHEN 2 THEN 'export' WHEN 3 THEN 'skipped' ELSE 'binary' END AS kind,
-  CASE doc_id % 5 WHEN 3 THEN 'unsupported type application/vnd.google-apps.form' WHEN 4 THEN 'a recording' END AS reason FROM documents"""
+    """WITH m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'application/vnd.google-apps.document' WHEN 1 THEN 'application/vnd.google-apps.folder' WHEN 2 THEN 'application/vnd.google-apps.drawing' WHEN 3 THEN 'application/vnd.google-apps.form' ELSE 'video/mp4' END AS mime FROM documents),
+x AS (SELECT doc_id, mime, regexp_extract(mime, '^application/vnd.google-apps.(.*)$', 1) AS own FROM m)
+SELECT doc_id, CASE WHEN own IN ('document', 'folder') THEN replace(own, 'document', 'doc') WHEN own IN ('spreadsheet', 'presentation', 'drawing') THEN 'export' WHEN own <> '' THEN 'skipped' ELSE 'binary' END AS kind,
+  CASE WHEN own NOT IN ('', 'document', 'folder', 'spreadsheet', 'presentation', 'drawing') THEN concat('unsupported type ', mime) WHEN split_part(mime, '/', 1) IN ('video', 'audio') THEN 'a recording' END AS reason FROM x"""
 )
 def scan_kinds(spark, sf_dir):
     p = F.col("doc_id") % 5
@@ -360,7 +364,7 @@ def scan_kinds(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT event_id, user_id AS series, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS start, event_type AS summary, CAST(event_id % 3 AS INT) AS files FROM events WHERE user_id < 40),
+    """WITH e AS (SELECT event_id, user_id AS series, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS start, event_type AS summary, CAST(event_id % 3 AS INT) AS files FROM events),
 x AS (SELECT *, concat(substr(start, 1, 10), ' ', substr(start, 12, 2), substr(start, 15, 2), ' ', summary) AS name FROM e WHERE start < '2024-01-20T00:00:00Z'),
 y AS (SELECT *, row_number() OVER (PARTITION BY series, lower(name) ORDER BY start, event_id) AS t FROM x)
 SELECT event_id, CASE WHEN t = 1 THEN name ELSE concat(name, ' (', t, ')') END AS folder, files FROM y WHERE files > 0"""
@@ -424,13 +428,21 @@ def text_offsets(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EVENT_RANGES}, a AS (SELECT doc_id, concat('a', i) AS anchor_id, i * 5 + 2 AS s, i * 5 + 9 AS e FROM (SELECT DISTINCT doc_id FROM o), range(6) x(i)),
+    """WITH r AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord, concat(event_type, CASE WHEN event_id % 5 = 0 THEN concat(chr(57344), chr(57345)) ELSE '' END, event_id % 7) AS t FROM events),
+o AS (SELECT doc_id, ord, t, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r),
+n AS (SELECT doc_id, max(pos + length(t)) AS size FROM o GROUP BY doc_id),
+a AS (SELECT doc_id, concat('a', i) AS anchor_id, i * 97 + 2 AS s, i * 97 + 16 AS e FROM (SELECT doc_id, unnest(range(0, CAST(size // 97 AS BIGINT) + 1)) AS i FROM n)),
 m AS (SELECT a.doc_id, anchor_id, pos, greatest(s, pos) AS f, substr(t, CAST(greatest(s, pos) - pos + 1 AS INT), CAST(least(e, pos + length(t)) - greatest(s, pos) AS INT)) AS piece FROM a JOIN o ON a.doc_id = o.doc_id AND pos < e AND s < pos + length(t))
-SELECT doc_id, anchor_id, string_agg(piece, '' ORDER BY pos) AS quote, CAST(min(f) AS BIGINT) AS "at" FROM m GROUP BY doc_id, anchor_id"""
+SELECT doc_id, anchor_id, replace(replace(string_agg(replace(piece, concat(chr(57344), chr(57345)), chr(128161)), '' ORDER BY pos), chr(57344), chr(128161)), chr(57345), '') AS quote, CAST(min(f) AS BIGINT) AS "at" FROM m GROUP BY doc_id, anchor_id"""
 )
 def anchor_overlap(spark, sf_dir):
-    made = event_runs(spark, sf_dir).select("doc_id", F.col("at").alias("start"), (F.col("at") + F.length("text")).alias("end"), "at", "text")
-    anchors = made.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("doc_id", F.concat(F.lit("a"), F.col("i").cast("string")).alias("anchor_id"), (F.col("i") * 5 + 2).alias("start"), (F.col("i") * 5 + 9).alias("end"))
+    """Anchors over the whole of each document; some start or end inside a character of two units."""
+    e = table(spark, sf_dir, "events")
+    word = F.concat("event_type", F.when(F.col("event_id") % 5 == 0, "\U0001f4a1").otherwise(""), (F.col("event_id") % 7).cast("string"))
+    rows = e.select(F.col("user_id").alias("doc_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("ord"), word.alias("text"))
+    made = threads.text_offsets(rows).select("doc_id", F.col("at").alias("start"), (F.col("at") + text.utf16_len(F.col("text"))).alias("end"), "at", "text")
+    count = made.groupBy("doc_id").agg(F.floor(F.max("end") / 97).cast("int").alias("n"))
+    anchors = count.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i")).select("doc_id", F.concat(F.lit("a"), F.col("i").cast("string")).alias("anchor_id"), (F.col("i") * 97 + 2).alias("start"), (F.col("i") * 97 + 16).alias("end"))
     return threads.anchored_text(anchors, made)
 
 
@@ -520,17 +532,24 @@ def quote_location_span(spark, sf_dir):
     return locate.locate_quotes(marked, quotes).select("doc_id", "first_ord", "last_ord", "at")
 
 
-@query(
-    """SELECT doc_id, CAST((length(left(text, 200)) - length(replace(left(text, 200), 'er', ''))) // 2 AS INT) AS skip FROM documents"""
-)
+@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'er', ''))) // 2 AS INT) AS skip FROM documents")
 def occurrences_before(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("er").alias("quote"), F.lit(199).alias("at"))
+    """Before the last character: every occurrence of the text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("er").alias("quote"), F.greatest(F.length("text") - 1, F.lit(0)).alias("at"))
     return locate.quote_occurrence(d)
 
 
-@query("SELECT doc_id, CAST(length(text) + 2 AS INT) AS units FROM documents")
+#: A character of two units in many places of the texts, and its two units as characters of their own for the SQL.
+ASTRAL = "u AS (SELECT doc_id, replace(text, 'th', chr(128161)) AS text, replace(text, 'th', concat(chr(57344), chr(57345))) AS units FROM documents)"
+
+
+def astral(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("th"), F.lit("\U0001f4a1")).alias("text"))
+
+
+@query(f"WITH {ASTRAL} SELECT doc_id, CAST(length(units) AS INT) AS units FROM u")
 def utf16_lengths(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.utf16_len(F.concat("text", F.lit("\U0001f4a1"))).alias("units"))
+    return astral(spark, sf_dir).select("doc_id", text.utf16_len(F.col("text")).alias("units"))
 
 
 # ---------------------------------------------------------------- runs
@@ -619,15 +638,70 @@ def op_counts(spark, sf_dir):
 
 @query()
 def text_diff(spark, sf_dir):
-    return turn_pairs(spark, sf_dir).select("key", diff.text_diff("a", "b").alias("spans"))
+    return diff.spread(turn_pairs(spark, sf_dir), "key").select("key", diff.text_diff("a", "b").alias("spans"))
+
+
+@query(f"WITH {TURNS} SELECT key, a AS base, b AS next FROM p")
+def text_diff_replay(spark, sf_dir):
+    """Either text from the spans: what stays and what is deleted, what stays and what is inserted; offsets must fit."""
+    side = lambda other, at: F.array_join(F.transform(F.filter("spans", lambda x: x["kind"] != other), lambda x: x["text"]), "")
+    return text_diff(spark, sf_dir).select("key", side("insert", "base").alias("base"), side("delete", "next").alias("next"))
+
+
+def line_versions(spark, sf_dir, nested: bool = False) -> DataFrame:
+    """key, base, next: the lines of each document as blocks, and a version with lines left out, altered and moved. Nested:
+    every third line is a block of its own, the two behind it are its children."""
+    d = table(spark, sf_dir, "documents")
+    parent = lambda n: F.when(F.lit(nested) & (n % 3 > 0), n - n % 3)
+    block = lambda x, n: F.struct(n.cast("int").alias("ord"), parent(n).cast("int").alias("parent"), F.lit("paragraph").alias("type"), x.alias("text"))
+    base = F.transform(F.split("text", "\n"), block)
+    kept = F.filter("base", lambda x: (F.col("key") + F.coalesce(x["parent"], x["ord"]) + (x["ord"] % 3 if nested else F.lit(0))) % 6 != 0)
+    if nested:  # children of a block that is left out go with it
+        kept = F.filter(kept, lambda x: x["parent"].isNull() | ((F.col("key") + x["parent"]) % 6 != 0))
+    change = lambda x: F.struct(x["ord"].alias("ord"), x["parent"].alias("parent"), x["type"].alias("type"), F.when((F.col("key") + x["ord"]) % 5 == 0, F.concat(x["text"], F.lit(" more"))).otherwise(x["text"]).alias("text"))
+    return d.select(F.col("doc_id").alias("key"), base.alias("base")).withColumn("next", F.transform(kept, change))
 
 
 @query()
 def block_diff(spark, sf_dir):
-    """Lines of each document against a version with lines left out, altered and repeated."""
-    rows = locate.lines(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), "ord", F.lit("paragraph").alias("type"), F.col("line").alias("text"))
-    after = rows.where("(key + ord) % 6 <> 0").withColumn("text", F.when((F.col("key") + F.col("ord")) % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
-    return diff.block_diff(rows, after)
+    """Lines of each document against a version with lines left out and altered."""
+    return diff.diff_documents(line_versions(spark, sf_dir))
+
+
+@query(
+    f"""WITH {LINES}, n AS (SELECT doc_id, ord, CASE WHEN (doc_id + ord) % 5 = 0 THEN concat(line, ' more') ELSE line END AS line FROM l WHERE (doc_id + ord) % 6 <> 0)
+SELECT doc_id AS key, 'base' AS side, string_agg(line, chr(10) ORDER BY ord) AS text FROM l GROUP BY doc_id
+UNION ALL SELECT doc_id, 'next', string_agg(line, chr(10) ORDER BY ord) FROM n GROUP BY doc_id"""
+)
+def block_diff_replay(spark, sf_dir):
+    """Either version from the ops: next from base's kept blocks and what is updated, inserted or moved in the order of
+    the ops; base from what is kept, updated, deleted or moved."""
+    v = line_versions(spark, sf_dir)
+    block = lambda side: v.select("key", F.explode(side).alias("x")).select("key", F.col("x.ord").cast("long").alias(f"{side}_ord"), F.col("x.text").alias(f"{side}_text"))
+    ops = diff.diff_documents(v).join(block("base"), ["key", "base_ord"], "left").join(block("next"), ["key", "next_ord"], "left")
+    said = lambda order, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(value).alias("t")))), lambda x: x["t"]), "\n")
+    new = ops.where("next_ord is not null").withColumn("t", F.when(F.col("op") == "keep", F.col("base_text")).otherwise(F.col("next_text"))).groupBy("key").agg(said("op_ord", "t").alias("text"))
+    old = ops.where("base_ord is not null").groupBy("key").agg(said("base_ord", "base_text").alias("text"))
+    return old.select("key", F.lit("base").alias("side"), "text").unionByName(new.select("key", F.lit("next").alias("side"), "text"))
+
+
+@query(
+    f"""WITH {LINES}, b AS (SELECT doc_id, ord, CASE WHEN ord % 3 > 0 THEN ord - ord % 3 END AS parent FROM l),
+n AS (SELECT * FROM b WHERE (doc_id + coalesce(parent, ord) + ord % 3) % 6 <> 0 AND (parent IS NULL OR (doc_id + parent) % 6 <> 0))
+SELECT doc_id AS key, 'base' AS side, CAST(ord AS BIGINT) AS ord, CAST(1 AS BIGINT) AS times FROM b UNION ALL SELECT doc_id, 'next', CAST(ord AS BIGINT), CAST(1 AS BIGINT) FROM n"""
+)
+def nested_diff_cover(spark, sf_dir):
+    """How often the ops of nested blocks account for each block of either version: by an op of its own, or by what is
+    deleted, inserted or moved with its parent."""
+    v = line_versions(spark, sf_dir, nested=True)
+    ops = diff.diff_documents(v)
+    every = lambda side: v.select("key", F.explode(side).alias("x")).select("key", F.lit(side).alias("side"), F.col("x.ord").cast("long").alias("ord"), F.col("x.parent").cast("long").alias("parent"))
+    own = lambda side: ops.where(f"{side}_ord is not null").select("key", F.lit(side).alias("side"), F.col(f"{side}_ord").alias("ord"), "op")
+    blocks, done = every("base").unionByName(every("next")), own("base").unionByName(own("next"))
+    whole = done.where(F.col("op").isin("insert", "delete", "move")).select("key", "side", F.col("ord").alias("parent"), F.lit(1).alias("with"))
+    direct = done.groupBy("key", "side", "ord").agg(F.count("*").alias("n"))
+    met = blocks.join(direct, ["key", "side", "ord"], "left").join(whole, ["key", "side", "parent"], "left")
+    return met.select("key", "side", "ord", (F.coalesce("n", F.lit(0)) + F.coalesce("with", F.lit(0))).cast("long").alias("times"))
 
 
 # ---------------------------------------------------------------- plans
@@ -695,9 +769,14 @@ def append_chunks(spark, sf_dir):
     return plan.append_chunks(locate.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord"), "doc_id", "ord", 10)
 
 
-@query("SELECT doc_id, CAST(k AS INT) AS piece, substr(text, CAST(k * 2000 + 1 AS INT), 2000) AS text FROM documents, range(0, 100) t(k) WHERE k <= greatest((length(text) - 1) // 2000, 0)")
+@query(
+    f"""WITH {ASTRAL}, p AS (SELECT *, CASE WHEN len(list_filter(range(0, length(units), 2000), lambda k: substr(units, CAST(k + 1 AS INT), 1) = chr(57345))) > 0 THEN 1999 ELSE 2000 END AS step FROM u),
+k AS (SELECT doc_id, units, step, unnest(range(0, greatest(length(units), 1), step)) AS pos FROM p)
+SELECT doc_id, CAST(pos // step AS INT) AS piece,
+  replace(replace(replace(substr(units, CAST(pos + 1 AS INT), step), concat(chr(57344), chr(57345)), chr(128161)), chr(57344), chr(128161)), chr(57345), '') AS text FROM k"""
+)
 def split_runs(spark, sf_dir):
-    return plan.split_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return plan.split_runs(astral(spark, sf_dir))
 
 
 @query("SELECT page_id, sha256(html) AS checksum FROM pages")
@@ -731,13 +810,16 @@ def forward_links(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT DISTINCT concat(source, '/') AS folder FROM documents UNION SELECT DISTINCT concat(source, '/a/') FROM documents)
-SELECT concat(source, '/a/', doc_id, '.md') AS path, concat(source, '/a/') AS folder FROM documents"""
+    """WITH f AS (SELECT DISTINCT concat(source, '/') AS folder FROM documents WHERE doc_id % 2 = 0 UNION SELECT DISTINCT concat(source, '/a/') FROM documents WHERE doc_id % 3 = 0),
+p AS (SELECT concat(source, CASE doc_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/a/' WHEN 2 THEN '/a/b/' ELSE '/ab/' END, doc_id, '.md') AS path FROM documents)
+SELECT path, arg_max(folder, length(folder)) AS folder FROM p LEFT JOIN f ON starts_with(path, folder) GROUP BY path"""
 )
 def longest_folder(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    folders = d.select(F.explode(F.array(F.concat("source", F.lit("/")), F.concat("source", F.lit("/a/")))).alias("folder")).distinct()
-    return plan.longest_folder(d.select(F.concat("source", F.lit("/a/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")), folders)
+    n = F.col("doc_id")
+    folders = d.where("doc_id % 2 = 0").select(F.concat("source", F.lit("/")).alias("folder")).unionByName(d.where("doc_id % 3 = 0").select(F.concat("source", F.lit("/a/")).alias("folder"))).distinct()
+    inner = F.when(n % 4 == 0, "/").when(n % 4 == 1, "/a/").when(n % 4 == 2, "/a/b/").otherwise("/ab/")
+    return plan.longest_folder(d.select(F.concat("source", inner, n.cast("string"), F.lit(".md")).alias("path")), folders)
 
 
 # ---------------------------------------------------------------- rich text and patches
@@ -767,8 +849,8 @@ def page_calls(spark, sf_dir):
 
 
 @query(
-    """WITH o AS (SELECT event_id AS key, CAST(event_id % 20 AS INT) AS off FROM events)
-SELECT key, off AS "offset", CASE WHEN off < 10 THEN 100 + off ELSE 200 + off - 10 END AS index FROM o"""
+    """WITH o AS (SELECT event_id AS key, CAST(event_id % 20 AS INT) AS off FROM events), p AS (SELECT * FROM (VALUES (0, 100, 10), (10, 200, 10)) t(pos, start, length))
+SELECT key, off AS "offset", arg_max(start + off - pos, pos) AS index FROM o JOIN p ON pos <= off AND off <= pos + length GROUP BY key, off"""
 )
 def live_index(spark, sf_dir):
     from doclens.operators import patch

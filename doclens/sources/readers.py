@@ -85,6 +85,13 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     return block.select(F.variant_get("v", "$.id", "string").alias("id"), type_.alias("type"), F.to_json("v").alias("json"), F.try_variant_get("v", "$.has_children", "boolean").alias("has_children"))
 
 
+def git_tree(spark: SparkSession, path: str) -> DataFrame:
+    """A recorded recursive tree listing, lines of mode, type, blob and path: path, sha, mode of its blobs."""
+    raw = spark.read.text(path)
+    part = lambda n: F.regexp_extract("value", r"^([0-7]{6}) (\w+) ([0-9a-f]{40,64})\t(.*)$", n)
+    return raw.where(part(2) == "blob").select(part(4).alias("path"), part(3).alias("sha"), part(1).alias("mode"))
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """A recorded folder listing: id, name, mime, last_edited_raw, md5, size, editor."""
     raw = spark.read.schema(FILE).json(path, multiLine=True)

@@ -162,8 +162,8 @@ def test_tabs_and_events(spark):
 
 
 def test_thread_rendering(spark):
-    row = spark.createDataFrame([(["a", "b\nc", "d", ""], ["a", "B", "D", "x"])], "x array<string>, y array<string>")
-    assert row.select(threads.hunks(F.col("x"), F.col("y")).alias("h")).first()["h"] == ["  a", "- b", "- c", "- d", "+ B", "+ D", "+ x"]
+    row = spark.createDataFrame([(1, ["a", "b\nc", "d", ""], ["a", "B", "D", "x"]), (2, [], [])], "key int, before array<string>, after array<string>")
+    assert {r["key"]: r["lines"] for r in threads.hunks(row).collect()} == {1: ["  a", "- b", "- c", "- d", "+ B", "+ D", "+ x"], 2: []}
     rows = [("1", 3, None, "c2"), ("2", None, None, "c1"), ("3", 3, 1, "c0"), ("4", 3, None, "c1")]
     ordered = spark.createDataFrame(rows, "id string, offset int, within int, created string").orderBy(*threads.thread_order())
     assert [r["id"] for r in ordered.collect()] == ["4", "1", "3", "2"]
@@ -320,3 +320,51 @@ def test_hunks_pair_as_all_pairs_would(seed):
     if len(left_i) == len(left_j) == 1 and removed[left_i[0]][0] == inserted[left_j[0]][0]:
         pairs[left_j[0]] = left_i[0]
     assert diff.pair_hunk(removed, inserted) == pairs
+
+
+def test_renames_by_likeness(spark):
+    """Against the scores of all pairs, and the best of them one by one."""
+    rng = random.Random(8)
+    words = [f"line {k}" for k in range(25)] + ["common"] * 10
+    files = lambda side, n: [(f"{side}{k}", "\n".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for k in range(n)]
+    old, new = files("a", 14), files("b", 12)
+    new += [("b90", old[0][1] + "\nmore"), ("b91", old[0][1] + "\nmore still"), ("b92", old[1][1])]
+
+    def score(x, y):
+        count = lambda t: {v: t.split("\n").count(v) * (len(v) + 1) for v in t.split("\n")}
+        a, b = count(x), count(y)
+        return sum(min(n, b.get(v, 0)) for v, n in a.items()) / max(sum(a.values()), sum(b.values()))
+
+    scores = {(p, q): s for p, x in old for q, y in new if (s := score(x, y)) >= 0.5}
+    one, two = (spark.createDataFrame(f, "path string, text string") for f in (old, new))
+    found = {(r["previous_path"], r["path"]): r["score"] for r in snapshot.rename_scores(one, two).collect()}
+    assert found == pytest.approx(scores)
+    expected, taken = {}, set()
+    for (p, q), s in sorted(scores.items(), key=lambda x: (-x[1], x[0])):
+        if p not in taken and q not in taken:
+            expected[p, q] = s
+            taken |= {p, q}
+    assert {(r["previous_path"], r["path"]): r["score"] for r in snapshot.similar_renames(one, two).collect()} == pytest.approx(expected)
+
+
+def test_nested_blocks(spark):
+    """Children are compared under blocks that stay or are edited; what goes or comes takes them along."""
+    row = "key long, ord int, parent int, type string, text string"
+    base = [(1, 0, None, "p", "one"), (1, 1, 0, "p", "in one"), (1, 2, 0, "p", "second in one"), (1, 3, None, "p", "two words here"), (1, 4, 3, "p", "in two"), (1, 5, None, "q", "gone"), (1, 6, 5, "p", "gone too")]
+    nxt = [(1, 0, None, "p", "one"), (1, 1, 0, "p", "second in one"), (1, 2, None, "p", "two words there"), (1, 3, 2, "p", "in two"), (1, 4, 2, "p", "new in two"), (1, 5, None, "h", "fresh"), (1, 6, 5, "p", "under fresh"), (2, 0, None, "p", "alone")]
+    ops = diff.block_diff(spark.createDataFrame(base, row), spark.createDataFrame(nxt, row)).orderBy("key", "op_ord").collect()
+    assert [(r["key"], r["op"], r["base_ord"], r["next_ord"], r["depth"]) for r in ops] == [(1, "keep", 0, 0, 0), (1, "delete", 1, None, 1), (1, "keep", 2, 1, 1), (1, "delete", 5, None, 0), (1, "update", 3, 2, 0), (1, "keep", 4, 3, 1), (1, "insert", None, 4, 1), (1, "insert", None, 5, 0), (2, "insert", None, 0, 0)]
+
+
+def test_pushes_on_what_moved(spark, tmp_path):
+    with pytest.raises(snapshot.Moved, match="fetch first"):
+        snapshot.refuse_if_moved(3, 4)
+    snapshot.refuse_if_moved(None, None)
+    report = spark.createDataFrame([("a", 1)], "path string, n int")
+    assert plan.write_report(report, str(tmp_path / "report"))
+    (tmp_path / "file").write_text("x")
+    assert not plan.write_report(report, str(tmp_path / "file" / "below"))
+    (tmp_path / "tree.txt").write_text("100644 blob " + "a" * 40 + "\tdocs/one two.md\n040000 tree " + "b" * 40 + "\tdocs\n120000 blob " + "c" * 40 + "\tlink\n")
+    assert {tuple(r) for r in readers.git_tree(spark, str(tmp_path / "tree.txt")).collect()} == {("docs/one two.md", "a" * 40, "100644"), ("link", "c" * 40, "120000")}
+    kinds = lambda changed, said: snapshot.commit_message(False, spark.createDataFrame([(p,) for p in changed], "path string"), spark.createDataFrame([(p,) for p in said], "path string")).first()["kind"]
+    assert [kinds(["a.md"], ["b.md"]), kinds([], ["b.md"]), kinds(["a.md"], []), kinds(["a.comments.md"], [])] == ["suggested", "index", "update", "comments"]
