@@ -86,6 +86,10 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Rows of a small table that one task writes.
+SMALL_ROWS = 20_000
+
+
 class Scratch:
     """Tables written in the shared folder: they cut lineage and survive the loss of executors."""
 
@@ -98,8 +102,13 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n}-{name}"
 
-    def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        """Write df now and give the DataFrame that reads it; its `scratch_path` names the folder."""
+    def table(self, df: DataFrame, name: str, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
+        """Write df now and give the DataFrame that reads it; its `scratch_path` names the folder.
+
+        rows: how many there are at most, where that is known: a small table needs no file of each shuffle partition.
+        """
+        if rows is not None and rows < 2_000_000:
+            df = df.coalesce(max(1, -(-rows // SMALL_ROWS)))
         path, writer = self.path(name), df.write
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -385,18 +394,21 @@ def build_bloom(keys: DataFrame, n_keys: int) -> Bloom | None:
     return Bloom(gather_blocks(made, blocks * size, size, np.uint64).reshape(blocks, size))
 
 
+def let_through(bloom: Bloom, keys: pa.Array) -> np.ndarray:
+    """Flags of the long keys that the filter lets through; none of null keys."""
+    return bloom.hit(keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & keys.is_valid().to_numpy(zero_copy_only=False)
+
+
 def sieve(rows: DataFrame, key: Column, bloom: Bloom) -> tuple[DataFrame, DataFrame]:
     """rows whose long key the filter lets through, and the others; null keys are among the others."""
     keyed = rows.withColumn("_sieved", key)
     shared = rows.sparkSession.sparkContext.broadcast(bloom.words)
 
-    def part(let_through: bool) -> DataFrame:
+    def part(wanted: bool) -> DataFrame:
         def run(batches):
             held = Bloom(shared.value)
             for batch in batches:
-                keys = batch.column(batch.num_columns - 1)
-                flags = held.hit(keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & keys.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(flags == let_through))
+                yield batch.filter(pa.array(let_through(held, batch.column(batch.num_columns - 1)) == wanted))
 
         return map_rows(keyed, run).drop("_sieved")
 

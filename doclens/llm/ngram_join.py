@@ -363,7 +363,7 @@ class Join:
             partial = self.fragment_overlap(alive, segments.where(F.col("fragment") == f).drop("fragment"), n_pairs)
             summed = partial.withColumn("common", F.col("common") + F.col("own"))
             kept = summed.where((F.col("common") + F.col("more")) * (self.num + self.den) >= (F.col("sa") + F.col("sb")) * self.num)
-            before, alive = alive, self.scratch.table(kept.select(*PAIR, "common"), name)
+            before, alive = alive, self.scratch.table(kept.select(*PAIR, "common"), name, rows=n_pairs)
             if f:
                 self.scratch.drop(before)
             n_pairs = alive.count()
@@ -467,7 +467,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
         # small star: a node and its neighbours below go to the smallest of them; repeated pairs change nothing till here
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        old, now = now, scratch.table(small, "edges")
+        # a row for each pair and for each node above another, so twice as many at most
+        old, now = now, scratch.table(small, "edges", rows=2 * state[0])
         scratch.drop(old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")

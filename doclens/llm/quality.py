@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import BLOCK_SCHEMA, CHUNK, LOWER, Scratch, block_rows, build_bloom, gather_blocks, lean, map_rows, quoted, row_chunks, sieve, sum_blocks, text_buffer, words_of
+from doclens.llm.common import BLOCK_SCHEMA, CHUNK, LOWER, Bloom, Scratch, block_rows, build_bloom, gather_blocks, lean, let_through, map_rows, quoted, row_chunks, sum_blocks, text_buffer, words_of
 from doclens.llm.grams import flag, labels_of
 
 #: Byte classes: 0 lower-case, 1 upper-case, 2 digit, 3 blank, 4 newline, 5 sentence mark, 6 exclamation, 7 bar and
@@ -190,11 +190,15 @@ class Model:
         return np.clip(np.interp(raw, self.knots, self.values), 0, 1)
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(id, text) -> id, stats."""
+def document_statistics(docs: DataFrame, only: Bloom | None = None) -> DataFrame:
+    """(id, text) -> id, stats; of the rows whose id the filter lets through, where there is one."""
+    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only.words)
 
     def run(batches):
+        held = None if shared is None else Bloom(shared.value)
         for batch in batches:
+            if held is not None:
+                batch = batch.filter(pa.array(let_through(held, batch.column(0))))
             data, offsets = text_buffer(batch.column(1))
             for start, end in row_chunks(offsets):
                 stats = statistics(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
@@ -213,8 +217,10 @@ class Fit:
         known = scratch.table(labels_of(labels, id_col, label_col).where(flag(train_fold)).withColumn("fold", F.pmod(fold.cast("int"), F.lit(folds))), "known")
         if labelled_only:
             bloom = build_bloom(known.select("id"), known.count())
-            plain = sieve(plain, F.col("id"), bloom)[0] if bloom else plain.join(known.select("id"), "id", "left_semi").select("id", "text")
-        self.stats = scratch.table(document_statistics(plain), "stats")
+            made = document_statistics(plain, bloom) if bloom else document_statistics(plain.join(known.select("id"), "id", "left_semi").select("id", "text"))
+        else:
+            made = document_statistics(plain)
+        self.stats = scratch.table(made, "stats")
         rows = scratch.table(self.stats.join(known, "id").select("stats", "y", "fold"), "train")
         self.model = Model(rows, folds, features, width, ridge, bins)
         scratch.drop(known, rows)
