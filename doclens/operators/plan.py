@@ -109,6 +109,18 @@ def split_runs(runs: DataFrame, size: int = 2000, text: str = "text") -> DataFra
     return runs.select(*(c for c in runs.columns if c != text), F.posexplode(let(F.encode(text, "UTF-16LE"), pieces)).alias("piece", text))
 
 
+def cap_runs(runs: DataFrame, key: str, order: str, most: int = 100, size: int = 2000, text: str = "text") -> DataFrame:
+    """At most so many runs a block: key, order, text, plain. Beyond, the last one holds the texts of all that are left, as
+    far as a run goes, without their styles."""
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    placed = runs.select(key, order, text, turn.alias("_turn"), F.count("*").over(Window.partitionBy(key)).alias("_n"))
+    kept = placed.where((F.col("_n") <= most) | (F.col("_turn") < most)).select(key, order, text, F.lit(False).alias("plain"))
+    tail = placed.where((F.col("_n") > most) & (F.col("_turn") >= most))
+    rest = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_turn", text))), lambda x: x[text]), "")
+    joined = tail.groupBy(key).agg(F.min(order).alias(order), rest.alias("_all"))
+    return kept.unionByName(joined.select(key, order, utf16_slice(F.col("_all"), F.lit(0), F.least(F.lit(size), (F.octet_length(F.encode("_all", "UTF-16LE")) / 2).cast("int"))).alias(text), F.lit(True).alias("plain")))
+
+
 def orphaned_links(links: DataFrame, deleted: DataFrame) -> DataFrame:
     """Links (document, target) of documents that stay to assets that go."""
     return links.join(deleted.select(F.col("path").alias("target")), "target", "left_semi").join(deleted.select(F.col("path").alias("document")), "document", "left_anti")

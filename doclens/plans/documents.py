@@ -186,6 +186,15 @@ def push_reports(spark, sf_dir):
     return plan.push_report(actions).select("path", "line", F.row_number().over(Window.orderBy("last", "path")).alias("place"))
 
 
+@query(
+    """WITH e AS (SELECT user_id, event_id, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, event_id, text, false AS plain FROM e WHERE n <= 12 OR t < 12
+UNION ALL SELECT user_id, min(event_id), left(string_agg(text, '' ORDER BY t), 50), true FROM e WHERE n > 12 AND t >= 12 GROUP BY user_id"""
+)
+def capped_runs(spark, sf_dir):
+    return plan.cap_runs(table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("text")), "user_id", "event_id", 12, 50)
+
+
 @query("SELECT path, id, CAST(row_number() OVER (ORDER BY path) AS INT) AS place FROM (SELECT concat(source, '/', doc_id, '.md') AS path, concat('gdocs:', doc_id) AS id FROM documents)")
 def index_file(spark, sf_dir):
     """The lines of the index in their order."""
