@@ -301,9 +301,9 @@ def sum_blocks(rows: DataFrame, dtype, ceiling: int | None = None) -> DataFrame:
 
 
 def gather_blocks(summed: DataFrame, size: int, block: int, dtype) -> np.ndarray:
-    """The summed array on the driver; its size is a parameter, never the data's."""
+    """The summed array on the driver, by one job; its size is a parameter, never the data's."""
     out = np.zeros(size, dtype)
-    for row in summed.toLocalIterator():
+    for row in summed.collect():
         value = np.frombuffer(bytes(row["values"]), dtype)
         out[row["block"] * block : row["block"] * block + len(value)] = value
     return out

@@ -115,7 +115,7 @@ def partnered(runs: DataFrame) -> DataFrame:
     size = filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     if size * 8 > common.BLOOM_MOST_KEYS * Bloom.BITS_PER_KEY:
         return runs
-    held = {r["run"]: bytes(r["filter"]) for r in filters.toLocalIterator()}
+    held = {r["run"]: bytes(r["filter"]) for r in filters.collect()}
     shared = runs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,7 +141,7 @@ def count_levels(docs: DataFrame, n: int) -> Order:
 
     summed = docs.mapInArrow(lean(run), BLOCK_SCHEMA).groupBy("block").applyInArrow(add, BLOCK_SCHEMA)
     levels, mass, seen = np.zeros(1 << BITS, np.uint8), np.zeros(256), 0
-    for row in summed.toLocalIterator():
+    for row in summed.collect():
         block, values = row["block"], bytes(row["values"])
         if block < 0:
             seen = int.from_bytes(values, "little")
