@@ -2,6 +2,12 @@
 of near copies, mixed to target weights, packed into sequences.
 
 Each stage reads all that its predecessor kept, as Parquet; all but the last return the columns of documents.
+
+Defined results: null texts count as empty everywhere. quality scores them like any other and keeps repeated rows alike;
+exact keeps one row of all empty and white-space texts, and of rows that repeat an id and a text; near keeps documents
+without words and rows without an id, which link with nothing; mixing takes no document without words, and null sources
+as one source; packing gives every row its pieces. Ties go to the smaller doc_id, null before any. Further columns stay,
+whatever they are called, up to packing. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -48,10 +54,13 @@ STAGES = [("quality", quality), ("exact_dedup", exact), ("ngram_join", near), ("
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written in the shared folder and read again."""
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
