@@ -85,6 +85,20 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     return block.select(F.variant_get("v", "$.id", "string").alias("id"), type_.alias("type"), F.to_json("v").alias("json"), F.try_variant_get("v", "$.has_children", "boolean").alias("has_children"))
 
 
+def block_tree(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded listings of blocks as a tree: id, parent_id, ord (within its listing), type, json, descend.
+
+    A listing is a JSON array of blocks in their order. descend: whether a scan goes on below, which it does not into
+    child pages and databases, whose blocks are documents of their own.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("ord", "json"))
+    block = raw.select("ord", F.parse_json("json").alias("v"))
+    of = lambda p: F.try_variant_get("v", p, "string")
+    bare = lambda c: F.lower(F.replace(c, F.lit("-"), F.lit("")))
+    below = F.coalesce(F.try_variant_get("v", "$.has_children", "boolean"), F.lit(False)) & ~of("$.type").isin("child_page", "child_database")
+    return block.select(bare(of("$.id")).alias("id"), bare(F.coalesce(of("$.parent.block_id"), of("$.parent.page_id"))).alias("parent_id"), "ord", of("$.type").alias("type"), F.to_json("v").alias("json"), below.alias("descend"))
+
+
 def git_tree(spark: SparkSession, path: str) -> DataFrame:
     """A recorded recursive tree listing, lines of mode, type, blob and path: path, sha, mode of its blobs."""
     raw = spark.read.text(path)

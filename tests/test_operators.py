@@ -1,5 +1,6 @@
 """Operators on small literal tables, and invariants of the differences."""
 
+import json
 import random
 import re
 
@@ -368,3 +369,14 @@ def test_pushes_on_what_moved(spark, tmp_path):
     assert {tuple(r) for r in readers.git_tree(spark, str(tmp_path / "tree.txt")).collect()} == {("docs/one two.md", "a" * 40, "100644"), ("link", "c" * 40, "120000")}
     kinds = lambda changed, said: snapshot.commit_message(False, spark.createDataFrame([(p,) for p in changed], "path string"), spark.createDataFrame([(p,) for p in said], "path string")).first()["kind"]
     assert [kinds(["a.md"], ["b.md"]), kinds([], ["b.md"]), kinds(["a.md"], []), kinds(["a.comments.md"], [])] == ["suggested", "index", "update", "comments"]
+
+
+def test_block_trees_are_walked_in_order(spark, tmp_path):
+    """Listings of a page and of a block in it; a child page is not descended."""
+    block = lambda id_, kind, parent, children: {"id": id_, "type": kind, "parent": parent, "has_children": children}
+    (tmp_path / "page.json").write_text(json.dumps([block("A-1", "paragraph", {"page_id": "P"}, False), block("A-2", "toggle", {"page_id": "P"}, True), block("A-3", "child_page", {"page_id": "P"}, True)]))
+    (tmp_path / "below.json").write_text(json.dumps([block("B-1", "paragraph", {"block_id": "A-2"}, False), block("B-2", "paragraph", {"block_id": "A-2"}, False)]))
+    found = readers.block_tree(spark, str(tmp_path))
+    assert {r["id"]: (r["parent_id"], r["ord"], r["descend"]) for r in found.collect()} == {"a1": ("p", 0, False), "a2": ("p", 1, True), "a3": ("p", 2, False), "b1": ("a2", 0, False), "b2": ("a2", 1, False)}
+    nodes = found.select("id", F.when(F.col("parent_id") != "p", F.col("parent_id")).alias("parent_id"), "ord", F.col("id").alias("name"))
+    assert [r["path"] for r in tree.walk(nodes).orderBy("sort").collect()] == ["a1", "a2", "a2/b1", "a2/b2", "a3"]
