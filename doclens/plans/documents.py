@@ -129,13 +129,13 @@ def carried_rows(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT concat('d', doc_id % 40) AS document, concat('f', doc_id % 90) AS path, doc_id FROM documents),
+    """WITH f AS (SELECT concat('d', doc_id % 40) AS document, concat('f', doc_id % 90, '-', doc_id % 11) AS path, doc_id FROM documents),
 e AS (SELECT document, path FROM f WHERE doc_id % 3 = 0 UNION SELECT document, path FROM f WHERE doc_id % 5 = 0)
 SELECT document, string_agg(path, ',' ORDER BY path) AS assets FROM e WHERE path NOT IN (SELECT path FROM f WHERE doc_id % 11 = 0) GROUP BY document"""
 )
 def document_assets(spark, sf_dir):
     n = F.col("doc_id")
-    f = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), number(n % 40)).alias("document"), F.concat(F.lit("f"), number(n % 90)).alias("path"))
+    f = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), number(n % 40)).alias("document"), F.concat(F.lit("f"), number(n % 90), F.lit("-"), number(n % 11)).alias("path"))
     index = f.where("doc_id % 5 = 0").select("document", "path", F.lit("asset").alias("type")).unionByName(f.select("document", F.concat(F.lit("page"), "path").alias("path"), F.lit("page").alias("type")))
     return assets.assets_of(f.where("doc_id % 3 = 0"), index, f.where("doc_id % 11 = 0")).select("document", F.array_join("assets", ",").alias("assets"))
 
