@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import crc_fold
+from doclens.llm.byte_bpe import encode_documents
+from doclens.llm.common import Scratch, crc_fold
+from doclens.llm.divergence import divergence
 from doclens.llm.exact_dedup import exact_dedup
 from doclens.llm.language import identify_language
 from doclens.llm.mixing import mix
@@ -13,6 +15,7 @@ from doclens.llm.ngram_join import Join
 from doclens.llm.packing import pack_documents
 from doclens.llm.quality import score_quality
 from doclens.llm.secret_scan import scan_secrets
+from doclens.llm.token_alignment import align_tokens, pair_counts, score_links
 from doclens.llm.topk_search import top_k
 from doclens.llm.toxicity import score_toxicity
 from doclens.llm.warc import archive
@@ -27,10 +30,16 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +91,24 @@ def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_encode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern(), decoded=True)
+    said = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "alignment")
+    aligned = align_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    groups_sha = F.coalesce(F.sha2(F.col("groups").cast("binary"), 256), F.lit("")).alias("groups_sha256")
+    aligned = scratch.table(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", groups_sha, "pairs", "times"), "aligned")
+    return score_links(aligned, scratch.table(pair_counts(aligned), "counts"), scratch)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +122,9 @@ QUERIES = {
         op8_score_quality,
         op9_topk_search,
         op10_scan_secrets,
+        op11_encode_bytes,
+        op12_align_tokens,
+        op13_source_divergence,
     )
 }
 
@@ -163,4 +193,29 @@ h AS (SELECT n, k, kind, stop - length(hit) AS start, concat(kind, ':', stop - l
 SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
   sha256(coalesce(string_agg(span, ',' ORDER BY start, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, k), '') AS spans
 FROM d LEFT JOIN h USING (n) GROUP BY n, doc_id""",
+    # every kept term of every group, counts of zero included
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + 1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT // (coalesce(s.n, 0) + 2 * v.v)::HUGEINT AS BIGINT) AS p,
+         CAST(1 + 1000000000 * (k.n + 2)::HUGEINT // (v.n + 2 * v.v)::HUGEINT AS BIGINT) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10""",
 }
