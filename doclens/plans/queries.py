@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import paths, refs, text
-from doclens.operators import diff, locate, naming, plan, runs, snapshot, threads, tree
+from doclens.operators import diff, locate, naming, patch, plan, runs, snapshot, threads, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -651,7 +651,7 @@ def text_diff_replay(spark, sf_dir):
 def line_versions(spark, sf_dir, nested: bool = False) -> DataFrame:
     """key, base, next: the lines of each document as blocks, and a version with lines left out, altered and moved. Nested:
     every third line is a block of its own, the two behind it are its children."""
-    d = table(spark, sf_dir, "documents")
+    d = diff.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")  # texts may all be in one row group
     parent = lambda n: F.when(F.lit(nested) & (n % 3 > 0), n - n % 3)
     block = lambda x, n: F.struct(n.cast("int").alias("ord"), parent(n).cast("int").alias("parent"), F.lit("paragraph").alias("type"), x.alias("text"))
     base = F.transform(F.split("text", "\n"), block)
@@ -838,14 +838,45 @@ def inline_diff(spark, sf_dir):
     return turn_pairs(spark, sf_dir).select("key", style_changes(marked(F.col("a"), 3), marked(F.col("a"), 4)).alias("changes"))
 
 
+def moved_lines(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The lines of each document, and a version with lines left out, altered and moved to the front."""
+    rows = locate.lines(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), "ord", F.lit("paragraph").alias("type"), F.col("line").alias("text"), F.concat_ws("-", "doc_id", "ord").alias("live_id"))
+    place = F.col("key") + F.col("ord")
+    more = F.when(place % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    return rows, rows.where(place % 6 != 0).select("key", F.when(place % 7 == 0, F.col("ord") - 1_000_000).otherwise(F.col("ord")).alias("ord"), "type", more.alias("text"))
+
+
 @query()
 def page_calls(spark, sf_dir):
-    """Calls that bring each document's lines to a version with lines left out and altered."""
-    from doclens.operators import patch
+    """Calls that bring each document's lines to a version with lines left out, altered and moved."""
+    before, after = moved_lines(spark, sf_dir)
+    return patch.page_calls(diff.block_diff(before, after), before, after)
 
-    rows = locate.lines(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), "ord", F.lit("paragraph").alias("type"), F.col("line").alias("text"))
-    after = rows.where("(key + ord) % 6 <> 0").withColumn("text", F.when((F.col("key") + F.col("ord")) % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
-    return patch.page_calls(diff.block_diff(rows, after), rows.withColumn("live_id", F.concat_ws("-", "key", "ord")), after)
+
+@query(
+    f"""WITH {LINES} SELECT doc_id AS key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN (doc_id + ord) % 7 = 0 THEN ord - 1000000 ELSE ord END) - 1 AS INT) AS place,
+  CASE WHEN (doc_id + ord) % 5 = 0 THEN concat(line, ' more') ELSE line END AS text FROM l WHERE (doc_id + ord) % 6 <> 0"""
+)
+def page_calls_replay(spark, sf_dir):
+    """The live lines after the calls."""
+    before, after = moved_lines(spark, sf_dir)
+    return patch.replayed(patch.page_calls(diff.block_diff(before, after), before, after), before, after)
+
+
+@query(
+    f"""WITH {LINES}, b AS (SELECT doc_id AS key, ord, CASE WHEN ord % 3 > 0 THEN ord - ord % 3 END AS up, (doc_id + ord) % 5 = 0 AS altered, (doc_id + ord) % 7 = 0 OR (ord % 3 > 0 AND (doc_id + ord - ord % 3) % 7 = 0) AS gone FROM l),
+g AS (SELECT *, count(*) FILTER (NOT altered AND NOT gone) OVER (PARTITION BY key, up ORDER BY ord ROWS UNBOUNDED PRECEDING) AS gap FROM b),
+p AS (SELECT *, NOT gone AND (NOT altered OR count(*) FILTER (gone) OVER (PARTITION BY key, up, gap) = 0) AS paired FROM g)
+SELECT p.key, p.ord AS base_ord, 2 * p.ord + 1 AS live_ord FROM p LEFT JOIN p u ON u.key = p.key AND u.ord = p.up WHERE p.paired AND (p.up IS NULL OR u.paired)"""
+)
+def aligned_blocks(spark, sf_dir):
+    """Lines as blocks, every third with the two behind it as children, against a live version of other numbers in which
+    some are missing or altered; each line is told apart by its number."""
+    ord_, key = F.col("ord"), F.col("key")
+    rows = locate.lines(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), "ord", F.when(ord_ % 3 > 0, ord_ - ord_ % 3).alias("parent"), F.lit("paragraph").alias("type"), F.concat_ws(" ", "ord", "line").alias("text"))
+    kept = rows.where((key + ord_) % 7 != 0).where(F.col("parent").isNull() | ((key + F.col("parent")) % 7 != 0))
+    live = kept.select("key", (2 * ord_ + 1).alias("ord"), (2 * F.col("parent") + 1).alias("parent"), "type", F.when((key + ord_) % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")).alias("text"))
+    return patch.aligned_blocks(rows, live)
 
 
 @query(
@@ -853,8 +884,6 @@ def page_calls(spark, sf_dir):
 SELECT key, off AS "offset", arg_max(start + off - pos, pos) AS index FROM o JOIN p ON pos <= off AND off <= pos + length GROUP BY key, off"""
 )
 def live_index(spark, sf_dir):
-    from doclens.operators import patch
-
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.lit(0).alias("block"), (F.col("event_id") % 20).cast("int").alias("offset"))
     piece = lambda at, start: F.struct(F.lit(at).alias("at"), F.lit(start).alias("start"), F.lit(10).alias("length"))
     pieces = e.select("key", "block", F.explode(F.array(piece(0, 100), piece(10, 200))).alias("p")).select("key", "block", "p.*")

@@ -5,6 +5,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from doclens.operators import diff, patch, richtext
 from doclens.operators.richtext import from_markdown, inline_diff, joined, merge, run, text_of, to_markdown
 
@@ -40,39 +42,98 @@ def test_merge_keeps_and_inherits():
 
 
 def replay(live, calls, texts):
-    ids = [id_ for id_, _ in live]
-    content = dict(live)
-    new = 0
-    for phase, id_, after, nxt in calls:
-        if phase == "update":
-            content[id_] = texts[nxt[0]]
-        elif phase == "delete":
-            ids.remove(id_)
+    ids = [f"l{k}" for k in range(len(live))]
+    content = dict(zip(ids, live, strict=True))
+    for c in calls:
+        if c["phase"] == "update":
+            content[c["live_id"]] = texts[c["next_ords"][0]]
+        elif c["phase"] == "delete":
+            ids.remove(c["live_id"])
         else:
-            at = ids.index(after) + 1 if after is not None else len(ids)
-            for k in nxt:
-                ids.insert(at, f"new{new}")
-                content[f"new{new}"] = texts[k]
-                at, new = at + 1, new + 1
+            at = ids.index(c["after_id"]) + 1 if c["after_id"] is not None else len(ids)
+            for k in c["next_ords"]:
+                ids.insert(at, f"new{k}")
+                content[f"new{k}"] = texts[k]
+                at += 1
     return [content[i] for i in ids]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=7), st.lists(st.sampled_from("abcdx"), max_size=7))
-def test_calls_replay_to_the_next_version(base, nxt):
-    ops = diff.diff_level([("p", t) for t in base], [("p", t) for t in nxt])
-    live = [(f"l{k}", t) for k, t in enumerate(base)]
-    calls, problem = patch.plan_page(ops, [(i, "p") for i, _ in live], ["p"] * len(nxt))
-    assert problem is None
-    assert replay(live, calls, nxt) == nxt
-
-
-def test_refusals_and_alignment():
-    assert patch.plan_page([("update", 0, 0)], [("i", "placeholder:x")], ["p"])[1] == "a placeholder cannot be edited"
-    assert patch.plan_page([("keep", 3, 0)], [("i", "p")], ["p"])[1] == "the live document has fewer blocks"
-    assert patch.plan_page([("update", 0, 0)], [("i", "p")], ["h"])[1] == "a block cannot change its type"
-    assert patch.align(["a", "b", "c"], ["a", "x", "c"]) == [0, 1, 2]
-    assert patch.align(["a", "b", "c"], ["a", "c"]) == [0, None, 1]
+def versions(rng):
+    """Pairs of versions: what went wrong once, short alphabets, and blocks that are edited and change places."""
+    yield from ((list("aab"), list("baa")), (list("abc"), list("cab")), ([], list("ab")), (list("ab"), []))
+    yield ["one two three four", "five six seven eight"], ["five six seven nine", "one two three ten"]
+    for _ in range(400):
+        yield [rng.choice("abcd") for _ in range(rng.randrange(8))], [rng.choice("abcdx") for _ in range(rng.randrange(8))]
+    words = "alpha beta gamma delta epsilon".split()
+    for _ in range(200):
+        base = [" ".join(rng.choice(words) for _ in range(4)) for _ in range(rng.randrange(7))]
+        nxt = [" ".join([*x.split()[:3], rng.choice(words)]) if rng.random() < 0.6 else x for x in base]
+        rng.shuffle(nxt)
+        yield base, nxt[: rng.randrange(8)]
+
+
+def test_calls_replay_to_the_next_version(spark):
+    cases = list(versions(random.Random(1)))
+    ops, live, nxt = [], [], []
+    for k, (b, n) in enumerate(cases):
+        ops += [(k, i, *op) for i, op in enumerate(diff.diff_level([("p", t) for t in b], [("p", t) for t in n]))]
+        live += [(k, i, "p", f"l{i}", t) for i, t in enumerate(b)]
+        nxt += [(k, i, "p", t) for i, t in enumerate(n)]
+    ops = spark.createDataFrame(ops, "key long, op_ord long, op string, base_ord long, next_ord long")
+    live = spark.createDataFrame(live, "key long, ord int, type string, live_id string, text string")
+    nxt = spark.createDataFrame(nxt, "key long, ord int, type string, text string")
+    calls = patch.page_calls(ops, live, nxt)
+    made, replayed = {}, {}
+    for c in calls.orderBy("key", "call").collect():
+        made.setdefault(c["key"], []).append(c)
+    for r in patch.replayed(calls, live, nxt).orderBy("key", "place").collect():
+        replayed.setdefault(r["key"], []).append(r["text"])
+    for k, (b, n) in enumerate(cases):
+        own = made.get(k, [])
+        assert [c["call"] for c in own] == list(range(len(own)))
+        assert [c["phase"] for c in own] == sorted((c["phase"] for c in own), key=["update", "insert", "delete"].index)
+        assert replay(b, own, n) == n == replayed.get(k, [])
+
+
+def test_a_longest_run_stays(spark):
+    rows = [(1, [5, 1, 2, 3, 4]), (2, [3, 2, 1]), (3, []), (4, [1, 2, 9, 3, 8, 4])]
+    found = spark.createDataFrame(rows, "k int, v array<long>").select("k", patch.longest_increasing(F.col("v")).alias("v")).collect()
+    assert {r["k"]: r["v"] for r in found} == {1: [1, 2, 3, 4], 2: [1], 3: [], 4: [1, 2, 3, 4]}
+
+
+def test_refusals(spark):
+    ops = [(1, 0, "update", 0, 0), (2, 0, "keep", 3, 0), (3, 0, "update", 0, 0), (4, 0, "insert", None, 0), (4, 1, "keep", 0, 1), (5, 0, "keep", 0, 0)]
+    live = [(1, 0, "placeholder:x", "i"), (2, 0, "p", "i"), (3, 0, "p", "i"), (4, 0, "placeholder:y", "i"), (5, 0, "placeholder:z", "i")]
+    nxt = [(1, 0, "p"), (2, 0, "p"), (3, 0, "h"), (4, 0, "p"), (4, 1, "placeholder:y"), (5, 0, "placeholder:z")]
+    found = patch.page_calls(spark.createDataFrame(ops, "key long, op_ord long, op string, base_ord long, next_ord long"), spark.createDataFrame(live, "key long, ord int, type string, live_id string"), spark.createDataFrame(nxt, "key long, ord int, type string")).collect()
+    assert {r["key"]: (r["phase"], r["problem"]) for r in found} == {1: ("refused", "a placeholder cannot be edited"), 2: ("refused", "the live document has fewer blocks"), 3: ("refused", "a block cannot change its type"), 4: ("refused", "a placeholder cannot be moved")}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
+def test_common_pairs_are_those_of_the_whole_table(a, b):
+    assert patch.common_pairs(a, b) == [(i, j) for kind, i, j in diff.walk(a, b) if kind == "keep"]
+
+
+def test_alignment_of_lists():
+    assert patch.align(["a", "b", "c"], ["a", "x", "c"]) == [(0, 0), (1, 1), (2, 2)]
+    assert patch.align(["a", "b", "c"], ["a", "c"]) == [(0, 0), (2, 1)]
+    rng = random.Random(2)
+    a = [str(rng.randrange(500)) for _ in range(3000)]
+    b = list(a)
+    for _ in range(300):
+        b.insert(rng.randrange(len(b)), "new")
+        b.pop(rng.randrange(len(b)))
+    pairs = patch.align(a, b)  # nine million cells
+    assert len(pairs) > 2600 and all(i < k and j < n for (i, j), (k, n) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_aligned_blocks(spark):
+    schema = "key long, ord int, parent int, type string, text string"
+    base = [(1, 0, None, "p", "a"), (1, 1, 0, "p", "a1"), (1, 2, 0, "p", "a2"), (1, 3, None, "p", "b"), (1, 4, 3, "p", "b1"), (1, 5, None, "p", "c"), (2, 0, None, "p", "x"), (2, 1, 0, "p", "x1"), (2, 2, 1, "p", "x2"), (3, 0, None, "p", "only base")]
+    live = [(1, 10, None, "p", "a"), (1, 11, 10, "p", "other"), (1, 12, 10, "p", "a2"), (1, 13, None, "p", "B"), (1, 14, 13, "p", "b1"), (1, 15, None, "p", "c"), (1, 16, None, "h", "c"), (2, 5, None, "p", "x"), (2, 6, 5, "p", "x1"), (2, 7, 6, "p", "x2")]
+    found = patch.aligned_blocks(spark.createDataFrame(base, schema), spark.createDataFrame(live, schema)).collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 10), (1, 1, 11), (1, 2, 12), (1, 3, 13), (1, 4, 14), (1, 5, 15), (2, 0, 5), (2, 1, 6), (2, 2, 7)]
 
 
 def test_text_requests(spark):
