@@ -171,9 +171,9 @@ def commit_snapshot(previous: DataFrame | None, current: DataFrame, folder: str,
 
 
 def index_rows(snapshot: DataFrame) -> DataFrame:
-    """The index in its fixed order of rows and fields."""
+    """The index in its fixed order of rows and fields: rows by the UTF-16 units of their paths."""
     fields = ["path", "source", "id", "type", "last_edited_raw", "read_only", "md5", "suggested", "document", "checksum"]
-    return snapshot.select(*(f for f in fields if f in snapshot.columns)).orderBy("path")
+    return snapshot.select(*(f for f in fields if f in snapshot.columns)).orderBy(F.encode("path", "UTF-16BE"))
 
 
 

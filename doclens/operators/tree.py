@@ -17,10 +17,12 @@ def walk(nodes: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
 
     nodes: id, parent_id, ord, name. Each round joins what a node knows of its ancestors with what the highest of these
     knows of its own, so that the rounds grow with the logarithm of the depth; they end when no further node has reached
-    its root. Neither depth nor size has a limit. `sort` orders nodes before their children, siblings by ord.
+    its root. Neither depth nor size has a limit. `sort` orders nodes before their children, siblings by ord: any long,
+    null before all. Ids may be of any type.
     """
     keep = nodes if ignored is None else nodes.join(ignored.select("id"), "id", "left_anti")
-    place = F.lpad(F.col("ord").cast("string"), 10, "0")
+    # in 16 digits, with the sign turned over: as text in the order of the numbers
+    place = F.coalesce(F.lpad(F.hex(F.col("ord").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit(""))
     state = keep.select("id", F.col("parent_id").alias("above"), F.lit(0).alias("depth"), F.col("name").alias("path"), place.alias("sort"))
     before = None
     while True:
@@ -124,10 +126,11 @@ def ignored_by_globs(path: Column, globs: list[str]) -> Column:
 
 
 def tab_order(tabs: DataFrame) -> DataFrame:
-    """Tabs of each document before their children, siblings by index: doc_id, tab_id, position (from 0)."""
-    walked = walk(tabs.select(F.concat_ws("#", "doc_id", "tab_id").alias("id"), F.when(F.col("parent_tab").isNotNull(), F.concat_ws("#", "doc_id", "parent_tab")).alias("parent_id"), F.col("index").alias("ord"), F.col("title").alias("name")))
-    spot = F.row_number().over(Window.partitionBy(F.substring_index("id", "#", 1)).orderBy("sort")) - 1
-    return walked.select(F.substring_index("id", "#", 1).alias("doc_id"), F.substring_index("id", "#", -1).alias("tab_id"), "path", spot.alias("position"))
+    """Tabs of each document before their children, siblings by index: doc_id, tab_id, path, position (from 0)."""
+    node = lambda tab: F.struct(F.col("doc_id"), F.col(tab).alias("tab_id"))
+    walked = walk(tabs.select(node("tab_id").alias("id"), F.when(F.col("parent_tab").isNotNull(), node("parent_tab")).alias("parent_id"), F.col("index").alias("ord"), F.col("title").alias("name")))
+    spot = F.row_number().over(Window.partitionBy("id.doc_id").orderBy("sort")) - 1
+    return walked.select("id.doc_id", "id.tab_id", "path", spot.alias("position"))
 
 
 def event_folders(instances: DataFrame, now: str) -> DataFrame:

@@ -237,9 +237,21 @@ def name_collisions(spark, sf_dir):
     return naming.number_names(rows, "folder", "title", "ext", "p_partkey").select("p_partkey", "name")
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT CAST(p_size % 3 AS VARCHAR) AS folder, p_partkey AS k, p_partkey % 9 = 0 AS two, p_name, CASE WHEN p_partkey % 9 = 0 THEN concat(p_name, ' (2)') ELSE p_name END AS title, p_partkey % 5 = 0 AS kept FROM part),
+s AS (SELECT folder, k, title, lower(p_name) AS stem, concat(p_name, ' (3).md') AS name, kept AND NOT two AND row_number() OVER (PARTITION BY folder, lower(p_name), kept AND NOT two ORDER BY k) = 1 AS stays FROM p),
+w AS (SELECT folder, stem, k, title, row_number() OVER (PARTITION BY folder, stem ORDER BY k) AS turn FROM s WHERE NOT stays),
+r AS (
+  SELECT folder, stem, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS name, coalesce(list(lower(name)) FILTER (stays), []) AS taken FROM s GROUP BY folder, stem
+  UNION ALL
+  SELECT folder, stem, turn, k, name, list_append(taken, lower(name)) FROM (
+    SELECT r.folder, r.stem, w.turn, w.k, r.taken,
+      list_filter(list_transform(range(1, len(r.taken) + 2), lambda n: concat(w.title, CASE WHEN n = 1 THEN '' ELSE concat(' (', n, ')') END, '.md')), lambda x: NOT list_contains(r.taken, lower(x)))[1] AS name
+    FROM r JOIN w ON w.folder = r.folder AND w.stem = r.stem AND w.turn = r.turn + 1))
+SELECT folder, printf('%09d', k) AS id, name FROM r WHERE k IS NOT NULL UNION ALL SELECT folder, printf('%09d', k), name FROM s WHERE stays"""
+)
 def kept_names(spark, sf_dir):
-    """The exact path: names kept from before, titles that already end in a number."""
+    """The exact path: names kept from before, titles that already end in a number. The SQL names one by one."""
     p = table(spark, sf_dir, "part")
     title = F.when(F.col("p_partkey") % 9 == 0, F.concat("p_name", F.lit(" (2)"))).otherwise(F.col("p_name"))
     kept = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" (3).md")))

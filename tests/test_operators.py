@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from doclens.functions import paths
 from doclens.operators import blocks, diff, naming, plan, runs, snapshot, threads, tree
 from doclens.plans import queries
 from doclens.sources import readers
@@ -132,6 +133,82 @@ def test_names(spark):
     assert found == {"9": "notes (7).md", "1": "Notes.md", "2": "Notes (2).md", "3": "Notes (3).md", "4": "Notes.md"}
 
 
+def plain_name(title, ext):
+    trim = lambda x: re.sub(rf"^{paths.EDGES}+|{paths.EDGES}+$", "", x)
+    stem = re.sub(paths.DEVICES, r"\1-\2", trim(re.sub(paths.FORBIDDEN, "-", title))) or "untitled"
+    return (trim(stem.encode()[: max(200 - len(ext.encode()), 0)].decode(errors="ignore")) or "untitled") + ext
+
+
+def named_one_by_one(rows):
+    """Names of one folder, in the order of the contract."""
+    nth = lambda title, ext, n: plain_name(title, ext if n == 1 else f" ({n}){ext}")
+    taken, names, waiting = set(), {}, []
+    for _, _, id_, title, ext, kept in sorted(rows, key=lambda r: r[1]):
+        number = re.search(r" \((\d+)\)$", kept[: len(kept) - len(ext)]) if kept and kept.endswith(ext) else None
+        gives = kept is not None and (kept == nth(title, ext, 1) or (number is not None and kept == nth(title, ext, int(number[1]))))
+        if gives and kept.lower() not in taken:
+            names[id_] = kept
+            taken.add(kept.lower())
+        else:
+            waiting.append((id_, title, ext))
+    for id_, title, ext in sorted(waiting):
+        n = 1
+        while nth(title, ext, n).lower() in taken:
+            n += 1
+        names[id_] = nth(title, ext, n)
+        taken.add(names[id_].lower())
+    return names
+
+
+def test_names_as_one_by_one(spark):
+    """Families that want each other's names, kept numbers, cut and empty titles, extensions that are part of a title."""
+    rng = random.Random(0)
+    titles = ["Notes", "notes", "Notes (2)", "Notes (3)", "Notes (2) (2)", "a", "A (2)", "a (1)", "a (0)", "", "...", "CON", "Notes.md", "x" * 197, "x" * 200, "x" * 193 + " (2)", "x" * 193, "é" * 99, "Notes (12)", "b?", "b*"]
+    rows = []
+    for folder in range(60):
+        n, some = rng.randrange(1, 40), rng.sample(titles, rng.randrange(1, 8))
+        for o, id_ in enumerate(rng.sample(range(1000), n)):
+            title, ext, kept = rng.choice(some), rng.choice([".md", ".md", ".md", ""]), None
+            if rng.random() < 0.3:
+                kept = plain_name(title, ext if rng.random() < 0.4 else f" ({rng.choice([0, 1, 2, 3, 4, 12])}){ext}")
+            if rng.random() < 0.05:
+                kept = plain_name(rng.choice(titles), ".md")
+            rows.append((str(folder), o, f"{id_:04d}", title, ext, kept))
+    found = naming.assign_names(spark.createDataFrame(rows, "folder string, ord int, id string, title string, ext string, kept string")).collect()
+    expected = {(str(f), id_): name for f in range(60) for id_, name in named_one_by_one([r for r in rows if r[0] == str(f)]).items()}
+    assert len(found) == len(expected) and {(r["folder"], r["id"]): r["name"] for r in found} == expected
+
+
+def test_names_of_one_large_family(spark):
+    """Ten thousand equal titles, every third number kept, and rows whose titles spell some of the numbers."""
+    rows = [("d", n, f"{n:06d}", "Notes", ".md", f"Notes ({n + 2}).md" if n % 3 == 0 else None) for n in range(10_000)]
+    rows += [("d", 20_000 + n, f"{n * 7:06d}x", f"Notes ({n})", ".md", None) for n in range(2, 400)]
+    found = naming.assign_names(spark.createDataFrame(rows, "folder string, ord int, id string, title string, ext string, kept string")).collect()
+    assert {r["id"]: r["name"] for r in found} == named_one_by_one(rows)
+
+
+def test_odd_rows_have_names(spark):
+    rows = [("d", 0, None, None, None, None), ("d", 1, "1", None, None, None), (None, 0, "2", "a", ".md", "a.md"), (None, 1, "3", "a", ".md", None), (None, 2, "4", "A", ".md", None)]
+    schema = "folder string, ord int, id string, title string, ext string, kept string"
+    assert sorted((r["id"] or "", r["name"]) for r in naming.assign_names(spark.createDataFrame(rows, schema)).collect()) == [("", "untitled"), ("1", "untitled (2)"), ("2", "a.md"), ("3", "a (2).md"), ("4", "A (3).md")]
+    assert naming.assign_names(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_walks_order_any_number(spark):
+    nodes = spark.createDataFrame([("r", None, 0, "r"), ("a", "r", 12345678902, "a"), ("b", "r", 12345678901, "b"), ("c", "r", -5, "c"), ("d", "r", 7, "d"), ("e", "r", None, "e")], "id string, parent_id string, ord long, name string")
+    assert [r["id"] for r in tree.walk(nodes).orderBy("sort").collect()] == ["r", "e", "c", "d", "b", "a"]
+
+
+def test_tabs_of_ids_with_marks(spark):
+    tabs = spark.createDataFrame([("x#1", "t", None, 1, "T"), ("x#1", "u#2", "t", 0, "U"), ("x#2", "t", None, 0, "T"), ("x", "1#t", None, 0, "V")], "doc_id string, tab_id string, parent_tab string, index int, title string")
+    assert sorted(tuple(r) for r in tree.tab_order(tabs).collect()) == [("x", "1#t", "V", 0), ("x#1", "t", "T", 0), ("x#1", "u#2", "T/U", 1), ("x#2", "t", "T", 0)]
+
+
+def test_index_is_in_the_order_of_utf16(spark):
+    rows = spark.createDataFrame([("\ue000.md", "1"), ("\U0001f4a1.md", "2"), ("b.md", "3")], "path string, id string")
+    assert [r["id"] for r in snapshot.index_rows(rows).collect()] == ["3", "2", "1"]
+
+
 @pytest.mark.parametrize(
     ("globs", "path", "ignored"),
     [
