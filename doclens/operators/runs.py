@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.operators.intervals import TEXT_CELL, subtract
+
 
 def islands(rows: DataFrame, value: Column, key: str, order: str) -> DataFrame:
     """rows with `island`: a number per run of equal values within the key."""
@@ -25,17 +27,10 @@ def merge_runs(runs: DataFrame, styles: list[str], key: str = "doc_id", order: s
     return marked.groupBy(key, "island", *styles).agg(text.alias("text"))
 
 
-def subtract_intervals(ranges: DataFrame, gaps: DataFrame, key: str = "key") -> DataFrame:
-    """Parts of each range (key, start, end) that no gap (key, start, end) covers."""
-    r, g = ranges.alias("r"), gaps.alias("g")
-    col = F.col
-    cut = r.join(g, (col(f"r.{key}") == col(f"g.{key}")) & (col("g.start") < col("r.end")) & (col("g.end") > col("r.start")), "left")
-    cut = cut.select(col(f"r.{key}").alias(key), col("r.start").alias("from"), col("r.end").alias("to"), col("g.start").alias("gs"), col("g.end").alias("ge"))
-    w = Window.partitionBy(key, "from", "to").orderBy("gs", "ge")
-    seen = F.greatest(col("from"), F.coalesce(F.max("ge").over(w.rowsBetween(Window.unboundedPreceding, -1)), col("from")))
-    before = cut.where("gs is not null").withColumn("start", seen).select(key, "from", "to", "start", col("gs").alias("end"))
-    after = cut.groupBy(key, "from", "to").agg(F.greatest("from", F.coalesce(F.max("ge"), col("from"))).alias("start")).select(key, "from", "to", "start", col("to").alias("end"))
-    return before.unionByName(after).where("start < end").select(key, "start", "end")
+def subtract_intervals(ranges: DataFrame, gaps: DataFrame, key: str = "key", width: int = TEXT_CELL) -> DataFrame:
+    """Parts of each range (key, start, end) that no gap (key, start, end) covers, cell by cell; equal ranges are one, empty
+    gaps cover nothing."""
+    return subtract(ranges, gaps, key, width)
 
 
 def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:

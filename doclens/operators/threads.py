@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.text import decode_entities, minute, quoted, utf16_len, utf16_slice
+from doclens.operators.intervals import BLOCK_CELL, TEXT_CELL, overlaps
 
 
 def open_entries(comments: DataFrame) -> DataFrame:
@@ -42,17 +43,17 @@ def sidecars(threads: DataFrame, document: str, fetched: str) -> DataFrame:
     return parts.select(document, F.concat(head, F.regexp_replace("_all", "\n\n$", "\n")).alias("text"))
 
 
-def anchored_text(anchors: DataFrame, runs: DataFrame) -> DataFrame:
-    """The text that an anchor's ranges cover and where it starts: an overlap join within a document.
+def anchored_text(anchors: DataFrame, runs: DataFrame, width: int = TEXT_CELL) -> DataFrame:
+    """The text that an anchor's ranges cover and where it starts: an overlap join over cells of `width` units.
 
-    anchors: doc_id, anchor_id, start, end. runs: doc_id, start, end, at, text. All offsets are UTF-16 units.
+    anchors: doc_id, anchor_id, start, end. runs: doc_id, start, end, at, text. All offsets are UTF-16 units; ranges and
+    runs without length cover nothing.
     """
-    a, r = anchors.alias("a"), runs.alias("r")
-    col = F.col
-    met = a.join(r, (col("a.doc_id") == col("r.doc_id")) & (col("r.start") < col("a.end")) & (col("a.start") < col("r.end")))
-    low = F.greatest("a.start", "r.start") - col("r.start")
-    high = F.least("a.end", "r.end") - col("r.start")
-    piece = met.select("a.doc_id", "a.anchor_id", col("a.start").alias("from"), col("r.start").alias("run"), (col("r.at") + low).alias("at"), utf16_slice(col("r.text"), low.cast("int"), high.cast("int")).alias("text"))
+    placed = runs.select("doc_id", F.col("start").alias("run_start"), F.col("end").alias("run_end"), F.col("at").alias("run_at"), "text")
+    met = overlaps(anchors.select("doc_id", "anchor_id", "start", "end"), placed, ["doc_id"], width)
+    low = F.greatest("start", "run_start") - F.col("run_start")
+    high = F.least("end", "run_end") - F.col("run_start")
+    piece = met.select("doc_id", "anchor_id", F.col("start").alias("from"), F.col("run_start").alias("run"), (F.col("run_at") + low).alias("at"), utf16_slice(F.col("text"), low.cast("int"), high.cast("int")).alias("text"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from", "run", "text"))), lambda x: x["text"]), "")
     return piece.groupBy("doc_id", "anchor_id").agg(joined.alias("quote"), F.min_by("at", F.struct("from", "run")).alias("at")).where(F.trim("quote") != "")
 
@@ -63,14 +64,18 @@ def text_offsets(runs: DataFrame) -> DataFrame:
     return runs.withColumn("at", F.coalesce(before, F.lit(0)))
 
 
-def suggestion_spans(blocks: DataFrame) -> DataFrame:
-    """Per suggestion the blocks from the first to the last it touches, in the order of first appearance.
+def suggestion_spans(blocks: DataFrame, width: int = BLOCK_CELL) -> DataFrame:
+    """Per suggestion the blocks from the first to the last it touches, in the order of first appearance; spans and blocks
+    meet over cells of `width` blocks.
 
     blocks: doc_id, ord, before, ids (array of struct(id, within, after)).
     """
     touched = blocks.select("doc_id", "ord", F.explode("ids").alias("x")).select("doc_id", "ord", F.col("x.id").alias("id"), F.col("x.within").alias("within"), F.col("x.after").alias("after"))
     spans = touched.groupBy("doc_id", "id").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.min_by("within", "ord").alias("within"))
-    inside = spans.join(blocks.select("doc_id", "ord", "before"), "doc_id").where("ord between first and last")
+    long = lambda c: F.col(c).cast("long")
+    ranges = spans.withColumn("_lo", long("first")).withColumn("_hi", long("last") + 1)
+    places = blocks.select("doc_id", "ord", "before", long("ord").alias("_at"), (long("ord") + 1).alias("_next"))
+    inside = overlaps(ranges, places, ["doc_id"], width, ("_lo", "_hi"), ("_at", "_next"))
     texts = inside.join(touched.select("doc_id", "id", "ord", "after"), ["doc_id", "id", "ord"], "left")
     return texts.select("doc_id", "id", "within", "ord", "before", F.coalesce("after", "before").alias("after"))
 

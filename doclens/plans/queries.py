@@ -544,6 +544,52 @@ def quote_location_span(spark, sf_dir):
     return locate.locate_quotes(marked, quotes).select("doc_id", "first_ord", "last_ord", "at")
 
 
+SPACED = f"""{LINES}, p AS (SELECT doc_id, ord, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM l)"""
+
+
+def spaced_lines(spark, sf_dir) -> DataFrame:
+    """Lines with single blanks, and `raw`: with two of each, and two in front."""
+    rows = locate.lines(table(spark, sf_dir, "documents")).select("doc_id", "ord", F.trim(text.collapse(F.col("line"))).alias("line"))
+    return rows.withColumn("raw", F.concat(F.lit("  "), F.replace("line", F.lit(" "), F.lit("  "))))
+
+
+@query(
+    f"""WITH {SPACED}, h AS (SELECT *, last_value(CASE WHEN length(line) < 12 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading FROM p),
+q AS (
+  SELECT doc_id, 1 AS quote_id, split_part(line, ' ', 2) AS n, doc_id % 3 AS skip FROM p WHERE ord = 0
+  UNION ALL SELECT p.doc_id, 2, array_to_string(list_slice(string_split(line, ' '), 2, 5), ' '), p.doc_id % 2 FROM p JOIN (SELECT doc_id, count(*) AS c FROM p GROUP BY doc_id) USING (doc_id) WHERE ord = c // 2),
+m AS (SELECT h.*, quote_id, n, skip, string_split(line, n) AS parts FROM h JOIN q USING (doc_id) WHERE n <> '' AND contains(line, n)),
+c AS (SELECT *, skip - coalesce(sum(len(parts) - 1) OVER (PARTITION BY doc_id, quote_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM m),
+a AS (SELECT *, CAST(list_sum(list_transform(parts[:turn + 1], lambda x: length(x))) + turn * length(n) AS BIGINT) AS a FROM c WHERE turn >= 0 AND turn < len(parts) - 1)
+SELECT doc_id, quote_id, CAST(ord AS INT) AS first_ord, CAST(ord AS INT) AS last_ord, CAST(a AS INT) AS "at", heading,
+  CAST(2 + a + length(left(line, a)) - length(replace(left(line, a), ' ', '')) AS INT) AS mark_start,
+  CAST(2 + a + length(n) + length(left(line, a + length(n))) - length(replace(left(line, a + length(n)), ' ', '')) AS INT) AS mark_end FROM a"""
+)
+def quote_marks(spark, sf_dir):
+    """A word, and four words of the line in the middle, each behind so many of the same; in lines of doubled blanks."""
+    rows = locate.heading_above(spaced_lines(spark, sf_dir), F.length("line") < 12)
+    word = rows.where("ord = 0").select("doc_id", F.lit(1).alias("quote_id"), F.split_part("line", F.lit(" "), F.lit(2)).alias("quote"), (F.col("doc_id") % 3).alias("skip"))
+    count = rows.groupBy("doc_id").agg(F.expr("cast(count(*) div 2 as int)").alias("ord"))
+    words = rows.join(count, ["doc_id", "ord"]).select("doc_id", F.lit(2).alias("quote_id"), F.array_join(F.slice(F.split("line", " "), 2, 4), " ").alias("quote"), (F.col("doc_id") % 2).alias("skip"))
+    found = locate.locate_quotes(rows.select("doc_id", "ord", F.col("raw").alias("line"), "heading"), word.unionByName(words))
+    return found.select("doc_id", "quote_id", "first_ord", "last_ord", "at", "heading", "mark_start", "mark_end")
+
+
+@query(
+    f"""WITH {SPACED}, k AS (SELECT doc_id, doc_id % (count(*) - 1) AS k FROM p GROUP BY doc_id HAVING count(*) > 1),
+u AS (SELECT k.doc_id, k, a.line AS a, b.line AS b FROM k JOIN p a ON a.doc_id = k.doc_id AND a.ord = k JOIN p b ON b.doc_id = k.doc_id AND b.ord = k + 1)
+SELECT doc_id, CAST(k AS INT) AS first_ord, CAST(k + 1 AS INT) AS last_ord, CAST(length(a) - length(ltrim(right(a, 6))) AS INT) AS mark_start, 2 AS mark_end FROM u WHERE a <> '' AND b <> ''"""
+)
+def quote_spans(spark, sf_dir):
+    """Quotes over a line break, each document at another, with marks that no single line holds."""
+    rows = spaced_lines(spark, sf_dir)
+    at = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", (F.col("doc_id") % (F.col("c") - 1)).cast("int").alias("k"))
+    marked = rows.join(at, "doc_id").withColumn("line", F.when(F.col("ord") == F.col("k"), F.concat("line", F.lit("§"))).when(F.col("ord") == F.col("k") + 1, F.concat(F.lit("¶"), "line")).otherwise(F.col("line")))
+    two = marked.groupBy("doc_id").agg(F.max(F.when(F.col("ord") == F.col("k"), F.col("line"))).alias("a"), F.max(F.when(F.col("ord") == F.col("k") + 1, F.col("line"))).alias("b")).where("length(a) > 1 and length(b) > 1")
+    quotes = two.select("doc_id", F.lit(1).alias("quote_id"), F.concat(F.right("a", F.least(F.length("a"), F.lit(7))), F.lit(" "), F.left("b", F.lit(2))).alias("quote"))
+    return locate.locate_quotes(marked.select("doc_id", "ord", "line"), quotes).select("doc_id", "first_ord", "last_ord", "mark_start", "mark_end")
+
+
 @query("SELECT doc_id, CAST((length(text) - length(replace(text, 'er', ''))) // 2 AS INT) AS skip FROM documents")
 def occurrences_before(spark, sf_dir):
     """Before the last character: every occurrence of the text."""
