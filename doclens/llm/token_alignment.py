@@ -9,17 +9,21 @@ counts: the counts of up to BROADCAST_PAIRS pairs, the most frequent ones, go to
 joined by pair. Tokenised once; between the two passes a table keeps, per document, its distinct pairs and how many
 links each has.
 
+Both tokenizers must end a token before a space behind a visible character. So a text is a row of chunks, whose tokens,
+groups and links are each aligned once, many chunks in one array, and kept for when they come again.
+
 Defined results: texts that are null or empty, or whose bytes one of the tokenizers changes, have no tokens, groups or
 links; repeated rows and rows without an id are documents of their own; columns that are not asked for are not read.
-Texts are worked through in windows that end where both tokenizers must end a token, so that a long text needs little
-more memory than its ids.
+Long texts are worked through in windows, so that they need little more memory than their ids.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from doclens.llm.byte_bpe import list_array, windows
+from doclens.llm.byte_bpe import WINDOW, list_array, text_groups, windows
 from doclens.llm.common import Scratch, bound_batches, lean, quoted
 
 #: Pairs of ids whose counts go to every task: 17 bytes each.
 BROADCAST_PAIRS = 1_000_000
-#: Characters of a window.
-WINDOW = 1 << 16
+#: Chunks that are kept.
+KEPT = 200_000
+#: Where a chunk ends, whatever the version of Unicode: neither pattern nor pieces of either tokenizer go on over a space
+#: behind a visible character.
+CHUNKS, VISIBLE = re.compile("(?<=[!-~À-ž])(?= )"), re.compile("[!-~À-ž]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,26 +53,25 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteTable:
-    """The bytes of each token of a vocabulary, one after the other."""
+    """The bytes of each token of a vocabulary."""
 
     def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
         self.lengths = np.array([len(t) for t in tokens], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
 
     def owners(self, ids: np.ndarray) -> np.ndarray:
         """The index of the token that owns each byte."""
         return np.repeat(np.arange(len(ids), dtype=np.int32), self.lengths[ids])
 
-    def joined(self, ids: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        first = np.cumsum(self.lengths[ids]) - self.lengths[ids]
-        return self.flat[(self.starts[ids] - first)[owners] + np.arange(len(owners))]
+    def said(self, ids: list[int]) -> bytes:
+        return b"".join([self.tokens[i] for i in ids])
 
 
 class Pair:
     """Tokenizer A (byte-level BPE, a JSON file) and B (a sentencepiece model that puts a space before the text)."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, ids: bool = False):
+        self.ids = ids
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True  # their strings are plain text
@@ -74,39 +80,95 @@ class Pair:
         self.bytes_a = ByteTable([bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode() for name in names])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = ByteTable([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
-        # a window may end before a word only where no token of B goes on over a blank
+        # text is cut into chunks only where no token of B goes on over a blank
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-
-    def align(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids of A and B, how many of either there are up to each cut (the end of a text is one), and the token
-        indices of each link; None where the bytes of one side are not those of the text."""
-        found = []
-        for start, end in windows(text, WINDOW) if self.cuts and len(text) > WINDOW else [(0, len(text))]:
-            said = text[start:end] if not start else text[start + 1 : end]
-            part = self.window(said)
-            if part is None:
-                return None
-            found.append(part)
-        if len(found) == 1:
-            return found[0]
-        at_a = np.cumsum([0, *(len(p[0]) for p in found[:-1])])
-        at_b = np.cumsum([0, *(len(p[1]) for p in found[:-1])])
-        moved = [(p[0], p[1], p[2] + a, p[3] + b, p[4] + a, p[5] + b) for p, a, b in zip(found, at_a, at_b, strict=True)]
-        return tuple(np.concatenate(column) for column in zip(*moved, strict=True))
-
-    def window(self, said: str):
-        plain = np.frombuffer((" " + said).encode(), np.uint8)
-        a = np.array(self.a.encode(" " + said, add_special_tokens=False).ids, np.int64)
-        b = np.array(self.b.encode(said), np.int64)
-        own_a, own_b = self.bytes_a.owners(a), self.bytes_b.owners(b)
-        if len(own_a) != len(plain) or len(own_b) != len(plain):
-            return None
-        if (self.bytes_a.joined(a, own_a) != plain).any() or (self.bytes_b.joined(b, own_b) != plain).any():
+        self.text = GroupText(len(names), len(pieces))
+        self.seen: dict[str, Chunk | None] = {}
+
+    def chunks(self, text: str) -> Iterator[list[str]]:
+        """A space and the text, cut into chunks that each start with a space; a list for each window."""
+        said = " " + text
+        if not self.cuts:
+            yield [said]
+            return
+        for start, end in windows(said) if len(said) > WINDOW else [(0, len(said))]:
+            yield CHUNKS.split(said[start:end])
+
+    def align(self, chunks: list[str]) -> list[Chunk | None]:
+        """Each chunk aligned; None for one whose bytes a side changes.
+
+        Chunks that may stand before any other are one text, in which they keep their tokens.
+        """
+        out: list[Chunk | None] = [None] * len(chunks)
+        together, apart = [], []
+        for n, c in enumerate(chunks):
+            (together if VISIBLE.match(c[-1]) and "▁" not in c else apart).append(n)
+        if together:
+            found = self.stream([chunks[n] for n in together])
+            if found is None:
+                apart += together
+            else:
+                for n, chunk in zip(together, found, strict=True):
+                    out[n] = chunk
+        for n in apart:  # behind another chunk: a lone space has no token of B at the start of a text
+            found = self.stream([" a", chunks[n]])
+            out[n] = found[1] if found else None
+        return out
+
+    def stream(self, chunks: list[str]) -> list[Chunk] | None:
+        """Chunks one behind the other as one array of bytes."""
+        text = "".join(chunks)
+        ids_a, ids_b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        if not self.bytes_a.said(ids_a) == text.encode() == self.bytes_b.said(ids_b):
             return None
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        own_a, own_b = self.bytes_a.owners(a), self.bytes_b.owners(b)
         new_a, new_b = own_a[1:] != own_a[:-1], own_b[1:] != own_b[:-1]
         begins = np.append(0, np.flatnonzero(new_a | new_b) + 1)
-        lasts = np.append(np.flatnonzero(new_a & new_b), len(plain) - 1)
-        return a, b, own_a[lasts] + 1, own_b[lasts] + 1, own_a[begins], own_b[begins]
+        lasts = np.append(np.flatnonzero(new_a & new_b), len(own_a) - 1)
+        cuts_a, cuts_b = own_a[lasts] + 1, own_b[lasts] + 1
+        # a chunk ends with a group: groups, tokens, links up to the end of each
+        ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in chunks])
+        group = np.searchsorted(lasts, ends - 1) + 1
+        if (lasts[group - 1] != ends - 1).any():
+            return None
+        words = self.text.of(a, b, cuts_a, cuts_b)
+        pairs = (a[own_a[begins]] * RADIX + b[own_b[begins]]).tobytes()
+        at = [np.append(0, x).tolist() for x in (group, cuts_a[group - 1], cuts_b[group - 1], np.searchsorted(begins, ends))]
+        a, b, cuts_a, cuts_b = (x.astype(np.int64).tobytes() if self.ids else b"" for x in (a, b, cuts_a, cuts_b))
+        out = []
+        for g, g1, x, x1, y, y1, k, k1 in zip(*(side for bounds in at for side in (bounds, bounds[1:]))):
+            said = "".join(words[x + y : x1 + y1])[:-1]
+            out.append(Chunk(x1 - x, y1 - y, g1 - g, k1 - k, said, pairs[8 * k : 8 * k1], a[8 * x : 8 * x1], b[8 * y : 8 * y1], cuts_a[8 * g : 8 * g1], cuts_b[8 * g : 8 * g1], x, y))
+        return out
+
+    def documents(self, texts: list[str | None], kept: int = KEPT) -> list[list[Chunk]]:
+        """The chunks of each text; none where the bytes differ or there are none. Texts together of bounded size."""
+        cut = [[part for window in self.chunks(t) for part in window] if t else [] for t in texts]
+        if len(self.seen) > kept:
+            self.seen.clear()
+        new = list({c for parts in cut for c in parts}.difference(self.seen))
+        self.seen.update(zip(new, self.align(new), strict=True))
+        found = [list(map(self.seen.__getitem__, parts)) for parts in cut]
+        return [parts if None not in parts else [] for parts in found]
+
+
+class Chunk(NamedTuple):
+    """Counts of a chunk, its groups as text, the pairs of its links, its ids, and tokens up to each cut, as int64 bytes;
+    these counts of tokens start at from_a and from_b."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    groups: str
+    pairs: bytes
+    a: bytes
+    b: bytes
+    cuts_a: bytes
+    cuts_b: bytes
+    from_a: int
+    from_b: int
 
 
 class GroupText:
@@ -115,10 +177,11 @@ class GroupText:
     def __init__(self, size_a: int, size_b: int):
         a, b = [str(k) for k in range(size_a)], [str(k) for k in range(size_b)]
         self.words = [x + mark for names, marks in ((a, ",|"), (b, ",;")) for mark in marks for x in names]
-        self.size_a, self.size_b = size_a, size_b
+        self.size_a = size_a
+        self.size_b = size_b
 
-    def of(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> str:
-        """A table of words has each id with either mark behind it; the words of both sides are put in one order."""
+    def of(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> list[str]:
+        """The text in words, one for each token; a table has each id with either mark behind it."""
         group_a = np.repeat(np.arange(len(cuts_a)), np.diff(cuts_a, prepend=0))
         group_b = np.repeat(np.arange(len(cuts_b)), np.diff(cuts_b, prepend=0))
         said = np.empty(len(a) + len(b), np.int64)
@@ -126,15 +189,16 @@ class GroupText:
         last_a[cuts_a - 1] = last_b[cuts_b - 1] = True
         said[np.arange(len(a)) + np.append(0, cuts_b)[group_a]] = a + last_a * self.size_a
         said[np.arange(len(b)) + cuts_a[group_b]] = b + 2 * self.size_a + last_b * self.size_b
-        return "".join(map(self.words.__getitem__, said.tolist()))[:-1]
+        return list(map(self.words.__getitem__, said.tolist()))
 
 
 @functools.lru_cache(maxsize=1)
-def _pair(path_a: str, path_b: str) -> tuple[Pair, GroupText]:
-    pair = Pair(path_a, path_b)
-    return pair, GroupText(len(pair.bytes_a.lengths), len(pair.bytes_b.lengths))
+def _pair(path_a: str, path_b: str, ids: bool = False) -> Pair:
+    return Pair(path_a, path_b, ids)
 
 
+#: The columns of no chunk.
+NO_CHUNKS: list[tuple] = [()] * 12
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 IDS = ", a_ids array<int>, b_ids array<int>, cuts_a array<int>, cuts_b array<int>"
 #: A pair of ids as one number: id of A times this, plus id of B.
@@ -147,25 +211,23 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     the ids, and how many of either there are up to the end of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, text_of = _pair(path_a, path_b)
-        none = (np.zeros(0, np.int64),) * 6
+        pair = _pair(path_a, path_b, ids)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                rows, size, first = [], 0, at
-                while at < batch.num_rows and size < 1 << 20:
-                    text = batch.column(1)[at].as_py()
-                    a, b, cuts_a, cuts_b, link_a, link_b = (pair.align(text) if text else None) or none
-                    pairs, times = np.unique(a[link_a] * RADIX + b[link_b], return_counts=True)
-                    rows.append((a, b, cuts_a, cuts_b, len(link_a), text_of.of(a, b, cuts_a, cuts_b) if len(a) else None, pairs, times))
-                    size, at = size + len(text or ""), at + 1
-                a, b, cuts_a, cuts_b, links, groups, pairs, times = zip(*rows, strict=True)
-                sizes = lambda column: np.array([len(x) for x in column], np.int64)
-                lists = lambda column, kind: list_array(np.concatenate(column).astype(kind), sizes(column))
-                columns = {"doc_id": batch.column(0).slice(first, at - first), "n_a": pa.array(sizes(a)), "n_b": pa.array(sizes(b)), "n_groups": pa.array(sizes(cuts_a)), "n_links": pa.array(links, pa.int64())}
-                columns |= {"groups": pa.array(groups, pa.string()), "pairs": lists(pairs, np.int64), "times": lists(times, np.int32)}
+            for start, end in text_groups(batch.column(1)):
+                docs = [list(zip(*parts, strict=True)) or NO_CHUNKS for parts in pair.documents(batch.column(1).slice(start, end - start).to_pylist())]
+                columns = {"doc_id": batch.column(0).slice(start, end - start)}
+                columns |= {name: pa.array([sum(d[k]) for d in docs], pa.int64()) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+                columns["groups"] = pa.array([";".join(d[4]) if d[4] else None for d in docs], pa.string())
+                counted = [np.unique(np.frombuffer(b"".join(d[5]), np.int64), return_counts=True) for d in docs]
+                sizes = [len(x) for x, _ in counted]
+                columns |= {"pairs": list_array(np.concatenate([x for x, _ in counted]), sizes), "times": list_array(np.concatenate([x for _, x in counted]).astype(np.int32), sizes)}
                 if ids:
-                    columns |= {name: lists(column, np.int32) for name, column in (("a_ids", a), ("b_ids", b), ("cuts_a", cuts_a), ("cuts_b", cuts_b))}
+                    for name, k in (("a_ids", 6), ("b_ids", 7), ("cuts_a", 8), ("cuts_b", 9)):
+                        lists = [np.frombuffer(b"".join(d[k]), np.int64) for d in docs]
+                        if k > 7:  # from the start of the document, not of the array that the chunk was aligned in
+                            moves = [np.cumsum([0, *d[k - 8]])[:-1] - np.array(d[k + 2], np.int64) for d in docs]
+                            lists = [x + np.repeat(m, np.array(d[2], np.int64)) for x, m, d in zip(lists, moves, docs, strict=True)]
+                        columns[name] = list_array(np.concatenate(lists).astype(np.int32), [len(x) for x in lists])
                 yield pa.record_batch(columns)
 
     bound_batches(docs.sparkSession)

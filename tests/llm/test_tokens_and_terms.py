@@ -188,24 +188,25 @@ def test_alignment_equals_byte_ranges(spark, both, tmp_path):
         assert again == {n: f[4:6] for n, f in found.items()}
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("abé ▁\n日🙂"), max_size=30))
-def test_cuts_and_links_of_any_text(both, text):
-    pair, said = token_alignment._pair(PATH_A, PATH_B)
-    a, b, cuts_a, cuts_b, link_a, link_b = pair.align(text) if text and pair.align(text) else (np.zeros(0, int),) * 6
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("abé ▁\n日🙂.\x00\u2028"), max_size=30))
+def test_chunks_align_as_any_text(both, text):
+    parts = token_alignment._pair(PATH_A, PATH_B).documents([text], kept=5)[0]
     expected = brute_force(both, [text])[0]
-    assert (len(a), len(b), len(cuts_a), len(link_a)) == expected[:4]
-    assert hashlib.sha256(said.of(a, b, cuts_a, cuts_b).encode()).hexdigest() == expected[-1] or not len(a)
+    assert tuple(sum(c[k] for c in parts) for k in range(4)) == expected[:4]
+    said = ";".join(c.groups for c in parts)
+    assert (hashlib.sha256(said.encode()).hexdigest() if parts else "") == expected[-1]
 
 
 def test_windows_align_as_whole_texts(monkeypatch):
-    pair, said = token_alignment._pair(PATH_A, PATH_B)
+    pair = token_alignment._pair(PATH_A, PATH_B)
     text = "Some words, and Émile's  more!\n\nLast word of it " * 30
-    whole = pair.align(text)
+    whole = pair.documents([text])[0]
     monkeypatch.setattr(token_alignment, "WINDOW", 100)
-    parts = pair.align(text)
-    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
-    assert pair.align("no ▁ mark " * 50) is None
+    monkeypatch.setattr(byte_bpe.windows, "__defaults__", (100,))
+    assert len(list(pair.chunks(text))) > 5
+    assert pair.documents([text])[0] == whole
+    assert pair.documents(["no ▁ mark " * 50]) == [[]]
 
 
 def test_alignment_of_odd_rows(spark):
