@@ -96,6 +96,14 @@ def test_packing_needs_no_more_than_best_fit(spark, kind):
     assert -(-sum(lengths) // 64) <= used <= best * 1.03 + 1
 
 
+@needs_data
+@pytest.mark.parametrize(("size", "more"), [("sf0.001", 1), ("sf0.01", 0)])
+def test_packing_of_documents_against_best_fit(spark, size, more):
+    """As many as one by one; of 200 documents, which fill 44 sequences to the last 0.1 %, one more."""
+    found = queries.op2_pack_documents(spark, f"/root/testdata/{size}").collect()
+    assert len({r["sequence_id"] for r in found}) <= best_fit_decreasing([r["length"] for r in found], 4096) + more
+
+
 def test_packing_round_trip(spark):
     rows = [(i, None if i % 11 == 0 else f"word{i} " * (i % 40)) for i in range(150)]
     found = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, capacity=64, grain_rows=9).collect()
