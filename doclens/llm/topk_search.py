@@ -14,8 +14,8 @@ queries and one of candidates at a time, whatever the number of rows. The k best
 A block holds vectors of one length. Vectors of different lengths are compared in the dimensions that both have, as if
 the shorter one ended in zeros.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a
-null id; ties go to the smaller id; repeated rows compete as rows of their own, and a query leaves out its own id; rows
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id;
+empty vectors score 0 with every row; ties go to the smaller id; repeated rows compete as rows of their own, and a query leaves out its own id; rows
 that repeat a query's id ask once, with the smallest of their vectors; scores beyond a long count as the nearest long;
 an empty table gives no rows.
 """
@@ -50,7 +50,7 @@ def by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts = np.cumsum(sizes) - sizes
     for length in np.unique(sizes):
         at = np.flatnonzero(sizes == length)
-        yield at, flat.reshape(-1, length) if len(at) == len(sizes) else flat[starts[at][:, None] + np.arange(length)]
+        yield at, flat.reshape(len(at), length) if len(at) == len(sizes) else flat[starts[at][:, None] + np.arange(length)]
 
 
 def vertical(matrix: np.ndarray) -> tuple[bytes, str]:
@@ -187,7 +187,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     scratch = Scratch(spark, "topk")
     as_double = F.col(quoted(vector_col)).cast("array<double>")
     whole = F.forall(as_double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    valid = vectors.where(F.col(quoted(vector_col)).isNotNull() & F.col(quoted(id_col)).isNotNull() & (F.size(quoted(vector_col)) > 0)).where(whole)
+    valid = vectors.where(F.col(quoted(vector_col)).isNotNull() & F.col(quoted(id_col)).isNotNull()).where(whole)
     rows = lambda df: df.select(F.col(quoted(id_col)).cast("long").alias("id"), as_double.alias("v"))
     cands = scratch.table(pack(rows(valid).withColumn("part", F.lit(None).cast("long")), cand_block, scale), "candidates")
     asked = scratch.table(rows(valid.where(is_query)).groupBy("id").agg(F.min("v").alias("v")), "asked")

@@ -200,6 +200,13 @@ def test_top_k_rows_that_take_no_part(spark):
     assert top_k(d.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_of_empty_vectors(spark):
+    rows = [(0, []), (50, [1.0]), (3, []), (4, [-1.0]), (5, [0.5])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(c) for c in ("with.dot", "query_id", "rank", "score", "part", "v")})
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(d, F.col("vec_id") % 50 == 0).collect())
+    assert found == [(0, 1, 3, 0), (0, 2, 4, 0), (0, 3, 5, 0), (0, 4, 50, 0), (50, 1, 5, 256 * 128), (50, 2, 0, 0), (50, 3, 3, 0), (50, 4, 4, -65536)]
+
+
 def test_top_k_of_vectors_of_several_lengths(spark, tmp_path):
     """As the SQL has it: one overlong vector takes nothing away from the others."""
     rng = random.Random(9)
