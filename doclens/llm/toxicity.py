@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Presence of hashed character n-grams (4 to 6 bytes) is counted per class over a labelled sample of bounded size.
-Every n-gram whose shares in the classes differ significantly is a feature, as far as the table of features goes; the
-log-count ratios scale them, and a logistic regression is fitted to the scaled features. Scoring reads every whole text; a feature counts once per text, so length does not dilute it.
+Every n-gram whose shares in the classes differ significantly, by likelihood ratio and at a false discovery rate, is a
+feature, however many there are; the log-count ratios scale them, and a logistic regression is fitted to the scaled features. Scoring reads every whole text; a feature counts once per text, so length does not dilute it.
 
 Defined results: null and empty texts get the score of the intercept; without labels of both classes every score is
 the share of label 1 (0 without labels); repeated rows are scored each; an empty table gives no rows.
@@ -22,8 +22,8 @@ from doclens.llm.grams import STREAM, flag, gram_cells, labels_of, sample_labell
 
 SIZES = (4, 5, 6)
 BLOCK = 1 << 16
-#: A feature differs by so many standard errors and is in so many documents; the table of features holds so many.
-LEAST_Z, LEAST_DOCS, TABLE = 3.0, 3, 65_000
+#: A feature is in so many documents at least; of all features, about this share differ between the classes by chance.
+LEAST_DOCS, FALSE = 3, 0.05
 #: Pairs of row and feature that are worked on at once.
 STEP = 1 << 20
 
@@ -42,9 +42,9 @@ class Model:
             at = np.flatnonzero(found)
             rows = np.searchsorted(offsets, at, "right") - 1
             inside = at + n <= offsets[rows + 1]
-            pairs.append(rows[inside] * (1 << 16) + found[at[inside]])
+            pairs.append(rows[inside] << 32 | found[at[inside]])
         both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        return both >> 16, (both & 0xFFFF) - 1
+        return both >> 32, (both & 0xFFFFFFFF) - 1
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows, features = self.hits(data, offsets)
@@ -123,23 +123,33 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.nd
     return w[:-1], float(w[-1])
 
 
+def likelihood_ratio(p: np.ndarray, q: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of shares p of n1 and q of n0 against one share for both."""
+    share = (p + q) / (n1 + n0)
+    term = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0)
+    return 2 * (term(p, n1 * share) + term(q, n0 * share) + term(n1 - p, n1 * (1 - share)) + term(n0 - q, n0 * (1 - share)))
+
+
 def train(texts: DataFrame, bits: int, features: int, penalty: float) -> Model:
     """texts: (id, text, y), of bounded size."""
     spark = texts.sparkSession
     sizes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    empty = np.zeros(1 << bits, np.uint16)
+    empty = np.zeros(1 << bits, np.int32)
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n0 + n1 else 0.0
         return Model(empty, np.zeros(1), float(np.clip(np.log((share + 1e-12) / (1 - share + 1e-12)), -500, 500)), bits)
     q, p = class_counts(texts, bits)
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
-    pooled = (p + q + 2) / (n0 + n1 + 4)
-    z = np.abs((p + 1) / (n1 + 2) - (q + 1) / (n0 + 2)) / np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))
-    order = np.argsort(-z, kind="stable")
-    told = (z >= LEAST_Z) & (p + q >= LEAST_DOCS)
+    differ = -likelihood_ratio(p, q, n1, n0) / 2  # the log of a bound of the chance to differ as much by chance
+    order = np.argsort(differ, kind="stable")
+    tested = np.flatnonzero((p + q >= LEAST_DOCS)[order])
+    # Benjamini and Hochberg: of the n-grams that are told apart, a share of FALSE is so by chance
+    fine = np.flatnonzero(differ[order[tested]] <= np.log(FALSE * np.arange(1, len(tested) + 1) / max(len(tested), 1)))
+    told = np.zeros(len(p), bool)
+    told[order[tested[: int(fine.max(initial=-1)) + 1]]] = True
     told[order[:features]] = True
-    picked = order[told[order] & ((p + q)[order] > 0)][:TABLE]
+    picked = order[told[order] & ((p + q)[order] > 0)]
     lut = empty.copy()
     lut[picked] = np.arange(1, len(picked) + 1)
     draft = Model(lut, ratio[picked], 0.0, bits)
@@ -151,11 +161,11 @@ def train(texts: DataFrame, bits: int, features: int, penalty: float) -> Model:
             for start, end, data, offsets in chunks(batch, 0):
                 rows, found = model.hits(data, offsets)
                 cuts = np.searchsorted(rows, np.arange(1, end - start))
-                own = [x.astype(np.uint16).tobytes() for x in np.split(found, cuts)]
+                own = [x.astype(np.int32).tobytes() for x in np.split(found, cuts)]
                 yield pa.record_batch({"y": batch.column(1).slice(start, end - start), "hits": pa.array(own, pa.binary())})
 
     sample = texts.select("text", "y").mapInArrow(lean(run), "y int, hits binary").collect()
-    found = [np.frombuffer(bytes(r["hits"]), np.uint16) for r in sample]
+    found = [np.frombuffer(bytes(r["hits"]), np.int32) for r in sample]
     y = np.array([r["y"] for r in sample], float)
     rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in found])
     cols = np.concatenate(found)

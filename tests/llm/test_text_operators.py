@@ -326,6 +326,13 @@ def test_toxicity_held_out(spark):
     assert sum(p and not y for _, p, y in rows) <= 0.05 * len(zeros)
 
 
+@needs_data
+def test_toxicity_held_out_of_ten_thousand(spark):
+    found = queries.op4_score_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(queries.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("toxic is not null").collect()
+    hits = sum(r["predicted"] and r["toxic"] for r in found)
+    assert hits >= 0.8 * sum(r["toxic"] for r in found) and hits >= 0.93 * sum(r["predicted"] for r in found)
+
+
 @needs_data
 def test_language_held_out(spark):
     found = queries.op6_identify_language(spark, "/root/testdata/sf0.01").where("held_out")
