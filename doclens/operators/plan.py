@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.paths import asset_document, is_read_only, is_sidecar
+from doclens.functions.refs import doc_of, tab_of
 from doclens.functions.text import let, low_half, utf16_slice
 from doclens.operators.lineage import cut
 from doclens.operators.snapshot import assign_roots
@@ -20,13 +21,60 @@ def _with_root(rows: DataFrame, roots: DataFrame, path: str, prefix: str) -> Dat
     return keyed.join(facts, "root_ord", "left").withColumnRenamed("root_ord", f"{prefix}root")
 
 
+def tab_directory_plan(changes: DataFrame, roots: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What changes mean that delete or move the tab files of a document with a directory of tabs, and which they are.
+
+    In the index a tab is a `gdoc` with the reference `gdocs:document#tab`, its document one whose path ends in a slash.
+    All of a document's tabs deleted delete the document; all of them moved to one new directory, under the same root and
+    each to the same place in it, rename it, and what was edited on the way is modified besides. Anything less is
+    refused tab by tab, as deleting a tab cannot be undone. Documents under read-only and suggest roots are left to the
+    rules of those.
+
+    -> rows as of plan_changes() with seq -1 (before the rows of single changes) or 0 (edits), and the `ord` of the
+    changes that are done with.
+    """
+    docs = index.where("type = 'gdoc' and startswith(ref, 'gdocs:')").select("path", doc_of(F.col("ref")).alias("doc"), tab_of(F.col("ref")).isNotNull().alias("is_tab"))
+    open_roots = roots.select("root_ord", (is_read_only(F.col("read_only"), F.col("source")) | F.coalesce("suggest", F.lit(False))).alias("closed"))
+    rooted = lambda rows, path: assign_roots(rows, roots.select("root_ord", "root_path"), path).drop("root_path")
+    dirs = docs.where("not is_tab and endswith(path, '/')").groupBy("doc").agg(F.max("path").alias("directory"))
+    dirs = rooted(dirs, "directory").join(open_roots.where("not closed").select("root_ord"), "root_ord", "left_semi")
+    tabs = docs.where("is_tab").select(F.col("path").alias("tab_path"), "doc").join(dirs, "doc")
+    sized = tabs.groupBy("doc").agg(F.count("*").alias("tabs"))
+    letter, was = F.left("status", F.lit(1)), F.coalesce("previous_path", "path")
+    mine = changes.select("ord", "status", "path", "previous_path", letter.alias("letter"), was.alias("tab_path")).join(tabs, "tab_path")
+    gone = F.col("letter") == "D"
+    out = (F.col("letter") == "R") & F.col("previous_path").isNotNull() & ~F.startswith("path", F.col("directory"))
+    # where the file is now, without its place in the directory
+    place = F.substring(F.col("previous_path"), F.length("directory") + 1, F.length("previous_path"))
+    to = F.when(F.endswith("path", place), F.left("path", F.length("path") - F.length(place)))
+    mine = mine.where(gone | out).withColumn("gone", gone).withColumn("to", F.when(~gone, to))
+    sums = mine.groupBy("doc").agg(F.count_if("gone").alias("n_gone"), F.count_if(~F.col("gone")).alias("n_out"), F.count_if(~F.col("gone") & F.col("to").isNull()).alias("astray"), F.min("to").alias("to"), F.max("to").alias("last_to"), F.min("ord").alias("first")).join(sized, "doc").join(dirs, "doc")
+    kept = rooted(sums.where("to is not null").select("to").distinct(), "to").withColumnRenamed("root_ord", "to_root")
+    whole = (
+        F.when((F.col("n_gone") == F.col("tabs")) & (F.col("n_out") == 0), "deleted")
+        .when((F.col("n_gone") == 0) & (F.col("n_out") == F.col("tabs")) & (F.col("astray") == 0) & (F.col("to") == F.col("last_to")) & (F.col("to_root") == F.col("root_ord")), "renamed")
+    )
+    judged = sums.join(kept, "to", "left").withColumn("whole", whole)
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("int")
+    columns = ["ord", "seq", "disposition", "kind", "root_ord", "path", "previous_path", "reason"]
+    renamed = F.col("whole") == "renamed"
+    documents = judged.where("whole is not null").select(F.col("first").alias("ord"), F.lit(-1).alias("seq"), F.lit("root").alias("disposition"), F.col("whole").alias("kind"), "root_ord", F.when(renamed, F.col("to")).otherwise(F.col("directory")).alias("path"), F.when(renamed, F.col("directory")).alias("previous_path"), text.alias("reason"))
+    single = mine.select("ord", "status", "path", "tab_path", "doc").join(judged.select("doc", "whole", "root_ord", "directory"), "doc")
+    edits = single.where("whole = 'renamed' and status <> 'R100'").select("ord", F.lit(0).alias("seq"), F.lit("root").alias("disposition"), F.lit("modified").alias("kind"), "root_ord", "path", text.alias("previous_path"), text.alias("reason"))
+    refused = single.where("whole is null").select("ord", F.lit(-1).alias("seq"), F.lit("refused").alias("disposition"), text.alias("kind"), none.alias("root_ord"), F.col("tab_path").alias("path"), text.alias("previous_path"), F.concat(F.lit("a tab of "), "directory").alias("reason"))
+    return documents.select(columns).unionByName(edits).unionByName(refused), mine.select("ord")
+
+
 def plan_changes(changes: DataFrame, roots: DataFrame, index: DataFrame, index_path: str = ".doclens/index") -> DataFrame:
     """ord, seq, disposition (root, refused, local), kind, root_ord, path, previous_path, reason.
 
     changes: ord, status (A, M, T, D, R, R100), path, previous_path, has_head (the text starts with front matter),
     own_id (the id its front matter names). roots: root_ord, root_path, source, read_only, suggest. index: path,
-    type, read_only, ref. The first rule that a change meets decides; a change can become two rows.
+    type, read_only, ref. The first rule that a change meets decides; a change can become two rows. What becomes of whole
+    directories of tabs is decided before.
     """
+    of_tabs, done = tab_directory_plan(changes, roots, index)
+    changes = changes.join(done, "ord", "left_anti")
     facts = index.select(F.col("path").alias("_ip"), F.col("type").alias("type"), F.coalesce("read_only", F.lit(False)).alias("export"))
     rows = _with_root(_with_root(changes, roots, "path", "n_"), roots, "previous_path", "p_")
     rows = rows.join(facts.withColumnsRenamed({"_ip": "path", "type": "n_type", "export": "n_export"}), "path", "left")
@@ -74,11 +122,12 @@ def plan_changes(changes: DataFrame, roots: DataFrame, index: DataFrame, index_p
         .otherwise(F.array(row("root", "modified", col("n_root"), col("path"))))
     )
     out = rows.withColumn("refused", refused).withColumn("plan", plan).select("ord", F.col("refused").alias("reason"), F.posexplode("plan").alias("seq", "p"))
-    return out.select("ord", "seq", "p.disposition", "p.kind", "p.root_ord", "p.path", "p.previous_path", "reason")
+    return out.select("ord", "seq", "p.disposition", "p.kind", "p.root_ord", "p.path", "p.previous_path", "reason").unionByName(of_tabs)
 
 
 def first_refusal(plan: DataFrame) -> DataFrame:
-    return plan.where("disposition = 'refused'").orderBy("ord").limit(1)
+    """The refusal that is told: of tabs before any of a single change, then the first."""
+    return plan.where("disposition = 'refused'").orderBy(F.col("seq") >= 0, "ord").limit(1)
 
 
 def request_order(insert_phase: int = 1) -> list[Column]:

@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from doclens.functions.text import wall_stamp
+from doclens.functions.refs import parse_literal
+from doclens.functions.text import nfc, wall_stamp
 from doclens.operators.lineage import cut
+from doclens.operators.naming import assign_names
 
 
 def walk(nodes: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
@@ -108,21 +112,78 @@ def glob_pattern(glob: str) -> str:
     return f"^{'' if anchored else '(?:.*/)?'}{out}{'/.*' if glob.endswith('/') else '(?:/.*)?'}$"
 
 
+def glob_rule(glob: str) -> tuple[bool, str] | None:
+    """Whether a line of an ignore list takes back, and the expression of what it matches: a path, or a folder with its
+    slash. None for comments and empty lines."""
+    line = glob.strip()
+    if not line or line.startswith("#"):
+        return None
+    back = line.startswith("!")
+    return back, glob_pattern(line[back:]).replace("(?:/.*)?$", "/?$").replace("/.*$", "/$")
+
+
+def folders_and_self(path: Column) -> Column:
+    """Every folder above a path, with its slash, and the path."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.when(n < F.size(parts), F.lit("/")).otherwise(F.lit(""))))
+
+
 def ignored_by_globs(path: Column, globs: list[str]) -> Column:
     """The last pattern that matches decides; `!` takes back, but not below an ignored folder."""
-    lines = [g.strip() for g in globs if g.strip() and not g.strip().startswith("#")]
-    parts = F.split(path, "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.when(n < F.size(parts), F.lit("/")).otherwise(F.lit(""))))
+    rules = [r for r in map(glob_rule, globs) if r]
 
     def one(p: Column) -> Column:
         state = F.lit(False)
-        for g in lines:
-            no = g.startswith("!")
-            rule = glob_pattern(g[no:]).replace("(?:/.*)?$", "/?$").replace("/.*$", "/$")
-            state = F.when(p.rlike(rule), F.lit(not no)).otherwise(state)
+        for back, rule in rules:
+            state = F.when(p.rlike(rule), F.lit(not back)).otherwise(state)
         return state
 
-    return F.exists(prefixes, one) if lines else F.lit(False)
+    return F.exists(folders_and_self(path), one) if rules else F.lit(False)
+
+
+@F.pandas_udf(StructType([StructField("back", BooleanType()), StructField("rule", StringType())]))
+def glob_rules(globs: pd.Series) -> pd.DataFrame:
+    """The rule of each line of an ignore list; there are as many as people wrote."""
+    return pd.DataFrame([glob_rule(g) or (None, None) if g is not None else (None, None) for g in globs], columns=["back", "rule"])
+
+
+def ignored_paths(candidates: DataFrame, roots: DataFrame) -> DataFrame:
+    """candidates (root_ord, path, ref, ancestors) with `ignored`, by the list of their own root.
+
+    roots: root_ord, ref, ignore (array of lines). Lines that are references ignore the object and all below it, whatever
+    is taken back; of the others the last that matches a path or a folder above it decides. Paths are relative to the
+    root; the root itself is never ignored. Null lists and paths ignore nothing.
+    """
+    lines = roots.select("root_ord", F.posexplode("ignore").alias("at", "line"))
+    read = lines.select("root_ord", "at", "line", parse_literal(F.col("line")).alias("r"))
+    named = read.where("r.id is not null").groupBy("root_ord").agg(F.collect_set(F.concat("r.source", F.lit(":"), "r.id")).alias("named"))
+    rules = read.where("r.id is null").select("root_ord", "at", glob_rules("line").alias("g")).where("g.rule is not null")
+    ordered = rules.groupBy("root_ord").agg(F.sort_array(F.collect_list(F.struct("at", "g.back", "g.rule"))).alias("rules"))
+    # a row per root, as many as people subscribed to: where it is small it goes to every task, by its measured size
+    lists = roots.select("root_ord", F.col("ref").alias("_root")).join(named, "root_ord", "left").join(ordered, "root_ord", "left")
+    rows = candidates.withColumn("_nfc", nfc("path")).join(lists, "root_ord", "left")
+    last = lambda p: F.aggregate("rules", F.lit(False), lambda state, r: F.when(F.rlike(p, r["rule"]), ~r["back"]).otherwise(state))
+    by_line = F.exists(folders_and_self(F.col("_nfc")), last)
+    by_name = F.array_contains("named", F.col("ref")) | F.arrays_overlap("named", F.coalesce("ancestors", F.array().cast("array<string>")))
+    is_root = F.col("path").isin("", ".") | (F.col("ref") == F.col("_root"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return rows.withColumn("ignored", ~no(is_root) & (no(by_name) | no(by_line))).select(*candidates.columns, "ignored")
+
+
+def tab_paths(tabs: DataFrame, directories: DataFrame) -> DataFrame:
+    """doc_id, tab_id, path: where each tab's file goes; a tab with children has a folder of its name beside it.
+
+    tabs: doc_id, tab_id, parent_tab, index, title, kept (the file name of the last time, or null). directories: doc_id,
+    directory (without its slash). Names are given among the tabs of one parent, so they do not wait for one another;
+    tabs without an id, and what is below them, have no path.
+    """
+    own = tabs.where("tab_id is not null and tab_id <> ''")
+    named = assign_names(own.select(F.struct("doc_id", "parent_tab").alias("folder"), F.col("index").alias("ord"), F.col("tab_id").alias("id"), "title", F.lit(".md").alias("ext"), "kept"))
+    node = lambda tab: F.struct(F.col("folder.doc_id").alias("doc_id"), tab.alias("tab_id"))
+    up = F.col("folder.parent_tab")
+    nodes = named.select(node(F.col("id")).alias("id"), F.when(up.isNotNull(), node(up)).alias("parent_id"), F.lit(0).alias("ord"), F.left("name", F.length("name") - 3).alias("name"))
+    placed = walk(nodes).select("id.doc_id", "id.tab_id", F.col("path").alias("inner"))
+    return placed.join(directories, "doc_id").select("doc_id", "tab_id", F.concat("directory", F.lit("/"), "inner", F.lit(".md")).alias("path"))
 
 
 def tab_order(tabs: DataFrame) -> DataFrame:

@@ -152,9 +152,74 @@ def wanted_renames(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", assets.rename_wanted(old, new, F.concat(F.lit("T"), number(n % 4)), source_title).alias("wanted"))
 
 
+TABS = """t AS (SELECT user_id AS doc, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS tab, event_type AS title FROM events),
+n AS (SELECT doc, CAST(tab AS VARCHAR) AS tab, CASE WHEN tab > 2 THEN CAST(tab // 3 AS VARCHAR) END AS parent, concat(title, CASE WHEN tab % 7 = 0 THEN ' / x' ELSE '' END) AS title FROM t)"""
+
+
+@query(
+    f"""WITH RECURSIVE {TABS}, m AS (SELECT *, row_number() OVER (PARTITION BY doc, parent, title ORDER BY tab) AS turn, replace(title, '/', '-') AS stem FROM n),
+d AS (SELECT doc, tab, concat('docs/', doc, '/', stem, CASE WHEN turn = 1 THEN '' ELSE concat(' (', turn, ')') END) AS path FROM m WHERE parent IS NULL
+  UNION ALL SELECT m.doc, m.tab, concat(d.path, '/', stem, CASE WHEN turn = 1 THEN '' ELSE concat(' (', turn, ')') END) FROM d JOIN m ON m.doc = d.doc AND m.parent = d.tab)
+SELECT doc AS doc_id, tab AS tab_id, concat(path, '.md') AS path FROM d"""
+)
+def tab_paths(spark, sf_dir):
+    """Tabs named among their siblings, each in the folder of the one above it."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    t = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), place.alias("tab"), "event_type")
+    tabs = t.select("doc_id", number(F.col("tab")).alias("tab_id"), F.when(F.col("tab") > 2, F.expr("cast(tab div 3 as string)")).alias("parent_tab"), F.col("tab").alias("index"), F.concat("event_type", F.when(F.col("tab") % 7 == 0, " / x").otherwise("")).alias("title"), F.lit(None).cast("string").alias("kept"))
+    return tree.tab_paths(tabs, t.select("doc_id").distinct().select("doc_id", F.concat(F.lit("docs/"), number(F.col("doc_id"))).alias("directory")))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, CAST(doc_id % 4 AS INT) AS root_ord, concat(CASE doc_id % 6 WHEN 0 THEN 'Archive/x' WHEN 1 THEN 'Archive/keep/' WHEN 2 THEN 'a' WHEN 3 THEN 'sub/' WHEN 4 THEN 'b/a' ELSE 'Archive/keep/deep/' END, source, '-', doc_id, CASE WHEN doc_id % 7 < 3 THEN '.tmp' ELSE '.md' END) AS path, doc_id % 10 = 3 OR doc_id % 12 = 7 AS named FROM documents)
+SELECT doc_id, path, CASE root_ord WHEN 0 THEN path NOT LIKE 'Archive/keep/%' AND (path LIKE '%.tmp' OR path LIKE 'Archive/%') WHEN 1 THEN path LIKE 'Archive/%' WHEN 2 THEN path LIKE '%.md' AND NOT regexp_matches(path, '(^|/)a[^/]*$') ELSE named END AS ignored FROM c"""
+)
+def ignored_paths(spark, sf_dir):
+    """Four roots with lists of their own: taken back with its folder, without it, by name, and by reference."""
+    hex_ = lambda k: F.lpad(number(k), 32, "a")
+    lists = [(0, "notion:" + "f" * 32, ["*.tmp", "# old", "Archive/**", "!Archive/keep/", "!Archive/keep/**"]), (1, "notion:" + "e" * 32, ["Archive/**", "!Archive/keep/**"]), (2, "notion:" + "d" * 32, ["*.md", "!a*.md"]), (3, "notion:" + "c" * 32, ["notion:" + "a" * 31 + "3", "gdocs:1ABCDEFGHIJKLMNOPQRSTUVWXYZ-7", "!**"])]
+    n = F.col("doc_id")
+    k = n % 6
+    folder = F.when(k == 0, "Archive/x").when(k == 1, "Archive/keep/").when(k == 2, "a").when(k == 3, "sub/").when(k == 4, "b/a").otherwise("Archive/keep/deep/")
+    path = F.concat(folder, "source", F.lit("-"), number(n), F.when(n % 7 < 3, ".tmp").otherwise(".md"))
+    above = F.when(n % 12 == 7, F.array(F.lit("gdocs:1ABCDEFGHIJKLMNOPQRSTUVWXYZ-7"))).otherwise(F.array(F.lit("notion:" + "b" * 32)))
+    c = table(spark, sf_dir, "documents").select("doc_id", (n % 4).cast("int").alias("root_ord"), path.alias("path"), F.concat(F.lit("notion:"), hex_(n % 10)).alias("ref"), above.alias("ancestors"))
+    return tree.ignored_paths(c, spark.createDataFrame(lists, "root_ord int, ref string, ignore array<string>")).select("doc_id", "path", "ignored")
+
+
 # ---------------------------------------------------------------- plans and reports
 
 
+@query(
+    """WITH t AS (SELECT doc_id AS n, doc_id // 5 AS g, concat('r', doc_id // 5 % 4, '/D', doc_id // 5, '/') AS dir FROM documents),
+x AS (SELECT n, g, dir, concat(dir, n, '.md') AS path, CASE g % 7 WHEN 0 THEN 'D' WHEN 1 THEN CASE WHEN n % 5 = 2 THEN 'R090' ELSE 'R100' END WHEN 2 THEN CASE WHEN n % 5 < 2 THEN 'D' ELSE 'M' END WHEN 3 THEN 'R100' WHEN 4 THEN 'M' WHEN 5 THEN 'R100' ELSE CASE WHEN n % 5 = 0 THEN 'D' ELSE 'R100' END END AS status,
+  CASE g % 7 WHEN 1 THEN concat('r0/N', g, '/', n, '.md') WHEN 3 THEN concat('r0/N', g, '-', n % 2, '/', n, '.md') WHEN 5 THEN concat('r3/N', g, '/', n, '.md') ELSE concat('r0/S', n, '.md') END AS new FROM t WHERE g % 4 NOT IN (1, 2)),
+c AS (SELECT g, count(*) FILTER (status LIKE 'R%') AS moved, min(n) AS first, min(CASE WHEN status LIKE 'R%' THEN left(new, length(new) - length(concat(n, '.md'))) END) AS lo, max(CASE WHEN status LIKE 'R%' THEN left(new, length(new) - length(concat(n, '.md'))) END) AS hi, bool_and(status LIKE 'R%') AS all_moved, bool_and(status = 'D') AS all_gone FROM x GROUP BY g),
+w AS (SELECT x.*, first, lo, CASE WHEN all_gone THEN 'deleted' WHEN all_moved AND lo = hi AND lo[2] = dir[2] THEN 'renamed' END AS whole FROM x JOIN c USING (g) WHERE status <> 'M')
+SELECT CAST(first AS INT) AS ord, 'root' AS disposition, whole AS kind, CAST(dir[2] AS INT) AS root_ord, CASE whole WHEN 'renamed' THEN lo ELSE dir END AS path, CASE whole WHEN 'renamed' THEN dir END AS previous_path, NULL AS reason FROM w WHERE n = first AND whole IS NOT NULL
+UNION ALL SELECT CAST(n AS INT), 'root', 'modified', CAST(dir[2] AS INT), new, NULL, NULL FROM w WHERE whole = 'renamed' AND status <> 'R100'
+UNION ALL SELECT CAST(n AS INT), 'refused', NULL, NULL, path, NULL, concat('a tab of ', dir) FROM w WHERE whole IS NULL"""
+)
+def tab_plan(spark, sf_dir):
+    """Documents of five tabs, some in closed roots, that are deleted, moved as a whole, to several places, to another
+    root, or in part."""
+    n = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(n.cast("int").alias("ord"), n.alias("n"), F.expr("doc_id div 5").alias("g"), F.concat(F.lit("r"), number(F.expr("doc_id div 5") % 4), F.lit("/D"), number(F.expr("doc_id div 5")), F.lit("/")).alias("dir"))
+    k, file = F.col("g") % 7, F.concat(number(F.col("n")), F.lit(".md"))
+    fifth = F.col("n") % 5
+    path = F.concat("dir", file)
+    tabs = d.select(path.alias("path"), F.lit("gdoc").alias("type"), F.lit(False).alias("read_only"), F.concat(F.lit("gdocs:D"), number(F.col("g")), F.lit("#t"), number(F.col("n"))).alias("ref"))
+    docs = d.select(F.col("dir").alias("path"), F.lit("gdoc").alias("type"), F.lit(False).alias("read_only"), F.concat(F.lit("gdocs:D"), number(F.col("g"))).alias("ref")).distinct()
+    status = F.when(k == 0, "D").when(k == 1, F.when(fifth == 2, "R090").otherwise("R100")).when(k == 2, F.when(fifth < 2, "D").otherwise("M")).when(k == 4, "M").when(k == 6, F.when(fifth == 0, "D").otherwise("R100")).otherwise("R100")
+    g = number(F.col("g"))
+    new = F.when(k == 1, F.concat(F.lit("r0/N"), g, F.lit("/"), file)).when(k == 3, F.concat(F.lit("r0/N"), g, F.lit("-"), number(F.col("n") % 2), F.lit("/"), file)).when(k == 5, F.concat(F.lit("r3/N"), g, F.lit("/"), file)).otherwise(F.concat(F.lit("r0/S"), file))
+    moved = F.startswith("status", F.lit("R"))
+    changes = d.withColumn("status", status).select("ord", "status", F.when(moved, new).otherwise(path).alias("path"), F.when(moved, path).alias("previous_path"))
+    roots = spark.createDataFrame([(0, "r0/", "gdocs", False, False), (1, "r1/", "gdocs", True, False), (2, "r2/", "gdocs", False, True), (3, "r3/", "gdocs", False, False)], "root_ord int, root_path string, source string, read_only boolean, suggest boolean")
+    return plan.tab_directory_plan(changes, roots, tabs.unionByName(docs))[0].drop("seq")
+
+
+
 @query(
     """WITH o AS (SELECT user_id AS key, CASE event_id % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'insert' WHEN 2 THEN 'update' ELSE 'delete' END AS op, concat('f', event_id % 13) AS a, concat('f', event_id % 17) AS b FROM events)
 SELECT DISTINCT key, asset FROM (SELECT key, a AS asset FROM o WHERE op IN ('insert', 'update') UNION ALL SELECT key, b FROM o WHERE op IN ('insert', 'update'))"""
