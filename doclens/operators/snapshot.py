@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.paths import is_sidecar, parents, territory_of
@@ -162,11 +164,59 @@ def refuse_if_moved(planned_on: int | None, last: int | None) -> None:
         raise Moved(f"planned on snapshot {planned_on}, the last is {last}: fetch first")
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that is not there yet; False where it is. Of several writers one succeeds: by the operating
+    system on local disks, by the store's own creation without overwriting elsewhere."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if fs.getScheme() == "file":
+        try:
+            with open(fs.makeQualified(target).toUri().getPath(), "x") as out:
+                out.write(text)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(text.encode())
+    out.close()
+    return True
+
+
+def finish_commit(spark: SparkSession, folder: str, snapshot_id: int) -> None:
+    """Bring the table that a claim names to its place, where its writer did not."""
+    jvm = spark._jvm
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    fs = at("").getFileSystem(spark._jsc.hadoopConfiguration())
+    staged = spark.read.text(f"{folder}/_claims/{snapshot_id}").first()[0]
+    if fs.exists(at(staged)):
+        fs.rename(at(staged), at(f"snapshot_id={snapshot_id}"))
+
+
 def commit_snapshot(previous: DataFrame | None, current: DataFrame, folder: str, snapshot_id: int) -> bool:
-    """Write current as snapshot `snapshot_id` of the table in `folder` unless it equals previous; says whether it did."""
+    """Write current as snapshot `snapshot_id` of the table in `folder` unless it equals previous; says whether it did.
+
+    The rows are written aside; who then creates the claim of the number has it, and moves them to their place. Others
+    find it taken: what they planned on is not the last snapshot any more. A writer that is lost before its claim leaves
+    nothing that is read; one lost behind it is finished by whoever tries the number next.
+    """
     if previous is not None and same_tree(previous, current):
         return False
-    current.write.mode("overwrite").parquet(f"{folder}/snapshot_id={snapshot_id}")
+    spark = current.sparkSession
+    staged = f"_staged-{uuid.uuid4().hex}"
+    current.write.parquet(f"{folder}/{staged}")
+    won = create_once(spark, f"{folder}/_claims/{snapshot_id}", staged)
+    finish_commit(spark, folder, snapshot_id)
+    if not won:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{staged}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        raise Moved(f"snapshot {snapshot_id} is taken: fetch first")
     return True
 
 

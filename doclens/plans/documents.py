@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import refs, text
-from doclens.operators import assets, diff, patch, plan, runs, snapshot, threads, tree
+from doclens.operators import assets, diff, merkle, patch, plan, runs, snapshot, threads, tree
 from doclens.plans.queries import LINES, TURNS, table, turn_pairs
 from doclens.sources import readers
 
@@ -424,6 +424,19 @@ def rename_scores(spark, sf_dir):
     return snapshot.rename_scores(d.select(F.concat(F.lit("old/"), number(n)).alias("path"), "text"), new).withColumn("score", F.round("score", 6))
 
 
+@query(
+    """WITH a AS (SELECT concat(source, '/d', doc_id % 10, '/', doc_id, '.md') AS path, source, doc_id, doc_id % 131 = 7 OR doc_id % 97 = 5 AS differs FROM documents),
+f AS (SELECT concat(source, '/d', doc_id % 10) AS folder, true AS own, differs FROM a UNION ALL SELECT source, false, differs FROM a UNION ALL SELECT '', false, differs FROM a)
+SELECT folder, bool_or(own) AS own FROM f WHERE differs GROUP BY folder"""
+)
+def changed_folders(spark, sf_dir):
+    """Folders of which a file is altered or gone, by their hashes."""
+    n = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(n, F.concat("source", F.lit("/d"), number(n % 10), F.lit("/"), number(n), F.lit(".md")).alias("path"), F.md5("text").alias("sha"))
+    after = d.where("doc_id % 131 <> 7").withColumn("sha", F.when(n % 97 == 5, F.reverse("sha")).otherwise(F.col("sha")))
+    return merkle.changed_folders(merkle.folder_hashes(d), merkle.folder_hashes(after))
+
+
 @query(
     """SELECT event_id AS key, CASE WHEN event_id % 2 = 0 THEN concat('{"deleteContentRange":{"range":{"startIndex":', event_id % 50, ',"endIndex":', event_id % 50 + length(event_type), ',"tabId":"t.', event_id % 3, '"}}}')
   ELSE concat('{"insertText":{"location":{"index":', event_id % 50, ',"tabId":"t.', event_id % 3, '"},"text":"', event_type, '"}}') END AS json FROM events"""
