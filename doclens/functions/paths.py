@@ -151,6 +151,12 @@ MIME_EXTENSIONS = {
 }
 
 
+def mime_of(path: Column) -> Column:
+    """The content type of a file by its extension, letter case aside; bytes where it is another or none."""
+    by_ext = F.create_map(*(F.lit(x) for mime, ext in MIME_EXTENSIONS.items() for x in (ext, mime)))
+    return F.coalesce(F.try_element_at(by_ext, F.lower(extension_of(path))), F.lit("application/octet-stream"))
+
+
 def asset_hint(name: Column, url: Column, content_type: Column, position: Column) -> Column:
     """struct(title, ext): what a hosted file wants to be called."""
     by_type = F.create_map(*(F.lit(x) for pair in MIME_EXTENSIONS.items() for x in pair))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from doclens.functions import refs, text
+from doclens.functions import paths, refs, text
 from doclens.operators import assets, diff, merkle, patch, plan, runs, snapshot, threads, tree
 from doclens.plans.queries import LINES, TURNS, table, turn_pairs
 from doclens.sources import readers
@@ -92,6 +92,17 @@ def upload_verdicts(spark, sf_dir):
     return p.select("p_partkey", assets.upload_verdict(F.col("source"), F.col("size"), F.col("mime")).alias("verdict"))
 
 
+@query(
+    """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'text/csv' WHEN 4 THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS mime FROM documents"""
+)
+def mime_types(spark, sf_dir):
+    """Content types of files of documents, by extensions in either case."""
+    n = F.col("doc_id")
+    k = n % 7
+    ext = F.when(k == 0, ".PNG").when(k == 1, ".jpg").when(k == 2, ".tar.pdf").when(k == 3, ".csv").when(k == 4, ".Svg").when(k == 5, "/.png").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", paths.mime_of(F.concat("source", F.lit("/"), number(n), ext)).alias("mime"))
+
+
 @query(
     """WITH c AS (SELECT doc_id AS id, concat('d', doc_id % 7, '/', doc_id, '.png') AS path, CASE WHEN doc_id % 4 > 0 THEN concat('m', doc_id % 5) END AS mark FROM documents),
 p AS (SELECT id, CASE WHEN id % 6 = 0 THEN concat('old/', path) ELSE path END AS path, CASE WHEN id % 9 = 0 THEN 'm9' ELSE mark END AS mark FROM c WHERE id % 8 <> 0)

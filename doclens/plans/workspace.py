@@ -50,11 +50,15 @@ class Workspace:
         return Workspace(left.select(ROOTS), self.index)
 
     def changes(self, listing: DataFrame, everything: bool = False) -> DataFrame:
-        """listing's rows to read: changed since the index, under suggest roots always, all of them if asked."""
+        """listing's rows to read: changed since the index, under suggest roots always, all of them if asked. `change` is
+        re-read where nobody edited the object: such a row authors no commit."""
         placed = snapshot.assign_roots(listing, self.roots.select("root_ord", "root_path")).drop("root_path")
-        if self.index is None or everything:
-            return placed.withColumn("change", F.lit("added" if self.index is None else "re-read"))
+        if self.index is None:
+            return placed.withColumn("change", F.lit("added"))
         moved = snapshot.changes_since(placed, self.index)
+        if everything:
+            edited = moved.select("id", F.col("change").alias("_edited"))
+            return placed.join(edited, "id", "left").withColumn("change", F.coalesce("_edited", F.lit("re-read"))).select(moved.columns)
         always = placed.join(self.roots.where("suggest").select("root_ord"), "root_ord", "left_semi").withColumn("change", F.lit("re-read"))
         return moved.unionByName(always.join(moved.select("id"), "id", "left_anti").select(moved.columns))
 

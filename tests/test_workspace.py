@@ -36,6 +36,8 @@ def test_fetch_and_status(spark):
     assert {(r["id"], r["change"]) for r in ws.changes(two).collect()} == {("1", "modified"), ("4", "added"), ("3", "re-read")}
     assert {r["root_path"]: (r["changed"], r["gone"]) for r in ws.status(two).collect()} == {"docs/": (2, 1), "sug/": (1, 0)}
     assert ws.changes(one, everything=True).count() == 3
+    # of all that is read again, only what somebody edited says so
+    assert {(r["id"], r["change"]) for r in ws.changes(two, everything=True).collect()} == {("1", "modified"), ("3", "re-read"), ("4", "added")}
 
 
 def test_assets(spark):
