@@ -7,9 +7,9 @@ most the product of the remaining norms (remaining mass). Candidates whose upper
 so far leave, and survivors are compacted before the next dimensions. The k best so far are carried from one block of
 candidates to the next.
 
-Every block of queries meets every block of candidates: the stated queries against all rows, in blocks. Both are
-dealt to tasks by block of queries and group of candidate blocks, the queries first, so that a task holds one block of
-queries and one of candidates at a time, whatever the number of rows. The k best of each task are reduced per query.
+Every block of queries meets every block of candidates: the stated queries against all rows, in blocks. The candidates
+are not exchanged: query blocks of a bounded size together go to every task, which meets its own candidate blocks with
+them, and further queries come in further passes. The k best of each task are reduced per query.
 
 A block holds vectors of one length. Vectors of different lengths are compared in the dimensions that both have, as if
 the shorter one ended in zeros.
@@ -23,6 +23,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -178,10 +179,32 @@ class QueryBlock:
         return pa.record_batch({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "id", "score"), columns, strict=True)})
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, query_block: int = 1024, cand_block: int = 4096, group_blocks: int = 16, dim_block: int = 8) -> DataFrame:
+def one_pass(cands: DataFrame, queries: DataFrame, shares: int, k: int, dim_block: int) -> DataFrame:
+    """query_id, id, score: the k best of each task for the queries of a pass. A block of candidates meets the query blocks of
+    its share; what a task has found so far bounds what its next blocks can add."""
+    asked = cands.sparkSession.sparkContext.broadcast([(bytes(r["ids"]), bytes(r["columns"]), r["kind"]) for r in queries.orderBy("part").collect()])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = lambda ids, columns, kind: (ids, np.frombuffer(columns, kind).reshape(-1, len(ids)).astype(np.float64))
+        asks: dict[int, QueryBlock] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, columns = block(np.frombuffer(batch.column(0)[row].as_buffer(), np.int64), batch.column(1)[row].as_buffer(), batch.column(2)[row].as_py())
+                for n in range(batch.column(3)[row].as_py(), len(asked.value), shares):
+                    if n not in asks:
+                        own = asked.value[n]
+                        asks[n] = QueryBlock(*block(np.frombuffer(own[0], np.int64), *own[1:]), k, dim_block)
+                    asks[n].scan(ids, columns)
+        yield from (a.best() for a in asks.values())
+
+    return cands.mapInArrow(lean(search), "query_id long, id long, score long")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, query_block: int = 1024, cand_block: int = 4096, group_blocks: int = 16, dim_block: int = 8, pass_bytes: int = 8 << 20) -> DataFrame:
     """query_id, rank (from 1), id, score: for each row of `is_query` its k best other rows.
 
-    group_blocks: blocks of candidates that a task meets with its block of queries, at most; fewer where tasks would be few.
+    group_blocks: blocks of candidates of a task, about, where they are dealt anew. pass_bytes: bytes of query blocks that
+    are sent to every task at once; more queries take more passes over the candidates.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -194,34 +217,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     n_queries, n_blocks = asked.count(), cands.count()
     if not n_queries:
         return spark.createDataFrame([], f"query_id long, rank int, {quoted(id_col)} long, score long")
-    n_parts = -(-n_queries // query_block)
-    dealt = asked.withColumn("part", F.expr(f"pmod(xxhash64(id), {n_parts})")).repartition(min(n_parts, 4096), "part").sortWithinPartitions("part", "id")
-    queries = scratch.table(pack(dealt, query_block, scale), "queries")
+    dealt = asked.repartition(min(-(-n_queries // query_block), 4096), "id").sortWithinPartitions("id")
+    queries = scratch.table(pack(dealt.withColumn("part", F.lit(None).cast("long")), query_block, scale), "queries")
+    # passes of query blocks that are together small enough to send; the candidates stay where they are
+    size = F.octet_length("ids") + F.octet_length("columns")
+    runs, held = [[]], 0
+    for part, n in sorted(queries.select("part", size.alias("n")).collect()):  # a number per block of queries
+        if runs[-1] and held + n > pass_bytes:
+            runs.append([])
+            held = 0
+        runs[-1].append(part)
+        held += n
+    # where candidates are few, each block of them meets the queries in several tasks
     tasks = 2 * spark.sparkContext.defaultParallelism
-    n_groups = max(1, -(-n_blocks // group_blocks), min(n_blocks, -(-tasks // n_parts)))
-    block = ["ids", "columns", "kind"]
-    asking = queries.select("part", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"), F.lit(0).alias("side"), *block)
-    met = cands.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))).alias("part"), F.expr(f"cast(pmod(xxhash64(part), {n_groups}) as int)").alias("group"), F.lit(1).alias("side"), *block)
-    both = asking.unionByName(met).repartition(min(n_parts * n_groups, 65_536), "part", "group").sortWithinPartitions("part", "group", "side")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, asks = None, []
-        for batch in batches:
-            for row in range(batch.num_rows):
-                key = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
-                if key != now:
-                    yield from (a.best() for a in asks)
-                    now, asks = key, []
-                ids = np.frombuffer(batch.column(3)[row].as_buffer(), np.int64)
-                columns = np.frombuffer(batch.column(4)[row].as_buffer(), batch.column(5)[row].as_py()).reshape(-1, len(ids)).astype(np.float64)
-                if batch.column(2)[row].as_py():
-                    for ask in asks:
-                        ask.scan(ids, columns)
-                else:
-                    asks.append(QueryBlock(ids, columns, k, dim_block))
-        yield from (a.best() for a in asks)
-
-    near = both.mapInArrow(lean(search), "query_id long, id long, score long")
+    shares = max(1, min(-(-tasks // n_blocks), max(len(r) for r in runs)))
+    met = cands.select("ids", "columns", "kind", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    if met.rdd.getNumPartitions() < min(n_blocks * shares, tasks):
+        met = scratch.table(met.repartition(max(min(n_blocks * shares, tasks), -(-n_blocks * shares // group_blocks))), "dealt")
+    found = [scratch.table(one_pass(met, queries.where(F.col("part").isin(run)), shares, k, dim_block), "best") for run in runs]
+    near = reduce(DataFrame.unionByName, found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = near.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -218,6 +218,6 @@ def test_top_k_of_vectors_of_several_lengths(spark, tmp_path):
     expected = sorted(con.execute(queries.ORACLES["op9_topk_search"]).fetchall())
     assert len(expected) == 7 * 5
     columns = ("query_id", "rank", "vec_id", "score")
-    for settings in ({}, {"cand_block": 16, "query_block": 2}):
+    for settings in ({}, {"cand_block": 16, "query_block": 2}, {"cand_block": 16, "query_block": 2, "pass_bytes": 400}):
         found = top_k(d, F.col("vec_id") % 50 == 0, **settings)
         assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == expected
