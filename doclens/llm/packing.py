@@ -53,18 +53,25 @@ class ChunkCache(dict):
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, tokenizer: Tokenizer, limit: int):
-        self.tokenize, self.limit = tokenizer.model.tokenize, limit
+        self.tokenize, self.limit, self.old = tokenizer.model.tokenize, limit // 2, {}
         # fixed values, the byte-level alphabet of the vocabulary file: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: b for b in kept} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(kept))}
 
     def __missing__(self, chunk: str) -> bytes:
+        known = self.old.get(chunk)
+        if known is not None:
+            return self.keep(chunk, known)
         if chunk.isascii():  # its bytes stand for themselves
             ids = [t.id for piece in self.PIECES.findall(chunk) for t in self.tokenize(piece)]
         else:
             ids = [t.id for piece in self.PIECES.findall(chunk) for t in self.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-        out = array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
+        return self.keep(chunk, array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes())
+
+    def keep(self, chunk: str, out: bytes) -> bytes:
+        """Half of the chunks that are kept are those seen since the last turn; what is seen again in the next one stays."""
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[chunk] = out
         return out
@@ -75,7 +82,7 @@ class WordTokens:
 
     ODD = re.compile("[^\x09-\x0d\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž–—‘-„…€]")
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 280_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = ChunkCache(self.tokenizer, limit)
 
