@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from doclens.functions.text import utf16_len
 
-#: Least similarity of an edited block, most cells of an alignment table.
-ALIKE, MOST_CELLS = 0.5, 4_000_000
+#: Least similarity of an edited block, most cells of an alignment table, documents read at once in a task.
+ALIKE, MOST_CELLS, SOME = 0.5, 4_000_000, 256
 WORDS = regex.compile(r"(?V1w)\b")
 
 
@@ -25,7 +26,7 @@ def tokens(text: str) -> list[str]:
 
 
 def units(text: str) -> int:
-    return len(text.encode("utf-16-le")) // 2
+    return len(text) if text.isascii() else len(text.encode("utf-16-le")) // 2
 
 
 def shares(text: str) -> tuple[int, dict[str, int]]:
@@ -70,7 +71,9 @@ def lcs_table(a: list, b: list) -> np.ndarray | None:
 
 def walk(a: list, b: list) -> list[tuple[str, int, int]]:
     """keep, delete and insert steps with positions; on a tie the deletion comes first."""
-    table, out, i, j = lcs_table(a, b), [], 0, 0
+    if a == b:
+        return [("keep", i, i) for i in range(len(a))]
+    table, out, i, j = lcs_table(a, b) if a and b else None, [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i] == b[j]:
             out.append(("keep", i, j))
@@ -150,8 +153,13 @@ def text_diff(a: pd.Series, b: pd.Series) -> pd.Series:
 def pair_hunk(removed: list[tuple[str, str]], inserted: list[tuple[str, str]]) -> dict[int, int]:
     """inserted position -> removed position of blocks (type, text) that are one block edited.
 
-    Blocks meet through a token that both have, never by type alone; each text is cut into tokens once.
+    Blocks meet through a token that both have, never by type alone; each text is cut into tokens once. Only one block on
+    either side is one edited whatever its tokens are, if the type is the same.
     """
+    if not removed or not inserted:
+        return {}
+    if len(removed) == len(inserted) == 1:
+        return {0: 0} if removed[0][0] == inserted[0][0] else {}
     old, new = [shares(x) for _, x in removed], [shares(y) for _, y in inserted]
     holders: dict[tuple[str, str], list[int]] = {}
     for j, ((kind, _), (_, own)) in enumerate(zip(inserted, new, strict=True)):
@@ -258,10 +266,17 @@ def diff_documents(docs: DataFrame) -> DataFrame:
     """Ops of documents (key, base, next), the versions as arrays of blocks (ord, parent, type, text); where both come
     from one row, nothing is shuffled."""
 
+    def blocks(column: pa.ListArray) -> list[list[dict]]:
+        """The blocks of each row, field by field; a null has none."""
+        rows, sizes = column.flatten(), column.value_lengths().fill_null(0).to_pylist()
+        names = [rows.type.field(i).name for i in range(rows.type.num_fields)]
+        every = (dict(zip(names, x, strict=True)) for x in zip(*(f.to_pylist() for f in rows.flatten()), strict=True))
+        return [list(islice(every, n)) for n in sizes]
+
     def run(batches):
-        for batch in batches:
-            for key, base, nxt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ops = diff_tree(base or [], nxt or [])
+        for batch in (whole.slice(at, SOME) for whole in batches for at in range(0, whole.num_rows, SOME)):
+            for key, base, nxt in zip(batch.column(0).to_pylist(), blocks(batch.column(1)), blocks(batch.column(2)), strict=True):
+                ops = diff_tree(base, nxt)
                 columns = list(zip(*ops, strict=True)) or [()] * 4
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
                 own = [pa.array([key] * len(ops), pa.int64()), pa.array(range(len(ops)), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
