@@ -46,8 +46,8 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space as one blank."""
-    return F.regexp_replace(text, r"\s+", " ")
+    """Runs of white space as one blank; single blanks, as nearly all are, are not matched."""
+    return F.regexp_replace(text, r"\s{2,}|[\t\n\x0B\f\r]", " ")
 
 
 def trim_blanks(text: Column) -> Column:

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.text import collapse, occurrences, occurrences_before, utf16_len
+from doclens.operators.lineage import cut
+
+#: So many quotes of a document meet each of its blocks as they are; more go through postings of words.
+FEW = 16
+#: So many quotes that no block holds, at most, choose their documents by a broadcast.
+RARE = 100_000
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +50,7 @@ def nth_place(text: Column, needle: Column, n: Column) -> Column:
 
 
 def candidates(asked: DataFrame, plain: DataFrame, key: str) -> DataFrame:
-    """Pairs of quotes and blocks that may hold them.
+    """Pairs of quotes and blocks that may hold them, for documents of many quotes.
 
     A quote of three words or more holds its inner words whole: it meets the blocks that have the longest of these, as a
     rule its rarest, through postings of words. Others meet every block of their document.
@@ -72,8 +78,17 @@ def locate_quotes(blocks: DataFrame, quotes: DataFrame, key: str = "doc_id") ->
     skip = F.coalesce(F.col("skip").cast("int"), F.lit(0)) if "skip" in quotes.columns else F.lit(0)
     heading = F.col("heading") if "heading" in blocks.columns else F.lit(None).cast("string")
     asked = quotes.select(key, "quote_id", F.trim(collapse(F.col("quote"))).alias("needle"), skip.alias("skip")).where("needle <> ''")
-    plain = blocks.select(key, "ord", F.trim(collapse(F.col("line"))).alias("line"), F.col("line").alias("raw"), heading.alias("heading"))
-    held = candidates(asked, plain, key).where(F.contains("line", F.col("needle"))).withColumn("n", occurrences(F.col("line"), F.col("needle")))
+    asked = cut(asked.withColumn("_asked", F.count("*").over(Window.partitionBy(key))))
+    given = blocks.select(key, "ord", F.col("line").alias("raw"), heading.alias("heading"))
+    line = F.trim(collapse(F.col("raw")))
+    # texts are dealt by key once, as they are
+    few = asked.where(F.col("_asked") <= FEW).groupBy(key).agg(F.collect_list(F.struct("quote_id", "needle", "skip")).alias("asks"))
+    met = given.join(few, key).withColumn("line", line)
+    held = met.select(key, "ord", "line", "raw", "heading", F.explode(F.filter("asks", lambda x: F.contains(F.col("line"), x["needle"]))).alias("x")).select(key, "ord", "line", "raw", "heading", "x.*")
+    many = asked.where(F.col("_asked") > FEW).drop("_asked")
+    if not many.isEmpty():
+        held = held.unionByName(candidates(many, given.withColumn("line", line), key).where(F.contains("line", F.col("needle"))))
+    held = held.withColumn("n", occurrences(F.col("line"), F.col("needle")))
     # how many the blocks before hold
     before = F.coalesce(F.sum("n").over(Window.partitionBy(key, "quote_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     turn = (F.col("skip") - F.col("before")).cast("int")
@@ -81,14 +96,20 @@ def locate_quotes(blocks: DataFrame, quotes: DataFrame, key: str = "doc_id") ->
     start = utf16_at(F.col("raw"), original_at(F.col("raw"), F.col("at")))
     end = lambda c: utf16_at(F.col("raw"), original_at(F.col("raw"), c - 1) + 1)
     single = chosen.select(key, "quote_id", F.col("ord").alias("first_ord"), F.col("ord").alias("last_ord"), "at", start.alias("mark_start"), end(F.col("at") + F.length("needle")).alias("mark_end"), "heading")
-    # what no block holds is searched once in all blocks joined by a blank
-    rest = asked.where("skip = 0").join(held.select(key, "quote_id").distinct(), [key, "quote_id"], "left_anti")
-    wanted = plain.join(rest.select(key).distinct(), key, "left_semi").where("line <> ''")
+    single = cut(single)
+    # what no block holds is searched once in all blocks joined by a blank; a quote without a skip that a block holds is chosen
+    rest = asked.where("skip = 0").drop("skip", "_asked").join(single.select(key, "quote_id"), [key, "quote_id"], "left_anti")
+    size = rest.count()
+    if not size:
+        return single
+    documents = rest.select(key).distinct()
+    wanted = given.join(F.broadcast(documents) if size <= RARE else documents, key, "left_semi").withColumn("line", line).where("line <> ''")
     room = F.sum(F.length("line") + 1).over(Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
     placed = wanted.withColumn("from", F.coalesce(room, F.lit(0)).cast("int"))
-    joined = placed.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), " ").alias("all"))
-    hits = rest.join(joined, key).withColumn("found", F.expr("locate(needle, all) - 1")).where("found >= 0").withColumn("stop", F.col("found") + F.length("needle")).drop("all", "needle", "skip")
-    spanned = hits.join(placed, key).where("from < stop and found < from + length(line)")
+    joined = placed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "from", "line", "raw", "heading"))).alias("rows")).withColumn("all", F.array_join(F.transform("rows", lambda x: x["line"]), " "))
+    hits = rest.join(joined, key).withColumn("found", F.expr("locate(needle, all) - 1")).where("found >= 0").withColumn("stop", F.col("found") + F.length("needle"))
+    over = F.filter("rows", lambda x: (x["from"] < F.col("stop")) & (F.col("found") < x["from"] + F.length(x["line"])))
+    spanned = hits.select(key, "quote_id", "found", "stop", F.explode(over).alias("x")).select(key, "quote_id", "found", "stop", "x.*")
     each = spanned.withColumn("at", F.col("found") - F.col("from")).withColumn("_first", F.when(F.col("at") >= 0, start)).withColumn("_last", end(F.least(F.col("stop") - F.col("from"), F.length("line"))))
     spans = each.groupBy(key, "quote_id").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.min_by("at", "ord").alias("at"), F.min_by("_first", "ord").alias("mark_start"), F.max_by("_last", "ord").alias("mark_end"), F.min_by("heading", "ord").alias("heading"))
     return single.unionByName(spans)
