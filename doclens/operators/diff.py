@@ -31,7 +31,8 @@ def units(text: str) -> int:
 
 def shares(text: str) -> tuple[int, dict[str, int]]:
     """Units of a text, and of each of its tokens, repeats counted."""
-    return units(text), {t: n * units(t) for t, n in Counter(tokens(text)).items()}
+    size = len if text.isascii() else units
+    return size(text), {t: n * size(t) for t, n in Counter(tokens(text)).items()}
 
 
 def shared(a: tuple[int, dict[str, int]], b: tuple[int, dict[str, int]]) -> float:

@@ -38,7 +38,9 @@ def with_survivors(ops: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("key").orderBy("op_ord")
     place = F.when(F.col("op").isin("keep", "update"), F.col("base_ord"))
-    before, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # both run with their order: a frame to the end would be added up anew for each row
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("key").orderBy(F.desc("op_ord")).rowsBetween(Window.unboundedPreceding, -1)
     alone = place.isNotNull() & F.coalesce(place > F.max(place).over(before), F.lit(True)) & F.coalesce(place < F.min(place).over(behind), F.lit(True))
     marked = ops.withColumn("_place", place).withColumn("_alone", alone).withColumn("_stretch", F.count_if("_alone").over(w))
     crossed = marked.where("_place is not null and not _alone")
