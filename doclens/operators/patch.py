@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,10 @@ from doclens.operators.diff import fresh, spread
 from doclens.operators.lineage import cut
 
 
+#: Cells of a table up to which plain lists are quicker than arrays.
+SMALL = 400
+
+
 def longest_increasing(values: Column) -> Column:
     """One of the longest increasing subsequences of an array of numbers: for each length the chain with the least end."""
     kind = "array<struct<last:bigint,chain:array<bigint>>>"
@@ -114,12 +119,40 @@ def replayed(calls: DataFrame, live: DataFrame, nxt: DataFrame) -> DataFrame:
     return stay.unionByName(put).select("key", spot.alias("place"), "text")
 
 
+def few_pairs(a: list, b: list) -> list[tuple[int, int]]:
+    """The same as common_pairs() for short lists, by plain lists."""
+    if not a or not b:
+        return []
+    rows = [[0] * (len(b) + 1)]
+    for x in reversed(a):
+        below, row, best = rows[-1], [0] * (len(b) + 1), 0
+        for j in range(len(b) - 1, -1, -1):
+            best = row[j] = max(best, below[j + 1] + 1 if x == b[j] else below[j])
+        rows.append(row)
+    rows.reverse()
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif rows[i + 1][j] >= rows[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def common_pairs(a: list, b: list) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence; of several, the one that passes over a's blocks first.
 
     Lengths are kept for one row of the table in `band` only; the rows between are computed again, band by band, on the
     way down. So memory grows with the longer list times the root of the other, and there is no limit to either.
     """
+    head = next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    out = [(n, n) for n in range(head)]  # equal heads are always paired
+    a, b = a[head:], b[head:]
+    if len(a) * len(b) <= SMALL:
+        return out + [(head + i, head + j) for i, j in few_pairs(a, b)]
     names = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
     left, right = (np.array([names[x] for x in side], np.int64) for side in (a, b))
     band = max(1, math.isqrt(len(a)))
@@ -136,7 +169,7 @@ def common_pairs(a: list, b: list) -> list[tuple[int, int]]:
         row = row if i == len(a) else above(row, i)
         if i % band == 0 or i == len(a):
             kept[i] = row
-    out, i, j = [], 0, 0
+    i = j = 0
     while i < len(a) and j < len(b):
         end = min((i // band + 1) * band, len(a))
         rows = {end: kept[end]}
@@ -144,7 +177,7 @@ def common_pairs(a: list, b: list) -> list[tuple[int, int]]:
             rows[k] = above(rows[k + 1], k)
         while i < end and j < len(b):
             if left[i] == right[j]:
-                out.append((i, j))
+                out.append((head + i, head + j))
                 i, j = i + 1, j + 1
             elif rows[i + 1][j] >= rows[i][j + 1]:
                 i += 1
@@ -155,26 +188,27 @@ def common_pairs(a: list, b: list) -> list[tuple[int, int]]:
 
 def align(base: list[str], live: list[str]) -> list[tuple[int, int]]:
     """Pairs of positions: blocks that are the same, and between two of these what lies in gaps of equal length."""
-    met = np.array([(-1, -1), *common_pairs(base, live), (len(base), len(live))])
-    gaps = np.diff(met, axis=0) - 1
-    out = [tuple(x) for x in met[1:-1].tolist()]
-    for (i, j), (n, m) in zip(met[:-1].tolist(), gaps.tolist(), strict=True):
-        if n == m:
-            out += [(i + k, j + k) for k in range(1, n + 1)]
-    return sorted(out)
+    out, i, j = [], -1, -1
+    for n, m in [*common_pairs(base, live), (len(base), len(live))]:
+        if n - i == m - j:
+            out += [(i + k, j + k) for k in range(1, n - i)]
+        out.append((n, m))
+        i, j = n, m
+    return out[:-1]
 
 
 def aligned_blocks(base: DataFrame, live: DataFrame) -> DataFrame:
     """key, base_ord, live_ord: the live block that each base block is, where it is any.
 
     base, live: key, ord, parent (null at the top), type, text. Blocks of a level are the same if type and text are; see
-    align(). The children of two blocks that are paired are aligned among themselves, level by level; levels that agree
+    align(); they are told apart by a digest of both, so that texts are not dealt or kept. The children of two blocks that are paired are aligned among themselves, level by level; levels that agree
     block by block, as nearly all do, are joined by place, and only the others go to tasks as lists.
     """
     sides = []
     for side, name in ((base, "base"), (live, "live")):
         own = fresh(side)
-        sides.append(own.select("key", F.coalesce(F.col("parent").cast("long"), F.lit(-1)).alias(f"{name}_up"), F.col("ord").cast("long").alias(f"{name}_ord"), F.struct("type", "text").alias(f"{name}_id")))
+        digest = F.unhex(F.sha2(F.to_json(F.struct("type", "text")), 256))
+        sides.append(own.select("key", F.coalesce(F.col("parent").cast("long"), F.lit(-1)).alias(f"{name}_up"), F.col("ord").cast("long").alias(f"{name}_ord"), digest.alias(f"{name}_id")))
     old, new = sides
     level = ["key", "base_up", "live_up"]
     met = old.select("key").distinct().select("key", F.lit(-1).cast("long").alias("base_up"), F.lit(-1).cast("long").alias("live_up"))
@@ -186,8 +220,9 @@ def aligned_blocks(base: DataFrame, live: DataFrame) -> DataFrame:
         both = a.join(b, [*level, "at"], "full_outer").withColumn("_odd", F.max((~F.col("base_id").eqNullSafe(F.col("live_id"))).cast("int")).over(Window.partitionBy(*level)) > 0)
         both = cut(both)
         agreed = both.where("not _odd").select("key", "base_ord", "live_ord")
-        said = lambda name: F.transform(F.sort_array(F.collect_list(F.when(F.col(f"{name}_ord").isNotNull(), F.struct("at", f"{name}_ord", f"{name}_id")))), lambda x: F.struct(x[f"{name}_ord"].alias("ord"), F.to_json(x[f"{name}_id"]).alias("id"))).alias(name)
-        odd = spread(both.where("_odd"), *level).groupBy(*level).agg(said("base"), said("live")).select("key", "base", "live")
+        said = lambda name: F.sort_array(F.collect_list(F.when(F.col(f"{name}_ord").isNotNull(), F.struct("at", F.col(f"{name}_ord").alias("ord"), F.col(f"{name}_id").alias("id"))))).alias(name)
+        lists = lambda name: (F.transform(name, lambda x: x["ord"]).alias(f"{name}_ords"), F.transform(name, lambda x: x["id"]).alias(f"{name}_ids"))
+        odd = spread(both.where("_odd"), *level).groupBy(*level).agg(said("base"), said("live")).select("key", *lists("base"), *lists("live"))
         paired = cut(agreed.unionByName(odd.mapInArrow(_align_lists, "key long, base_ord long, live_ord long")))
         found.append(paired)
         up = paired.select("key", F.col("base_ord").alias("base_up"), F.col("live_ord").alias("live_up"))
@@ -198,10 +233,19 @@ def aligned_blocks(base: DataFrame, live: DataFrame) -> DataFrame:
 
 def _align_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, base, live in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            pairs = align([x["id"] for x in base], [x["id"] for x in live])
-            columns = [[key] * len(pairs), [base[i]["ord"] for i, _ in pairs], [live[j]["ord"] for _, j in pairs]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "base_ord", "live_ord"])
+        own = [batch.column(0).to_pylist(), *(_rows_of(c) for c in batch.columns[1:])]
+        columns: tuple[list, list, list] = ([], [], [])
+        for key, base_ords, base, live_ords, live in zip(*own, strict=True):
+            for i, j in align(base, live):
+                columns[0].append(key)
+                columns[1].append(base_ords[i])
+                columns[2].append(live_ords[j])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "base_ord", "live_ord"])
+
+
+def _rows_of(column: pa.ListArray) -> Iterator[list]:
+    every = iter(column.flatten().to_pylist())
+    return (list(islice(every, n)) for n in column.value_lengths().to_pylist())
 
 
 def text_requests(edits: DataFrame) -> DataFrame:
